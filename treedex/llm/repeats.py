@@ -180,23 +180,26 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
         def flush(rows):
             hit = [], [], [], []
-            loose = [], [], [], [], []
+            loose: list = []  # of hot grams: windows to compare with other pieces
             for r, (dup, h1, h2) in zip(rows, repeated_windows([r["body"] for r in rows], [r["m"] for r in rows], length), strict=True):
                 if r["kinds"] > HOT:
-                    # one row for each distinct window of the piece, so that pieces can be compared; those of a repeated segment too, as partners
-                    loose[0].extend(h1.view(np.int64).tolist())
-                    loose[1].extend(h2.view(np.int64).tolist())
-                    loose[2].extend([r["doc_id"]] * len(dup))
-                    loose[3].extend([r["th"]] * len(dup))
-                    loose[4].extend((np.arange(len(dup)) + r["a"]).tolist())
+                    # each distinct window once; with its place only where it is alone in the piece and its segment hasn't gone as a whole
+                    place = np.where(dup | (r["n"] > 1), -1, np.arange(len(dup)) + r["a"])
+                    loose.append((h1, h2, place, np.full(len(dup), len(loose)), (r["doc_id"], r["th"])))
                 if r["n"] == 1:
                     for a, b in _runs(dup):
                         for c, x in zip(hit, (r["doc_id"], r["th"], a + r["a"], b + r["a"]), strict=True):
                             c.append(x)
-            n, k = len(hit[0]), len(loose[0])
-            none = [None] * n
-            cols = [hit[0] + loose[2], hit[1] + loose[3], hit[2] + loose[4], hit[3] + loose[4], none + loose[0], none + loose[1]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "th", "a", "b", "w1", "w2"]) if n + k else None
+            cols = [*hit, [None] * len(hit[0]), [None] * len(hit[0])]
+            if loose:
+                h1, h2, place, who = (np.concatenate([x[k] for x in loose]) for k in range(4))
+                order = np.lexsort((-place, h2, h1))
+                order = order[np.concatenate([[True], (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])])]
+                own = [loose[k][4] if x >= 0 else (None, None) for k, x in zip(who[order].tolist(), place[order].tolist(), strict=True)]
+                at = [x if x >= 0 else None for x in place[order].tolist()]
+                for c, x in zip(cols, ([d for d, _ in own], [t for _, t in own], at, at, h1[order].view(np.int64).tolist(), h2[order].view(np.int64).tolist()), strict=True):
+                    c.extend(x)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "th", "a", "b", "w1", "w2"]) if cols[0] else None
 
         for batch in batches:
             for r in batch.to_pylist():
@@ -215,7 +218,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     )
     hot = sorted_.filter("w1 is not null")
     again = common.written(hot.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2"), "windows")
-    part = sorted_.filter("w1 is null").select(*key, "a", "b").unionAll(hot.join(again, ["w1", "w2"]).select(*key, "a", "b"))
+    part = sorted_.filter("w1 is null").select(*key, "a", "b").unionAll(hot.filter("a is not null").join(again, ["w1", "w2"]).select(*key, "a", "b"))
     spans = common.written(whole.unionAll(part).groupBy(*key).agg(F.array_distinct(F.collect_list(F.struct("a", "b"))).alias("spans")), "spans")
     common.tidy(spark)
 
