@@ -1,0 +1,45 @@
+"""Staleness: a folder's fingerprint first, then hashes of its sources, then new files."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+
+def fingerprint(files: DataFrame, dir: str = "dir") -> DataFrame:
+    """dir, fingerprint: SHA-256 over its files' names, sizes and times in order of names."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("name", F.concat_ws(":", "name", F.col("length").cast("string"), F.col("mtime_ns").cast("string")).alias("s")))), lambda x: x["s"])
+    return files.groupBy(dir).agg(F.sha2(F.array_join(parts, "\n"), 256).alias("fingerprint"))
+
+
+def changed(manifest_cards: DataFrame, files: DataFrame) -> DataFrame:
+    """manifest_cards: dir, kind, source, source_hash. Adds stale: the file is gone, or its hash doesn't begin with the stored one.
+
+    Folder summaries and entries without a hash or a local source are left out; of a source listed twice the first counts.
+    """
+    m = manifest_cards.filter("coalesce(kind, '') <> 'dir_summary' and source_hash is not null and source is not null and not source rlike '^https?://'")
+    m = m.groupBy("dir", "source").agg(F.first("source_hash").alias("source_hash"))
+    now = files.select(F.col("file_path").alias("source"), F.concat(F.lit("sha256:"), F.sha2(F.col("content").cast("binary"), 256)).alias("hash"))
+    return m.join(now, "source", "left").withColumn("stale", F.coalesce(~F.col("hash").startswith(F.col("source_hash")), F.lit(True)))
+
+
+def untracked(files: DataFrame, tracked: DataFrame) -> DataFrame:
+    """Files of a folder, of an ending that its sources have, that are no source. files: dir, name, file_path; tracked: dir, source."""
+    ending = lambda c: F.regexp_extract(c, r"(\.[^./]*)$", 1)
+    kinds = tracked.select("dir", ending("source").alias("ending")).distinct()
+    return files.filter(~F.col("name").startswith(".")).withColumn("ending", ending("name")).join(kinds, ["dir", "ending"], "left_semi").join(tracked.select(F.col("source").alias("file_path")), "file_path", "left_anti").drop("ending")
+
+
+def stale_dirs(stored: DataFrame, current: DataFrame, changes: DataFrame, new: DataFrame, cards: DataFrame) -> DataFrame:
+    """dir, stale. stored, current: dir, fingerprint. Only folders whose fingerprint differs are looked into; one without any card is stale."""
+    differs = stored.join(current.withColumnRenamed("fingerprint", "now"), "dir", "left").withColumn("differs", ~F.col("fingerprint").eqNullSafe(F.col("now")))
+    bad = changes.filter("stale").select("dir").unionByName(new.select("dir")).distinct().withColumn("bad", F.lit(True))
+    has = cards.select("dir").distinct().withColumn("has", F.lit(True))
+    return differs.join(bad, "dir", "left").join(has, "dir", "left").select("dir", (F.col("differs") & (F.coalesce("bad", F.lit(False)) | F.col("has").isNull())).alias("stale"))
+
+
+def totals(dirs: DataFrame) -> DataFrame:
+    return dirs.agg(F.count_if("stale").alias("stale"), F.count_if(~F.col("stale")).alias("current"))
+
+
+def hash_matches(content: Column, stored: Column) -> Column:
+    return F.concat(F.lit("sha256:"), F.sha2(content.cast("binary"), 256)).startswith(stored)

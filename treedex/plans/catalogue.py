@@ -1,4 +1,573 @@
-"""The query catalogue."""
+"""Every operator as a query over the driver's tables, with the SQL that gives the same rows.
 
-QUERIES: dict = {}
+The tables hold no document trees, so both sides derive them by one rule: a document is a file whose lines are nodes, the first at level 1, any other at 1
+plus the rest of its length by 3; every fourth file is a card, whose fields follow from its id. Regions, nations and customers are a tree of their own.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from treedex.functions import text as T
+from treedex.operators import buckets, cards, domains, keywords, markdown, search, stale, tree, words
+from treedex.plans import index as plan
+from treedex.sources import mindmap
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def files(spark: SparkSession, d: str) -> DataFrame:
+    ending = F.when(F.col("doc_id") % 4 == 0, ".kb.md").when(F.col("doc_id") % 4 == 1, ".mm").when(F.col("doc_id") % 4 == 2, ".md").otherwise(".markdown")
+    path = F.concat(F.lit("/kb/"), F.col("source"), F.lit("/"), F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"), ending)
+    f = table(spark, d, "documents").select("doc_id", path.alias("file_path"), F.col("text").alias("content"), "lang", "source")
+    return f.withColumns({"name": T.base_name(F.col("file_path")), "dir": T.parent_dir(F.col("file_path"))}).withColumn("ftype", T.file_type(F.col("name")))
+
+
+FILES = """f AS (SELECT doc_id, '/kb/' || source || '/' || lang || '/' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.kb.md' WHEN 1 THEN '.mm' WHEN 2 THEN '.md' ELSE '.markdown' END AS file_path,
+    '/kb/' || source || '/' || lang AS dir, text AS content, lang, source, CASE doc_id % 4 WHEN 0 THEN 'card' WHEN 1 THEN 'freeplane' ELSE 'markdown' END AS ftype FROM documents)"""
+
+
+def nodes(spark: SparkSession, d: str) -> DataFrame:
+    line = files(spark, d).select("file_path", F.posexplode(F.split("content", "\n")).alias("i", "text"))
+    n = line.select("file_path", (F.col("i") + 1).cast("bigint").alias("pre"), "text", F.when(F.col("i") == 0, 1).otherwise(1 + F.length("text") % 3).cast("int").alias("level"))
+    return tree.intervals(n, levels=3).withColumn("search_text", F.col("text"))
+
+
+NODES = FILES + """,
+    s AS (SELECT file_path, string_split(content, chr(10)) AS ls FROM f),
+    l AS (SELECT file_path, i AS pre, ls[i] AS text, CASE WHEN i = 1 THEN 1 ELSE 1 + length(ls[i]) % 3 END::BIGINT AS level FROM (SELECT file_path, ls, unnest(range(1, len(ls) + 1)) AS i FROM s)),
+    n AS (SELECT *, CASE level WHEN 2 THEN max(CASE WHEN level = 1 THEN pre END) OVER b WHEN 3 THEN max(CASE WHEN level <= 2 THEN pre END) OVER b END AS parent_pre,
+        coalesce(CASE level WHEN 1 THEN min(CASE WHEN level = 1 THEN pre END) OVER a WHEN 2 THEN min(CASE WHEN level <= 2 THEN pre END) OVER a ELSE min(pre) OVER a END - 1, max(pre) OVER (PARTITION BY file_path)) AS last,
+        regexp_replace(lower(text), '[\\x{00AA}\\x{00B5}\\x{00BA}\\x{00C0}-\\x{00D6}\\x{00D8}-\\x{00F6}\\x{00F8}-\\x{024F}]', '0', 'g') AS plain
+        FROM l WINDOW b AS (PARTITION BY file_path ORDER BY pre ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS (PARTITION BY file_path ORDER BY pre ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))"""
+
+
+def _m(term: str) -> str:
+    return rf"regexp_matches(plain, '\b(?:{term})\b')"
+
+
+def _bag(hits: DataFrame) -> DataFrame:
+    return hits.groupBy("file_path", "pre").agg(F.count("*").alias("hits"))
+
+
+# --- sources and predicates
+
+
+@query(f"WITH {FILES} SELECT ftype, count(*) AS n FROM f GROUP BY 1")
+def type_classify(spark, d):
+    return files(spark, d).groupBy("ftype").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {FILES} SELECT file_path FROM f WHERE ftype IN ('card', 'markdown')")
+def type_select(spark, d):
+    return files(spark, d).filter(F.col("ftype").isin(T.selected_types(exclude=["freeplane"]))).select("file_path")
+
+
+@query(f"WITH {FILES} SELECT file_path FROM f WHERE NOT (source IN ('src1', 'src3') OR file_path LIKE '/kb/src2/%.md')")
+def exclude_prune(spark, d):
+    return files(spark, d).filter(~T.excluded(F.col("file_path"), ["**/src1/**", "**/src3", "/kb/src2/*.md"])).select("file_path")
+
+
+@query(f"WITH {FILES} SELECT file_path FROM f WHERE NOT contains(substr(content, 1, 4096), 'Licensed')")
+def generated_skip(spark, d):
+    return files(spark, d).filter(~T.is_generated(F.col("content"), "Licensed")).select("file_path")
+
+
+@query("SELECT l_returnflag AS kind, count(*) AS n FROM lineitem GROUP BY 1 UNION ALL SELECT o_orderstatus, count(*) FROM orders GROUP BY 1")
+def union_of_sources(spark, d):
+    a = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("kind")).agg(F.count("*").alias("n"))
+    return a.unionByName(table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("kind")).agg(F.count("*").alias("n")))
+
+
+# --- Markdown: the first line of a text becomes a heading, others by their number
+
+
+def _marked(spark, d):
+    """Lines numbered from 0: by 7 rest 0 a heading of level 1 to 3, rest 3 a list item, else content."""
+    line = files(spark, d).filter("ftype <> 'freeplane'").select("file_path", F.posexplode(F.split("content", "\n")).alias("i", "t"))
+    t = F.trim(F.regexp_replace("t", r"[\t\r]", " "))
+    made = F.when(t == "", "").when(F.col("i") % 7 == 0, F.concat(F.repeat(F.lit("#"), (1 + F.col("i") % 3).cast("int")), F.lit(" "), t)).when(F.col("i") % 7 == 3, F.concat(F.repeat(F.lit("  "), (F.col("i") % 2).cast("int")), F.lit("- "), t)).otherwise(F.concat(F.lit("x "), t))
+    return line.groupBy("file_path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", made.alias("m")))), lambda x: x["m"]), "\n").alias("content"))
+
+
+MARKED = FILES + """,
+    s AS (SELECT file_path, string_split(content, chr(10)) AS ls FROM f WHERE ftype <> 'freeplane'),
+    u AS (SELECT file_path, i, trim(regexp_replace(ls[i + 1], '[\\t\\r]', ' ', 'g'), ' ') AS t FROM (SELECT file_path, ls, unnest(range(0, len(ls))) AS i FROM s)),
+    k AS (SELECT file_path, (i + 1)::BIGINT AS line_number, t, CASE WHEN i % 7 = 0 THEN 'heading' WHEN i % 7 = 3 THEN 'list_item' ELSE 'content' END AS kind, CASE WHEN i % 7 = 0 THEN 1 + i % 3 WHEN i % 7 = 3 THEN i % 2 ELSE 0 END::BIGINT AS level,
+        CASE WHEN i % 7 IN (0, 3) THEN t ELSE 'x ' || t END AS text FROM u WHERE t <> '')"""
+
+
+@query(f"WITH {MARKED} SELECT file_path, line_number, kind, level, md5(text) AS text_md5 FROM k")
+def line_classify(spark, d):
+    return markdown.lines(_marked(spark, d)).select("file_path", "line_number", "kind", F.col("level").cast("bigint"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query(f"""WITH {MARKED}, r AS (SELECT *, sum(CASE WHEN kind = 'heading' THEN 1 ELSE 0 END) OVER (PARTITION BY file_path ORDER BY line_number) AS section FROM k)
+    SELECT file_path, section::BIGINT AS section, min(line_number) AS line_number, md5(string_agg(text, ' ' ORDER BY line_number)) AS content_md5 FROM r WHERE section > 0 AND kind <> 'list_item' GROUP BY 1, 2""")
+def section_content(spark, d):
+    return markdown.sections(markdown.lines(_marked(spark, d))).select("file_path", "section", "line_number", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+@query(f"""WITH {MARKED}, m AS (SELECT file_path, line_number, kind, CASE WHEN kind = 'heading' THEN level ELSE 7 + level END AS lv, row_number() OVER (PARTITION BY file_path ORDER BY line_number) AS pre FROM k WHERE kind <> 'content')
+    SELECT file_path, pre, kind AS node_type, (SELECT max(p.pre) FROM m p WHERE p.file_path = m.file_path AND p.pre < m.pre AND p.lv < m.lv) AS parent_pre FROM m""")
+def markdown_tree(spark, d):
+    return markdown.nodes(_marked(spark, d)).select("file_path", "pre", "node_type", "parent_pre")
+
+
+@query(f"""WITH {MARKED}, m AS (SELECT file_path, line_number, kind, CASE WHEN kind = 'heading' THEN level ELSE 7 + level END AS lv, row_number() OVER (PARTITION BY file_path ORDER BY kind <> 'heading', line_number) AS pre FROM k WHERE kind <> 'content')
+    SELECT file_path, pre, kind AS node_type, (SELECT max(p.pre) FROM m p WHERE p.file_path = m.file_path AND p.pre < m.pre AND p.lv < m.lv) AS parent_pre FROM m""")
+def markdown_tree_compat(spark, d):
+    return markdown.nodes(_marked(spark, d), order="compat").select("file_path", "pre", "node_type", "parent_pre")
+
+
+# --- trees
+
+
+@query(f"WITH {NODES} SELECT file_path, pre, level, parent_pre FROM n")
+def tree_parent(spark, d):
+    return nodes(spark, d).select("file_path", "pre", F.col("level").cast("bigint"), "parent_pre")
+
+
+@query(f"WITH {NODES} SELECT file_path, pre, last FROM n")
+def tree_interval(spark, d):
+    return nodes(spark, d).select("file_path", "pre", "last")
+
+
+@query(f"WITH {NODES} SELECT n.file_path, n.pre, count(*) AS depth, string_agg(p.pre::VARCHAR, '/' ORDER BY p.pre) AS path FROM n JOIN n p ON p.file_path = n.file_path AND n.pre BETWEEN p.pre AND p.last GROUP BY 1, 2")
+def tree_depth_path(spark, d):
+    n = tree.depth_and_path(nodes(spark, d).withColumn("name", F.col("pre").cast("string")), text="name")
+    return n.select("file_path", "pre", "depth", F.array_join("path", "/").alias("path"))
+
+
+@query(f"WITH {NODES} SELECT p.file_path, p.pre, count(*) AS n FROM n JOIN n p ON p.file_path = n.file_path AND n.pre > p.pre AND n.pre <= p.last GROUP BY 1, 2")
+def descendant_counts(spark, d):
+    return tree.descendant_counts(nodes(spark, d)).select(F.col("o_file_path").alias("file_path"), F.col("o_pre").alias("pre"), "n")
+
+
+def _geo(spark, d):
+    r = table(spark, d, "region").select(F.col("r_regionkey").alias("r"), F.lit(-1).alias("n"), F.lit(-1).cast("bigint").alias("c"), F.lit(1).alias("level"), F.col("r_name").alias("text"))
+    n = table(spark, d, "nation").select("n_regionkey", "n_nationkey", F.lit(-1).cast("bigint"), F.lit(2), "n_name")
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("n_regionkey", "n_nationkey", "c_custkey", F.lit(3), "c_name")
+    # a tree's order within its region; regions are the files
+    every = r.union(n).union(c).withColumn("file_path", F.col("r").cast("string")).withColumn("pre", (F.col("n") + 1) * 10_000_000 + F.col("c") + 1)
+    return tree.intervals(every, levels=3)
+
+
+@query("""SELECT r_name AS region, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey WHERE n_name IN (SELECT n_name FROM nation WHERE n_nationkey < 10) GROUP BY 1""")
+def geo_subtree(spark, d):
+    g = _geo(spark, d)
+    inside = tree.contained(g.filter("level = 2 and n < 10").select("file_path", "pre", "last"), g.filter("level = 3").select("file_path", "pre"))
+    names = g.filter("level = 1").select("file_path", F.col("text").alias("region"))
+    return inside.groupBy("file_path").agg(F.count("*").alias("n")).join(names, "file_path").select("region", "n")
+
+
+@query(f"WITH {NODES} SELECT file_path, parent_pre AS pre, count(*) AS n FROM n WHERE parent_pre = 1 AND level = 3 GROUP BY 1, 2")
+def children_by_type(spark, d):
+    n = nodes(spark, d).withColumn("node_type", F.col("level").cast("string"))
+    return tree.children(n, F.lit(1), "3").groupBy("file_path", F.col("parent_pre").alias("pre")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {NODES}, h AS (SELECT * FROM n WHERE {_m('with')})
+    SELECT h.file_path, h.pre, max(p.pre) AS heading_pre FROM h JOIN n p ON p.file_path = h.file_path AND h.pre BETWEEN p.pre AND p.last AND p.level <= 2 GROUP BY 1, 2""")
+def nearest_heading(spark, d):
+    n = nodes(spark, d).withColumn("node_type", F.when(F.col("level") <= 2, "heading").otherwise("list_item"))
+    found = search.search_sequence(n, ["with"]).select("file_path", "pre")
+    return tree.nearest_heading(n, found).select("file_path", "pre", "heading_pre")
+
+
+# --- search
+
+
+@query(f"WITH {NODES} SELECT file_path, pre, 1::BIGINT AS hits FROM n WHERE {_m('by|with')}")
+def search_one(spark, d):
+    return _bag(search.search_sequence(nodes(spark, d), ["by|with"]))
+
+
+@query(f"""WITH {NODES}, a AS (SELECT file_path, pre, last FROM n WHERE {_m('the')})
+    SELECT n.file_path, n.pre, count(*) AS hits FROM a JOIN n ON n.file_path = a.file_path AND n.pre BETWEEN a.pre AND a.last WHERE {_m('with')} GROUP BY 1, 2""")
+def search_two(spark, d):
+    return _bag(search.search_sequence(nodes(spark, d), ["the", "with"]))
+
+
+@query(f"""WITH {NODES}, a AS (SELECT file_path, pre, last, row_number() OVER () AS m FROM n WHERE {_m('the')}),
+    b AS (SELECT m, arg_min(n, n.pre) AS x FROM a JOIN n ON n.file_path = a.file_path AND n.pre BETWEEN a.pre AND a.last WHERE {_m('of')} GROUP BY m)
+    SELECT n.file_path, n.pre, count(*) AS hits FROM b JOIN n ON n.file_path = b.x.file_path AND n.pre BETWEEN b.x.pre AND b.x.last WHERE {_m('with')} GROUP BY 1, 2""")
+def search_three(spark, d):
+    return _bag(search.search_sequence(nodes(spark, d), ["the", "of", "with"]))
+
+
+_MANY = "SELECT '{0}:{1}' AS sequence, count(*) AS hits FROM (SELECT file_path, pre, last FROM n WHERE {2}) a JOIN n ON n.file_path = a.file_path AND n.pre BETWEEN a.pre AND a.last WHERE {3}"
+
+
+@query(f"WITH {NODES}, r AS (" + " UNION ALL ".join(_MANY.format(a, b, _m(a), _m(b)) for a, b in (("the", "by"), ("der", "mit"), ("la", "para"), ("nosuchword", "the"))) + ") SELECT * FROM r WHERE hits > 0")
+def search_many(spark, d):
+    return search.search_multiple(nodes(spark, d), [["the", "by"], ["der", "mit"], ["la", "para"], ["nosuchword", "the"]]).groupBy("sequence").agg(F.count("*").alias("hits"))
+
+
+@query(f"""WITH {NODES}, a AS (SELECT file_path, pre, last FROM n WHERE {_m('the')})
+    SELECT DISTINCT n.file_path, n.pre FROM a JOIN n ON n.file_path = a.file_path AND n.pre BETWEEN a.pre AND a.last WHERE {_m('with')}""")
+def search_dedup(spark, d):
+    return search.dedup(search.search_sequence(nodes(spark, d), ["the", "with"])).select("file_path", "pre")
+
+
+@query(f"WITH {NODES} SELECT file_path, pre FROM n WHERE {_m('nicht')} ORDER BY file_path, text")
+def search_sorted(spark, d):
+    return search.sort_results(search.search_sequence(nodes(spark, d), ["nicht"])).select("file_path", "pre")
+
+
+@query(f"WITH {NODES} SELECT file_path, pre FROM n WHERE {_m('with')} AND (ends_with(file_path, '.mm') OR ends_with(file_path, '.kb.md'))")
+def search_by_type(spark, d):
+    return search.filter_by_type(search.search_sequence(nodes(spark, d), ["with"]), [".mm", ".kb.md"]).select("file_path", "pre")
+
+
+@query("SELECT conv_id::VARCHAR AS file_path, turn AS pre FROM conversations WHERE regexp_matches(regexp_replace(lower(text), '[\\x{00AA}\\x{00B5}\\x{00BA}\\x{00C0}-\\x{00D6}\\x{00D8}-\\x{00F6}\\x{00F8}-\\x{024F}]', '0', 'g'), '\\b(?:the)\\b')")
+def search_conversations(spark, d):
+    n = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("file_path"), F.col("turn").alias("pre"), F.col("turn").alias("last"), "text", F.col("text").alias("search_text"))
+    return search.search_sequence(n, ["the"]).select("file_path", "pre")
+
+
+# --- keywords
+
+KEYWORDS = "Common\n\tthe:with\n\tmit\nRare\n\tnosuchword\n\tdes:para\nund\n"
+
+
+@query(f"""WITH {NODES}, r AS (SELECT 'the:with' AS sequence, n.file_path, n.pre FROM (SELECT file_path, pre, last FROM n WHERE {_m('the')}) a JOIN n ON n.file_path = a.file_path AND n.pre BETWEEN a.pre AND a.last WHERE {_m('with')}
+    UNION ALL SELECT 'mit', file_path, pre FROM n WHERE {_m('mit')} UNION ALL SELECT 'und', file_path, pre FROM n WHERE {_m('und')} UNION ALL SELECT 'nosuchword', NULL, NULL UNION ALL
+    SELECT 'des:para', n.file_path, n.pre FROM (SELECT file_path, pre, last FROM n WHERE {_m('des')}) a JOIN n ON n.file_path = a.file_path AND n.pre BETWEEN a.pre AND a.last WHERE {_m('para')})
+    SELECT k AS keyword, count(pre) AS hits, count(DISTINCT file_path) AS n_files FROM (VALUES ('the:with'), ('mit'), ('nosuchword'), ('des:para'), ('und')) v(k) LEFT JOIN r ON r.sequence = k GROUP BY 1""")
+def keyword_leaf_empty(spark, d):
+    found = keywords.search(nodes(spark, d), keywords.frame(spark, keywords.parse(KEYWORDS)))
+    return found.groupBy("keyword").agg(F.count("pre").alias("hits"), F.count_distinct("file_path").alias("n_files"))
+
+
+@query("SELECT * FROM (VALUES ('Common', 'the:with'), ('Common', 'mit'), ('Rare', 'nosuchword'), ('Rare', 'des:para'), ('Direct Searches', 'und')) v(category, sequence)")
+def keyword_categories(spark, d):
+    return keywords.frame(spark, keywords.parse(KEYWORDS)).filter("is_leaf").select("category", F.array_join("sequence", ":").alias("sequence"))
+
+
+@query("""WITH d AS (SELECT DISTINCT lang AS domain FROM documents UNION ALL SELECT 'none' UNION ALL SELECT NULL), k(keyword, scope) AS (VALUES ('g', NULL), ('x', 'en'), ('y', 'de'))
+    SELECT domain, keyword FROM d, k WHERE scope IS NULL OR domain IS NULL OR (domain <> 'none' AND domain = scope)""")
+def keyword_scoped(spark, d):
+    k = keywords.Keywords(keywords.parse("g").rows + keywords.parse("x", scope=["en"]).rows + keywords.parse("y", scope=["de"]).rows)
+    doms = table(spark, d, "documents").select(F.col("lang").alias("domain")).distinct().unionByName(spark.createDataFrame([("none",), (None,)], "domain string"))
+    return keywords.scoped(keywords.frame(spark, k), doms).select("domain", F.col("text").alias("keyword"))
+
+
+# --- domains
+
+
+def _areas(spark, d):
+    f = files(spark, d).select("source", "lang").distinct()
+    return f.select(F.concat(F.lit("/kb/"), "source").alias("dir"), F.when(~F.col("source").endswith("7"), F.col("source")).alias("domain")).distinct().unionByName(f.filter("lang = 'fr'").select(F.concat(F.lit("/kb/"), "source", F.lit("/fr")).alias("dir"), F.lit("french").alias("domain")).distinct())
+
+
+DOMAINS = FILES + ", fd AS (SELECT file_path, ftype, CASE WHEN ftype = 'card' THEN lang WHEN lang = 'fr' THEN 'french' WHEN source LIKE '%7' THEN NULL ELSE source END AS domain FROM f)"
+
+
+def _file_domains(spark, d):
+    f = files(spark, d)
+    return domains.resolved(f.select("file_path"), _areas(spark, d), f.filter("ftype = 'card'").select("file_path", F.col("lang").alias("domain")))
+
+
+@query(f"WITH {DOMAINS} SELECT file_path, domain FROM fd")
+def domain_nearest(spark, d):
+    return _file_domains(spark, d)
+
+
+@query(f"WITH {DOMAINS} SELECT coalesce(domain, 'none') AS domain, count(*) AS n FROM fd GROUP BY 1")
+def domain_partition_counts(spark, d):
+    return domains.counts(domains.partitioned(_file_domains(spark, d)))
+
+
+@query(f"WITH {DOMAINS} SELECT DISTINCT coalesce(domain, 'none') AS domain FROM fd")
+def domain_order(spark, d):
+    return domains.in_order(domains.partitioned(_file_domains(spark, d)).select("domain").distinct())
+
+
+@query(f"WITH {DOMAINS} SELECT ftype, max(coalesce(domain, 'none')) AS last FROM fd GROUP BY 1")
+def domain_global_merge(spark, d):
+    v = domains.partitioned(_file_domains(spark, d)).join(files(spark, d).select("file_path", "ftype"), "file_path").withColumn("last", F.col("domain"))
+    return plan.merged(v, ["ftype"], ["last", "file_path"]).select("ftype", "last")
+
+
+# --- tags
+
+
+def _tagged(spark, d):
+    return files(spark, d).select("file_path", "name", F.concat(F.lit("---\ntitle: t\ntags: ["), "lang", F.lit(", '"), "source", F.lit("']\n---\n#"), "lang", F.lit(" and `#code` #x"), (F.col("doc_id") % 5).cast("string"), F.lit(" #12 #include\n")).alias("content"))
+
+
+@query(f"WITH {FILES} SELECT file_path, lang AS tag FROM f UNION ALL SELECT file_path, 'x' || doc_id % 5 FROM f")
+def tag_hashtags(spark, d):
+    return _tagged(spark, d).select("file_path", F.explode(T.hashtags(F.col("content"))).alias("tag"))
+
+
+@query(f"WITH {FILES} SELECT file_path, lang AS tag FROM f UNION ALL SELECT file_path, source FROM f")
+def tag_frontmatter(spark, d):
+    return _tagged(spark, d).select("file_path", F.explode(T.frontmatter_tags(F.col("content"))).alias("tag"))
+
+
+@query(f"WITH {FILES}, t AS (SELECT lang AS tag, file_path FROM f UNION ALL SELECT source, file_path FROM f UNION ALL SELECT 'x' || doc_id % 5, file_path FROM f) SELECT tag, count(*) AS n_files FROM t GROUP BY 1")
+def tag_index(spark, d):
+    t = _tagged(spark, d).select("file_path", F.explode(F.array_union(T.hashtags(F.col("content")), T.frontmatter_tags(F.col("content")))).alias("tag"))
+    return t.groupBy("tag").agg(F.count("*").alias("n_files"))
+
+
+# --- words
+
+PLAIN = "regexp_replace(lower(text), '[\\x{00AA}\\x{00B5}\\x{00BA}\\x{00C0}-\\x{00D6}\\x{00D8}-\\x{00F6}\\x{00F8}-\\x{024F}]', '0', 'g')"
+TOKENS = f"t AS (SELECT doc_id, text, unnest(regexp_extract_all({PLAIN}, '\\b[a-z]+(?:[_-][a-z]+)*\\b')) AS word FROM documents)"
+_IN = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
+CASED = "regexp_replace(text, '[\\x{00AA}\\x{00B5}\\x{00BA}\\x{00C0}-\\x{00D6}\\x{00D8}-\\x{00F6}\\x{00F8}-\\x{024F}]', '0', 'g')"
+SIGNIFICANT = TOKENS + f""", capital AS (SELECT DISTINCT doc_id, lower(w) AS word FROM (SELECT doc_id, unnest(regexp_extract_all({CASED}, '\\b[A-Z][a-z]\\b')) AS w FROM documents)),
+    w AS (SELECT t.doc_id, t.word FROM t LEFT JOIN capital c ON c.doc_id = t.doc_id AND c.word = t.word WHERE length(t.word) BETWEEN 2 AND 50 AND (t.word IN {_IN(T.TECHNICAL)} OR (t.word NOT IN {_IN(T.STOP_WORDS)}
+        AND (length(t.word) >= 3 OR t.word IN ('ty', 'er', 'ar', 'al', 'ic') OR c.word IS NOT NULL))))"""
+
+
+def _occurrences(spark, d):
+    n = table(spark, d, "documents").select(F.col("doc_id").alias("file_path"), F.lit(1).cast("bigint").alias("pre"), F.col("text").alias("search_text"))
+    return words.occurrences(n)
+
+
+@query(f"WITH {TOKENS} SELECT word, count(*) AS n FROM t GROUP BY 1")
+def tokens(spark, d):
+    return table(spark, d, "documents").select(F.explode(T.tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {SIGNIFICANT} SELECT DISTINCT doc_id, word FROM w")
+def significant_words(spark, d):
+    return words.hits(_occurrences(spark, d)).select(F.col("file_path").alias("doc_id"), "word")
+
+
+@query(f"WITH {SIGNIFICANT} SELECT word, count(*) AS n FROM w GROUP BY 1 HAVING count(*) >= 5")
+def word_occurrences(spark, d):
+    return words.frequency(_occurrences(spark, d), 5)
+
+
+@query(f"WITH {SIGNIFICANT} SELECT word, count(DISTINCT doc_id) AS n_files FROM w GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2")
+def word_docfreq(spark, d):
+    return words.document_frequency(_occurrences(spark, d))
+
+
+_BASE = "CASE " + " ".join(f"WHEN ends_with(word, '{s}') AND length(word) > {len(s) + 2} THEN left(word, length(word) - {len(s)})" for s in T.SUFFIXES) + " ELSE word END"
+
+
+@query(f"WITH {SIGNIFICANT}, v AS (SELECT DISTINCT word FROM w), b AS (SELECT word, {_BASE} AS base FROM v) SELECT b.word, b.base FROM b JOIN v ON v.word = b.base WHERE b.word <> b.base")
+def word_suffix_pairs(spark, d):
+    return words.suffix_pairs(_occurrences(spark, d).select("word").distinct())
+
+
+@query()
+def word_consolidate(spark, d):
+    v = words.hits(_occurrences(spark, d)).groupBy("word").agg(F.min("file_path").alias("ord"), F.slice(F.array_sort(F.collect_set("file_path")), 1, words.MOST_FILES + 1).alias("files"))
+    return words.consolidate(v)
+
+
+@query(f"""WITH {SIGNIFICANT}, v AS (SELECT DISTINCT word FROM w), c AS (SELECT word, count(*) OVER (PARTITION BY left(word, 1)) AS n1, count(*) OVER (PARTITION BY left(word, 2)) AS n2 FROM v)
+    SELECT CASE WHEN n1 <= 24 THEN left(word, 1) WHEN n2 <= 24 THEN left(word, 2) ELSE left(word, 3) END AS prefix, count(*) AS n FROM c GROUP BY 1""")
+def word_first_char_groups(spark, d):
+    return words.prefix_groups(_occurrences(spark, d).select("word").distinct()).groupBy("prefix").agg(F.count("*").alias("n"))
+
+
+# --- buckets
+
+
+@query("SELECT s_nationkey, s_name, CASE WHEN count(*) OVER (PARTITION BY s_nationkey) > 5 THEN CASE WHEN regexp_matches(upper(left(s_name, 1)), '[A-Z]') THEN upper(left(s_name, 1)) ELSE '#' END END AS bucket FROM supplier")
+def letter_buckets(spark, d):
+    return buckets.letter_buckets(table(spark, d, "supplier").select("s_nationkey", "s_name"), "s_nationkey", "s_name", 5).select("s_nationkey", "s_name", "bucket")
+
+
+@query("""WITH c AS (SELECT c_nationkey, c_name, row_number() OVER (PARTITION BY c_nationkey ORDER BY lower(c_name), c_name) - 1 AS r, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer)
+    SELECT c_nationkey, c_name, (r // ceil(n / ceil(n / 20.0))::BIGINT)::BIGINT AS chunk FROM c""")
+def range_chunks(spark, d):
+    return buckets.range_chunks(table(spark, d, "customer").select("c_nationkey", "c_name"), "c_nationkey", "c_name").select("c_nationkey", "c_name", "chunk")
+
+
+@query(f"""WITH {FILES}, r AS (SELECT dir, file_path, CASE ftype WHEN 'freeplane' THEN 0 WHEN 'markdown' THEN 1 ELSE 2 END AS k FROM f), c AS (SELECT dir, count(*) AS n, count(DISTINCT k) AS kinds FROM r GROUP BY 1)
+    SELECT r.dir, file_path, CASE WHEN n > 20 AND kinds > 1 THEN k END AS bucket FROM r JOIN c ON r.dir = c.dir""")
+def type_buckets(spark, d):
+    return buckets.type_buckets(files(spark, d).select("dir", "file_path"), "dir", "file_path").select("dir", "file_path", "bucket")
+
+
+# --- file system, cards
+
+
+@query("SELECT dir, count(*) AS n FROM (SELECT unnest(list_transform(range(3, len(p)), lambda i: array_to_string(p[1:i], '/'))) AS dir FROM (SELECT string_split(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^https?:/', ''), '/') AS p FROM pages)) GROUP BY 1")
+def fs_tree_dirs(spark, d):
+    path = F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "^https?:/", "")
+    return table(spark, d, "pages").select(F.explode(F.filter(T.ancestors(path), lambda x: F.size(F.split(x, "/")) > 2)).alias("dir")).groupBy("dir").agg(F.count("*").alias("n"))
+
+
+def _cards(spark, d):
+    """A card for each part: a summary by 10, its source by 7 of the size, the part before it as what it builds on."""
+    k = F.col("p_partkey")
+    s = lambda c: c.cast("string")
+    return table(spark, d, "part").select(
+        F.col("p_brand").alias("domain"), F.concat(F.lit("/kb/"), "p_brand", F.lit("/.kb/"), s(k), F.lit(".kb.md")).alias("file_path"), k.alias("ord"), s(k).alias("id"), F.concat(F.lit("s"), s(k)).alias("slug"),
+        F.when(k % 10 == 0, "file_summary").when(k % 11 == 0, "dir_summary").alias("kind"), F.col("p_name").alias("title"), F.concat(F.lit("/kb/"), "p_brand", F.lit("/"), s(F.col("p_size") % 7)).alias("source_path"), F.concat(F.lit("e"), s(k)).alias("essence"),
+        F.array(F.concat(F.lit("s"), s(k - 1))).alias("builds_on"), F.array(F.concat(F.lit("t"), s(k % 100))).alias("defines"), F.array(F.concat(F.lit("/kb/x/"), s(k * 2))).alias("exported_as"), F.array().cast("array<string>").alias("refines"),
+    )
+
+
+CARDS = """c AS (SELECT p_brand AS domain, '/kb/' || p_brand || '/.kb/' || p_partkey || '.kb.md' AS file_path, p_partkey AS ord, CASE WHEN p_partkey % 10 = 0 THEN 'file_summary' WHEN p_partkey % 11 = 0 THEN 'dir_summary' END AS kind, p_name AS title,
+    '/kb/' || p_brand || '/' || p_size % 7 AS source_path, 'e' || p_partkey AS essence FROM part)"""
+
+
+@query(f"""WITH {CARDS}, g AS (SELECT domain, source_path, count(*) FILTER (kind IS NOT NULL) AS s, count(*) FILTER (kind IS NULL) AS t, arg_min(essence, ord) FILTER (kind IS NOT NULL) AS se, arg_min(file_path, ord) FILTER (kind IS NOT NULL) AS sp, arg_min(essence, ord) FILTER (kind IS NULL) AS te,
+    count(*) AS n_cards FROM c WHERE kind IS DISTINCT FROM 'dir_summary' GROUP BY 1, 2)
+    SELECT domain, source_path, CASE WHEN s > 0 THEN se WHEN t = 1 THEN te END AS annotation, CASE WHEN s > 0 AND t > 0 THEN sp END AS hidden_card, n_cards FROM g""")
+def card_group_annotation(spark, d):
+    return cards.groups(_cards(spark, d)).select("domain", "source_path", "annotation", "hidden_card", F.size("cards").cast("bigint").alias("n_cards"))
+
+
+@query(f"WITH {CARDS} SELECT domain, source_path AS dir, arg_max(essence, ord) AS essence FROM c WHERE kind = 'dir_summary' GROUP BY 1, 2")
+def dir_annotation(spark, d):
+    return cards.dir_annotations(_cards(spark, d))
+
+
+@query(f"WITH {CARDS} SELECT c.domain, c.file_path AS src_path, c.title AS src_title, coalesce(t.title, 's' || (c.ord - 1)) AS tgt_label, t.file_path AS tgt_path FROM c LEFT JOIN c t ON t.ord = c.ord - 1")
+def deps_left_join(spark, d):
+    return cards.dependencies(_cards(spark, d))
+
+
+@query(f"WITH {CARDS} SELECT domain, 't' || ord % 100 AS term, arg_max(title, ord) AS title, arg_max(file_path, ord) AS file_path FROM c GROUP BY 1, 2")
+def glossary_last_wins(spark, d):
+    return cards.glossary(_cards(spark, d))
+
+
+@query("SELECT '/kb/x/' || p_partkey AS file_path FROM part WHERE NOT EXISTS (SELECT 1 FROM part q WHERE q.p_partkey * 2 = part.p_partkey AND q.p_partkey % 11 <> 0 OR q.p_partkey * 2 = part.p_partkey AND q.p_partkey % 10 = 0)")
+def fs_anti_absorbed(spark, d):
+    f = table(spark, d, "part").select(F.concat(F.lit("/kb/x/"), F.col("p_partkey").cast("string")).alias("file_path"), F.lit("markdown").alias("ftype"))
+    return cards.not_absorbed(f, cards.groups(_cards(spark, d))).select("file_path")
+
+
+@query()
+def card_frontmatter(spark, d):
+    made = F.concat(F.lit("---\nid: "), F.col("p_partkey").cast("string"), F.lit("\nslug: s"), F.col("p_partkey").cast("string"), F.lit("\ntags: [a, "), "p_brand", F.lit("]\nsource: [https://x, ../n.md]\nmeta: {k: 1}\n---\n# "), "p_name", F.lit("\n> first\n> second\n\ntext"))
+    f = table(spark, d, "part").select(F.concat(F.lit("/kb/a/.kb/"), F.col("p_partkey").cast("string"), F.lit(".kb.md")).alias("file_path"), made.alias("content"))
+    return cards.with_source(cards.parse(f)).select("file_path", "id", "slug", F.array_join("tags", ",").alias("tags"), "essence", "source_path", F.col("fm").cast("string").alias("fm"))
+
+
+@query()
+def mm_parse(spark, d):
+    made = F.concat(F.lit('<map version="1.0"><node ID="R" TEXT="'), "p_brand", F.lit('" TAGS="a&#xa;b"><node TEXT="x &amp;amp; &nbsp;"><richcontent TYPE="NOTE"><html><body><p>n </p><p>m</p></body></html></richcontent></node><node TEXT="'), "p_type", F.lit('"/></node></map>'))
+    f = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("file_path"), made.alias("content"))
+    return mindmap.nodes(f).select("file_path", "pre", "last", "parent_pre", "text", "note", F.array_join("tags", ",").alias("tags"), "search_text")
+
+
+# --- staleness
+
+
+@query("SELECT o_custkey::VARCHAR AS dir, sha256(string_agg(o_orderkey || ':' || o_custkey || ':' || o_orderkey * 3, chr(10) ORDER BY o_orderkey::VARCHAR)) AS fingerprint FROM orders GROUP BY 1")
+def dir_fingerprint(spark, d):
+    f = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("dir"), F.col("o_orderkey").cast("string").alias("name"), F.col("o_custkey").alias("length"), (F.col("o_orderkey") * 3).alias("mtime_ns"))
+    return stale.fingerprint(f)
+
+
+@query(f"WITH {FILES} SELECT file_path AS source, doc_id % 3 = 0 AS stale FROM f UNION ALL SELECT file_path || '.gone', TRUE FROM f WHERE doc_id % 10 = 0")
+def stale_content(spark, d):
+    f = files(spark, d)
+    h = F.concat(F.lit("sha256:"), F.substring(F.sha2(F.col("content").cast("binary"), 256), 1, 16))
+    m = f.select("dir", F.lit(None).cast("string").alias("kind"), F.col("file_path").alias("source"), F.when(F.col("doc_id") % 3 == 0, "sha256:zz").otherwise(h).alias("source_hash"))
+    gone = f.filter("doc_id % 10 = 0").select("dir", F.lit(None).cast("string").alias("kind"), F.concat("file_path", F.lit(".gone")).alias("source"), F.lit("sha256:0").alias("source_hash"))
+    return stale.changed(m.unionByName(gone), f).select("source", "stale")
+
+
+@query(f"WITH {FILES}, t AS (SELECT * FROM f WHERE doc_id % 3 = 0), k AS (SELECT DISTINCT dir, regexp_extract(file_path, '(\\.[^./]*)$', 1) AS e FROM t) SELECT f.file_path FROM f JOIN k ON k.dir = f.dir AND k.e = regexp_extract(f.file_path, '(\\.[^./]*)$', 1) WHERE f.doc_id % 3 <> 0")
+def untracked_sources(spark, d):
+    f = files(spark, d)
+    return stale.untracked(f.select("dir", "name", "file_path"), f.filter("doc_id % 3 = 0").select("dir", F.col("file_path").alias("source"))).select("file_path")
+
+
+# --- scalar functions
+
+
+@query("SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_name || '! ' || p_type), '[^\\w-]', '-', 'g'), '-+', '-', 'g'), '-') AS slug FROM part")
+def anchor_slug(spark, d):
+    return table(spark, d, "part").select("p_partkey", T.anchor_slug(F.concat("p_name", F.lit("! "), "p_type")).alias("slug"))
+
+
+@query("SELECT page_id, coalesce(nullif(trim(regexp_replace(lower(url), '[^a-z0-9._-]+', '-', 'g'), '-'), ''), 'index') AS slug FROM pages")
+def domain_slug(spark, d):
+    return table(spark, d, "pages").select("page_id", T.domain_slug(F.col("url")).alias("slug"))
+
+
+@query("SELECT p_partkey, p_brand || '::' || p_partkey || '.kb.md' AS shown FROM part")
+def display_path(spark, d):
+    return table(spark, d, "part").select("p_partkey", T.display_path(F.concat(F.lit("/kb/"), "p_brand", F.lit("/.kb/"), F.col("p_partkey").cast("string"), F.lit(".kb.md")), "/kb").alias("shown"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 2 THEN '/kb/n' || page_id ELSE url END AS target FROM pages")
+def md_link_strip(spark, d):
+    url, own = F.col("url"), F.concat(F.lit("/kb/n"), F.col("page_id").cast("string"))
+    made = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("[a](<"), url, F.lit(">)"))).when(F.col("page_id") % 3 == 1, url).otherwise(F.concat(F.lit("[b]("), own, F.lit(")")))
+    return table(spark, d, "pages").select("page_id", T.link_target(made).alias("target"))
+
+
+@query("SELECT doc_id, 'first ' || lang || ' last' AS essence FROM documents")
+def essence(spark, d):
+    made = F.concat(F.lit("# t\n\n> first\n>> "), "lang", F.lit("\n> last\ntext\n> other"))
+    return table(spark, d, "documents").select("doc_id", T.essence(made).alias("essence"))
+
+
+@query("SELECT doc_id, '---' || chr(10) || 'domain: ' || CASE lang WHEN 'en' THEN 'english' ELSE lang END || chr(10) || '---' || chr(10) || 'domain: en' AS content FROM documents")
+def rename_domain(spark, d):
+    made = F.concat(F.lit("---\ndomain: "), "lang", F.lit("\n---\ndomain: en"))
+    return table(spark, d, "documents").select("doc_id", T.renamed_domain(made, "en", "english").alias("content"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 100 THEN left(text, 100) || '...' ELSE text END AS shown FROM documents")
+def shorten(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.shortened(F.col("text")).alias("shown"))
+
+
+@query("SELECT page_id, '/a/' || page_id || '/c' AS path FROM pages")
+def normal_path(spark, d):
+    return table(spark, d, "pages").select("page_id", T.normal_path(F.concat(F.lit("/a/./b/../"), F.col("page_id").cast("string"), F.lit("//x/../c"))).alias("path"))
+
+
+# --- grep
+
+LINES = "g AS (SELECT doc_id::VARCHAR AS path, i AS line_no, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)))"
+
+
+def _plain(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+
+
+@query(f"WITH {LINES} SELECT path, line_no, md5(line) AS line_md5 FROM g WHERE regexp_matches(line, '(?i)license|stupid')")
+def grep_lines(spark, d):
+    return search.grep(_plain(spark, d), "license|stupid", ignore_case=True).select("path", "line_no", F.md5(F.col("line").cast("binary")).alias("line_md5"))
+
+
+@query(f"WITH {LINES} SELECT DISTINCT path FROM g WHERE contains(line, 'Licensed')")
+def grep_files(spark, d):
+    return search.grep_files(search.grep(_plain(spark, d), "Licensed"))
+
+
+@query(f"WITH {LINES} SELECT path, count(*) AS n FROM g WHERE NOT regexp_matches(line, 'the') GROUP BY 1")
+def grep_count(spark, d):
+    return search.grep_counts(search.grep(_plain(spark, d), "the", invert=True))
+
+
+@query(f"WITH {LINES}, h AS (SELECT * FROM g WHERE contains(line, 'Licensed')) SELECT DISTINCT g.path, g.line_no FROM g JOIN h ON h.path = g.path AND g.line_no BETWEEN h.line_no - 1 AND h.line_no + 1")
+def grep_context(spark, d):
+    f = _plain(spark, d)
+    return search.grep_context(f, search.grep(f, "Licensed"), 1).select("path", "line_no")
