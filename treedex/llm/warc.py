@@ -121,7 +121,7 @@ def read(spark: SparkSession, files: DataFrame, split: int = SPLIT) -> DataFrame
 
     files: file, bytes. Unreadable members are passed over; an empty file has no record.
     """
-    ranges = files.select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split).cast("long"))).alias("start")).repartition(F.col("file"), F.col("start"))
+    ranges = files.select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split).cast("long"))).alias("start")).repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "file", "start")
 
     def run(batches):
         for batch in batches:
