@@ -19,7 +19,7 @@ from . import common
 from .sampling import by_label, crc
 
 BUCKETS, DIM, GRAMS, WORDS = 1 << 17, 8, (3, 4, 5), 8
-PER_CLASS, EPOCHS, BATCH, RATE, CALIBRATION = 1500, 14, 256, 0.5, 5
+PER_CLASS, EPOCHS, BATCH, RATE, CALIBRATION = 1200, 14, 256, 0.5, 5
 
 _WORD: list[np.ndarray] = []
 
@@ -79,12 +79,23 @@ def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return a, np.minimum(a + WORDS, first[1:][text]), text
 
 
+def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of all subwords, the first subword of each word and the first word of each text, a few texts at a time."""
+    buckets, edges, firsts, words, total = [], [], [np.zeros(1, np.int64)], 0, 0
+    for lo in range(0, len(texts), 32):
+        b, o, first = subwords(texts[lo : lo + 32])
+        buckets.append(b)
+        edges.append(np.searchsorted(o, np.arange(int(first[-1]))) + total)
+        firsts.append(first[1:] + words)
+        words, total = words + int(first[-1]), total + len(b)
+    return np.concatenate(buckets or [np.zeros(0, np.int32)]), np.concatenate([*edges, [total]]), np.concatenate(firsts)
+
+
 class Model:
     def __init__(self, texts: list[str], labels: list[int], seed: int = 7):
         rng = np.random.default_rng(seed)
         y = np.array(labels)
-        b, o, first = subwords(texts)
-        edge = np.searchsorted(o, np.arange(int(first[-1]) + 1))
+        b, edge, first = features(texts)
         wa, wb, wt = windows(first)
         fa, fb = edge[wa], edge[wb]
         vec = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
@@ -130,7 +141,7 @@ class Model:
                 g_vec[touched] += step * step
                 vec[touched] -= RATE * 0.2 * step / np.sqrt(g_vec[touched])
             logit = vec @ (soft[:, 1] - soft[:, 0])
-            margin = self._margins(logit, float(bias[1] - bias[0]), b, fa, fb)
+            margin = self._margins(logit, float(bias[1] - bias[0]), b, edge, wa, wb)
         self.weight = (vec @ (soft[:, 1] - soft[:, 0])).astype(np.float32)
         self.bias, self.scale, self.shift = float(bias[1] - bias[0]), 1.0, 0.0
         if margin is not None:
@@ -140,17 +151,17 @@ class Model:
             self.scale, self.shift = _calibrate(top[of], y[of])
 
     @staticmethod
-    def _margins(weight, bias, b, fa, fb):
-        total = np.concatenate([[0.0], np.cumsum(weight[b], dtype=np.float64)])
-        return (total[fb] - total[fa]) / np.maximum(1, fb - fa) + bias
+    def _margins(weight, bias, b, edge, wa, wb):
+        word = np.add.reduceat(weight[b], edge[:-1]) if len(b) else np.zeros(0)  # each word has a subword at least, itself
+        total = np.concatenate([[0.0], np.cumsum(word, dtype=np.float64)])
+        return (total[wb] - total[wa]) / np.maximum(1, edge[wb] - edge[wa]) + bias
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        b, o, first = subwords(texts)
+        b, edge, first = features(texts)
         wa, wb, wt = windows(first)
         top = np.full(len(texts), -np.inf)
         if len(wt):
-            edge = np.searchsorted(o, np.arange(int(first[-1]) + 1))
-            np.maximum.at(top, wt, self._margins(self.weight, self.bias, b, edge[wa], edge[wb]))
+            np.maximum.at(top, wt, self._margins(self.weight, self.bias, b, edge, wa, wb))
         top[np.isinf(top)] = self.bias
         return 1 / (1 + np.exp(-np.clip(self.scale * top + self.shift, -40, 40)))
 
