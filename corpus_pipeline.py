@@ -5,7 +5,6 @@ Each stage takes what its predecessor kept; all but the last return the columns
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from treedex.llm import common, decontaminate, packing, secrets, simhash, toxicity
@@ -38,16 +37,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts replaced by a mark; n_chars follows."""
-    found = secrets.scan_documents(_carried(docs), ["text", "_row"])
-
-    def run(batches):
-        for batch in batches:
-            texts, spans = batch.column("text").to_pylist(), batch.column("spans").to_pylist()
-            clean = [secrets.redact(t, [(s["start"], s["end"], s["kind"]) for s in x]) if x else t for t, x in zip(texts, spans, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(clean, pa.string()), pa.array([bool(x) for x in spans])], ["_row", "_text", "_found"])
-
-    out = found.mapInArrow(run, f"_row {docs.select(F.struct('*').alias('_row')).schema['_row'].dataType.simpleString()}, _text string, _found boolean")
-    changed = {"text": F.col("_text"), "n_chars": F.when(F.col("_found"), F.length("_text").cast("long")).otherwise(F.col("_row.n_chars"))}
+    out = secrets.redact_documents(_carried(docs), ["_row"])
+    changed = {"text": F.col("text"), "n_chars": F.when(F.col("n_secrets") > 0, F.length("text").cast("long")).otherwise(F.col("_row.n_chars"))}
     return out.select(*(changed[c].alias(c) if c in changed else F.col(f"_row.`{c}`") for c in docs.columns))
 
 
