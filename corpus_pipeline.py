@@ -23,11 +23,16 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of fingerprints linked at 4 bits or fewer."""
+    """The document with the smallest doc_id of each group of fingerprints linked at 4 bits or fewer. Rows with one doc_id, or with none, are one document.
+
+    The join and the distinct rows share one exchange of the texts, by doc_id; rows without an id meet a table of one row at most.
+    """
     common.prepare(spark)
     first = common.written(simhash.near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "kept")
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    unnamed = first.filter("doc_id is null")
+    nulls = docs.filter("doc_id is null")
+    return kept.unionAll(nulls.join(F.broadcast(unnamed), nulls["doc_id"].eqNullSafe(unnamed["doc_id"]), "left_semi").dropDuplicates(["doc_id"]))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
