@@ -6,13 +6,16 @@
    any number without looking at pairs.
 3. What is left are distinct segments with a gram in common. They are written as words of 8 bytes, aligned at the anchor, and their suffixes sorted in blocks (linear
    grouping, see suffix_array). Neighbours that share 24 words hold every repeat of 200 bytes; their windows are then compared in full (128-bit hashes).
-   A gram with more than HOT distinct segments is cut into pieces, sorted each on its own; windows alone in their piece are compared across pieces by hash.
+   A gram with more than HOT distinct segments is no key to sort by: its segments are halved by where the anchor lies in the window. All windows of a half
+   share a longer string around the anchor, which is its key; equal windows fall into equal halves with equal keys. Halves alone with their key repeat
+   nothing, equal ones repeat as a whole, and keys still shared by more than HOT are halved again, down to single windows.
 4. Removed spans meet their documents, whose other bytes are hashed.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -64,8 +67,8 @@ def _windows(body: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1][::-1]
 
 
-def repeated_windows(bodies: list[bytes], anchors: list[int], length: int = LENGTH, word: int = WORD) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each segment: which of its windows also occur in another, and two hashes of each window.
+def repeated_windows(bodies: list[bytes], anchors: list[int], length: int = LENGTH, word: int = WORD) -> list[np.ndarray]:
+    """For each segment: which of its windows also occur in another.
 
     bodies: the segments' bytes; anchors: the anchor's place in each.
     """
@@ -114,10 +117,19 @@ def repeated_windows(bodies: list[bytes], anchors: list[int], length: int = LENG
     for i in range(s):
         dup = np.zeros(len(hashes[i][0]), bool)
         dup[maybe[i][twice[np.searchsorted(owner, i) : np.searchsorted(owner, i, "right")]]] = True
-        out.append((dup, *hashes[i]))
+        out.append(dup)
     return out
 
 
+def _halves(segs: DataFrame, width: int, length: int) -> DataFrame:
+    """Segments cut so that the anchor's place in the windows of a part lies in one range of so many; h is then the hash of the bytes all these windows share."""
+    last, at = F.octet_length("body") - length, F.col("m") - F.col("j") * width
+    first, end = F.greatest(at - (width - 1), F.lit(0)), F.least(at, last)
+    cut = segs.withColumn("j", F.explode(F.sequence(F.floor((F.col("m") - last) / width).cast("int"), F.floor(F.col("m") / width).cast("int"))))
+    core, body = F.substring("body", at + 1, F.lit(length - width + 1)), F.substring("body", first + 1, end - first + length)
+    return cut.select("doc_id", "th", F.xxhash64("h", "j", core).alias("h"), F.xxhash64(body).alias("s"), "n", (F.col("a") + first).alias("a"), (F.col("m") - first).alias("m"), body.alias("body"))
+
+
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
     return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), strict=True))
@@ -173,52 +185,46 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     bodies = keyed.join(asked, keyed["doc_id"].eqNullSafe(asked["doc_id"]) & (keyed["th"] == asked["th"])).select(keyed["doc_id"], keyed["th"], "text", "want")
     bodies = common.written(bodies.mapInArrow(cut, "doc_id bigint, th bigint, h bigint, s bigint, n bigint, a int, m int, kinds bigint, body binary").dropDuplicates(["h", "s"]), "bodies")
     common.tidy(spark)
-    piece = F.when(F.col("kinds") > HOT, F.pmod("s", F.ceil(F.col("kinds") / HOT))).otherwise(0)
+    ready, part = [bodies.filter(F.col("kinds") <= HOT)], []
+    hot, width = bodies.filter(F.col("kinds") > HOT), length - GRAM + 1
+    while width > 1 and not hot.isEmpty():
+        width = -(-width // 2)
+        halves = common.written(_halves(hot, width, length), "halves")
+        distinct = common.written(halves.groupBy("h", "s").agg(F.sum("n").alias("n"), F.first(F.struct("doc_id", "th", "a", "m", "body")).alias("r")).select("h", "s", "n", "r.*"), "distinct")
+        # segments that repeat as a whole have gone already
+        part.append(halves.filter("n = 1").join(distinct.filter("n > 1").select("h", "s"), ["h", "s"]).select(*key, "a", (F.col("a") + F.octet_length("body") - length).alias("b")))
+        keys = distinct.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+        next_ = common.written(distinct.join(keys, "h").select(*bodies.columns), "halved")
+        ready.append(next_.filter(F.col("kinds") <= HOT))
+        hot = next_.filter(F.col("kinds") > HOT)
+        common.tidy(spark)
+    ready.append(hot)  # single windows with one hash
 
     def sort(batches):
         held, size, last = [], 0, None
 
         def flush(rows):
             hit = [], [], [], []
-            loose: list = []  # of hot grams: windows to compare with other pieces
-            for r, (dup, h1, h2) in zip(rows, repeated_windows([r["body"] for r in rows], [r["m"] for r in rows], length), strict=True):
-                if r["kinds"] > HOT:
-                    # each distinct window once; with its place only where it is alone in the piece and its segment hasn't gone as a whole
-                    place = np.where(dup | (r["n"] > 1), -1, np.arange(len(dup)) + r["a"])
-                    loose.append((h1, h2, place, np.full(len(dup), len(loose)), (r["doc_id"], r["th"])))
+            for r, dup in zip(rows, repeated_windows([r["body"] for r in rows], [r["m"] for r in rows], length), strict=True):
                 if r["n"] == 1:
                     for a, b in _runs(dup):
                         for c, x in zip(hit, (r["doc_id"], r["th"], a + r["a"], b + r["a"]), strict=True):
                             c.append(x)
-            cols = [*hit, [None] * len(hit[0]), [None] * len(hit[0])]
-            if loose:
-                h1, h2, place, who = (np.concatenate([x[k] for x in loose]) for k in range(4))
-                order = np.lexsort((-place, h2, h1))
-                order = order[np.concatenate([[True], (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])])]
-                own = [loose[k][4] if x >= 0 else (None, None) for k, x in zip(who[order].tolist(), place[order].tolist(), strict=True)]
-                at = [x if x >= 0 else None for x in place[order].tolist()]
-                for c, x in zip(cols, ([d for d, _ in own], [t for _, t in own], at, at, h1[order].view(np.int64).tolist(), h2[order].view(np.int64).tolist()), strict=True):
-                    c.extend(x)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "th", "a", "b", "w1", "w2"]) if cols[0] else None
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(hit, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "th", "a", "b"])
 
         for batch in batches:
             for r in batch.to_pylist():
-                if size >= BLOCK_SYMBOLS and (r["h"], r["piece"]) != last:
-                    if (x := flush(held)) is not None:
-                        yield x
+                if size >= BLOCK_SYMBOLS and r["h"] != last:
+                    yield flush(held)
                     held, size = [], 0
                 held.append(r)
                 size += len(r["body"]) // WORD + 1
-                last = r["h"], r["piece"]
-        if held and (x := flush(held)) is not None:
-            yield x
-
-    sorted_ = common.written(
-        bodies.select("*", piece.alias("piece")).repartition("h", "piece").sortWithinPartitions("h", "piece", "s").mapInArrow(sort, "doc_id bigint, th bigint, a int, b int, w1 bigint, w2 bigint"), "sorted"
-    )
-    hot = sorted_.filter("w1 is not null")
-    again = common.written(hot.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2"), "windows")
-    part = sorted_.filter("w1 is null").select(*key, "a", "b").unionAll(hot.filter("a is not null").join(again, ["w1", "w2"]).select(*key, "a", "b"))
+                last = r["h"]
+        if held:
+            yield flush(held)
+
+    sorted_ = reduce(DataFrame.unionAll, ready).repartition("h").sortWithinPartitions("h", "s").mapInArrow(sort, "doc_id bigint, th bigint, a int, b int")
+    part = reduce(DataFrame.unionAll, part, common.written(sorted_, "sorted"))
     spans = common.written(whole.unionAll(part).groupBy(*key).agg(F.array_distinct(F.collect_list(F.struct("a", "b"))).alias("spans")), "spans")
     common.tidy(spark)
 
