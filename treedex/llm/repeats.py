@@ -225,7 +225,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     sorted_ = reduce(DataFrame.unionAll, ready).repartition("h").sortWithinPartitions("h", "s").mapInArrow(sort, "doc_id bigint, th bigint, a int, b int")
     part = reduce(DataFrame.unionAll, part, common.written(sorted_, "sorted"))
-    spans = common.written(whole.unionAll(part).groupBy(*key).agg(F.array_distinct(F.collect_list(F.struct("a", "b"))).alias("spans")), "spans")
+    spans = common.written(whole.unionAll(part).groupBy(*key).agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
     common.tidy(spark)
 
     def keep(batches):
