@@ -19,6 +19,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -174,13 +175,23 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def cut(batches):
         for batch in batches:
-            for text, want, d, t in zip(batch.column("text").to_pylist(), batch.column("want").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), strict=True):
-                body = text.encode()
-                raw = np.frombuffer(body, np.uint8)
-                at = [(w, raw[w["a"] : w["b"] + length]) for w in want]
-                # the anchor is in all windows of the segment and decided by any
-                rows = [(d, t, w["h"], w["s"], w["n"], w["a"], int(segments(x[:length], np.array([0, length]), length)[3][0]), w["kinds"], x.tobytes()) for w, x in at]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "th", "h", "s", "n", "a", "m", "kinds", "body"])
+            want, texts = batch.column("want"), batch.column("text").to_pylist()
+            who = np.repeat(np.arange(len(want)), pc.list_value_length(want).to_numpy(zero_copy_only=False))
+            items = want.flatten()
+            a, b = (items.field(x).to_numpy() for x in "ab")
+            found = []
+            for i, lo, hi in zip(range(len(texts)), np.searchsorted(who, np.arange(len(texts))), np.searchsorted(who, np.arange(len(texts)), "right"), strict=True):
+                body, texts[i] = texts[i].encode(), None
+                found += [body[x:y] for x, y in zip(a[lo:hi].tolist(), (b[lo:hi] + length).tolist(), strict=True)]
+            # the anchor is in all windows of the segment and decided by any: here by the first, many of them side by side
+            m = np.zeros(len(found), np.int32)
+            step = common.BLOCK_BYTES // length
+            for lo in range(0, len(found), step):
+                raw = np.frombuffer(b"".join(x[:length] for x in found[lo : lo + step]), np.uint8)
+                r, first, _, anchor, _ = segments(raw, np.arange(0, len(raw) + 1, length), length)
+                m[lo + r] = anchor - first
+            at = pa.array(who)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("th").take(at), *(items.field(x) for x in "hsna"), pa.array(m), items.field("kinds"), pa.array(found, pa.binary())], ["doc_id", "th", "h", "s", "n", "a", "m", "kinds", "body"])
 
     bodies = keyed.join(asked, keyed["doc_id"].eqNullSafe(asked["doc_id"]) & (keyed["th"] == asked["th"])).select(keyed["doc_id"], keyed["th"], "text", "want")
     bodies = common.written(bodies.mapInArrow(cut, "doc_id bigint, th bigint, h bigint, s bigint, n bigint, a int, m int, kinds bigint, body binary").dropDuplicates(["h", "s"]), "bodies")
