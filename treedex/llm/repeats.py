@@ -204,7 +204,8 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         distinct = common.written(halves.groupBy("h", "s").agg(F.sum("n").alias("n"), F.first(F.struct("doc_id", "th", "a", "m", "body")).alias("r")).select("h", "s", "n", "r.*"), "distinct")
         # segments that repeat as a whole have gone already
         part.append(halves.filter("n = 1").join(distinct.filter("n > 1").select("h", "s"), ["h", "s"]).select(*key, "a", (F.col("a") + F.octet_length("body") - length).alias("b")))
-        keys = distinct.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+        # written, so that the join reads both sides anew and a hot key's halves can be split among tasks
+        keys = common.written(distinct.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "keys")
         next_ = common.written(distinct.join(keys, "h").select(*bodies.columns), "halved")
         ready.append(next_.filter(F.col("kinds") <= HOT))
         hot = next_.filter(F.col("kinds") > HOT)
