@@ -1,6 +1,6 @@
 """Secret scan: fixed patterns, and a battery of randomness tests on what else looks like a key.
 
-A candidate is a run of 20 to 512 characters of A-Z a-z 0-9 + / = _ - that holds a digit and a letter. Its encoding is the
+A candidate is a whole run of 20 or more characters of A-Z a-z 0-9 + / = _ - that holds a digit and a letter. Its encoding is the
 smallest alphabet that has all its characters (hex of either case, base 32, letters and digits, base 64). Under the hypothesis
 that the characters are drawn uniformly and independently from that alphabet, three tests give p-values: chi-squared for
 uniformity, runs above and below the alphabet's middle, serial correlation at lag 1. The hypothesis is given up for a candidate
@@ -26,7 +26,7 @@ HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "random")
 #: What each base kind's matches must have: characters in group 2, or in all.
 LEAST = {"assign": 6, "access": 20, "hex": 24}
-CANDIDATE = re.compile(r"[A-Za-z0-9+/=_-]{20,512}(?![A-Za-z0-9+/=_-])")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{20,}")
 ALPHABETS = ("0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_")
 FALSE_DISCOVERY, LEAST_BITS = 0.05, 60.0
 
@@ -81,7 +81,7 @@ def scan(text: str) -> list[tuple[int, int, str]]:
     """All spans of a text, base and random, by start and then kind as listed: (start, end, kind) in code points."""
     found = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= LEAST["assign"]]
     found += [(m.start(), m.end(), kind) for kind, p in (("access", ACCESS), ("hex", HEX)) for m in p.finditer(text) if m.end() - m.start() >= LEAST[kind]]
-    maybe = [m.span() for m in CANDIDATE.finditer(text) if (m.start() == 0 or not _RUN[min(255, ord(text[m.start() - 1]))] or ord(text[m.start() - 1]) > 127) and re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+    maybe = [m.span() for m in CANDIDATE.finditer(text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
     found += [(a, b, "random") for a, b in random_spans(text, maybe) if not any(x <= a and b <= y for x, y, _ in found)]
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
