@@ -172,16 +172,17 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.repartition(F.col("cell")).sortWithinPartitions("cell").select("cell", "fp").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp, component_id: the smallest doc_id that links of at most radius bits reach, itself included.
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """doc_id, fp, component_id: the smallest doc_id that links of at most radius bits reach, itself included; then keep and `root`, the component's smallest fingerprint, if keep is given.
 
     Texts without words, null ones too, have fingerprint 0 and are linked like any other. Equal doc_ids keep a row each. A null doc_id is
     never a component's name unless it has no other. An empty table gives no row.
     """
-    found = common.written(fingerprinted(docs, ["doc_id"], shingle), "fingerprints")
+    found = common.written(fingerprinted(docs, ["doc_id", *keep], shingle), "fingerprints")
     nodes = common.written(found.groupBy("fp").agg(F.min("doc_id").alias("doc")), "nodes")
     root = components(links(nodes.select("fp"), radius))
     named = common.written(nodes.join(root.select(F.col("a").alias("fp"), F.col("b").alias("r")), "fp", "left").select("fp", "doc", F.coalesce("r", "fp").alias("root")), "roots")
     least = common.written(named.groupBy("root").agg(F.min("doc").alias("component_id")), "least-doc")
-    by_fp = common.written(named.join(least, "root").select("fp", "component_id"), "by-fp")
-    return found.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    more = [*keep, "root"] if keep else []
+    by_fp = common.written(named.join(least, "root").select("fp", "component_id", *more[-1:]), "by-fp")
+    return found.join(by_fp, "fp").select("doc_id", "fp", "component_id", *more)
