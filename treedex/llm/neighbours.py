@@ -1,9 +1,11 @@
 """Approximate nearest neighbours by inner product, with shifted space-filling curves.
 
-Vectors of norm at most M get one more coordinate, sqrt(M^2 - |x|^2), and queries, scaled to norm M, a zero: the largest inner product is then
-the smallest distance. Each of ORDERINGS curves rotates at random, keeps DIMS coordinates, shifts and cuts them into a grid, and orders all points by
-their place on a Hilbert curve through it, range-partitioned by Spark. A query's candidates are the points within WINDOW (a share of all points)
-of its place on each curve; they are scored on the original vectors in double precision, and the curves' best are merged.
+Vectors are split into bands of norms, each at most BAND times its smallest; every query looks into every band, so that a few long vectors don't press the
+others together. In a band, vectors of norm at most M get one more coordinate, sqrt(M^2 - |x|^2), and queries, scaled to norm M, a zero: the largest inner
+product is then the smallest distance. Each of ORDERINGS curves rotates at random, keeps DIMS coordinates, shifts and cuts them into a grid that just holds
+the band's points and queries so placed, and orders all points by their place on a Hilbert curve through it, range-partitioned by Spark; points of one cell
+stand in another order on each curve. A query's candidates are the points within WINDOW (a share of the band's points) of its place on each curve; they are
+scored on the original vectors in double precision, and the best of all curves and bands are merged. A band of at most LEAST_WINDOW points has one curve: all are candidates.
 
 Equal vectors are one point, with its k + 1 smallest ids: a group of any size is one point on every curve, and its ids come in order.
 
@@ -21,6 +23,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from . import common, hilbert
 
 ORDERINGS, DIMS, BITS, WINDOW, LEAST_WINDOW, BLOCK = 12, 10, 5, 0.06, 256, 4096
+#: Largest ratio of norms in a band, and the levels it is made of.
+BAND, LEVELS = 1.15, 8
 
 
 def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -37,6 +41,26 @@ def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(rows, np.int64)[good], x[good] + 0.0
 
 
+def _norms(x: np.ndarray) -> np.ndarray:
+    most = np.abs(x).max(1, initial=0)
+    scale = np.where(most > 0, most, 1)
+    return scale * np.sqrt(((x / scale[:, None]) ** 2).sum(1))
+
+
+def _levels(norm: np.ndarray) -> np.ndarray:
+    return np.floor(np.log2(norm) / np.log2(BAND) * LEVELS).astype(np.int64)
+
+
+def bands(levels: list[int]) -> dict[int, int]:
+    """The band of each level that occurs: from the largest on, LEVELS of them at most; a gap ends none, but the next band starts at a level that occurs."""
+    out, top, band = {}, None, -1
+    for level in sorted(levels, reverse=True):
+        if top is None or top - level >= LEVELS:
+            top, band = level, band + 1
+        out[level] = band
+    return out
+
+
 def distinct_vectors(vectors: DataFrame, dim: int, k: int, every: int) -> DataFrame:
     """h, vec (doubles), ids (k + 1 smallest), asked (some id is a query's). Each task first keeps only k + 1 ids of a vector, so no group is whole anywhere."""
 
@@ -87,61 +111,95 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, orderings: int = OR
     turn = np.stack([np.linalg.qr(rng.normal(size=(dim + 1, dim + 1)))[0][:, :d] for _ in range(orderings)])
     shift = rng.random((orderings, d))
 
+    def measure(batches):
+        for batch in batches:
+            norm = _norms(np.frombuffer(b"".join(batch.column(0).to_pylist())).reshape(-1, dim))
+            yield pa.RecordBatch.from_arrays([pa.array(_levels(norm)), pa.array(norm)], ["level", "norm"])
+
+    sizes = points.select("vec").mapInArrow(measure, "level bigint, norm double").groupBy("level").agg(F.count("*").alias("n"), F.max("norm").alias("most")).collect()
+    band_of = bands([r.level for r in sizes])
+    n_bands = max(band_of.values(), default=-1) + 1
+    m, n = np.zeros(n_bands), np.zeros(n_bands, np.int64)
+    for r in sizes:
+        m[band_of[r.level]], n[band_of[r.level]] = max(m[band_of[r.level]], r.most), n[band_of[r.level]] + r.n
+    width = np.maximum(LEAST_WINDOW, np.ceil(window * n).astype(np.int64))
+
+    def augmented(x, norm, band):
+        """Pairs of a band and its rows' numbers and places before turning."""
+        for b in np.unique(band).tolist():
+            at = np.flatnonzero(band == b)
+            yield b, at, np.column_stack([x[at], m[b] * np.sqrt(np.maximum(1 - (norm[at] / m[b]) ** 2, 0))])
+
+    def parsed(column):
+        x = np.frombuffer(b"".join(column.to_pylist())).reshape(-1, dim)
+        norm = _norms(x)
+        return x, norm, np.array([band_of[v] for v in _levels(norm).tolist()], np.int64)
+
     def bounds(batches):
-        n, most = 0, 0.0
-        low, high = np.full((orderings, d), np.inf), np.full((orderings, d), -np.inf)
+        # the last row is for queries of norm 1
+        low, high = np.full((n_bands + 1, orderings, d), np.inf), np.full((n_bands + 1, orderings, d), -np.inf)
         for batch in batches:
-            x = np.frombuffer(b"".join(batch.column(0).to_pylist())).reshape(-1, dim)
-            n, most = n + len(x), max(most, float((x * x).sum(1).max(initial=0)))
-            if not len(x):
-                continue
-            y = np.stack([x @ t[:dim] for t in turn])
-            low, high = np.minimum(low, y.min(1)), np.maximum(high, y.max(1))
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([most]), pa.array([low.ravel().tolist()]), pa.array([high.ravel().tolist()])], ["n", "most", "low", "high"])
-
-    got = points.select("vec").mapInArrow(bounds, "n bigint, most double, low array<double>, high array<double>").collect()  # a row for each task
-    n = sum(r.n for r in got)
-    m = np.sqrt(max([r.most for r in got], default=1.0))
-    low = np.min([r.low for r in got], axis=0).reshape(orderings, d) if got else np.zeros((orderings, d))
-    high = np.max([r.high for r in got], axis=0).reshape(orderings, d) if got else np.ones((orderings, d))
-    width = max(LEAST_WINDOW, int(np.ceil(window * n)))
+            x, norm, band = parsed(batch.column(0))
+            asked = batch.column(1).to_numpy(zero_copy_only=False)
+            some = [(b, y) for b, _, y in augmented(x, norm, band)]
+            if asked.any():
+                some.append((n_bands, np.column_stack([x / norm[:, None], np.zeros(len(x))])[asked]))
+            for b, y in some:
+                z = np.stack([y @ t for t in turn])
+                low[b], high[b] = np.minimum(low[b], z.min(1)), np.maximum(high[b], z.max(1))
+        for b in np.flatnonzero(np.isfinite(low).all((1, 2))).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([low[b].ravel().tolist()]), pa.array([high[b].ravel().tolist()])], ["band", "low", "high"])
+
+    low, high = np.full((n_bands + 1, orderings, d), np.inf), np.full((n_bands + 1, orderings, d), -np.inf)
+    for r in points.select("vec", "asked").mapInArrow(bounds, "band int, low array<double>, high array<double>").collect():  # a row for each task and band
+        low[r.band], high[r.band] = np.minimum(low[r.band], np.reshape(r.low, (orderings, d))), np.maximum(high[r.band], np.reshape(r.high, (orderings, d)))
+    if np.isfinite(low[-1:]).all():
+        low, high = np.minimum(low[:-1], m[:, None, None] * low[-1]), np.maximum(high[:-1], m[:, None, None] * high[-1])
 
     def place(batches):
         for batch in batches:
             h, asked = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
-            x = np.frombuffer(b"".join(batch.column(1).to_pylist())).reshape(-1, dim)
-            norm = (x * x).sum(1)
-            data = np.column_stack([x, np.sqrt(np.maximum(m * m - norm, 0))])
-            query = np.column_stack([x * (m / np.sqrt(norm))[:, None], np.zeros(len(x))])[asked]
-            for o in range(orderings):
-                for kind, y, who in ((0, data, h), (1, query, h.filter(pa.array(asked)))):
-                    c = np.clip((y @ turn[o] - low[o]) / np.maximum(high[o] - low[o], 1e-300), 0, 1)
+            x, norm, band = parsed(batch.column(1))
+            tie = np.array([int(v[:16], 16) for v in h.to_pylist()], np.uint64)
+            unit = np.column_stack([x / norm[:, None], np.zeros(len(x))])[asked]
+            some = [(0, b, at, y) for b, at, y in augmented(x, norm, band)]
+            some += [(1, b, np.flatnonzero(asked), m[b] * unit) for b in range(n_bands) if len(unit)]
+            for kind, b, at, y in some:
+                who = h.take(pa.array(at))
+                for o in range(orderings if n[b] > LEAST_WINDOW else 1):
+                    c = np.clip((y @ turn[o] - low[b, o]) / np.maximum(high[b, o] - low[b, o], 1e-300), 0, 1)
                     cells = np.minimum(((c + shift[o]) / 2 * (1 << bits)).astype(np.int64), (1 << bits) - 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), o, np.int32)), pa.array(hilbert.keys(cells, bits)), pa.array(np.full(len(y), kind, np.int32)), who], ["o", "key", "kind", "h"])
+                    order = common.mix(tie[at] ^ common.mix(np.full(len(at), o + 1, np.uint64))).view(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(at), b * orderings + o, np.int32)), pa.array(hilbert.keys(cells, bits)), pa.array(order), pa.array(np.full(len(at), kind, np.int32)), who],
+                        ["o", "key", "tie", "kind", "h"],
+                    )
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    on_curve = points.select("h", "vec", "asked").mapInArrow(place, "o int, key bigint, kind int, h string").repartitionByRange(parts, "o", "key", "h").sortWithinPartitions("o", "key", "h", "kind")
+    on_curve = points.select("h", "vec", "asked").mapInArrow(place, "o int, key bigint, tie bigint, kind int, h string").repartitionByRange(parts, "o", "key", "tie", "h").sortWithinPartitions("o", "key", "tie", "h", "kind")
 
     def number(batches):
+        """Places count points, not queries: a band of few points meets all queries."""
         from pyspark import TaskContext
 
         part, seen = TaskContext.get().partitionId(), 0
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("o", "kind", "h")), pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(np.arange(seen, seen + batch.num_rows))], ["o", "kind", "h", "part", "i"])
-            seen += batch.num_rows
+            point = (batch.column("kind").to_numpy() == 0).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("o", "kind", "h")), pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(seen + np.cumsum(point) - point)], ["o", "kind", "h", "part", "i"])
+            seen += int(point.sum())
 
     numbered = common.written(on_curve.mapInArrow(number, "o int, kind int, h string, part int, i bigint"), "curves")
-    counts = sorted((r.part, r.n) for r in numbered.groupBy("part").agg(F.count("*").alias("n")).collect())
+    counts = sorted((r.part, r.n) for r in numbered.groupBy("part").agg(F.sum(1 - F.col("kind")).alias("n")).collect())
     before = F.create_map(*(F.lit(int(x)) for (p, _), b in zip(counts, np.cumsum([0, *(c for _, c in counts)])[:-1], strict=True) for x in (p, b))) if counts else None
     rank = (before[F.col("part")] if counts else F.lit(0)).cast("long") + F.col("i")
     ranked = numbered.select("h", "kind", "o", rank.alias("rank"))
-    at = common.written(ranked.groupBy("h").agg(F.collect_list(F.struct("kind", "o", "rank")).alias("at")), "places")  # two for each curve at most
-    least = F.floor((F.col("p.rank") - F.when(F.col("p.kind") == 1, width).otherwise(0)) / BLOCK)
-    last = F.floor((F.col("p.rank") + F.when(F.col("p.kind") == 1, width).otherwise(0)) / BLOCK)
+    at = common.written(ranked.groupBy("h").agg(F.collect_list(F.struct("kind", "o", "rank")).alias("at")), "places")  # one for each curve as a query, one for each of its band's as a point
+    reach = F.when(F.col("p.kind") == 1, F.array(*(F.lit(int(x)) for x in width))[F.floor(F.col("p.o") / orderings).cast("int")]).otherwise(0) if n_bands else F.lit(0)
+    least = F.floor((F.col("p.rank") - reach) / BLOCK)
+    last = F.floor((F.col("p.rank") + reach) / BLOCK)
     dealt = (
         points.select("h", "vec", F.col("ids")[0].alias("id")).join(at, "h").select("h", "vec", "id", F.explode("at").alias("p"))
-        .select("h", "vec", "id", "p.kind", "p.rank", "p.o", F.explode(F.sequence(least, last)).alias("block")).select(F.xxhash64("o", "block").alias("cell"), "kind", "rank", "h", "vec", "id")
+        .select("h", "vec", "id", "p.kind", "p.rank", "p.o", F.explode(F.sequence(least, last)).alias("block")).select(F.xxhash64("o", "block").alias("cell"), "kind", "rank", "h", "vec", "id", "o")
     )
 
     def score(batches):
@@ -162,7 +220,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, orderings: int = OR
                     if ready is None:
                         ready = [np.concatenate([p[c] for p in data]) for c in range(3)] + [[h for p in data for h in p[3]]]
                     s = x @ ready[1].T
-                    s[np.abs(ranks[:, None] - ready[0][None, :]) > width] = -np.inf
+                    s[np.abs(ranks[:, None] - ready[0][None, :]) > width[batch.column(6)[a].as_py() // orderings]] = -np.inf
                     rows = []
                     for i, h in enumerate(part[1].to_pylist()):
                         near = np.flatnonzero(s[i] >= np.partition(s[i], -k - 1)[-k - 1]) if s.shape[1] > k + 1 else np.arange(s.shape[1])
