@@ -5,6 +5,9 @@ floor(w * window * share) tokens plus one for the largest deficits, so that ever
 within a token, and carries what is owed to the next. That state is a formula in w, so any partition knows the deficits at its
 own first window without a pass over the earlier ones.
 
+Sources too small for a queue share one, ordered by each document's fractional place among the tokens of its own source: up to any point of that queue,
+each source has given its share within a document.
+
 What is left after the last full window is cut at powers of two, so that no sequence needs padding.
 """
 
@@ -14,13 +17,15 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import common, tokens
 
 WINDOW = 4096
 #: A source with at least this share of the tokens has a queue of its own (at most as many as this goes into 1); others share one.
 OWN_QUEUE = 1 / 256
+#: Parts, dealt by hash, in which a large source that shares its queue is put in order.
+PARTS = 256
 
 
 def muldiv(w: np.ndarray, a: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,11 +86,34 @@ def pieces(start: int, lengths: np.ndarray, queue: int, totals: np.ndarray, wind
     return doc, cut - begins[doc], stop - cut, seq, offset
 
 
+def spread(rows: DataFrame, large: tuple[int, str] | None) -> DataFrame:
+    """rows with `place`, from 0 to 1: where among its source's tokens a document stands. large: tokens and name of a source that is in order by PARTS parts.
+
+    Within its own stretch a document stands where a hash of its source says, so that sources of a single document lie all over, too.
+    """
+    inside = F.pmod(F.xxhash64("source"), F.lit(1 << 30)) / float(1 << 30)
+
+    def placed(some: DataFrame, by: list[str], before: Column, total: Column) -> DataFrame:
+        order = Window.partitionBy(*by).orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("ids")).rowsBetween(Window.unboundedPreceding, -1)
+        at = before + F.coalesce(F.sum("n_tokens").over(order), F.lit(0)) + inside * F.col("n_tokens")
+        return some.withColumn("place", at / total).select(*rows.columns, "place")
+
+    own = F.col("source") == F.lit(large[1]) if large else F.lit(False)
+    out = placed(rows.filter(~own), ["source"], F.lit(0), F.sum("n_tokens").over(Window.partitionBy("source")))
+    if large:
+        dealt = rows.filter(own).withColumn("part", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(PARTS)).cast("int"))
+        sums = {r.part: r.n for r in dealt.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
+        first = np.cumsum([0, *(sums.get(p, 0) for p in range(PARTS))]).tolist()
+        before = F.create_map(*(F.lit(x) for p in range(PARTS) for x in (p, first[p])))[F.col("part")]
+        out = out.unionByName(placed(dealt, ["part"], before, F.lit(large[0])))
+    return out
+
+
 def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str = tokens.TOKENIZER, end_id: int = tokens.END_ID) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
     Null text is empty (the end id alone), null source a source like any other, equal doc_ids are documents of their own.
-    An empty table gives no piece. Documents stand in their queue by doc_id.
+    An empty table gives no piece. Documents stand in their queue by doc_id, in a shared one by their place among their source's tokens (see spread).
     """
     spark = docs.sparkSession
     kind = tokens.id_type(256 ** tokens.id_bytes(tokenizer, end_id), end_id).str
@@ -96,16 +124,17 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str = tokens.TOKENIZE
     large = sorted(((r.n, r.source) for r in by_source.filter(F.col("n") >= total * OWN_QUEUE).collect()), key=lambda x: (-x[0], x[1]))  # 256 at most
     rest = total - sum(n for n, _ in large)
     totals = [n for n, _ in large]
-    shared = len(large)
+    shared, mixed = len(large), None
     if rest * window >= 2 * total or rest and not large:
         totals.append(rest)
     elif rest:  # too few for a token in every window: with the smallest of the others
         shared = len(large) - 1
+        mixed = large[shared]
         totals[shared] += rest
     totals = np.array(totals, np.int64)
     own = F.create_map(*(F.lit(x) for k, (_, s) in enumerate(large) for x in (s, k))) if large else None
     queue = F.coalesce(F.try_element_at(own, F.col("source")), F.lit(shared)) if large else F.lit(shared)
-    keys = ["queue", F.col("doc_id").asc_nulls_first(), F.xxhash64("ids")]
+    keys = ["queue", "place", F.col("doc_id").asc_nulls_first(), F.xxhash64("ids")]
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def place(batches):
@@ -122,7 +151,14 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str = tokens.TOKENIZE
                 begin[at], seen[k] = ends - m[at], int(ends[-1])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(begin), pa.array(np.full(len(q), part, np.int32))], ["queue", "doc_id", "n_tokens", "ids", "begin", "part"])
 
-    ordered = encoded.select(queue.cast("int").alias("queue"), "doc_id", "n_tokens", "ids").repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    dealt = encoded.withColumn("queue", queue.cast("int"))
+    columns = ["queue", "doc_id", "n_tokens", "ids"]
+    if rest:
+        apart = dealt.filter(F.col("queue") != shared).withColumn("place", F.lit(0.0))
+        dealt = apart.unionByName(spread(dealt.filter(F.col("queue") == shared), mixed))
+    else:
+        keys.remove("place")
+    ordered = dealt.select(*columns, *(["place"] if rest else [])).repartitionByRange(n, *keys).sortWithinPartitions(*keys).select(*columns)
     placed = common.written(ordered.mapInArrow(place, f"queue int, doc_id {named.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids binary, begin bigint, part int"), "queues")
     common.dropped(encoded)
     sums = sorted((r.part, r.queue, r.n) for r in placed.groupBy("part", "queue").agg(F.sum("n_tokens").alias("n")).collect())  # partitions plus queues
