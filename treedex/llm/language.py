@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import common
-from .sampling import by_label, crc
+from .sampling import FULL_LABELS, by_label, crc
 
 ALPHABET = 64
 #: Labelled documents in the training sample for each language, landmarks for each language, ridge penalty, characters of a training text.
@@ -52,7 +52,8 @@ class Model:
         present = [self.presence(t) for t in texts]
         n = np.array([max(1, int(p.sum())) for p in present], float)
         rng = np.random.default_rng(seed)
-        marks = np.concatenate([rng.permutation(np.flatnonzero(np.array(langs) == x))[:LANDMARKS] for x in self.languages]) if langs else np.zeros(0, int)
+        marked = max(1, min(LANDMARKS, FULL_LABELS * LANDMARKS // max(1, len(self.languages))))
+        marks = np.concatenate([rng.permutation(np.flatnonzero(np.array(langs) == x))[:marked] for x in self.languages]) if langs else np.zeros(0, int)
         if not len(marks):
             self.grams, self.weights, self.bias = np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros(0)
             return
@@ -102,10 +103,10 @@ class Model:
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """On about per_language documents of each of at most 64 languages, from those with a language whose crc32 of the id leaves another rest by 4 than 2."""
+    """On about per_language documents of each language, fewer where there are over FULL_LABELS, from those with a language whose crc32 of the id leaves another rest by 4 than 2."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc() % 4 != 2))
     ids = by_label(known.select("doc_id", "lang"), "lang", per_language, 1).distinct()
-    rows = known.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))  # some 1.1 * 64 * per_language at most
+    rows = known.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))  # some 1.1 * FULL_LABELS * per_language, and one a language, at most
     rows = sorted(rows.collect(), key=lambda r: (r.lang, r.doc_id))
     return Model([r.text for r in rows], [r.lang for r in rows])
 
