@@ -63,7 +63,7 @@ def rank_table(encoded: DataFrame, kind: str) -> DataFrame:
 
 
 def write(docs: DataFrame, path: str, tokenizer: str = tokens.TOKENIZER, end_id: int = tokens.END_ID) -> None:
-    """Write path/blocks and path/ranks: all documents' ids in ascending doc_id order (nulls first; equal ids by text).
+    """Write path/blocks and path/ranks: all documents' ids in ascending doc_id order (nulls first; equal doc_ids by a hash of their ids).
 
     Null text is empty, so its document holds the end id alone. An empty table gives empty files.
     """
@@ -79,15 +79,15 @@ def write(docs: DataFrame, path: str, tokenizer: str = tokens.TOKENIZER, end_id:
     def blocks(batches):
         from pyspark import TaskContext
 
-        part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
+        part, before, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def block():
             ids = np.concatenate([np.frombuffer(x, kind) for _, x in held])
             control, data = encode(rank_of[ids])
             docs, n = [d for d, _ in held], [len(x) // np.dtype(kind).itemsize for _, x in held]
             return pa.RecordBatch.from_arrays(
-                [pa.array([x], t) for x, t in ((part, pa.int32()), (seq, pa.int32()), (docs, pa.list_(pa.int64())), (n, pa.list_(pa.int64())), (len(ids), pa.int64()), (control, pa.binary()), (data, pa.binary()))],
-                ["part", "seq", "doc_ids", "doc_tokens", "n_ids", "control", "data"],
+                [pa.array([x], t) for x, t in ((part, pa.int32()), (before, pa.int64()), (docs, pa.list_(pa.int64())), (n, pa.list_(pa.int64())), (len(ids), pa.int64()), (control, pa.binary()), (data, pa.binary()))],
+                ["part", "before", "doc_ids", "doc_tokens", "n_ids", "control", "data"],
             )
 
         for batch in batches:
@@ -96,7 +96,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = tokens.TOKENIZER, end_id:
                 size += len(x) // np.dtype(kind).itemsize
                 if size >= BLOCK_IDS:
                     yield block()
-                    seq, held, size = seq + 1, [], 0
+                    before, held, size = before + size, [], 0
         if held:
             yield block()
 
@@ -104,7 +104,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = tokens.TOKENIZER, end_id:
     tie = F.xxhash64("ids")
     (
         encoded.select("doc_id", "ids").repartitionByRange(n, F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
-        .mapInArrow(blocks, "part int, seq int, doc_ids array<bigint>, doc_tokens array<bigint>, n_ids bigint, control binary, data binary")
+        .mapInArrow(blocks, "part int, before bigint, doc_ids array<bigint>, doc_tokens array<bigint>, n_ids bigint, control binary, data binary")
         .write.parquet(f"{path}/blocks")
     )
     common.dropped(encoded)
@@ -123,9 +123,8 @@ def digests(spark, path: str) -> DataFrame:
 def _read(spark, path: str, column: str, made) -> DataFrame:
     blocks, name = spark.read.parquet(f"{path}/blocks"), column.split()[0]
     by_rank = np.array([r.id for r in spark.read.parquet(f"{path}/ranks").orderBy("rank").collect()], np.uint32)  # at most the vocabulary
-    totals = blocks.groupBy("part", "seq").agg(F.sum("n_ids").alias("n")).collect()  # a row for each block of 2**18 ids
-    order = sorted((r.part, r.seq, r.n) for r in totals)
-    before = dict(zip([x[:2] for x in order], np.cumsum([0, *(x[2] for x in order)])[:-1].tolist(), strict=True))
+    totals = sorted((r.part, r.n) for r in blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())  # a row for each task that wrote; a block knows its place in its task's
+    first = dict(zip([x[0] for x in totals], np.cumsum([0, *(x[1] for x in totals)])[:-1].tolist(), strict=True))
 
     def run(batches):
         for batch in batches:
@@ -134,7 +133,7 @@ def _read(spark, path: str, column: str, made) -> DataFrame:
                 n = np.array(b["doc_tokens"], np.int64)
                 ends = np.cumsum(n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(b["doc_ids"], pa.int64()), pa.array(before[b["part"], b["seq"]] + ends - n, pa.int64()), pa.array(n, pa.int64()), made(np.split(ids, ends[:-1]))], ["doc_id", "start", "n_tokens", name]
+                    [pa.array(b["doc_ids"], pa.int64()), pa.array(first[b["part"]] + b["before"] + ends - n, pa.int64()), pa.array(n, pa.int64()), made(np.split(ids, ends[:-1]))], ["doc_id", "start", "n_tokens", name]
                 )
 
     return blocks.mapInArrow(run, f"doc_id bigint, start bigint, n_tokens bigint, {column}")

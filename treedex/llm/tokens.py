@@ -1,4 +1,4 @@
-"""Token ids of whole texts with a public tokenizer file, word by word with a bounded cache."""
+"""Token ids of whole texts with a public tokenizer file, by distinct pieces with a bounded cache."""
 
 from __future__ import annotations
 
@@ -10,117 +10,258 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from . import common
+
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
-#: Words kept in a worker's cache before it starts afresh.
-CACHE_WORDS = 600_000
-
-
-#: Texts of these characters only keep their form under NFC and are lower-cased character by character.
-SIMPLE = re.compile(r"[\x00-\x7F\u00A0-\u012F\u0131-\u0148\u014A-\u017E]*")
-PLAIN = re.compile(r"[ !-~]*")
+#: Pieces a worker keeps before it forgets the rarer ones, and bytes of those that are no array keys.
+CACHE_PIECES, CACHE_LONG = 800_000, 16 << 20
+#: Bytes of a piece that its key holds whole.
+KEY = 16
+#: Between chunks: white space to every tokenizer that drops white space.
+IS_CHUNK = common.word_class([(0x09, 0x0D), (0x20, 0x20)])
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+#: Classes of bytes. A LATIN letter of two bytes begins with one of these and isn't one of the pairs below, which have other forms under NFC or lower case, or are no letters.
+SPACE, LETTER, DIGIT, OTHER, FOREIGN = range(5)
+LATIN = (0xC3, 0xC4, 0xC5)
+NOT_LATIN = (0xC397, 0xC3B7, 0xC4B0, 0xC589, 0xC5BF)
+_CLASS = np.full(256, FOREIGN, np.uint8)
+_CLASS[0x21:0x7F] = OTHER
+_CLASS[~IS_CHUNK] = SPACE
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *LATIN]] = LETTER
+_CLASS[0x30:0x3A] = DIGIT
+
+
+def classes(raw: np.ndarray) -> np.ndarray:
+    """The class of each byte; a Latin letter's bytes are letters."""
+    out = _CLASS[raw]
+    tail = np.flatnonzero((raw[1:] & 0xC0 == 0x80) & (raw[:-1] >= LATIN[0]) & (raw[:-1] <= LATIN[-1]))
+    out[tail + 1] = LETTER
+    odd = tail[np.isin(raw[tail].astype(np.int64) << 8 | raw[tail + 1], NOT_LATIN)]
+    out[odd], out[odd + 1] = FOREIGN, FOREIGN
+    return out
 
 
 class WordEncoder:
-    """The tokenizers library, called once for each distinct piece of the blank-separated words it has not in its cache.
+    """The tokenizers library, called once for each distinct piece that is not in its cache.
 
-    Pieces are cut by the file's own pattern and encoded by the file's own model. That equals encoding whole texts where the
-    tokenizer lower-cases, drops white space and joins nothing across it, which `probe` texts and tests hold it against;
-    any other text, and any other tokenizer, is encoded whole.
+    For a tokenizer of the form below, a text of Latin letters, ASCII digits and signs is cut into its pieces with array operations: runs of letters, single
+    digits, runs of other signs, and the endings of PATTERN. A piece's key is its bytes themselves (up to KEY of them, in two words) and its length, found by
+    open addressing, so that equal keys are equal pieces; longer pieces are in a dictionary. Each piece is encoded by the file's own model. A chunk between
+    white space that holds anything else, or a special token's mark, is encoded whole by the library. That equals encoding whole texts, as nothing is
+    joined across white space; `probe` texts and tests hold it against that. Any other tokenizer encodes whole texts.
     """
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
-        import regex
+    #: The only way of cutting that block() knows; fixed by the tokenizer's file.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+    def __init__(self, path: str, end_id: int = END_ID, cache_pieces: int = CACHE_PIECES):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tok, self.cache_words = Tokenizer.from_file(path), cache_words
-        self.plain, spec = Tokenizer.from_file(path), json.loads(self.tok.to_str())
-        self.by_word = False
+        self.tok, self.end_id, self.cache_pieces = Tokenizer.from_file(path), end_id, cache_pieces
+        self.model, spec = self.tok.model, json.loads(self.tok.to_str())
+        self.letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.by_piece, self.marks = False, [x["content"].encode() for x in spec["added_tokens"]]
         self.reset()
         with contextlib.suppress(KeyError, TypeError, IndexError):
-            self.cut = regex.compile("\n|" + spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
-            self.plain.normalizer, self.plain.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
-            self.marks = [x["content"] for x in spec["added_tokens"]]
-            byte = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-            self.byte_chars = {i: byte.pre_tokenize_str(bytes([i]).decode("latin-1"))[0][0] if i < 128 else None for i in range(128)}
-            for i in range(128, 256):  # from two-byte characters: each byte's letter stands at its place
-                pair = chr(i).encode()
-                for b, c in zip(pair, byte.pre_tokenize_str(chr(i))[0][0], strict=True):
-                    self.byte_chars[b] = c
-            for i in range(0xC4, 0xC6):
-                self.byte_chars[i] = byte.pre_tokenize_str(bytes([i, 0x80]).decode())[0][0][0]
-            self.byte_chars |= {32: " ", 10: "\n"}
-            self.by_word = True
-            probe = ["one two\nTHREE  four", "it's 12 x.,<y> z|", "é  ñandú ab-c Ÿž", " ", "a \n\n b", "I'LL we're", "\x1c\t\x85q\xa0r\x0b"]
-            self.by_word = all(np.array_equal(self._whole(t), self.encode([t])[0]) for t in probe)
+            if spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] != self.PATTERN:
+                return
+            self.by_piece = True
+            probe = ["one two\nTHREE  four", "it's 12 x.,<y> z|", "é  ñandú ab-c Ÿž ÉCOLE×2", " ", "a \n\n b", "I'LL we're 'sea ''s ,'s 7's é's 'r'd'", "\x1c\t\x85q\xa0r\x0b", "ΣΑΣ Σ <|x ΐ か\u3099", "İ ſ e\u0301 \u0301a \u2028 q", "x<|endoftext|>Y <|ENDOFTEXT|>"]
+            self.by_piece = all(np.array_equal(self._whole(t), self.encode([t])[0]) for t in probe)
         self.reset()
 
     def reset(self) -> None:
-        self.index: dict[str, int] = {"": 0}
-        self.flat, self.starts, self.lens = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
-        self.n, self.tables = 0, None
+        """Piece 0 is the end of a text: its end id alone."""
+        self.slots = np.full(1 << 16, -1, np.int32)
+        self.keys, self.used = np.zeros((1, 2), np.uint64), np.zeros(1, np.int64)
+        self.flat, self.starts, self.lens = np.array([self.end_id], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.long: dict[tuple[bool, bytes], int] = {}
+        self.long_bytes = 0
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _learn(self, new: list[str]) -> None:
-        pieces = self.cut("\n".join(new))
-        ends = np.flatnonzero(np.fromiter((p == "\n" for p in pieces), bool, len(pieces)))
-        words = [p for p in pieces if p != "\n"]
-        ids, word = [], []
-        for at in range(0, len(words), 2000):
-            text = " ".join(words[at : at + 2000])
-            if not PLAIN.fullmatch(text):
-                text = text.encode().decode("latin-1").translate(self.byte_chars)
-            e = self.plain.encode(text, add_special_tokens=False)
-            ids += e.ids
-            word.append(np.array(e.word_ids, np.int64) + at)
-        ids, word = np.array(ids, np.uint32), np.concatenate(word or [np.zeros(0, np.int64)])
-        cuts = np.searchsorted(word, np.concatenate([[0], ends - np.arange(len(ends)), [len(words)]]))
-        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
-        self.flat.append(ids)
-        self.starts.append(self.n + cuts[:-1])
-        self.lens.append(np.diff(cuts))
-        self.n += len(ids)
-        self.tables = None
+    def _learn(self, pieces: list[bytes], whole: list[bool]) -> int:
+        """Ids of distinct new pieces, or of whole chunks, go to the tables; the number of the first."""
+        first, lens, flat = len(self.lens), np.zeros(len(pieces), np.int64), []
+        for i, (p, w) in enumerate(zip(pieces, whole, strict=True)):
+            if w:
+                ids = self._whole(p.decode()).tolist()
+            else:
+                t = p.decode().lower()
+                ids = [x.id for x in self.model.tokenize(t if t.isascii() else self.letters.pre_tokenize_str(t)[0][0])]
+            flat += ids
+            lens[i] = len(ids)
+        starts = np.cumsum(lens) - lens
+        self.starts, self.lens = np.concatenate([self.starts, starts + len(self.flat)]), np.concatenate([self.lens, lens])
+        self.flat = np.concatenate([self.flat, np.array(flat, np.uint32)])
+        self.used = np.concatenate([self.used, np.zeros(len(pieces), np.int64)])
+        return first
+
+    def _slot(self, a, b):
+        return (common.mix(a ^ b * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(len(self.slots) - 1)).astype(np.int64)
+
+    def _find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Numbers of short pieces by their keys, -1 if unknown. No piece holds a zero byte, so a key tells its length."""
+        out = np.full(len(a), -1, np.int64)
+        mask, slot, left = len(self.slots) - 1, self._slot(a, b), None
+        while True:
+            k = self.slots[slot]
+            key = self.keys.take(k, axis=0)  # an empty slot's -1 is the last key, and no match
+            same = (key[:, 0] == a) & (key[:, 1] == b) & (k >= 0)
+            if left is None:
+                np.copyto(out, k, where=same)
+                left = np.flatnonzero(~same & (k >= 0))
+                a, b, slot = a[left], b[left], slot[left] + 1 & mask
+            else:
+                out[left[same]] = k[same]
+                on = ~same & (k >= 0)
+                a, b, slot, left = a[on], b[on], slot[on] + 1 & mask, left[on]
+            if not len(left):
+                return out
+
+    def _put(self, numbers: np.ndarray) -> None:
+        """Slots for pieces that have none."""
+        mask = len(self.slots) - 1
+        slot = self._slot(self.keys[numbers, 0], self.keys[numbers, 1])
+        while len(numbers):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = numbers[free]  # of several for one slot the last stays
+            on = self.slots[slot] != numbers
+            numbers, slot = numbers[on], slot[on] + 1 & mask
+
+    def _fill(self) -> None:
+        self.slots = np.full(1 << (4 * len(self.lens)).bit_length(), -1, np.int32)
+        self._put(np.flatnonzero(self.keys[:, 0] != 0))
+
+    def _short(self, low, s, n) -> np.ndarray:
+        """Numbers of pieces of at most KEY bytes."""
+        word = np.ndarray((len(low) - 7,), "<u8", low, strides=(1,))
+        a, b = word[s] & _MASK[np.minimum(n, 8)], word[s + 8] & _MASK[np.maximum(n - 8, 0)]
+        number = self._find(a, b)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            order = new[np.lexsort((b[new], a[new]))]
+            one = order[np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])]
+            first = self._learn([low[x : x + k].tobytes() for x, k in zip(s[one].tolist(), n[one].tolist(), strict=True)], [False] * len(one))
+            self.keys = np.concatenate([self.keys, np.column_stack([a[one], b[one]])])
+            if 2 * len(self.lens) > len(self.slots):
+                self._fill()
+            else:
+                self._put(np.arange(first, len(self.lens)))
+            number[new] = self._find(a[new], b[new])
+        return number
+
+    def _forget(self) -> None:
+        """Keep the pieces used more than the median, at most half of them."""
+        kept = np.flatnonzero(self.used > max(1, np.median(self.used)))
+        kept = np.concatenate([[0], kept[(kept > 0) & (self.keys[kept, 0] != 0)]])
+        lens = self.lens[kept]
+        starts = np.cumsum(lens) - lens
+        self.flat = self.flat[np.repeat(self.starts[kept] - starts, lens) + np.arange(int(lens.sum()))]
+        self.keys, self.starts, self.lens, self.used = self.keys[kept], starts, lens, np.zeros(len(kept), np.int64)
+        self.long, self.long_bytes = {}, 0
+        self._fill()
+
+    def _long(self, keys: list[tuple[bool, bytes]]) -> list[int]:
+        fresh = list({k for k in keys if k not in self.long})
+        if fresh:
+            first = self._learn([p for _, p in fresh], [w for w, _ in fresh])
+            self.keys = np.concatenate([self.keys, np.zeros((len(fresh), 2), np.uint64)])
+            self.long.update(zip(fresh, range(first, first + len(fresh)), strict=True))
+            self.long_bytes += sum(len(p) for _, p in fresh)
+        return [self.long[k] for k in keys]
+
+    def _cut(self, raw: np.ndarray, low: np.ndarray, off: np.ndarray, body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces: start, end, and whether one is a chunk to encode whole."""
+        kind = classes(raw)
+        odd = [np.flatnonzero(kind == FOREIGN), *(np.array([x.start() for x in re.finditer(re.escape(m), body)], np.int64) for m in self.marks)]
+        if any(map(len, odd)):
+            starts, ends, _ = common.words(raw, off, IS_CHUNK)
+            which = np.unique(np.searchsorted(starts, np.concatenate(odd), "right") - 1)
+            level = np.zeros(len(raw) + 1, np.int8)
+            np.add.at(level, starts[which], 1)
+            np.add.at(level, ends[which], -1)
+            kind[np.cumsum(level[:-1], dtype=np.int8) > 0] = FOREIGN
+        edge = np.ones(len(raw) + 1, bool)
+        edge[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+        edge[off] = True
+        at = np.flatnonzero(edge)
+        of = kind[at[:-1]]
+        real = of != SPACE
+        starts, ends, of = at[:-1][real], at[1:][real], of[real]
+        quote = np.flatnonzero((of[:-1] == OTHER) & (of[1:] == LETTER) & (ends[:-1] == starts[1:]) & (ends[:-1] - starts[:-1] == 1) & (low[starts[:-1]] == 39))
+        quote = quote[~np.isin(ends[quote], off)]
+        if len(quote):
+            x, size = starts[quote + 1], (ends - starts)[quote + 1]
+            f, g = low[x], low[x + 1]
+            more = np.where(np.isin(f, [*b"stmd"]), 1, 0)
+            more[(size > 1) & ((np.isin(f, [*b"rv"]) & (g == 101)) | ((f == 108) & (g == 108)))] = 2
+            ends[quote] += more
+            starts[quote + 1] += more
+            some = ends > starts
+            starts, ends, of = starts[some], ends[some], of[some]
+        return starts, ends, of == FOREIGN
+
+    def block(self, raw: np.ndarray, off: np.ndarray, end: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts of a block, each with the end id behind it, and how many each has."""
+        if not self.by_piece:
+            body = raw.tobytes()
+            found = [np.append(self._whole(body[x:y].decode()), [np.uint32(self.end_id)] * end) for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            return np.concatenate([np.zeros(0, np.uint32), *found]).astype(np.uint32), np.array([len(x) for x in found], np.int64)
+        if len(self.lens) > self.cache_pieces or self.long_bytes > CACHE_LONG:
+            self._forget()
+        low = np.zeros(len(raw) + KEY, np.uint8)
+        low[: len(raw)] = common.LOWER[raw]
+        body = raw.tobytes()
+        starts, ends, whole = self._cut(raw, low, off, body)
+        short = (ends - starts <= KEY) & ~whole
+        number = np.empty(len(starts), np.int64)
+        number[short] = self._short(low, starts[short], (ends - starts)[short])
+        rest = np.flatnonzero(~short)
+        if len(rest):
+            text = low.tobytes()
+            number[rest] = self._long([(w, (body if w else text)[x:y]) for x, y, w in zip(starts[rest].tolist(), ends[rest].tolist(), whole[rest].tolist(), strict=True)])
+        self.used += np.bincount(number, minlength=len(self.lens))
+        first = np.searchsorted(starts, off)
+        if end:
+            number, first = np.insert(number, first[1:], 0), first + np.arange(len(first))
+        n = self.lens[number]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = self.flat[np.repeat(self.starts[number] - upto[:-1], n) + np.arange(int(upto[-1]))]
+        return ids, np.diff(upto[first])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        easy = [self.by_word and SIMPLE.fullmatch(t) is not None and not any(m in t for m in self.marks) for t in texts]
-        found = iter(self._words([t.lower() for t, e in zip(texts, easy, strict=True) if e]))
-        return [next(found) if e else self._whole(t) for t, e in zip(texts, easy, strict=True)]
-
-    def _words(self, texts: list[str]) -> list[np.ndarray]:
-        if not texts:
-            return []
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        for _ in range(2):
-            fresh = list({w for c in chunks for w in c if w not in self.index})
-            if fresh and len(self.index) > 1 and len(self.index) + len(fresh) > self.cache_words:
-                self.reset()
-                continue
-            break
-        if fresh:
-            self._learn(fresh)
-        if self.tables is None:
-            self.tables = [np.concatenate(x) for x in (self.flat, self.starts, self.lens)]
-            self.flat, self.starts, self.lens = ([x] for x in self.tables)
-        flat, starts, lens = self.tables
-        get = self.index.__getitem__
-        word = np.fromiter((x for c in chunks for x in map(get, c)), np.int64, sum(map(len, chunks)))
-        n = lens[word]
-        ends = np.cumsum(n)
-        ids = flat[np.repeat(starts[word] - (ends - n), n) + np.arange(int(ends[-1]))]
-        cuts = np.cumsum([len(c) for c in chunks])
-        return np.split(ids, ends[cuts[:-1] - 1]) if len(cuts) > 1 else [ids]
+        """Ids of whole texts, without the end id."""
+        raw = [t.encode() for t in texts]
+        ids, n = self.block(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), end=False)
+        return np.split(ids, np.cumsum(n)[:-1])
+
+    def stream(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """block(), with a text of several blocks cut at white space on the way, so that memory follows the block's size."""
+        if len(off) > 2 or len(raw) <= 2 * common.BLOCK_BYTES or not self.by_piece:
+            return self.block(raw, off)
+        parts, at, kind = [], 0, id_type(self.tok.get_vocab_size(), self.end_id)
+        while at < len(raw):
+            to = at + common.BLOCK_BYTES
+            while to < len(raw) and not len(gap := np.flatnonzero(~IS_CHUNK[raw[to : to + common.BLOCK_BYTES]])):
+                to += common.BLOCK_BYTES
+            to = min(len(raw), to + int(gap[0])) if to < len(raw) else len(raw)
+            parts.append(self.block(raw[at:to], np.array([0, to - at]), end=False)[0].astype(kind))
+            at = to
+        ids = np.concatenate([*parts, np.array([self.end_id], kind)])
+        return ids, np.array([len(ids)])
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, end_id: int = END_ID) -> WordEncoder:
+    if (path, end_id) not in _ENCODERS:
+        _ENCODERS[path, end_id] = WordEncoder(path, end_id)
+    return _ENCODERS[path, end_id]
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -138,22 +279,14 @@ def tokenized(docs: DataFrame, keep: list[str], tokenizer: str = TOKENIZER, end_
     schema = ", ".join(f"`{k}` {kinds[k].dataType.simpleString()}" for k in keep) + ", ids binary, n_tokens bigint"
 
     def run(batches):
-        path = tokenizer if "/" in tokenizer else tokenizer_path(tokenizer)
-        enc = encoder(path)
+        enc = encoder(tokenizer if "/" in tokenizer else tokenizer_path(tokenizer), end_id)
         kind = id_type(enc.tok.get_vocab_size(), end_id)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            at = 0
-            while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and (to == at or size + len(texts[to]) <= 1 << 20):
-                    size += len(texts[to])
-                    to += 1
-                found = [np.append(x, np.uint32(end_id)).astype(kind) for x in enc.encode(texts[at:to])]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(k).slice(at, to - at) for k in keep] + [pa.array([x.tobytes() for x in found], pa.binary()), pa.array([len(x) for x in found], pa.int64())], [*keep, "ids", "n_tokens"]
-                )
-                at = to
+            for rows, raw, off in common.text_blocks(batch.column(len(keep))):
+                ids, n = enc.stream(raw, off)
+                cuts = np.concatenate([[0], np.cumsum(n)]) * kind.itemsize
+                data = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(ids.astype(kind))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(rows.start, len(n)) for k in range(len(keep))), data, pa.array(n)], [*keep, "ids", "n_tokens"])
 
     return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
