@@ -26,6 +26,8 @@ WINDOW = 4096
 OWN_QUEUE = 1 / 256
 #: Parts, dealt by hash, in which a large source that shares its queue is put in order.
 PARTS = 256
+#: Tokens in a cell of a queue, at most about.
+CELL_TOKENS = 1 << 26
 
 
 def muldiv(w: np.ndarray, a: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,14 +96,14 @@ def spread(rows: DataFrame, large: tuple[int, str] | None) -> DataFrame:
     inside = F.pmod(F.xxhash64("source"), F.lit(1 << 30)) / float(1 << 30)
 
     def placed(some: DataFrame, by: list[str], before: Column, total: Column) -> DataFrame:
-        order = Window.partitionBy(*by).orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("ids")).rowsBetween(Window.unboundedPreceding, -1)
+        order = Window.partitionBy(*by).orderBy(F.col("doc_id").asc_nulls_first(), F.col("th")).rowsBetween(Window.unboundedPreceding, -1)
         at = before + F.coalesce(F.sum("n_tokens").over(order), F.lit(0)) + inside * F.col("n_tokens")
         return some.withColumn("place", at / total).select(*rows.columns, "place")
 
     own = F.col("source") == F.lit(large[1]) if large else F.lit(False)
     out = placed(rows.filter(~own), ["source"], F.lit(0), F.sum("n_tokens").over(Window.partitionBy("source")))
     if large:
-        dealt = rows.filter(own).withColumn("part", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(PARTS)).cast("int"))
+        dealt = rows.filter(own).withColumn("part", F.pmod(F.xxhash64("doc_id", "th"), F.lit(PARTS)).cast("int"))
         sums = {r.part: r.n for r in dealt.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
         first = np.cumsum([0, *(sums.get(p, 0) for p in range(PARTS))]).tolist()
         before = F.create_map(*(F.lit(x) for p in range(PARTS) for x in (p, first[p])))[F.col("part")]
@@ -109,16 +111,18 @@ def spread(rows: DataFrame, large: tuple[int, str] | None) -> DataFrame:
     return out
 
 
-def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str = tokens.TOKENIZER, end_id: int = tokens.END_ID) -> DataFrame:
-    """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
+def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str = tokens.TOKENIZER, end_id: int = tokens.END_ID, ids: bool = True) -> DataFrame:
+    """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and their ids (little-endian unsigned 32 bits) if asked for.
 
     Null text is empty (the end id alone), null source a source like any other, equal doc_ids are documents of their own.
-    An empty table gives no piece. Documents stand in their queue by doc_id, in a shared one by their place among their source's tokens (see spread).
+    An empty table gives no piece. A queue is cut into cells of about equal size: documents stand in their queue by cell (dealt by a hash of id and ids; in a
+    shared queue by their place among their source's tokens, see spread) and then by doc_id. The cells' tokens are summed first, so every cell knows where
+    it begins, and the ids are shuffled once.
     """
     spark = docs.sparkSession
     kind = tokens.id_type(256 ** tokens.id_bytes(tokenizer, end_id), end_id).str
     named = docs.select("doc_id", "text", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"))
-    encoded = common.written(tokens.tokenized(named, ["doc_id", "source"], tokenizer, end_id), "packing")
+    encoded = common.written(tokens.tokenized(named, ["doc_id", "source"], tokenizer, end_id).withColumn("th", F.xxhash64("ids")), "packing")
     by_source = encoded.groupBy("source").agg(F.sum("n_tokens").alias("n"))
     total = by_source.agg(F.sum("n")).first()[0] or 0
     large = sorted(((r.n, r.source) for r in by_source.filter(F.col("n") >= total * OWN_QUEUE).collect()), key=lambda x: (-x[0], x[1]))  # 256 at most
@@ -134,51 +138,53 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str = tokens.TOKENIZE
     totals = np.array(totals, np.int64)
     own = F.create_map(*(F.lit(x) for k, (_, s) in enumerate(large) for x in (s, k))) if large else None
     queue = F.coalesce(F.try_element_at(own, F.col("source")), F.lit(shared)) if large else F.lit(shared)
-    keys = ["queue", "place", F.col("doc_id").asc_nulls_first(), F.xxhash64("ids")]
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-    def place(batches):
-        """Each document's place in its queue, from the partition's first of that queue on."""
-        from pyspark import TaskContext
-
-        part, seen = TaskContext.get().partitionId(), {}
-        for batch in batches:
-            q, m = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            begin = np.zeros(len(q), np.int64)
-            for k in np.unique(q).tolist():
-                at = np.flatnonzero(q == k)
-                ends = seen.get(k, 0) + np.cumsum(m[at])
-                begin[at], seen[k] = ends - m[at], int(ends[-1])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(begin), pa.array(np.full(len(q), part, np.int32))], ["queue", "doc_id", "n_tokens", "ids", "begin", "part"])
-
+    size = max(window, min(CELL_TOKENS, total // (4 * n)))
+    cells = np.maximum(1, -(-totals // size))
+    first_cell = np.cumsum(cells) - cells
+    of_queue = lambda values: F.array(*(F.lit(int(x)) for x in values))[F.col("queue")] if len(values) else F.lit(0)
     dealt = encoded.withColumn("queue", queue.cast("int"))
-    columns = ["queue", "doc_id", "n_tokens", "ids"]
+    in_queue = F.pmod(F.xxhash64("doc_id", "th"), of_queue(cells))
     if rest:
         apart = dealt.filter(F.col("queue") != shared).withColumn("place", F.lit(0.0))
         dealt = apart.unionByName(spread(dealt.filter(F.col("queue") == shared), mixed))
-    else:
-        keys.remove("place")
-    ordered = dealt.select(*columns, *(["place"] if rest else [])).repartitionByRange(n, *keys).sortWithinPartitions(*keys).select(*columns)
-    placed = common.written(ordered.mapInArrow(place, f"queue int, doc_id {named.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids binary, begin bigint, part int"), "queues")
-    common.dropped(encoded)
-    sums = sorted((r.part, r.queue, r.n) for r in placed.groupBy("part", "queue").agg(F.sum("n_tokens").alias("n")).collect())  # partitions plus queues
-    before, seen = {}, {}
-    for part, q, m in sums:
-        before[part, q] = seen.get(q, 0)
-        seen[q] = seen.get(q, 0) + m
+        in_queue = F.when(F.col("queue") == shared, F.least(F.floor(F.col("place") * int(cells[shared])), F.lit(int(cells[shared]) - 1))).otherwise(in_queue)
+    order = ["cell", *(["place"] if rest else []), F.col("doc_id").asc_nulls_first(), "th"]
+    dealt = dealt.withColumn("cell", (of_queue(first_cell) + in_queue).cast("int"))
+    begin = np.zeros(int(cells.sum()), np.int64)  # a row for each cell: total / CELL_TOKENS, or four a partition if that's more, and one a queue
+    for r in dealt.groupBy("cell").agg(F.sum("n_tokens").alias("n")).collect():
+        begin[r.cell] = r.n
+    begin = np.cumsum(begin) - begin
+    begin -= np.repeat(begin[first_cell], cells)
+    begins = spark.sparkContext.broadcast((begin, first_cell, totals))
 
     def run(batches):
+        begin, first_cell, totals = begins.value
+        now, at = None, 0
         for batch in batches:
-            q, n, begin, part = (batch.column(k).to_numpy() for k in (0, 2, 4, 5))
-            start = begin + np.array([before[x] for x in zip(part.tolist(), q.tolist(), strict=True)], np.int64)
-            edges = np.flatnonzero(np.concatenate([[True], (q[1:] != q[:-1]) | (start[1:] != start[:-1] + n[:-1])]))
-            for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(q)], strict=True):
-                doc, s, length, seq, offset = pieces(int(start[a]), n[a:b], int(q[a]), totals, window)
-                raw = [np.frombuffer(x, kind).astype("<u4") for x in batch.column(3).slice(a, b - a).to_pylist()]
-                cut = [raw[d][i : i + m].tobytes() for d, i, m in zip(doc.tolist(), s.tolist(), length.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(1).take(pa.array(doc + a)), *(pa.array(x, pa.int64()) for x in (s, length, [zlib.crc32(c) for c in cut], n[a:b][doc], seq, offset)), pa.array(cut, pa.binary())],
-                    ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"],
-                )
-
-    return placed.mapInArrow(run, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary")
+            cell, m = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            flat = batch.column(3)
+            off, data = (np.frombuffer(b, t) for b, t in zip(flat.buffers()[1:], (np.int32, np.uint8), strict=True))
+            off = off[flat.offset : flat.offset + len(flat) + 1]
+            flat = data[off[0] : off[-1]].view(kind).astype("<u4")
+            upto = np.concatenate([[0], np.cumsum(m)])
+            edges = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]])).tolist()
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if now != cell[a]:
+                    now = int(cell[a])
+                    at = int(begin[now])
+                queue = int(np.searchsorted(first_cell, now, "right")) - 1
+                doc, s, length, seq, offset = pieces(at, m[a:b], queue, totals, window)
+                at += int(upto[b] - upto[a])
+                raw = memoryview(flat[upto[a] : upto[b]]).cast("B")
+                cut = np.concatenate([[0], np.cumsum(length)]) * 4  # pieces follow one another
+                x, y = cut[:-1].tolist(), cut[1:].tolist()
+                out = [batch.column(1).take(pa.array(doc + a)), *(pa.array(v, pa.int64()) for v in (s, length, [zlib.crc32(raw[i:j]) for i, j in zip(x, y, strict=True)], m[a:b][doc], seq, offset))]
+                if ids:
+                    out.append(pa.Array.from_buffers(pa.large_binary(), len(s), [None, pa.py_buffer(cut), pa.py_buffer(flat[upto[a] : upto[b]])]).cast(pa.binary()))
+                yield pa.RecordBatch.from_arrays(out, names)
+
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if ids else [])]
+    schema = f"doc_id {named.schema['doc_id'].dataType.simpleString()}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids binary" * ids
+    ordered = dealt.repartitionByRange(n, "cell").sortWithinPartitions(*order).select("cell", "doc_id", "n_tokens", "ids")
+    return ordered.mapInArrow(run, schema)

@@ -57,7 +57,7 @@ def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_documents(spark, sf_dir)).drop("ids")
+    return packing.pack(_documents(spark, sf_dir), ids=False)
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_secret_scan, op4_token_output, op5_warc, op6_simhash, op7_toxicity, op8_decontaminate, op9_neighbours, op10_packing)}
