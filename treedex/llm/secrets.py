@@ -1,16 +1,20 @@
 """Secret scan: fixed patterns, and a battery of randomness tests on what else looks like a key.
 
-A candidate is a whole run of 20 or more characters of A-Z a-z 0-9 + / = _ - that holds a digit and a letter. Its encoding is the
-smallest alphabet that has all its characters (hex of either case, base 32, letters and digits, base 64). Under the hypothesis
-that the characters are drawn uniformly and independently from that alphabet, three tests give p-values: chi-squared for
-uniformity, runs above and below the alphabet's middle, serial correlation at lag 1. The hypothesis is given up for a candidate
-if the smallest of its three p-values, times three, passes a Benjamini-Hochberg procedure over the document's candidates, where
-each candidate's weight is its length over their mean length: a long text has more evidence and may be given up sooner. Those
-that stay and are long enough for the tests to have had power (20 characters, 60 bits) are secrets of kind `random`.
+A candidate is a whole run of 20 or more characters of A-Z a-z 0-9 + / = _ - that holds a digit and a letter, of any length. Its encoding is the
+smallest alphabet that has all its characters (hex of either case, base 32, letters and digits, base 64 of either kind). Three tests measure how far it is from
+characters drawn uniformly and independently from that alphabet: chi-squared for uniformity, runs above and below the alphabet's middle, serial
+correlation at lag 1, each as a normal score.
+
+The null hypothesis is that a candidate is an ordinary identifier, and a discovery is a secret. Its p-value is the chance that an ordinary identifier of the same
+encoding and length looks as random: from a reference sample of made-up identifiers (words by letter frequencies, joined as names, paths and constants are,
+with numbers), which for each encoding and length gives the three tests' weights and the score's mean and deviation. A Benjamini-Hochberg procedure over the document's
+candidates, weighted by length over mean length (a longer run has more evidence and more to lose), keeps the share of false discoveries among a document's
+`random` spans at FALSE_DISCOVERY. Runs of under LEAST_BITS bits have no power and are no candidates.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 
@@ -29,47 +33,97 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{20,}")
 ALPHABETS = ("0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_")
 FALSE_DISCOVERY, LEAST_BITS = 0.05, 60.0
+#: Lengths at which reference identifiers are measured (longer runs count as the last, which only makes their p-values larger), and how many of each.
+LENGTHS, REFERENCE = (20, 24, 28, 32, 40, 48, 64, 96, 128, 256), 400
+#: Per mille of the letters a to z in English text, rounded; a standard table.
+LETTERS = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
+
+
+def tests(x: np.ndarray, k: int) -> np.ndarray:
+    """For rows of characters' numbers in an alphabet of k: normal scores of chi-squared, runs and serial correlation, each about 0 for random ones."""
+    m, n = x.shape
+    counts = np.zeros((m, k))
+    np.add.at(counts, (np.repeat(np.arange(m), n), x.ravel()), 1)
+    chi = ((counts - n / k) ** 2).sum(1) * k / n
+    z = ((chi / (k - 1)) ** (1 / 3) - 1 + 2 / (9 * (k - 1))) / math.sqrt(2 / (9 * (k - 1)))  # Wilson and Hilferty's normal form
+    above = x >= k / 2
+    up = above.sum(1)
+    mean = 2 * up * (n - up) / n + 1
+    runs = (1 + (above[:, 1:] != above[:, :-1]).sum(1) - mean) / np.sqrt(np.maximum((mean - 1) * (mean - 2) / (n - 1), 1))
+    runs = np.where((up == 0) | (up == n), -math.sqrt(n), runs)
+    d = x - (k - 1) / 2
+    serial = (d[:, 1:] * d[:, :-1]).sum(1) / math.sqrt(n - 1) / ((k * k - 1) / 12)
+    return np.column_stack([z, runs, serial])
 
 
-def _normal_tail(z: float) -> float:
-    return math.erfc(abs(z) / math.sqrt(2))
+def encoding(s: str) -> tuple[int, str] | None:
+    """The number of the smallest alphabet that has all of a candidate's characters, and the candidate without its padding."""
+    body = s.rstrip("=")
+    have = set(body)
+    i = next((i for i, a in enumerate(ALPHABETS) if have <= set(a)), None)
+    return None if i is None or len(body) < 20 or len(body) * math.log2(len(ALPHABETS[i])) < LEAST_BITS else (i, body)
+
+
+def identifiers(i: int, n: int, m: int, rng: np.random.Generator) -> np.ndarray:
+    """m made-up ordinary identifiers of n characters in the i-th alphabet, as rows of numbers: stretches that begin with a word of one long name."""
+    alphabet, letter = ALPHABETS[i], np.cumsum(np.array(LETTERS) / sum(LETTERS))
+    text, begins = [], []
+    at = 0
+    while len(begins) < m or at < begins[m - 1] + n:
+        r = rng.random(16)
+        if i < 2:  # what hex holds beside keys: numbers with a few letters
+            word = "".join(str(int(10 * v)) for v in r[: 3 + int(6 * r[14])]) + "".join("abcdef"[int(6 * v)] for v in r[9 : 9 + int(3 * r[15])])
+        elif r[15] < 0.2:
+            word = "".join(str(int(10 * v)) for v in r[: 1 + int(5 * r[14])])
+        else:
+            word = "".join(chr(97 + c) for c in np.minimum(np.searchsorted(letter, r[: 2 + int(9 * r[14])]), 25).tolist())
+        word = word.upper() if i in (1, 2) else word.capitalize() if i == 3 and r[13] < 0.6 else word
+        word += "" if i < 4 else ("/" if r[12] < 0.9 else "+") if i == 4 else "-" if r[12] < 0.5 else "_"
+        begins.append(at)
+        text.append(word)
+        at += len(word)
+    have = {c: j for j, c in enumerate(alphabet)}
+    x = np.array([have.get(c, ord(c) % len(alphabet)) for c in "".join(text)])
+    return x[np.array(begins[:m])[:, None] + np.arange(n)]
+
+
+@functools.cache
+def reference() -> np.ndarray:
+    """By alphabet and length: weights of the three tests that part random runs from ordinary identifiers best (Fisher's discriminant), and the mean of
+    ordinary ones so weighted, in units of their deviation."""
+    rng = np.random.default_rng(3)
+    out = np.empty((len(ALPHABETS), len(LENGTHS), 4))
+    for i, alphabet in enumerate(ALPHABETS):
+        for j, n in enumerate(LENGTHS):
+            k = len(alphabet)
+            plain, random = tests(identifiers(i, n, REFERENCE, rng), k), tests(rng.integers(0, k, (REFERENCE, n)), k)
+            w = np.linalg.solve(np.cov(plain.T) + np.cov(random.T) + 1e-3 * np.eye(3), random.mean(0) - plain.mean(0))
+            score = plain @ w
+            out[i, j] = [*(w / score.std()), score.mean() / score.std()]
+    return out
 
 
-def p_value(s: str) -> tuple[float, float]:
-    """Of the hypothesis that s is uniform random in its smallest alphabet (1 for sure, 0 against), and its length in bits."""
-    body = s.rstrip("=")
-    alphabet = next((a for a in ALPHABETS if set(body) <= set(a)), None)
-    if alphabet is None or len(body) < 20:
-        return 0.0, 0.0
-    n, k = len(body), len(alphabet)
-    x = np.array([alphabet.index(c) for c in body], float)
-    counts = np.bincount(x.astype(int), minlength=k)
-    chi = float(((counts - n / k) ** 2).sum() * k / n)
-    # Wilson and Hilferty's normal form of chi-squared, upper tail; runs and serial correlation find what is spread too evenly
-    z = ((chi / (k - 1)) ** (1 / 3) - 1 + 2 / (9 * (k - 1))) / math.sqrt(2 / (9 * (k - 1)))
-    above = x >= k / 2
-    m = int(above.sum())
-    if m in (0, n):
-        return 0.0, n * math.log2(k)
-    mean = 2 * m * (n - m) / n + 1
-    var = (mean - 1) * (mean - 2) / (n - 1)
-    runs = (1 + int((above[1:] != above[:-1]).sum()) - mean) / math.sqrt(max(var, 1e-9))
-    d = x - (k - 1) / 2
-    serial = float((d[1:] * d[:-1]).sum()) / math.sqrt(n - 1) / ((k * k - 1) / 12)
-    return min(1.0, 3 * min(math.erfc(z / math.sqrt(2)) / 2, _normal_tail(runs), _normal_tail(serial))), n * math.log2(k)
+def p_value(s: str) -> float | None:
+    """The chance that an ordinary identifier looks as random as s; None for what is no candidate."""
+    found = encoding(s)
+    if found is None:
+        return None
+    i, body = found
+    at = {c: j for j, c in enumerate(ALPHABETS[i])}
+    t = tests(np.array([[at[c] for c in body]]), len(at))[0]
+    *w, mean = (np.interp(math.log(len(body)), np.log(LENGTHS), reference()[i, :, j]) for j in range(4))
+    return math.erfc((float(t @ np.array(w)) - mean) / math.sqrt(2)) / 2
 
 
 def random_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Those spans whose hypothesis of randomness isn't given up, with weights by length (see above)."""
-    tested = [(a, b, *p_value(text[a:b])) for a, b in spans]
-    tested = [x for x in tested if x[3] >= LEAST_BITS]
+    """Those spans that are discoveries: Benjamini and Hochberg's procedure with weights by length (see above)."""
+    tested = [(a, b, p) for a, b in spans if (p := p_value(text[a:b])) is not None]
     if not tested:
         return []
-    mean = sum(b - a for a, b, _, _ in tested) / len(tested)
-    weighted = sorted((p * mean / (b - a), i) for i, (a, b, p, _) in enumerate(tested))
+    mean = sum(b - a for a, b, _ in tested) / len(tested)
+    weighted = sorted((p * mean / (b - a), i) for i, (a, b, p) in enumerate(tested))
     last = max((r for r, (p, _) in enumerate(weighted, 1) if p <= FALSE_DISCOVERY * r / len(tested)), default=0)
-    given_up = {i for _, i in weighted[:last]}
-    return [(a, b) for i, (a, b, _, _) in enumerate(tested) if i not in given_up]
+    return sorted(tested[i][:2] for _, i in weighted[:last])
 
 
 _RUN = np.zeros(256, bool)
@@ -96,7 +150,9 @@ def _spans(text: pa.Array) -> list[list[tuple[int, int, str]]]:
     for rows, raw, off in common.text_blocks(text):
         starts, ends, _ = common.words(raw, off, _RUN)
         hot = set((np.searchsorted(off, starts[ends - starts >= 20], "right") - 1).tolist())
-        hot |= set((np.searchsorted(off, [m.start() for m in _WORDS.finditer(raw.tobytes())], "right") - 1).tolist())
+        # a line end between rows, which no word holds, so that none is found across two of them
+        parted, at = np.insert(raw, off[1:-1], 10).tobytes(), off + np.arange(len(off))
+        hot |= set((np.searchsorted(at, [m.start() for m in _WORDS.finditer(parted)], "right") - 1).tolist())
         out += [scan(text[i].as_py() or "") if i - rows.start in hot else [] for i in range(rows.start, rows.stop)]
     return out
 
