@@ -12,7 +12,7 @@ from . import common
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges: a, b with a > b. Each node's neighbours are tied to the smallest of them: larger ones, or smaller ones and itself."""
+    """edges: a, b with a > b. Each node's neighbours are tied to the smallest of them: larger ones, or smaller ones and itself. Written, as the next edges."""
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
     least = common.written(both.groupBy("a").agg(F.min("b").alias("m")), "least")
     # large: for (u, v) with v > u, v meets min(u and its neighbours); small: for (u, v) with v < u, v and u meet min of the smaller ones
@@ -21,7 +21,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = joined.filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
     else:
         out = joined.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
-    return out.filter("a <> b").distinct()
+    done = common.written(out.filter("a <> b").distinct(), "large" if large else "small")
+    common.dropped(least)
+    return done
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -29,8 +31,10 @@ def components(edges: DataFrame) -> DataFrame:
     now = common.written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
     while True:
-        mid = common.written(_star(now, True), "large")
-        now = common.written(_star(mid, False), "small")
+        mid = _star(now, True)
+        common.dropped(now)
+        now = _star(mid, False)
+        common.dropped(mid)
         # min and sum of hashes: the same twice over means that nothing moved
         r = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if mark == (r.n, r.h) or r.n == 0:
