@@ -23,19 +23,21 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of fingerprints linked at 4 bits or fewer: one with the group's smallest doc_id, or without any if no row has one.
+    """One row of each group of texts linked by a similarity of 0.8 or more of their sets of five words, as wide SimHash fingerprints estimate it.
 
-    Rows of other groups stay, even if they share that doc_id or have none. The join and the distinct rows share one exchange of the texts,
-    by doc_id and the text's hash; null ids stand as 0 there, with hashes of their own.
+    That row has the group's smallest doc_id, or none if no row has one. Rows of other groups stay, even if they share that doc_id or have none; of rows with
+    one id and one text one stays. The join and the distinct rows share one exchange of the texts, by doc_id and the text's hash; null ids stand as 0
+    there, with hashes of their own.
     """
     common.prepare(spark)
     key = {"_id": F.coalesce("doc_id", F.lit(0)), "_hash": F.xxhash64(F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))}
-    found = simhash.near_duplicates(docs.select("doc_id", "text", *(x.alias(c) for c, x in key.items())), keep=list(key))
+    found = simhash.similar(docs.select("doc_id", "text", *(x.alias(c) for c, x in key.items())), keep=list(key))
     # a text has one fingerprint and a fingerprint one group, so an id and a hash name a row of one group
     own = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = common.written(own.groupBy("root").agg(F.min(F.struct("fp", *key)).alias("x")).select(*(f"x.{c}" for c in key)), "kept")
-    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *(x.alias(c) for c, x in key.items()))
-    return row.join(first, list(key), "left_semi").dropDuplicates(list(key)).select("_row.*")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    row = docs.select(whole.alias("_row"), *(x.alias(c) for c, x in key.items())).join(first, list(key), "left_semi")
+    return row.dropDuplicates(list(key)).select("_row.*")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
