@@ -91,7 +91,7 @@ def test_text_functions(spark):
     assert one(spark, T.link_target(F.col("t")), t="[a](<b c.md>)") == "b c.md"
     assert one(spark, T.renamed_domain(F.col("t"), "a", "b"), t="---\ndomain: a\n---\ndomain: a") == "---\ndomain: b\n---\ndomain: a"
     assert one(spark, T.normal_path(F.col("t")), t="/a/../b/./c") == "/b/c"
-    assert one(spark, T.significant(F.col("w"), F.col("t")), w="xy", t="an Xy") and not one(spark, T.significant(F.col("w"), F.col("t")), w="xy", t="XY")
+    assert one(spark, T.significant(F.col("w"), T.capitals(F.col("t"))), w="xy", t="an Xy") and not one(spark, T.significant(F.col("w"), T.capitals(F.col("t"))), w="xy", t="XY")
 
 
 def test_keywords(spark):
@@ -102,10 +102,69 @@ def test_keywords(spark):
     assert {r.keyword: r.pre for r in keywords.search(n, keywords.frame(spark, k)).collect()} == {"b:c": None, "d": 1, "g": None}
 
 
+def consolidated(files):
+    """Of words with their files, in the order first seen: the rules word by word over the whole vocabulary."""
+    endings = ["ing", "ed", "er", "est", "ly", "tion", "sion", "ment", "ful", "less", "able", "ible"]
+
+    def base(w):
+        for e in [*endings, "s"]:
+            if w.endswith(e) and len(w) > len(e) + 2:
+                return w[: len(w) - len(e)]
+        return w
+
+    variant = lambda a, b: any(a == b + e or b == a + e for e in endings)
+    out, used, bases = {}, set(), set()
+    for word in files:
+        if word in used or base(word) in bases:
+            continue
+        bases.add(base(word))
+        same = [w for w in files if w not in used and (base(w) == base(word) or w == base(word))]
+        same += [w for w in files if w not in used and w not in same and base(w) == word]
+        group = [word]
+        for w in same:
+            if w != word and any(variant(g, w) for g in group) and len(set().union(*(files[g] for g in [*group, w]))) <= 24:
+                group.append(w)
+        used |= set(group)
+        if len(group) == 1:
+            out[word] = group
+            continue
+        short = min(group, key=len)
+        if len({w.endswith("s") for w in group}) == 2:
+            label = short.rstrip("s") + "s?"
+        elif any(w.endswith(e) for w in group for e in ("ing", "ed", "er", "tion", "sion", "ment")):
+            cut = [w[: -len(e)] for w in group if not w.startswith(short) for e in ("ing", "ed", "er", "tion", "sion", "ment") if w.endswith(e) and len(w) - len(e) >= 3]
+            label = (cut[0] if cut else short) + ".*"
+        else:
+            label = short + ".*"
+        out[label] = group
+    for word in files:
+        if word not in used:
+            out[word] = [word]
+    return sorted((label, w) for label, ws in out.items() for w in ws)
+
+
 def test_consolidation(spark):
-    rows = [("test", ["a"], 0), ("testing", ["b"], 1), ("tests", ["c"], 2), ("other", ["a"], 3)]
-    got = {r.word: r.label for r in words.consolidate(spark.createDataFrame(rows, "word string, files array<string>, ord int")).collect()}
-    assert got["test"] == got["testing"] == got["tests"] == "test?" .replace("?", "s?") and got["other"] == "other"
+    rng = random.Random(3)
+    stems = ["test", "run", "proces", "process", "nation", "use", "hope", "care", "play", "read", "mis", "teach", "work", "act"]
+    tails = ["", "s", "ing", "ed", "er", "ers", "tion", "ment", "ful", "less", "able", "ly", "ss", "fully"]
+    vocabulary = list(dict.fromkeys(rng.choice(stems) + rng.choice(tails) for _ in range(400)))
+    files = {w: {f"f{rng.randint(0, 60):02d}" for _ in range(rng.choice([1, 2, 5, 12, 40]))} for w in vocabulary}
+    rows = [(w, sorted(files[w])[:25], i) for i, w in enumerate(vocabulary)]
+    got = words.consolidate(spark.createDataFrame(rows, "word string, files array<string>, ord int"))
+    assert sorted((r.label, r.word) for r in got.collect()) == consolidated(files)
+
+
+def test_consolidation_of_documents(spark):
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables")
+    n = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("file_path"), F.lit(1).cast("bigint").alias("pre"), F.col("text").alias("search_text")).filter("file_path < 60")
+    found = words.occurrences(n).orderBy("file_path", "pos").collect()
+    files = {}
+    for r in found:
+        files.setdefault(r.word, set()).add(r.file_path)
+    got = words.consolidate(words.first_files(words.occurrences(n)))
+    assert sorted((r.label, r.word) for r in got.collect()) == consolidated(files)
 
 
 def test_chunks(spark):

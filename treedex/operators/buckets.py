@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 MOST = 20
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on equal keys, nulls equal too, whose right side may come from the left one: its keys are renamed first and left out after."""
+    r = right.select(*(F.col(k).alias(f"_r_{k}") for k in keys), *(c for c in right.columns if c not in keys))
+    on = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys))
+    return left.join(r, on, how).drop(*(f"_r_{k}" for k in keys))
+
+
 def range_chunks(items: DataFrame, parent: str, key: str, most: int = MOST) -> DataFrame:
     """Children of a parent in even chunks of at most `most`, labelled by the first three letters of their ends: adds chunk and label.
 
@@ -18,12 +27,13 @@ def range_chunks(items: DataFrame, parent: str, key: str, most: int = MOST) -> D
     out = items.withColumn("chunk", F.floor((F.row_number().over(w) - 1) / size).cast("bigint"))
     v = Window.partitionBy(parent, "chunk")
     cut = lambda c: F.upper(F.substring(c, 1, 3))
-    return out.withColumn("label", F.concat(cut(F.min_by(key, F.struct(F.lower(key), key)).over(v)), F.lit("–"), cut(F.max_by(key, F.struct(F.lower(key), key)).over(v))))
+    first, last = (cut(f(key, F.struct(F.lower(key), key)).over(v)) for f in (F.min_by, F.max_by))
+    return out.withColumn("label", F.when(first == last, first).otherwise(F.concat(first, F.lit("–"), last)))
 
 
 def letter(key: Column) -> Column:
     first = F.upper(F.substring(key, 1, 1))
-    return F.when(first.rlike("(?U)^[A-Z]$"), first).otherwise("#")
+    return F.when(first.rlike(r"^\p{L}$"), first).otherwise("#")
 
 
 def letter_buckets(items: DataFrame, parent: str, key: str, most: int = MOST) -> DataFrame:
@@ -40,3 +50,28 @@ def type_buckets(items: DataFrame, parent: str, key: str, most: int = MOST) -> D
     """Adds bucket: the rank of the file's type if the parent has more than `most` children of two types or more, else null."""
     n = items.groupBy(parent).agg(F.count("*").alias("_n"), F.count_distinct(type_rank(F.col(key))).alias("_k"))
     return items.join(n, parent).withColumn("bucket", F.when((F.col("_n") > most) & (F.col("_k") > 1), type_rank(F.col(key)))).drop("_n", "_k")
+
+
+#: Names of the type buckets, by rank.
+TYPES = ("Mind maps (.mm)", "Markdown (.md)", "Cards (.kb.md)", "Other")
+
+
+def letter_path(items: DataFrame, parents: list[str], key: str, most: int = MOST) -> DataFrame:
+    """Adds buckets: the labels above each item in a list that may be long, none for up to `most` items of a parent; then letters, and ranges where a letter is long."""
+    n = items.groupBy(*parents).agg(F.count("*").alias("_n"))
+    out = null_safe_join(items, n, parents).withColumn("_l", F.when(F.col("_n") > most, letter(F.col(key))))
+    m = out.filter("_l is not null").groupBy(*parents, "_l").agg(F.count("*").alias("_m"))
+    m = m.filter(F.col("_m") > most)
+    long = null_safe_join(out, m.drop("_m"), [*parents, "_l"], "left_semi").withColumn("_p", F.struct(*parents, "_l"))
+    long = range_chunks(long, "_p", key, most).withColumn("buckets", F.array(F.struct(F.lit(0).alias("r"), F.col("_l").alias("a")), F.struct(F.col("chunk").cast("int").alias("r"), F.col("label").alias("a"))))
+    short = null_safe_join(out, m.drop("_m"), [*parents, "_l"], "left_anti").withColumn("buckets", F.when(F.col("_l").isNull(), F.array().cast("array<struct<r:int,a:string>>")).otherwise(F.array(F.struct(F.lit(0).alias("r"), F.col("_l").alias("a")))))
+    return long.select(*items.columns, "buckets").unionByName(short.select(*items.columns, "buckets"))
+
+
+def file_path_buckets(items: DataFrame, parents: list[str], key: str, link: str, most: int = MOST) -> DataFrame:
+    """As letter_path() for a list of files: by type first if there are two types or more."""
+    n = items.groupBy(*parents).agg(F.count("*").alias("_n"), F.count_distinct(type_rank(F.col(link))).alias("_k"))
+    out = null_safe_join(items, n, parents).select(*items.columns, F.when((F.col("_n") > most) & (F.col("_k") > 1), type_rank(F.col(link))).alias("_t"))
+    named = letter_path(out, [*parents, "_t"], key, most)
+    top = F.array(F.struct(F.col("_t").cast("int").alias("r"), F.element_at(F.array(*map(F.lit, TYPES)), F.col("_t") + 1).alias("a")))
+    return named.withColumn("buckets", F.when(F.col("_t").isNull(), F.col("buckets")).otherwise(F.concat(top, "buckets"))).drop("_t")

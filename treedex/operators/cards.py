@@ -72,11 +72,11 @@ def dir_annotations(cards: DataFrame) -> DataFrame:
 
 
 def dependencies(cards: DataFrame) -> DataFrame:
-    """domain, src_path, src_title, tgt_label, tgt_path: references resolved by slug or id; an unresolved one keeps its text and has no path."""
+    """domain, src_path, src_title, pos (place in the list), tgt_label, tgt_path: references resolved by slug or id; an unresolved one keeps its text and has no path."""
     keys = cards.select(F.col("slug").alias("ref"), "ord", "title", "file_path").unionByName(cards.select(F.col("id").alias("ref"), "ord", "title", "file_path")).filter("ref is not null")
     keys = keys.groupBy("ref").agg(F.max_by(F.struct("title", "file_path"), "ord").alias("t"))
-    d = cards.select("domain", F.col("file_path").alias("src_path"), F.col("title").alias("src_title"), F.explode("builds_on").alias("ref"))
-    return d.join(keys, "ref", "left").select("domain", "src_path", "src_title", F.coalesce("t.title", "ref").alias("tgt_label"), F.col("t.file_path").alias("tgt_path"))
+    d = cards.select("domain", F.col("file_path").alias("src_path"), F.col("title").alias("src_title"), F.posexplode("builds_on").alias("pos", "ref"))
+    return d.join(keys, "ref", "left").select("domain", "src_path", "src_title", "pos", F.coalesce("t.title", "ref").alias("tgt_label"), F.col("t.file_path").alias("tgt_path"))
 
 
 def glossary(cards: DataFrame) -> DataFrame:

@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from treedex.functions.text import node_id
-from treedex.operators.tree import intervals
+from treedex.operators.tree import intervals, nested
 
-#: Levels: headings 1 to 6; list items 7 plus their indentation, at most so many.
-LIST_LEVELS = 6
+#: A heading's line (without white space around it) and a list item's.
+HEADING, LIST_ITEM = r"^(#{1,6})\s+(.+)$", r"^(\s*)([-*+]|\d+\.)\s+(.+)$"
+#: Levels in a tree: headings 1 to 6; list items 7 plus their indentation. With more than so many that occur the tree is built by a pass with a stack.
+LISTS, MANY_LEVELS = 7, 32
 
 
 def lines(files: DataFrame) -> DataFrame:
     """file_path, line_number, raw, kind (heading, list_item, content), level, text; blank lines left out. Text that isn't UTF-8 gives no line."""
     line = files.select("file_path", F.posexplode(F.split("content", "\n")).alias("i", "raw")).withColumn("raw", F.regexp_replace("raw", r"\r$", ""))
-    stripped, head, item = F.trim("raw"), r"^(#{1,6})\s+(.+)$", r"^(\s*)([-*+]|\d+\.)\s+(.+)$"
+    stripped, head, item = F.trim("raw"), HEADING, LIST_ITEM
     kind = F.when(stripped.rlike(head), "heading").when(F.col("raw").rlike(item), "list_item").otherwise("content")
     return (
         line.filter(F.trim(F.regexp_replace("raw", r"\s", " ")) != "").withColumn("kind", kind)
@@ -42,9 +44,10 @@ def nodes(files: DataFrame, order: str = "source") -> DataFrame:
     found = lines(files)
     heads = sections(found).select("file_path", "line_number", F.col("content").alias("section_text"))
     n = found.filter("kind <> 'content'").join(heads, ["file_path", "line_number"], "left")
-    n = n.withColumn("tree_level", F.when(F.col("kind") == "heading", F.col("level")).otherwise(7 + F.least(F.col("level"), F.lit(LIST_LEVELS - 1))))
+    n = n.withColumn("tree_level", F.when(F.col("kind") == "heading", F.col("level")).otherwise(LISTS + F.col("level")))
     by = ["line_number"] if order == "source" else [F.when(F.col("kind") == "heading", 0).otherwise(1), "line_number"]
     n = n.withColumn("pre", F.row_number().over(Window.partitionBy("file_path").orderBy(*by)).cast("bigint"))
-    n = intervals(n, level="tree_level", levels=6 + LIST_LEVELS)
+    occur = sorted(r.tree_level for r in n.select("tree_level").distinct().limit(MANY_LEVELS + 1).collect())
+    n = intervals(n, level="tree_level", levels=occur or [1]) if len(occur) <= MANY_LEVELS else nested(n, level="tree_level")
     content = F.coalesce("section_text", "text")
     return n.select("file_path", "pre", "last", "parent_pre", F.col("kind").alias("node_type"), "level", "text", content.alias("content"), F.when(F.col("kind") == "heading", content).otherwise(F.col("text")).alias("search_text"), "line_number", node_id(F.lit(""), F.col("file_path"), F.col("pre")).alias("node_id"))

@@ -11,7 +11,7 @@ import re
 from pyspark.sql import DataFrame, Window, functions as F
 
 from treedex.functions.text import boundary
-from treedex.operators.tree import contained
+from treedex.operators.tree import covered
 
 
 def split_terms(text: str, brackets: bool = True) -> list[str]:
@@ -32,40 +32,77 @@ def valid_patterns(spark, patterns: list[str]) -> dict[str, bool]:
     return out
 
 
+def search_multiple(nodes: DataFrame, sequences: list[list[str]]) -> DataFrame:
+    """nodes: file_path, pre, last, search_text, text. All sequences' hits with `sequence`, joined by colons; a sequence without hits has no row.
+
+    Each term is matched once a node, whatever the number of sequences; a node goes on with the sequences that it matches a term of. Then a stage is a
+    running sum by file: of a middle term, a match takes the weights of the matches since the one before it whose subtrees reach it; of the last
+    term, a match is found as often as matches stand at or above it.
+    """
+    sequences = [s for s in sequences if s]
+    cols = [c for c in ("text", "search_text", "node_id", "node_type") if c in nodes.columns]
+    paths = [F.array(*map(F.lit, s)) for s in sequences]
+    terms = sorted({t for s in sequences for t in s})
+    out = lambda rows, path, sequence: rows.select("file_path", "pre", *(F.col(f"p.{c}") for c in cols if c == "node_id"), "p.text", F.col("p.search_text").alias("matched"), path.alias("search_path"), sequence.alias("sequence"))
+    if not sequences:
+        return out(nodes.limit(0).select("file_path", "pre", F.struct(*cols).alias("p")), F.array().cast("array<string>"), F.lit("").cast("string"))
+    n = nodes.select("file_path", "pre", "last", F.struct(*cols).alias("p"), *(F.coalesce(F.col("search_text").rlike(boundary(t)), F.lit(False)).alias(f"_t{i}") for i, t in enumerate(terms)))
+    number = {t: i for i, t in enumerate(terms)}
+    most = max(map(len, sequences))
+    each = F.array(*(F.struct(F.lit(i).alias("s"), F.lit(len(s)).alias("k"), F.array(*(F.col(f"_t{number[t]}") for t in s), *(F.lit(False) for _ in range(most - len(s)))).alias("f")) for i, s in enumerate(sequences)))
+    now = n.select("file_path", "pre", "last", "p", F.explode(F.filter(each, lambda x: F.exists(x["f"], lambda y: y))).alias("q"))
+    now = now.select("file_path", "pre", "last", "p", "q.s", "q.k", "q.f").withColumn("w", F.col("f")[0].cast("bigint"))
+    by = ["s", "file_path"]
+    for i in range(1, most - 1):
+        here, middle = F.col("f")[i], F.col("k") > i + 1
+        stretch = F.coalesce(F.sum(here.cast("bigint")).over(Window.partitionBy(*by).orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        now = now.withColumn("g", stretch)
+        whole = Window.partitionBy(*by, "g")
+        now = now.withColumn("_n", F.max(F.when(here, F.col("pre"))).over(whole))
+        came = F.sum(F.when(F.col("last") >= F.col("_n"), F.col("w"))).over(whole)
+        now = now.withColumn("w", F.when(middle, F.when(here, F.coalesce(came, F.lit(0))).otherwise(0)).otherwise(F.col("w"))).drop("g", "_n")
+    held = covered(now, F.col("w"), by).filter(F.element_at("f", F.col("k")) & (F.col("cover") > 0)) if most > 1 else now.filter("w > 0").withColumn("cover", F.col("w"))
+    times = F.when(F.col("k") == 1, F.col("w")).otherwise(F.col("cover"))
+    held = held.withColumn("_c", F.explode(F.sequence(F.lit(1).cast("bigint"), times)))
+    path = F.array(*paths)[F.col("s")]
+    return out(held, path, F.array_join(path, ":"))
+
+
 def search_sequence(nodes: DataFrame, terms: list[str]) -> DataFrame:
-    """nodes: file_path, pre, last, search_text, text. Hits: file_path, pre, text, matched, search_path. No terms: no hits."""
-    cols = [c for c in ("file_path", "pre", "last", "text", "search_text", "node_id", "node_type") if c in nodes.columns]
-    nodes = nodes.select(*cols)
-    path = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
-    if not terms:
-        return nodes.limit(0).select("file_path", "pre", "text", F.col("search_text").alias("matched"), path.alias("search_path"))
-    match = lambda t: nodes.filter(F.col("search_text").rlike(boundary(t)))
-    now = match(terms[0])
-    for k, t in enumerate(terms[1:], 1):
-        # a number for each match: two matches may have found the same node
-        held = now.select("file_path", "pre", "last", F.monotonically_increasing_id().alias("m")) if k < len(terms) - 1 else now.select("file_path", "pre", "last")
-        inside = contained(held, match(t))
-        now = inside.groupBy("o_m").agg(F.min_by(F.struct(*(F.col(c) for c in cols)), "pre").alias("n")).select("n.*") if k < len(terms) - 1 else inside.select(*cols)
-    return now.select("file_path", "pre", *(c for c in ("node_id",) if c in cols), "text", F.col("search_text").alias("matched"), path.alias("search_path"))
+    """Hits of one sequence: file_path, pre, node_id if there is one, text, matched, search_path. No terms: no hits."""
+    return search_multiple(nodes, [terms]).drop("sequence")
 
 
-def search_multiple(nodes: DataFrame, sequences: list[list[str]]) -> DataFrame:
-    """All sequences' hits with sequence, joined by colons; a sequence without hits has no row."""
-    out = None
-    for s in sequences:
-        one = search_sequence(nodes, s).withColumn("sequence", F.lit(":".join(s)))
-        out = one if out is None else out.unionByName(one)
-    return out
+def search_single(nodes: DataFrame, term: str) -> DataFrame:
+    return search_sequence(nodes, [term])
+
+
+def search_files(nodes: DataFrame, text: str, files: list[str] | None = None) -> DataFrame:
+    """A sequence written as `a:b:c`, split at every colon, in all files or those named. A term that isn't a pattern finds nothing."""
+    terms = split_terms(text, brackets=False)
+    if not all(valid_patterns(nodes.sparkSession, terms).values()):
+        terms = []
+    return search_sequence(nodes if files is None else nodes.filter(F.col("file_path").isin(files)), terms)
+
+
+def group_by_file(hits: DataFrame) -> DataFrame:
+    return hits.groupBy("file_path").agg(F.count("*").alias("n"))
+
+
+def group_by_path(hits: DataFrame) -> DataFrame:
+    return hits.groupBy("search_path").agg(F.count("*").alias("n"), F.count_distinct("file_path").alias("n_files"))
 
 
 def dedup(hits: DataFrame, order: list[str] | None = None) -> DataFrame:
-    w = Window.partitionBy("file_path", "pre").orderBy(*(order or ["text"]))
+    """One hit of each node: the first by order, then by its path and what else it holds, so that the row kept is always the same."""
+    w = Window.partitionBy("file_path", "pre").orderBy(*(order or ["text"]), *(c for c, kind in hits.dtypes if not kind.startswith("map")))
     return hits.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
 def sort_results(hits: DataFrame, by: str = "file_path") -> DataFrame:
+    """By file, text or path of the search, ties by the node's place; any other name leaves the order as it is."""
     keys = {"file_path": ["file_path", "text"], "node_text": ["text", "file_path"], "search_path": [F.size("search_path"), "file_path", "text"]}
-    return hits.orderBy(*keys[by]) if by in keys else hits
+    return hits.orderBy(*keys[by], "file_path", "pre") if by in keys else hits
 
 
 def filter_by_type(hits: DataFrame, endings: list[str]) -> DataFrame:
@@ -91,8 +128,9 @@ def grep_counts(hits: DataFrame) -> DataFrame:
     return hits.groupBy("path").agg(F.count("*").alias("n"))
 
 
-def grep_context(files: DataFrame, hits: DataFrame, around: int, content: str = "content") -> DataFrame:
-    """Lines at most so many from a hit, each once."""
-    near = hits.select("path", F.explode(F.sequence(F.col("line_no") - around, F.col("line_no") + around)).alias("line_no")).distinct()
+def grep_context(files: DataFrame, hits: DataFrame, around: int, content: str = "content", after: int | None = None) -> DataFrame:
+    """Lines at most so many before a hit (and `after` behind it, if that differs), each once."""
+    after = around if after is None else after
+    near = hits.select("path", F.explode(F.sequence(F.col("line_no") - around, F.col("line_no") + after)).alias("line_no")).distinct()
     lines = files.select("path", F.posexplode(F.split(content, "\n")).alias("i", "line")).select("path", (F.col("i") + 1).cast("bigint").alias("line_no"), "line")
     return lines.join(near, ["path", "line_no"])

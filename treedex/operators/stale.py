@@ -2,31 +2,62 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from treedex.functions.text import excluded, glob_column
+from treedex.operators.domains import nearest_area
+
+
+#: File names that are never a source: sync conflicts, converted maps, an assistant's instructions.
+NO_SOURCE = ["*.conflict*", "*.mm.md", "CLAUDE.md"]
+
 
 def fingerprint(files: DataFrame, dir: str = "dir") -> DataFrame:
-    """dir, fingerprint: SHA-256 over its files' names, sizes and times in order of names."""
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("name", F.concat_ws(":", "name", F.col("length").cast("string"), F.col("mtime_ns").cast("string")).alias("s")))), lambda x: x["s"])
-    return files.groupBy(dir).agg(F.sha2(F.array_join(parts, "\n"), 256).alias("fingerprint"))
+    """dir, fingerprint: `sha256:` and the hash of `name,size,time` and a line end for each file that isn't hidden, in order of names.
+
+    files: all files of the folders, whatever their type. An empty folder has no row here; empty_fingerprint() is its value.
+    """
+    shown = files.filter(~F.col("name").startswith("."))
+    line = F.concat("name", F.lit(","), F.col("length").cast("string"), F.lit(","), F.col("mtime_ns").cast("string"), F.lit("\n"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("name", line.alias("s")))), lambda x: x["s"])
+    return shown.groupBy(dir).agg(F.concat(F.lit("sha256:"), F.sha2(F.array_join(parts, "").cast("binary"), 256)).alias("fingerprint"))
+
+
+def empty_fingerprint() -> Column:
+    return F.concat(F.lit("sha256:"), F.sha2(F.lit("").cast("binary"), 256))
 
 
 def changed(manifest_cards: DataFrame, files: DataFrame) -> DataFrame:
-    """manifest_cards: dir, kind, source, source_hash. Adds stale: the file is gone, or its hash doesn't begin with the stored one.
+    """manifest_cards: dir, kind, source, source_hash, and pos (the entry's place) if there is one. Adds stale: the file is gone, can't be read, or its hash doesn't begin with the stored one.
 
-    Folder summaries and entries without a hash or a local source are left out; of a source listed twice the first counts.
+    Folder summaries and entries without a hash or a local source are left out; of a source listed twice the first entry counts. files: file_path and
+    content (null: can't be read) or is_dir true, which is never stale.
     """
-    m = manifest_cards.filter("coalesce(kind, '') <> 'dir_summary' and source_hash is not null and source is not null and not source rlike '^https?://'")
-    m = m.groupBy("dir", "source").agg(F.first("source_hash").alias("source_hash"))
-    now = files.select(F.col("file_path").alias("source"), F.concat(F.lit("sha256:"), F.sha2(F.col("content").cast("binary"), 256)).alias("hash"))
-    return m.join(now, "source", "left").withColumn("stale", F.coalesce(~F.col("hash").startswith(F.col("source_hash")), F.lit(True)))
+    m = manifest_cards.filter("coalesce(kind, '') <> 'dir_summary' and coalesce(source_hash, '') <> '' and source is not null and not source rlike '^https?://'")
+    m = m.groupBy("dir", "source").agg((F.min_by("source_hash", "pos") if "pos" in m.columns else F.min("source_hash")).alias("source_hash"))
+    now = files.select(F.col("file_path").alias("source"), F.concat(F.lit("sha256:"), F.sha2(F.col("content").cast("binary"), 256)).alias("hash"), (F.coalesce("is_dir", F.lit(False)) if "is_dir" in files.columns else F.lit(False)).alias("_d"))
+    return m.join(now, "source", "left").withColumn("stale", ~F.coalesce("_d", F.lit(False)) & F.coalesce(~F.col("hash").startswith(F.col("source_hash")), F.lit(True))).drop("_d")
+
 
+def ending(name: str) -> Column:
+    return F.lower(F.regexp_extract(name, r"[^./](\.[^./]*)$", 1))
 
-def untracked(files: DataFrame, tracked: DataFrame) -> DataFrame:
-    """Files of a folder, of an ending that its sources have, that are no source. files: dir, name, file_path; tracked: dir, source."""
-    ending = lambda c: F.regexp_extract(c, r"(\.[^./]*)$", 1)
-    kinds = tracked.select("dir", ending("source").alias("ending")).distinct()
-    return files.filter(~F.col("name").startswith(".")).withColumn("ending", ending("name")).join(kinds, ["dir", "ending"], "left_semi").join(tracked.select(F.col("source").alias("file_path")), "file_path", "left_anti").drop("ending")
+
+def untracked(files: DataFrame, tracked: DataFrame, areas: DataFrame | None = None) -> DataFrame:
+    """Files of a folder, of an ending that its sources have, that are no source. files: dir, name, file_path; tracked: dir, source.
+
+    Hidden files are left out, and those whose names fit a pattern of NO_SOURCE or of the nearest area's source_exclude (areas: dir, source_exclude).
+    """
+    kinds = tracked.select("dir", ending("source").alias("ending")).filter("ending <> ''").distinct()
+    out = files.filter(~F.col("name").startswith(".")).withColumn("ending", ending("name")).join(kinds, ["dir", "ending"], "left_semi").join(tracked.select(F.col("source").alias("file_path")), "file_path", "left_anti").drop("ending")
+    out = out.filter(~excluded(F.col("name"), NO_SOURCE))
+    if areas is not None:
+        near = nearest_area(out.select("file_path").distinct(), areas).select("file_path", F.coalesce("area.source_exclude", F.array().cast("array<string>")).alias("_p"))
+        fits = F.exists("_p", lambda p: F.regexp_like(F.col("name"), glob_column(p)))
+        out = out.join(near, "file_path").filter(~fits).drop("_p")
+    return out
 
 
 def stale_dirs(stored: DataFrame, current: DataFrame, changes: DataFrame, new: DataFrame, cards: DataFrame) -> DataFrame:
@@ -41,5 +72,26 @@ def totals(dirs: DataFrame) -> DataFrame:
     return dirs.agg(F.count_if("stale").alias("stale"), F.count_if(~F.col("stale")).alias("current"))
 
 
+def scan(listed: DataFrame, content: DataFrame, heads: DataFrame, cards: DataFrame, areas: DataFrame | None = None) -> DataFrame:
+    """dir, stale for all managed folders (those with a manifest), in two steps: fingerprints first, then only the folders that differ in full.
+
+    listed: dir, name, file_path, length, mtime_ns of all files; content: file_path and content, asked for sources only; heads: dir, fingerprint;
+    cards: dir, kind, source, source_hash, pos. A folder with no cards at all is stale if it differs.
+    """
+    current = heads.select("dir").distinct().join(fingerprint(listed), "dir", "left").select("dir", F.coalesce("fingerprint", empty_fingerprint()).alias("fingerprint"))
+    differing = heads.join(current.withColumnRenamed("fingerprint", "now"), "dir").filter(~F.col("fingerprint").eqNullSafe(F.col("now"))).select("dir").distinct()
+    mine = cards.join(differing, "dir", "left_semi")
+    sources = mine.filter("coalesce(kind, '') <> 'dir_summary' and coalesce(source_hash, '') <> ''").select("dir", "source").filter("source is not null")
+    return stale_dirs(heads, current, changed(mine, content), untracked(listed.join(differing, "dir", "left_semi").select("dir", "name", "file_path"), sources, areas), cards)
+
+
+def update(dirs: DataFrame, refresh: Callable[[str], object]) -> tuple[int, int]:
+    """Call refresh(dir) for each stale folder in order, one after another; how many folders were stale and how many current."""
+    t = totals(dirs).first()
+    for r in dirs.filter("stale").select("dir").distinct().orderBy("dir").toLocalIterator():
+        refresh(r.dir)
+    return t.stale, t.current
+
+
 def hash_matches(content: Column, stored: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(content.cast("binary"), 256)).startswith(stored)

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from treedex.config import Config
 from treedex.functions import text as T
 from treedex.operators import buckets, cards, domains, keywords, markdown, search, stale, tree, words
-from treedex.plans import index as plan
+from treedex.plans import index as plan, render
 from treedex.sources import mindmap
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,13 +153,13 @@ def tree_interval(spark, d):
 
 @query(f"WITH {NODES} SELECT n.file_path, n.pre, count(*) AS depth, string_agg(p.pre::VARCHAR, '/' ORDER BY p.pre) AS path FROM n JOIN n p ON p.file_path = n.file_path AND n.pre BETWEEN p.pre AND p.last GROUP BY 1, 2")
 def tree_depth_path(spark, d):
-    n = tree.depth_and_path(nodes(spark, d).withColumn("name", F.col("pre").cast("string")), text="name")
+    n = tree.depth_and_path(nodes(spark, d).withColumn("name", F.col("pre").cast("string")), text="name", levels=3)
     return n.select("file_path", "pre", "depth", F.array_join("path", "/").alias("path"))
 
 
 @query(f"WITH {NODES} SELECT p.file_path, p.pre, count(*) AS n FROM n JOIN n p ON p.file_path = n.file_path AND n.pre > p.pre AND n.pre <= p.last GROUP BY 1, 2")
 def descendant_counts(spark, d):
-    return tree.descendant_counts(nodes(spark, d)).select(F.col("o_file_path").alias("file_path"), F.col("o_pre").alias("pre"), "n")
+    return tree.descendant_counts(nodes(spark, d))
 
 
 def _geo(spark, d):
@@ -173,9 +174,9 @@ def _geo(spark, d):
 @query("""SELECT r_name AS region, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey WHERE n_name IN (SELECT n_name FROM nation WHERE n_nationkey < 10) GROUP BY 1""")
 def geo_subtree(spark, d):
     g = _geo(spark, d)
-    inside = tree.contained(g.filter("level = 2 and n < 10").select("file_path", "pre", "last"), g.filter("level = 3").select("file_path", "pre"))
+    below = tree.descendants(g, (F.col("level") == 2) & (F.col("n") < 10))
     names = g.filter("level = 1").select("file_path", F.col("text").alias("region"))
-    return inside.groupBy("file_path").agg(F.count("*").alias("n")).join(names, "file_path").select("region", "n")
+    return below.filter("level = 3").groupBy("file_path").agg(F.count("*").alias("n")).join(names, "file_path").select("region", "n")
 
 
 @query(f"WITH {NODES} SELECT file_path, parent_pre AS pre, count(*) AS n FROM n WHERE parent_pre = 1 AND level = 3 GROUP BY 1, 2")
@@ -189,7 +190,7 @@ def children_by_type(spark, d):
 def nearest_heading(spark, d):
     n = nodes(spark, d).withColumn("node_type", F.when(F.col("level") <= 2, "heading").otherwise("list_item"))
     found = search.search_sequence(n, ["with"]).select("file_path", "pre")
-    return tree.nearest_heading(n, found).select("file_path", "pre", "heading_pre")
+    return tree.nearest_heading(n, found, levels=2).select("file_path", "pre", "heading_pre")
 
 
 # --- search
@@ -310,26 +311,90 @@ def domain_global_merge(spark, d):
 # --- tags
 
 
+def _word(i: int):
+    """The i-th word of ASCII letters of a text, from 0."""
+    return F.coalesce(F.get(F.regexp_extract_all("content", F.lit("[A-Za-z]+"), F.lit(0)), F.lit(i)), F.lit("zz"))
+
+
 def _tagged(spark, d):
-    return files(spark, d).select("file_path", "name", F.concat(F.lit("---\ntitle: t\ntags: ["), "lang", F.lit(", '"), "source", F.lit("']\n---\n#"), "lang", F.lit(" and `#code` #x"), (F.col("doc_id") % 5).cast("string"), F.lit(" #12 #include\n")).alias("content"))
+    """A file whose tags are words of its text: a list, a plain line, hashtags, and what looks like tags and isn't."""
+    made = F.concat(
+        F.lit("---\ntitle: t\nTags: ["), _word(0), F.lit(", '"), _word(1), F.lit("', \""), _word(2), F.lit("\"]\ntag:  "), _word(3), F.lit(" , '"), _word(4), F.lit("',\nother: "), _word(5), F.lit("\n---\n#"), _word(6), F.lit(" and `#"), _word(7),
+        F.lit("` x#"), _word(8), F.lit(" (#no) #12 #Include\n```\n#"), _word(9), F.lit("\n```\n#"), _word(10), F.lit("-"), _word(11), F.lit(", end\n"), F.col("content"),
+    )
+    return files(spark, d).select("file_path", "name", made.alias("content"))
 
 
-@query(f"WITH {FILES} SELECT file_path, lang AS tag FROM f UNION ALL SELECT file_path, 'x' || doc_id % 5 FROM f")
+TAGS = FILES + """,
+    w AS (SELECT file_path, regexp_extract_all(content, '[A-Za-z]+') AS w FROM f),
+    z AS (SELECT file_path, list_transform(range(1, 13), lambda i: coalesce(w[i], 'zz')) AS z FROM w),
+    fm AS (SELECT DISTINCT file_path, unnest([z[1], z[2], z[3], z[4], chr(39) || z[5] || chr(39)]) AS tag FROM z),
+    ht AS (SELECT DISTINCT file_path, tag FROM (SELECT file_path, unnest([z[7], z[11] || '-' || z[12]]) AS tag FROM z) WHERE lower(tag) NOT IN ('define', 'include', 'ifndef', 'endif', 'pragma', 'undef', 'if', 'else', 'error', 'warning', 'line'))"""
+
+
+@query(f"WITH {TAGS} SELECT file_path, tag FROM ht")
 def tag_hashtags(spark, d):
     return _tagged(spark, d).select("file_path", F.explode(T.hashtags(F.col("content"))).alias("tag"))
 
 
-@query(f"WITH {FILES} SELECT file_path, lang AS tag FROM f UNION ALL SELECT file_path, source FROM f")
+@query(f"WITH {TAGS} SELECT file_path, tag FROM fm")
 def tag_frontmatter(spark, d):
     return _tagged(spark, d).select("file_path", F.explode(T.frontmatter_tags(F.col("content"))).alias("tag"))
 
 
-@query(f"WITH {FILES}, t AS (SELECT lang AS tag, file_path FROM f UNION ALL SELECT source, file_path FROM f UNION ALL SELECT 'x' || doc_id % 5, file_path FROM f) SELECT tag, count(*) AS n_files FROM t GROUP BY 1")
+@query(f"WITH {TAGS} SELECT tag, count(*) AS n_files FROM (SELECT * FROM fm UNION SELECT * FROM ht) GROUP BY 1")
 def tag_index(spark, d):
     t = _tagged(spark, d).select("file_path", F.explode(F.array_union(T.hashtags(F.col("content")), T.frontmatter_tags(F.col("content")))).alias("tag"))
     return t.groupBy("tag").agg(F.count("*").alias("n_files"))
 
 
+# --- rendered lines, in order
+
+
+def _index(spark, d, made: DataFrame, areas: DataFrame | None = None):
+    f = made.select("file_path", T.parent_dir(F.col("file_path")).alias("dir"), T.base_name(F.col("file_path")).alias("name"), T.file_type(F.col("file_path")).alias("ftype"), "content").filter("ftype <> 'card'")
+    return plan.KnowledgeIndex(f, areas if areas is not None else spark.createDataFrame([], "dir string, domain string"), Config(["/kb"]), keywords.parse("Words\n\twith\n\tthe:nosuchword\nmit"))
+
+
+def _numbered(lines: DataFrame) -> DataFrame:
+    """Lines of a view with their place in it."""
+    return lines.select(F.row_number().over(Window.partitionBy("domain").orderBy("path", "text", "link")).cast("bigint").alias("n"), (F.size("path") - 1).cast("bigint").alias("depth"), "text", "link")
+
+
+@query(f"""WITH {TAGS}, t AS (SELECT tag, file_path FROM fm WHERE NOT ends_with(file_path, '.kb.md') AND NOT ends_with(file_path, '.mm') UNION SELECT tag, file_path FROM ht WHERE NOT ends_with(file_path, '.kb.md') AND NOT ends_with(file_path, '.mm')),
+    l AS (SELECT DISTINCT tag, 0::BIGINT AS depth, '' AS link, tag AS text FROM t UNION ALL SELECT tag, 1, file_path, regexp_extract(file_path, '[^/]*$') FROM t)
+    SELECT row_number() OVER (ORDER BY lower(tag), tag, depth, link) AS n, depth, text, nullif(link, '') AS link FROM l""")
+def markdown_tag_lines(spark, d):
+    return _numbered(render.tag_rows(_index(spark, d, _tagged(spark, d)), "markdown", "/home"))
+
+
+@query(f"""WITH {FILES}, p AS (SELECT DISTINCT file_path, string_split(file_path, '/') AS x FROM f WHERE ftype <> 'card'),
+    l AS (SELECT DISTINCT x[3] AS a, 0 AS o, '' AS b, 0 AS q, '' AS c, 0::BIGINT AS depth, x[3] || '/' AS text, NULL AS link FROM p UNION ALL SELECT DISTINCT x[3], 1, x[4], 0, '', 1, x[4] || '/', NULL FROM p UNION ALL SELECT x[3], 1, x[4], 1, x[5], 2, x[5], file_path FROM p)
+    SELECT row_number() OVER (ORDER BY a, o, b, q, c) AS n, depth, text, link FROM l""")
+def markdown_file_lines(spark, d):
+    return _numbered(render.file_rows(_index(spark, d, files(spark, d)), "markdown", "/home"))
+
+
+@query("""WITH i AS (SELECT s_nationkey AS k, s_name AS t, lower(s_name) AS lt, upper(left(s_name, 1)) AS letter, count(*) OVER (PARTITION BY s_nationkey) AS n, count(*) OVER (PARTITION BY s_nationkey, upper(left(s_name, 1))) AS m, row_number() OVER (PARTITION BY s_nationkey, upper(left(s_name, 1)) ORDER BY lower(s_name), s_name) - 1 AS r FROM supplier),
+    c AS (SELECT *, CASE WHEN n > 3 AND m > 3 THEN r // ceil(m / ceil(m / 3.0))::BIGINT END AS chunk FROM i),
+    e AS (SELECT *, upper(left(min_by(t, lt) OVER w, 3)) AS x, upper(left(max_by(t, lt) OVER w, 3)) AS y FROM c WINDOW w AS (PARTITION BY k, letter, chunk))
+    SELECT k AS s_nationkey, t AS s_name, CASE WHEN n <= 3 THEN '' WHEN m <= 3 THEN letter ELSE letter || '/' || CASE WHEN x = y THEN x ELSE x || '–' || y END END AS buckets FROM e""")
+def bucket_path(spark, d):
+    b = buckets.letter_path(table(spark, d, "supplier").select("s_nationkey", "s_name"), ["s_nationkey"], "s_name", 3)
+    return b.select("s_nationkey", "s_name", F.array_join(F.transform("buckets", lambda x: x["a"]), "/").alias("buckets"))
+
+
+@query(f"""WITH {MARKED}, m AS (SELECT file_path, line_number, kind, level, text, row_number() OVER (PARTITION BY file_path ORDER BY line_number) AS pre FROM k WHERE kind <> 'content'),
+    sec AS (SELECT file_path, section, string_agg(text, ' ' ORDER BY line_number) AS content, min(line_number) AS line_number FROM (SELECT *, sum(CASE WHEN kind = 'heading' THEN 1 ELSE 0 END) OVER (PARTITION BY file_path ORDER BY line_number) AS section FROM k) WHERE section > 0 AND kind <> 'list_item' GROUP BY 1, 2),
+    h AS (SELECT m.file_path, m.pre, (SELECT max(g.pre) FROM m g WHERE g.file_path = m.file_path AND g.kind = 'heading' AND g.pre <= m.pre) AS hp FROM m LEFT JOIN sec ON sec.file_path = m.file_path AND sec.line_number = m.line_number
+        WHERE regexp_matches(regexp_replace(lower(CASE WHEN m.kind = 'heading' THEN sec.content ELSE m.text END), '[\\x{{00AA}}\\x{{00B5}}\\x{{00BA}}\\x{{00C0}}-\\x{{00D6}}\\x{{00D8}}-\\x{{00F6}}\\x{{00F8}}-\\x{{024F}}]', '0', 'g'), '\\b(?:with)\\b')),
+    a AS (SELECT h.file_path, h.pre, regexp_replace(regexp_replace(regexp_replace(lower(g.text), '[^a-z0-9_\\x{{00AA}}\\x{{00B5}}\\x{{00BA}}\\x{{00C0}}-\\x{{00D6}}\\x{{00D8}}-\\x{{00F6}}\\x{{00F8}}-\\x{{024F}}-]', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g') AS anchor FROM h JOIN m g ON g.file_path = h.file_path AND g.pre = h.hp)
+    SELECT file_path, anchor, min(pre) AS pre FROM a GROUP BY 1, 2""")
+def hits_by_heading(spark, d):
+    n = markdown.nodes(_marked(spark, d))
+    return keywords.by_heading(search.search_sequence(n, ["with"]).select("file_path", "pre"), n, []).select("file_path", "anchor", "pre")
+
+
 # --- words
 
 PLAIN = "regexp_replace(lower(text), '[\\x{00AA}\\x{00B5}\\x{00BA}\\x{00C0}-\\x{00D6}\\x{00D8}-\\x{00F6}\\x{00F8}-\\x{024F}]', '0', 'g')"
@@ -376,14 +441,24 @@ def word_suffix_pairs(spark, d):
 
 @query()
 def word_consolidate(spark, d):
-    v = words.hits(_occurrences(spark, d)).groupBy("word").agg(F.min("file_path").alias("ord"), F.slice(F.array_sort(F.collect_set("file_path")), 1, words.MOST_FILES + 1).alias("files"))
-    return words.consolidate(v)
-
-
-@query(f"""WITH {SIGNIFICANT}, v AS (SELECT DISTINCT word FROM w), c AS (SELECT word, count(*) OVER (PARTITION BY left(word, 1)) AS n1, count(*) OVER (PARTITION BY left(word, 2)) AS n2 FROM v)
-    SELECT CASE WHEN n1 <= 24 THEN left(word, 1) WHEN n2 <= 24 THEN left(word, 2) ELSE left(word, 3) END AS prefix, count(*) AS n FROM c GROUP BY 1""")
-def word_first_char_groups(spark, d):
-    return words.prefix_groups(_occurrences(spark, d).select("word").distinct()).groupBy("prefix").agg(F.count("*").alias("n"))
+    return words.consolidate(words.first_files(_occurrences(spark, d)))
+
+
+@query(f"""WITH {SIGNIFICANT}, v AS (SELECT DISTINCT word, left(word, 1) AS c, left(word, 2) AS p, left(word, 3) AS q FROM w),
+    l AS (SELECT c, r, k, CASE WHEN k <= 24 THEN NULL WHEN r <= 2 * (k - 24) THEN min(c) OVER (PARTITION BY k, (r - 1) // 2) || '-' || max(c) OVER (PARTITION BY k, (r - 1) // 2) ELSE c END AS above
+        FROM (SELECT c, row_number() OVER (ORDER BY c) AS r, count(*) OVER () AS k FROM (SELECT DISTINCT c FROM v))),
+    m AS (SELECT *, CASE WHEN k <= 24 THEN sum(n) OVER () ELSE sum(n) OVER (PARTITION BY above) END AS level_words, CASE WHEN k <= 24 THEN k ELSE count(*) OVER (PARTITION BY above) END AS level_letters FROM l JOIN (SELECT c, count(*) AS n FROM v GROUP BY 1) USING (c)),
+    x AS (SELECT c, p, row_number() OVER (PARTITION BY c ORDER BY p) AS r, count(*) OVER (PARTITION BY c) AS n_p FROM (SELECT DISTINCT c, p FROM v)),
+    y AS (SELECT *, CASE WHEN n_p > 24 THEN CASE WHEN count(*) OVER g = 1 THEN p ELSE min(p) OVER g || '-' || max(p) OVER g END END AS prefix_range FROM x WINDOW g AS (PARTITION BY c, (r - 1) // ceil(n_p / 24.0)::BIGINT)),
+    t3 AS (SELECT p, q, count(*) OVER (PARTITION BY p) AS n_q FROM (SELECT DISTINCT p, q FROM v)),
+    j AS (SELECT v.*, m.above, m.level_words, m.level_letters, m.n AS n_c, y.prefix_range, t3.n_q, count(*) OVER (PARTITION BY v.p) AS n_w, row_number() OVER (PARTITION BY v.p ORDER BY v.word) - 1 AS i FROM v JOIN m ON m.c = v.c JOIN y ON y.p = v.p JOIN t3 ON t3.q = v.q AND t3.p = v.p),
+    s AS (SELECT *, i // greatest(1, n_w // 24) AS slice FROM j),
+    e AS (SELECT *, CASE WHEN count(*) OVER h = 1 THEN word WHEN left(min(word) OVER h, 3) = left(max(word) OVER h, 3) THEN left(min(word) OVER h, 3) ELSE left(min(word) OVER h, 3) || '-' || left(max(word) OVER h, 3) END AS label FROM s WINDOW h AS (PARTITION BY p, slice)),
+    b AS (SELECT p, slice, row_number() OVER (PARTITION BY p, label ORDER BY slice) AS again FROM (SELECT DISTINCT p, slice, label FROM e))
+    SELECT word, concat_ws('/', above, CASE WHEN level_words <= 24 OR n_c = 1 THEN NULL WHEN n_c <= 24 THEN CASE WHEN level_letters > 1 THEN c END WHEN prefix_range IS NOT NULL THEN prefix_range WHEN n_w <= 24 THEN e.p
+        WHEN n_q <= 24 THEN e.p || '/' || q ELSE e.p || '/' || label || CASE WHEN again > 1 THEN ' (' || again || ')' ELSE '' END END) AS path FROM e JOIN b ON b.p = e.p AND b.slice = e.slice""")
+def word_groups(spark, d):
+    return words.word_groups(_occurrences(spark, d).select("word").distinct()).select("word", F.array_join("path", "/").alias("path"))
 
 
 # --- buckets
@@ -444,7 +519,7 @@ def dir_annotation(spark, d):
 
 @query(f"WITH {CARDS} SELECT c.domain, c.file_path AS src_path, c.title AS src_title, coalesce(t.title, 's' || (c.ord - 1)) AS tgt_label, t.file_path AS tgt_path FROM c LEFT JOIN c t ON t.ord = c.ord - 1")
 def deps_left_join(spark, d):
-    return cards.dependencies(_cards(spark, d))
+    return cards.dependencies(_cards(spark, d)).drop("pos")
 
 
 @query(f"WITH {CARDS} SELECT domain, 't' || ord % 100 AS term, arg_max(title, ord) AS title, arg_max(file_path, ord) AS file_path FROM c GROUP BY 1, 2")
@@ -458,14 +533,17 @@ def fs_anti_absorbed(spark, d):
     return cards.not_absorbed(f, cards.groups(_cards(spark, d))).select("file_path")
 
 
-@query()
+@query("""SELECT '/kb/a/.kb/' || p_partkey || '.kb.md' AS file_path, p_partkey::VARCHAR AS id, 's' || p_partkey AS slug, 'a,' || p_brand AS tags, 'first second' AS essence, '/kb/a/n.md' AS source_path,
+    '{"id":' || p_partkey || ',"meta":{"k":1},"slug":"s' || p_partkey || '","source":["https://x","../n.md"],"tags":["a","' || p_brand || '"]}' AS fm FROM part""")
 def card_frontmatter(spark, d):
     made = F.concat(F.lit("---\nid: "), F.col("p_partkey").cast("string"), F.lit("\nslug: s"), F.col("p_partkey").cast("string"), F.lit("\ntags: [a, "), "p_brand", F.lit("]\nsource: [https://x, ../n.md]\nmeta: {k: 1}\n---\n# "), "p_name", F.lit("\n> first\n> second\n\ntext"))
     f = table(spark, d, "part").select(F.concat(F.lit("/kb/a/.kb/"), F.col("p_partkey").cast("string"), F.lit(".kb.md")).alias("file_path"), made.alias("content"))
     return cards.with_source(cards.parse(f)).select("file_path", "id", "slug", F.array_join("tags", ",").alias("tags"), "essence", "source_path", F.col("fm").cast("string").alias("fm"))
 
 
-@query()
+@query("""WITH p AS (SELECT p_partkey::VARCHAR AS file_path, p_brand, p_type FROM part)
+    SELECT file_path, 1::BIGINT AS pre, 3::BIGINT AS last, NULL::BIGINT AS parent_pre, p_brand AS text, '' AS note, 'a,b' AS tags, p_brand || ' ' || p_brand AS search_text FROM p UNION ALL
+    SELECT file_path, 2, 2, 1, 'x & ' || chr(160), 'n m', '', 'x & ' || chr(160) || ' x & ' || chr(160) || ' n m n m' FROM p UNION ALL SELECT file_path, 3, 3, 1, p_type, '', '', p_type || ' ' || p_type FROM p""")
 def mm_parse(spark, d):
     made = F.concat(F.lit('<map version="1.0"><node ID="R" TEXT="'), "p_brand", F.lit('" TAGS="a&#xa;b"><node TEXT="x &amp;amp; &nbsp;"><richcontent TYPE="NOTE"><html><body><p>n </p><p>m</p></body></html></richcontent></node><node TEXT="'), "p_type", F.lit('"/></node></map>'))
     f = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("file_path"), made.alias("content"))
@@ -475,7 +553,7 @@ def mm_parse(spark, d):
 # --- staleness
 
 
-@query("SELECT o_custkey::VARCHAR AS dir, sha256(string_agg(o_orderkey || ':' || o_custkey || ':' || o_orderkey * 3, chr(10) ORDER BY o_orderkey::VARCHAR)) AS fingerprint FROM orders GROUP BY 1")
+@query("SELECT o_custkey::VARCHAR AS dir, 'sha256:' || sha256(string_agg(o_orderkey || ',' || o_custkey || ',' || o_orderkey * 3 || chr(10), '' ORDER BY o_orderkey::VARCHAR)) AS fingerprint FROM orders GROUP BY 1")
 def dir_fingerprint(spark, d):
     f = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("dir"), F.col("o_orderkey").cast("string").alias("name"), F.col("o_custkey").alias("length"), (F.col("o_orderkey") * 3).alias("mtime_ns"))
     return stale.fingerprint(f)

@@ -1,15 +1,18 @@
-"""File discovery and reading: folders walked on the driver (hidden folders too, which Spark's readers skip), contents read by tasks."""
+"""File discovery and reading by tasks: the driver opens the first folders, tasks walk what lies below them (hidden folders too, which Spark's readers skip)."""
 
 from __future__ import annotations
 
 import fnmatch
 import os
+import re
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from treedex.functions.text import FILE_TYPES, MARKER, MARKER_WINDOW, selected_types
 
 SCHEMA = "file_path string, dir string, name string, ftype string, length bigint, mtime_ns bigint, root string"
+COLUMNS = [x.split()[0] for x in SCHEMA.split(", ")]
 
 
 def is_excluded(path: str, patterns: list[str]) -> bool:
@@ -18,8 +21,8 @@ def is_excluded(path: str, patterns: list[str]) -> bool:
     return any(bool(parts & {x for x in p.split("/") if x and "**" not in x}) if "**" in p else fnmatch.fnmatch(path, p) for p in patterns)
 
 
-def type_of(name: str) -> str | None:
-    return next((FILE_TYPES[e] for e in sorted(FILE_TYPES, key=len, reverse=True) if name.lower().endswith(e)), None)
+def type_of(name: str, known: dict[str, str] = FILE_TYPES) -> str | None:
+    return next((known[e] for e in sorted(known, key=len, reverse=True) if name.lower().endswith(e)), None)
 
 
 def roots(include: list[str]) -> tuple[list[str], list[str]]:
@@ -36,26 +39,84 @@ def roots(include: list[str]) -> tuple[list[str], list[str]]:
     return list(dict.fromkeys(found)), warnings
 
 
+#: Files of a card folder that aren't indexed but read: an area's settings and a folder's record of its cards.
+BESIDE = {"kb.yml": "area", "segmentation.yml": "manifest"}
+
+
+def kind_of(here: str, name: str, types: list[str] | None, known: dict[str, str] = FILE_TYPES) -> str | None:
+    """A file's type if it is wanted: one of types, `area` or `manifest`; with types None every file, `other` if of no type."""
+    if os.path.basename(here) == ".kb" and name in BESIDE:
+        return BESIDE[name]
+    kind = type_of(name, known)
+    return (kind or "other") if types is None else kind if kind in types else None
+
+
+def files_of(here: str, names: list[str], root: str, exclude: list[str], types: list[str] | None, output: str | None, known: dict[str, str] = FILE_TYPES):
+    for name in sorted(names):
+        path = os.path.join(here, name)
+        kind = kind_of(here, name, types, known)
+        if kind is None or is_excluded(path, exclude) or output and path == os.path.abspath(output):
+            continue
+        try:
+            s = os.stat(path)
+        except OSError:  # gone since, or a link to nothing
+            continue
+        yield path, here, name, kind, s.st_size, s.st_mtime_ns, root
+
+
 def walk(include: list[str], exclude: list[str] | None = None, types: list[str] | None = None, output: str | None = None):
-    """Rows of SCHEMA, folders pruned before they are entered; each file once."""
+    """Rows of SCHEMA, folders pruned before they are entered; each file once. For a few folders; see listed()."""
     exclude, types, seen = exclude or [], types or selected_types(), set()
     for root in roots(include)[0]:
         for here, dirs, names in os.walk(root):
             dirs[:] = sorted(d for d in dirs if not is_excluded(os.path.join(here, d), exclude))
-            for name in sorted(names):
-                path = os.path.join(here, name)
-                kind = type_of(name)
-                if kind not in types or path in seen or is_excluded(path, exclude) or output and path == os.path.abspath(output):
-                    continue
-                seen.add(path)
-                s = os.stat(path)
-                yield path, here, name, kind, s.st_size, s.st_mtime_ns, root
+            for row in files_of(here, names, root, exclude, types, output):
+                if row[0] not in seen and row[3] in types:
+                    seen.add(row[0])
+                    yield row
+
+
+def listed(spark: SparkSession, include: list[str], exclude: list[str] | None = None, types: list[str] | None = None, output: str | None = None, every: bool = False) -> DataFrame:
+    """SCHEMA of all wanted files, areas and manifests among them, each once (of the first root that has it); every: files of any type.
+
+    The driver opens folders level by level until there are several for each core, or none; tasks walk below those, so no list of files is on the driver.
+    """
+    exclude, wanted = exclude or [], None if every else types or selected_types()
+    known = dict(FILE_TYPES)  # as registered here: a worker only knows the built-in ones
+    few = 4 * spark.sparkContext.defaultParallelism
+    open_, closed = [(r, r) for r in roots(include)[0]], []
+    while open_ and len(open_) < few:
+        below = []
+        for here, root in open_:
+            try:
+                with os.scandir(here) as found:
+                    below += [(e.path, root) for e in found if e.is_dir(follow_symlinks=False) and not is_excluded(e.path, exclude)]
+            except OSError:
+                continue
+        closed, open_ = closed + open_, below  # of those that were opened only the files are left to list
+    work = [(h, r, False) for h, r in closed] + [(h, r, True) for h, r in open_]
+
+    def run(batches):
+        for rows in batches:
+            for here, root, deep in zip(rows["here"], rows["root"], rows["deep"], strict=True):
+                held = []
+                for now, dirs, names in os.walk(here):
+                    dirs[:] = sorted(d for d in dirs if not is_excluded(os.path.join(now, d), exclude)) if deep else []
+                    held += files_of(now, names, root, exclude, wanted, output, known)
+                    if len(held) > 10_000:
+                        yield pd.DataFrame(held, columns=COLUMNS)
+                        held = []
+                yield pd.DataFrame(held, columns=COLUMNS)
+
+    if not work:
+        return spark.createDataFrame([], SCHEMA)
+    todo = spark.createDataFrame(work, "here string, root string, deep boolean").repartition(min(len(work), few))
+    return todo.mapInPandas(run, SCHEMA).groupBy("file_path").agg(F.min(F.struct("root", *(c for c in COLUMNS if c not in ("file_path", "root")))).alias("r")).select("file_path", *(f"r.{c}" for c in COLUMNS if c != "file_path"))
 
 
 def discover(spark: SparkSession, include: list[str], exclude: list[str] | None = None, types: list[str] | None = None, output: str | None = None) -> DataFrame:
-    """SCHEMA and content, text of files that are UTF-8 and not generated ones."""
-    listed = spark.createDataFrame(list(walk(include, exclude, types, output)), SCHEMA)
-    return read(listed).filter("content is not null").filter(~F.contains(F.substring("content", 1, MARKER_WINDOW), F.lit(MARKER)))
+    """SCHEMA and content, text of files that are UTF-8 and not generated ones; areas and manifests among them, by ftype."""
+    return read(listed(spark, include, exclude, types, output)).filter("content is not null").filter(~F.contains(F.substring("content", 1, MARKER_WINDOW), F.lit(MARKER)))
 
 
 def read(listed: DataFrame) -> DataFrame:
@@ -75,41 +136,75 @@ def read(listed: DataFrame) -> DataFrame:
     return listed.repartition("file_path").mapInPandas(contents, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in listed.schema.fields) + ", content string")
 
 
-def beside(listed: DataFrame, name: str) -> list[str]:
-    """Existing files of a name in the .kb folders of all listed folders, asked for by path."""
-    dirs = [r.dir for r in listed.select("dir").distinct().toLocalIterator()]
-    return sorted(p for d in dirs if os.path.isfile(p := os.path.join(d, ".kb", name)))
+def read_bytes(paths: DataFrame) -> DataFrame:
+    """paths: file_path. Adds content (binary; null where a file is gone or can't be read, which leaves no row for one that is gone) and is_dir."""
+
+    def run(batches):
+        for rows in batches:
+            out = []
+            for p in rows["file_path"]:
+                if os.path.isdir(p):
+                    out.append((p, None, True))
+                elif os.path.exists(p):
+                    try:
+                        with open(p, "rb") as f:
+                            out.append((p, f.read(), False))
+                    except OSError:
+                        out.append((p, None, False))
+            yield pd.DataFrame(out, columns=["file_path", "content", "is_dir"])
+
+    return paths.repartition("file_path").mapInPandas(run, "file_path string, content binary, is_dir boolean")
+
+
+def above_kb(path: Column) -> Column:
+    """The folder whose card folder holds a file."""
+    return F.regexp_replace(path, r"/\.kb/[^/]*$", "")
+
+
+def areas_of(files: DataFrame) -> DataFrame:
+    """dir, domain, source_exclude of area files among files (ftype `area`), read by tasks."""
+
+    def run(batches):
+        for rows in batches:
+            out = []
+            for p, c in zip(rows["file_path"], rows["content"], strict=True):
+                v = _mapping(c)
+                out.append((os.path.dirname(os.path.dirname(p)), None if v.get("domain") is None else str(v["domain"]), [str(x) for x in v.get("source_exclude") or []]))
+            yield pd.DataFrame(out, columns=["dir", "domain", "source_exclude"])
+
+    return files.filter("ftype = 'area'").select("file_path", "content").mapInPandas(run, "dir string, domain string, source_exclude array<string>")
+
 
+def manifests_of(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(dir, fingerprint) and (dir, pos, kind, source, source_hash) of manifests among files, read by tasks; sources resolved against the card folder."""
+
+    def run(batches):
+        for rows in batches:
+            out = []
+            for p, c in zip(rows["file_path"], rows["content"], strict=True):
+                v, kb = _mapping(c), os.path.dirname(p)
+                out.append((os.path.dirname(kb), None if v.get("dir_fingerprint") is None else str(v["dir_fingerprint"]), [(i, x.get("kind"), local_path(x.get("source"), kb), x.get("source_hash")) for i, x in enumerate(v.get("cards") or []) if isinstance(x, dict)]))
+            yield pd.DataFrame(out, columns=["dir", "fingerprint", "cards"])
 
-def areas(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """dir, domain, source_exclude of area files (<dir>/.kb/kb.yml)."""
-    rows = []
-    for p in paths:
-        v = _yaml(p)
-        rows.append((os.path.dirname(os.path.dirname(p)), v.get("domain"), [str(x) for x in v.get("source_exclude") or []]))
-    return spark.createDataFrame(rows, "dir string, domain string, source_exclude array<string>")
+    every = files.filter("ftype = 'manifest'").select("file_path", "content").mapInPandas(run, "dir string, fingerprint string, cards array<struct<pos:int,kind:string,source:string,source_hash:string>>")
+    return every.select("dir", "fingerprint"), every.select("dir", F.explode("cards").alias("c")).select("dir", "c.*")
 
 
-def manifests(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(dir, fingerprint) and (dir, kind, source, source_hash) of segmentation files."""
-    heads, cards = [], []
-    for p in paths:
-        v, d = _yaml(p), os.path.dirname(os.path.dirname(p))
-        heads.append((d, v.get("dir_fingerprint")))
-        for c in v.get("cards") or []:
-            s = c.get("source")
-            s = next((x for x in s if not str(x).startswith(("http://", "https://"))), None) if isinstance(s, list) else s
-            s = s if s is None or s.startswith(("http://", "https://", "/")) else os.path.normpath(os.path.join(d, s))
-            cards.append((d, c.get("kind"), s, c.get("source_hash")))
-    return spark.createDataFrame(heads, "dir string, fingerprint string"), spark.createDataFrame(cards, "dir string, kind string, source string, source_hash string")
+def local_path(source, kb: str) -> str | None:
+    """The first local path of a source (a text, a link or a list of them), from the card folder; None for web addresses alone."""
+    for x in source if isinstance(source, list) else [source]:
+        m = re.fullmatch(r"\[[^\]]*\]\(<?([^>)]*)>?\)", str(x).strip()) if x else None
+        path = m[1] if m else str(x or "").strip()
+        if path and not path.startswith(("http://", "https://")):
+            return os.path.normpath(os.path.join(kb, path))
+    return None
 
 
-def _yaml(path: str) -> dict:
+def _mapping(content: str | None) -> dict:
     import yaml
 
     try:
-        with open(path, encoding="utf-8") as f:
-            v = yaml.safe_load(f)
-    except (OSError, UnicodeDecodeError, yaml.YAMLError):
+        v = yaml.safe_load(content or "")
+    except yaml.YAMLError:
         v = None
     return v if isinstance(v, dict) else {}

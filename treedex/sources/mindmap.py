@@ -27,36 +27,40 @@ def _tree(content: str):
     return root if root.tag == "map" else None
 
 
-def _body(node, kind: str) -> str:
-    found = next((r for r in node.findall("richcontent") if r.get("TYPE") == kind), None)
+def _body(node, kind: str, below: bool = False) -> str:
+    """The text of a node's own rich text of a kind; with below, of the first anywhere below it, in order of the file."""
+    own = node.iter("richcontent") if below else node.findall("richcontent")
+    found = next((r for r in own if r.get("TYPE") == kind), None)
     body = found.find("html/body") if found is not None else None
     return " ".join(t for t in (x.strip() for x in body.itertext()) if t) if body is not None else ""
 
 
-def parse(path: str, content: str | None) -> list[tuple]:
-    """Rows of SCHEMA; none for what isn't a mind map."""
+def parse(path: str, content: str | None, below: bool = False) -> list[tuple]:
+    """Rows of SCHEMA; none for what isn't a mind map. Maps of any depth. below: a node without rich text has that of the first node below it."""
     root = _tree(content or "")
     top = root.find(".//node") if root is not None else None
     rows: list[list] = []
-
-    def visit(node, parent, level):
+    stack = [(iter([top]), None, 1)] if top is not None else []
+    while stack:
+        children, parent, level = stack[-1]
+        node = next(children, None)
+        if node is None:
+            stack.pop()
+            if parent is not None:
+                rows[parent - 1][2] = len(rows)
+            continue
         pre = len(rows) + 1
-        rows.append([path, pre, pre, parent, level, node.get("ID") or "", html.unescape(node.get("TEXT") or ""), _body(node, "NODE"), _body(node, "NOTE"), html.unescape(node.get("TAGS") or "").split(), node.get("CREATED"), node.get("MODIFIED")])
-        for child in node.findall("node"):
-            visit(child, pre, level + 1)
-        rows[pre - 1][2] = len(rows)
-
-    if top is not None:
-        visit(top, None, 1)
+        rows.append([path, pre, pre, parent, level, node.get("ID") or "", html.unescape(node.get("TEXT") or ""), _body(node, "NODE", below), _body(node, "NOTE", below), html.unescape(node.get("TAGS") or "").split(), node.get("CREATED"), node.get("MODIFIED")])
+        stack.append((iter(node.findall("node")), pre, level + 1))
     return [tuple(r) for r in rows]
 
 
-def nodes(files: DataFrame) -> DataFrame:
-    """files: file_path, content. Nodes with search_text (text, content, rich text and note) and tags; deep trees up to Python's recursion limit."""
+def nodes(files: DataFrame, below: bool = False) -> DataFrame:
+    """files: file_path, content. Nodes with search_text (text, content, rich text and note) and tags; below: see parse()."""
 
     def run(batches):
         for rows in batches:
-            out = [r for p, c in zip(rows["file_path"], rows["content"], strict=True) for r in parse(p, c)]
+            out = [r for p, c in zip(rows["file_path"], rows["content"], strict=True) for r in parse(p, c, below)]
             yield pd.DataFrame(out, columns=[x.split()[0] for x in SCHEMA.split(", ")]).astype({"parent_pre": "Int64"})
 
     n = files.select("file_path", "content").mapInPandas(run, SCHEMA)
