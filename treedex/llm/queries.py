@@ -18,7 +18,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.repeats(_documents(spark, sf_dir)).drop("text_kept")
+    return repeats.repeats(_documents(spark, sf_dir), text=False)
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,14 @@
 """Exact substring dedup: bytes covered by a string of LENGTH bytes that also starts elsewhere, by suffix arrays over what may repeat.
 
 1. Every LENGTH-byte window picks an anchor: the leftmost of its GRAM-byte grams with the smallest hash, so that equal windows pick equal grams at equal
-   places. Windows in a row with one anchor are a segment. Strings repeat only between segments whose anchors' grams are equal.
-2. Segments are counted by (gram, bytes). A gram that occurs once repeats nothing. A segment that occurs twice repeats as a whole. That settles copies of
-   any number without looking at pairs.
-3. What is left are distinct segments with a gram in common. They are written as words of 8 bytes, aligned at the anchor, and their suffixes sorted in blocks (linear
-   grouping, see suffix_array). Neighbours that share 24 words hold every repeat of 200 bytes; their windows are then compared in full (128-bit hashes).
-   A gram with more than HOT distinct segments is no key to sort by: its segments are halved by where the anchor lies in the window. All windows of a half
-   share a longer string around the anchor, which is its key; equal windows fall into equal halves with equal keys. Halves alone with their key repeat
-   nothing, equal ones repeat as a whole, and keys still shared by more than HOT are halved again, down to single windows.
-4. Removed spans meet their documents, whose other bytes are hashed.
+   places. Windows in a row with one anchor are a segment. Strings repeat only between segments whose anchors' grams are equal; a gram that occurs once repeats
+   nothing. Of equal segments of a gram (a kind, told by a hash of its bytes) one body goes on, with the number of its copies.
+2. A gram's kinds are one text for the suffix sorting, a kind of several copies twice: words of 8 bytes, aligned at the anchor, so that equal windows have
+   equal words. Neighbours in the suffix order (linear grouping, see suffix_array) that share 24 words make a run; two windows are equal exactly if their
+   first whole words are in one run and the bytes around those 24 words, 8 in all, are the same. Nothing else decides that a window repeats.
+3. A gram with more than HOT kinds is no text to sort at once: its kinds are halved by where the anchor lies in the window. All windows of a half share a
+   longer string around the anchor, which is its key; equal windows fall into equal halves with equal keys, again to be sorted, or halved once more.
+4. What was decided for a kind goes to all its copies; spans meet their documents, whose other bytes are hashed.
 """
 
 from __future__ import annotations
@@ -24,10 +23,10 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from . import common
-from .suffix_array import suffix_array
+from .suffix_array import ranges, suffix_arrays
 
 LENGTH, GRAM, WORD = 200, 32, 8
-HOT, BLOCK_SYMBOLS = 1000, 60_000
+HOT, BLOCK_SYMBOLS = 1000, 300_000
 #: Bytes of a long text handled at once.
 PIECE = 1 << 22
 
@@ -59,85 +58,125 @@ def segments(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
     return np.searchsorted(off, a, "right") - 1, a, b, m, h[m]
 
 
-def _windows(body: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of every window of so many bytes."""
-    out = []
-    for x in (body, np.uint8(255) - body[::-1]):
-        p = common.prefix_hash(x)
-        out.append(common.mix((p[length:] - p[:-length]) * common.powers(len(p))[1][: len(x) - length + 1]))
-    return out[0], out[1][::-1]
+_LOW = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
-def repeated_windows(bodies: list[bytes], anchors: list[int], length: int = LENGTH, word: int = WORD) -> list[np.ndarray]:
-    """For each segment: which of its windows also occur in another.
+def repeated_windows(body: np.ndarray, off: np.ndarray, anchor: np.ndarray, twice: np.ndarray, lane: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Windows that occur twice or more among the bodies of one lane: (body, place in it), in order.
 
-    bodies: the segments' bytes; anchors: the anchor's place in each.
+    body, off: the bodies' bytes one behind another; anchor: the anchor's place in each; twice: whether a body stands for two; lane: equal for the bodies
+    of a text, which stand together.
     """
-    words, first, of = [], [], []
-    for i, (body, m) in enumerate(zip(bodies, anchors, strict=True)):
-        t = m % word
-        n = (len(body) - t) // word
-        words.append(np.frombuffer(body, "<u8", n, t) if word == 8 else np.array([int.from_bytes(body[t + j * word : t + j * word + word], "little") for j in range(n)], np.uint64))
-        first.append(t)
-        of.append(n)
-    _, rank = np.unique(np.concatenate(words), return_inverse=True)
-    # each segment ends in a symbol of its own, below all words; the last of them ends the text
-    s, lens = len(bodies), np.array(of)
-    text = np.empty(len(rank) + s, np.int64)
-    stops = np.cumsum(lens + 1) - 1
+    which = np.repeat(np.arange(len(anchor)), 1 + twice)
+    lens, shift = np.diff(off)[which], anchor[which] % WORD
+    n_words = (lens - shift) // WORD
+    padded = np.concatenate([body, np.zeros(WORD, np.uint8)])
+    at_byte = np.ndarray((len(body) + 1,), "<u8", padded, strides=(1,))
+    # each body ends in a symbol of its own, below all words; the last of a lane is the smallest
+    own = np.concatenate([[True], lane[which][1:] != lane[which][:-1]])
+    first = np.flatnonzero(own)
+    count = np.diff(np.append(first, len(which)))
+    stops = np.cumsum(n_words + 1) - 1
+    text = np.empty(int(stops[-1]) + 1, np.int64)
     inside = np.ones(len(text), bool)
     inside[stops] = False
-    text[inside], text[stops] = rank + s, np.arange(s)[::-1]
-    order = suffix_array(text)
-    need = (length - word + 1) // word
-    same = np.ones(len(order) - 1, bool)
+    words = at_byte[np.repeat(off[which] + shift, n_words) + WORD * ranges(np.zeros(len(n_words), np.int64), n_words)]
+    _, rank = np.unique(words, return_inverse=True)
+    text[inside], text[stops] = rank + int(count.max()), np.repeat(count, count) - 1 - ranges(np.zeros(len(count), np.int64), count)
+    begin = stops - n_words
+    order = suffix_arrays(text, np.append(begin[first], len(text)))
+    of = np.repeat(np.arange(len(which)), n_words + 1)
+    need = (length - WORD + 1) // WORD
+    # a suffix between two that share so many words has as many, so shorter ones can go first
+    order = order[stops[of[order]] - order >= need]
+    same = np.flatnonzero(lane[which[of[order[1:]]]] == lane[which[of[order[:-1]]]]) + 1 if len(order) else order
     for k in range(need):
-        x, y = order[1:] + k, order[:-1] + k
-        ok = (x < len(text)) & (y < len(text))
-        same &= ok
-        same[ok] &= text[x[ok]] == text[y[ok]]
-    shared = np.zeros(len(text), bool)
-    shared[order[1:][same]] = True
-    shared[order[:-1][same]] = True
-    hashes, maybe = [], []
-    for i, body in enumerate(bodies):
-        h1, h2 = _windows(np.frombuffer(body, np.uint8), length)
-        p = np.arange(len(h1))
-        j = np.maximum(-(-(p - first[i]) // word), 0)
-        at = stops[i] - lens[i] + j
-        hashes.append((h1, h2))
-        maybe.append(np.flatnonzero((j < lens[i]) & shared[np.minimum(at, len(text) - 1)]))
-    owner = np.repeat(np.arange(s), [len(x) for x in maybe])
-    pairs = np.zeros(len(owner), [("a", "<u8"), ("b", "<u8")])
-    if len(owner):
-        pairs["a"] = np.concatenate([h[0][m] for h, m in zip(hashes, maybe, strict=True)])
-        pairs["b"] = np.concatenate([h[1][m] for h, m in zip(hashes, maybe, strict=True)])
-    _, back, times = np.unique(pairs, return_inverse=True, return_counts=True)
-    twice = times[back] > 1 if len(owner) else np.zeros(0, bool)
-    out = []
-    for i in range(s):
-        dup = np.zeros(len(hashes[i][0]), bool)
-        dup[maybe[i][twice[np.searchsorted(owner, i) : np.searchsorted(owner, i, "right")]]] = True
-        out.append(dup)
-    return out
-
-
-def _halves(segs: DataFrame, width: int, length: int) -> DataFrame:
-    """Segments cut so that the anchor's place in the windows of a part lies in one range of so many; h is then the hash of the bytes all these windows share."""
+        same = same[text[order[same] + k] == text[order[same - 1] + k]]
+    new = np.ones(len(order), bool)
+    new[same] = False
+    run = np.cumsum(new)
+    many = np.zeros(len(order), bool)
+    many[same], many[same - 1] = True, True
+    order, run = order[many], run[many]
+    row = of[order]
+    word_at = shift[row] + WORD * (order - begin[row])
+    hit: list[np.ndarray] = []
+    span = 1 << 32
+    for r in range(WORD):  # windows whose first whole word is r bytes from their start
+        p = word_at - r
+        ok = np.flatnonzero((p >= 0) & (p + length <= lens[row]))
+        if not len(ok):
+            continue
+        start = off[which[row[ok]]] + p[ok]
+        tail = length - r - WORD * need
+        key = at_byte[start] & _LOW[r] | (at_byte[start + r + WORD * need] & _LOW[tail]) << np.uint64(8 * r % 64)
+        by = np.lexsort((key, run[ok]))
+        equal = (key[by][1:] == key[by][:-1]) & (run[ok][by][1:] == run[ok][by][:-1])
+        dup = np.zeros(len(ok), bool)
+        dup[by[1:][equal]], dup[by[:-1][equal]] = True, True
+        hit.append(which[row[ok[dup]]] * span + p[ok[dup]])
+    found = np.unique(np.concatenate(hit)) if hit else np.zeros(0, np.int64)
+    return found // span, found % span
+
+
+def _halves(kinds: DataFrame, width: int, length: int) -> DataFrame:
+    """Kinds cut so that the anchor's place in the windows of a part lies in one range of so many; h is then the hash of the bytes all these windows share."""
     last, at = F.octet_length("body") - length, F.col("m") - F.col("j") * width
     first, end = F.greatest(at - (width - 1), F.lit(0)), F.least(at, last)
-    cut = segs.withColumn("j", F.explode(F.sequence(F.floor((F.col("m") - last) / width).cast("int"), F.floor(F.col("m") / width).cast("int"))))
+    cut = kinds.withColumn("j", F.explode(F.sequence(F.floor((F.col("m") - last) / width).cast("int"), F.floor(F.col("m") / width).cast("int"))))
     core, body = F.substring("body", at + 1, F.lit(length - width + 1)), F.substring("body", first + 1, end - first + length)
-    return cut.select("doc_id", "th", F.xxhash64("h", "j", core).alias("h"), F.xxhash64(body).alias("s"), "n", (F.col("a") + first).alias("a"), (F.col("m") - first).alias("m"), body.alias("body"))
+    return cut.select("h0", "s0", F.xxhash64("h", "j", core).alias("h"), F.xxhash64(body).alias("s"), "n", (F.col("at") + first).alias("at"), (F.col("m") - first).alias("m"), body.alias("body"))
+
 
+def sorted_windows(rows: DataFrame, length: int) -> DataFrame:
+    """rows: lane, h, s, n, h0, s0, at, m, body: bodies to sort, a lane at once; those with n > 1 stand for two. Runs of windows that repeat: h, s, n, h0, s0, a, b.
+
+    a and b are first and last window of a run, from the start of the kind (h0, s0) on.
+    """
+    names = ["h", "s", "n", "h0", "s0"]
 
-def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-    return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), strict=True))
+    def run(batches):
+        held, size = [], 0
+
+        def flush(table):
+            lanes, s = (table.column(c).to_numpy() for c in ("lane", "s"))
+            again = np.flatnonzero((lanes[1:] == lanes[:-1]) & (s[1:] == s[:-1])) + 1
+            if len(again):
+                table = table.take(pa.array(np.delete(np.arange(len(lanes)), again)))
+            cols = {c: table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("lane", "n", "at", "m")}
+            raw = table.column("body").combine_chunks()
+            raw = raw.chunk(0) if isinstance(raw, pa.ChunkedArray) else raw
+            off, data = (np.frombuffer(x, t) for x, t in zip(raw.buffers()[1:], (np.int32, np.uint8), strict=True))
+            off = off[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
+            which, place = repeated_windows(data[off[0] : off[-1]], off - off[0], cols["m"].astype(np.int64), cols["n"] > 1, cols["lane"], length)
+            new = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (place[1:] != place[:-1] + 1)])) if len(which) else which
+            last = np.append(new[1:], len(which)) - 1 if len(new) else new
+            at = pa.array(which[new])
+            begin = cols["at"].astype(np.int64)[which[new]]
+            return pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks().take(at) for c in names), pa.array((begin + place[new]).astype(np.int32)), pa.array((begin + place[last]).astype(np.int32))], [*names, "a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.column("body").nbytes // WORD
+            if size >= BLOCK_SYMBOLS:
+                table = pa.Table.from_batches(held)
+                lanes = table.column("lane").to_numpy()
+                cut = int(np.flatnonzero(lanes[1:] != lanes[:-1]).max(initial=-1)) + 1  # the last lane may go on
+                if cut:
+                    yield flush(table.slice(0, cut))
+                held = table.slice(cut).combine_chunks().to_batches()
+                size = sum(b.column("body").nbytes // WORD for b in held)
+        if held:
+            yield flush(pa.Table.from_batches(held))
 
+    in_order = rows.repartition("lane").sortWithinPartitions("lane", "s").select("lane", *names, "at", "m", "body")
+    return in_order.mapInArrow(run, "h bigint, s bigint, n bigint, h0 bigint, s0 bigint, a int, b int")
 
-def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, text_kept (bytes).
+
+def repeats(docs: DataFrame, length: int = LENGTH, text: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with text the remaining bytes as text_kept.
 
     Null text is empty. Documents with one doc_id stay apart by their text; rows repeated as a whole repeat each other. Texts of fewer bytes lose
     nothing. An empty table gives no row.
@@ -165,10 +204,9 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     common.tidy(spark)
     shared = common.written(found.join(grams, "h"), "shared")
     common.dropped(found)
+    common.dropped(grams)
     common.tidy(spark)
-    many = shared.filter("kinds > 1")
-    counts = common.written(many.groupBy("h", "s").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "a", "b", "kinds")).alias("r")).select("h", "s", "n", "r.*"), "kinds")
-    whole = shared.filter("kinds = 1").select(*key, "a", "b").unionAll(many.join(counts.filter("n > 1").select("h", "s"), ["h", "s"]).select(*key, "a", "b"))
+    counts = shared.groupBy("h", "s").agg(F.count("*").alias("n"), F.min(F.struct(*key, "a", "b", "kinds")).alias("r")).select("h", "s", "n", "r.*")
 
     # the bytes of one of each kind of segment, from its document
     asked = common.written(counts.groupBy(*key).agg(F.collect_list(F.struct("h", "s", "n", "a", "b", "kinds")).alias("want")), "asked")
@@ -190,61 +228,56 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 raw = np.frombuffer(b"".join(x[:length] for x in found[lo : lo + step]), np.uint8)
                 r, first, _, anchor, _ = segments(raw, np.arange(0, len(raw) + 1, length), length)
                 m[lo + r] = anchor - first
-            at = pa.array(who)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("th").take(at), *(items.field(x) for x in "hsna"), pa.array(m), items.field("kinds"), pa.array(found, pa.binary())], ["doc_id", "th", "h", "s", "n", "a", "m", "kinds", "body"])
+            step = max(1, (4 << 20) // (2 * length))  # bodies in a batch, so that its size is bounded
+            for lo in range(0, len(found), step):
+                one = items.slice(lo, step)
+                yield pa.RecordBatch.from_arrays([*(one.field(x) for x in "hsn"), pa.array(m[lo : lo + step]), one.field("kinds"), pa.array(found[lo : lo + step], pa.binary())], ["h", "s", "n", "m", "kinds", "body"])
 
-    bodies = keyed.join(asked, keyed["doc_id"].eqNullSafe(asked["doc_id"]) & (keyed["th"] == asked["th"])).select(keyed["doc_id"], keyed["th"], "text", "want")
-    bodies = common.written(bodies.mapInArrow(cut, "doc_id bigint, th bigint, h bigint, s bigint, n bigint, a int, m int, kinds bigint, body binary").dropDuplicates(["h", "s"]), "bodies")
+    bodies = keyed.join(asked, keyed["doc_id"].eqNullSafe(asked["doc_id"]) & (keyed["th"] == asked["th"])).select("text", "want")
+    # rows with one id and text are one document twice, whose kinds come twice: sorting and halving leave one
+    bodies = bodies.mapInArrow(cut, "h bigint, s bigint, n bigint, m int, kinds bigint, body binary")
+    bodies = common.written(bodies.withColumns({"h0": F.col("h"), "s0": F.col("s"), "at": F.lit(0)}), "bodies")
+    common.dropped(asked)
     common.tidy(spark)
-    ready, part = [bodies.filter(F.col("kinds") <= HOT)], []
-    hot, width = bodies.filter(F.col("kinds") > HOT), length - GRAM + 1
+    columns = ["lane", "h", "s", "n", "h0", "s0", "at", "m", "body"]
+    hot_gram, copies = F.col("kinds") > HOT, F.xxhash64("h", "s")
+    # a hot gram's kinds of several copies are a text each; elsewhere a gram's kinds are one
+    ready = [bodies.filter(~hot_gram | (F.col("n") > 1)).withColumn("lane", F.when(hot_gram, copies).otherwise(F.col("h"))).select(*columns)]
+    gone: list[DataFrame] = [asked]
+    parts, width = [], length - GRAM + 1
+    hot = bodies.filter(hot_gram).dropDuplicates(["h", "s"])
     while width > 1 and not hot.isEmpty():
         width = -(-width // 2)
         halves = common.written(_halves(hot, width, length), "halves")
-        distinct = common.written(halves.groupBy("h", "s").agg(F.sum("n").alias("n"), F.first(F.struct("doc_id", "th", "a", "m", "body")).alias("r")).select("h", "s", "n", "r.*"), "distinct")
-        # segments that repeat as a whole have gone already
-        part.append(halves.filter("n = 1").join(distinct.filter("n > 1").select("h", "s"), ["h", "s"]).select(*key, "a", (F.col("a") + F.octet_length("body") - length).alias("b")))
+        distinct = common.written(halves.groupBy("h", "s").agg(F.sum("n").alias("n"), F.first(F.struct("h0", "s0", "at", "m", "body")).alias("r")).select("h", "s", "n", "r.*"), "distinct")
         # written, so that the join reads both sides anew and a hot key's halves can be split among tasks
-        keys = common.written(distinct.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "keys")
-        next_ = common.written(distinct.join(keys, "h").select(*bodies.columns), "halved")
-        ready.append(next_.filter(F.col("kinds") <= HOT))
-        hot = next_.filter(F.col("kinds") > HOT)
+        keys = common.written(distinct.groupBy("h").agg(F.count("*").alias("kinds")), "keys")
+        next_ = common.written(distinct.join(keys, "h").filter("kinds > 1 or n > 1").select("h", "s", "n", "h0", "s0", "at", "m", "body", "kinds"), "halved")
+        ready.append(next_.filter(~hot_gram | (F.col("n") > 1)).withColumn("lane", F.when(hot_gram, copies).otherwise(F.col("h"))).select(*columns))
+        # halves of kinds that have but one copy; those of others went with their kinds
+        parts.append(halves.filter("n = 1").select("h", "s", F.col("h0").alias("h1"), F.col("s0").alias("s1"), F.col("at").alias("a1"), (F.col("at") + F.octet_length("body") - length).alias("b1")))
+        hot = next_.filter(hot_gram)
+        gone += [halves, distinct, keys, next_]
         common.tidy(spark)
-    ready.append(hot)  # single windows with one hash
-
-    def sort(batches):
-        held, size, last = [], 0, None
-
-        def flush(rows):
-            hit = [], [], [], []
-            for r, dup in zip(rows, repeated_windows([r["body"] for r in rows], [r["m"] for r in rows], length), strict=True):
-                if r["n"] == 1:
-                    for a, b in _runs(dup):
-                        for c, x in zip(hit, (r["doc_id"], r["th"], a + r["a"], b + r["a"]), strict=True):
-                            c.append(x)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(hit, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "th", "a", "b"])
-
-        for batch in batches:
-            for r in batch.to_pylist():
-                if size >= BLOCK_SYMBOLS and r["h"] != last:
-                    yield flush(held)
-                    held, size = [], 0
-                held.append(r)
-                size += len(r["body"]) // WORD + 1
-                last = r["h"]
-        if held:
-            yield flush(held)
-
-    sorted_ = reduce(DataFrame.unionAll, ready).repartition("h").sortWithinPartitions("h", "s").mapInArrow(sort, "doc_id bigint, th bigint, a int, b int")
-    part = reduce(DataFrame.unionAll, part, common.written(sorted_, "sorted"))
-    spans = common.written(whole.unionAll(part).groupBy(*key).agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
+    if parts:
+        ready.append(hot.withColumn("lane", F.col("h")).select(*columns))  # single windows with one hash
+    decided = common.written(sorted_windows(reduce(DataFrame.unionAll, ready), length), "decided")
+    runs = decided.filter("n = 1 or h = h0 and s = s0").select("h0", "s0", "a", "b")
+    for p in parts:
+        whole = decided.filter("n > 1 and not (h = h0 and s = s0)").select("h", "s").distinct()
+        runs = runs.unionAll(p.join(whole, ["h", "s"]).select(F.col("h1").alias("h0"), F.col("s1").alias("s0"), F.col("a1").alias("a"), F.col("b1").alias("b")))
+    of_kind = runs.groupBy(F.col("h0").alias("h"), F.col("s0").alias("s")).agg(F.collect_set(F.struct("a", "b")).alias("runs"))
+    spans = shared.join(of_kind, ["h", "s"]).select(*key, F.explode(F.transform("runs", lambda r: F.struct((F.col("a") + r["a"]).alias("a"), (F.col("a") + r["b"]).alias("b")))).alias("x"))
+    spans = common.written(spans.groupBy(*key).agg(F.collect_set("x").alias("spans")), "spans")
+    for t in (shared, bodies, decided, *gone[1:]):
+        common.dropped(t)
     common.tidy(spark)
 
     def keep(batches):
         for batch in batches:
             rows = []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                body = (text or "").encode()
+            for content, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                body = (content or "").encode()
                 kept, n, removed = [], 0, 0
                 start = stop = 0
                 for x in sorted((x["a"], x["b"] + length) for x in found or ()):
@@ -260,8 +293,10 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 kept.append(body[stop:])
                 rest = b"".join(kept)
                 assert len(rest) + removed == len(body)
-                rows.append((len(body), removed, n, hashlib.sha256(rest).hexdigest(), rest))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text_kept"])
+                rows.append((len(body), removed, n, hashlib.sha256(rest).hexdigest(), *([rest] if text else [])))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names)
 
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["text_kept"] if text else [])]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.binary()] if text else [])]
     joined = keyed.join(spans, keyed["doc_id"].eqNullSafe(spans["doc_id"]) & (keyed["th"] == spans["th"]), "left").select(keyed["doc_id"], "text", "spans")
-    return joined.mapInArrow(keep, f"doc_id {doc_kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, text_kept binary")
+    return joined.mapInArrow(keep, f"doc_id {doc_kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", text_kept binary" * text)
