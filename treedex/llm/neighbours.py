@@ -4,13 +4,16 @@ Vectors are split into bands of norms, each at most BAND times its smallest; eve
 others together. In a band, vectors of norm at most M get one more coordinate, sqrt(M^2 - |x|^2), and queries, scaled to norm M, a zero: the largest inner
 product is then the smallest distance. Each of ORDERINGS curves rotates at random, keeps DIMS coordinates, shifts and cuts them into a grid that just holds
 the band's points and queries so placed, and orders all points by their place on a Hilbert curve through it, range-partitioned by Spark; points of one cell
-stand in another order on each curve. A query's candidates are the points within WINDOW (a share of the band's points) of its place on each curve; they are
-scored on the original vectors in double precision, and the best of all curves and bands are merged. A band of at most LEAST_WINDOW points has one curve: all are candidates.
+stand in another order on each curve. A query's candidates are the points within a window of its place on each curve; the best of all curves and bands are
+merged and ranked again on the original vectors, one pair's product always summed in one order. A band of at most LEAST_WINDOW points has one curve: all are candidates.
+
+The window is fitted: SAMPLE of the queries are compared with all points, and it is as many points as RECALL of their true neighbours need to lie in a window of
+some curve, LEAST_WINDOW at least. So it grows with the table only as far as the vectors ask for: hardly for vectors in clusters, in proportion for
+independent coordinates, whose neighbours no curve keeps together.
 
 Equal vectors are one point, with its k + 1 smallest ids: a group of any size is one point on every curve, and its ids come in order.
 
-A block of BLOCK neighbours on a curve is a task's unit; queries go to each block their window meets. On vectors without structure (independent
-coordinates) recall depends on the share of points looked at, so WINDOW is a share; for clustered vectors a smaller one does.
+A block of BLOCK neighbours on a curve is a task's unit; queries go to each block their window meets.
 """
 
 from __future__ import annotations
@@ -22,7 +25,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from . import common, hilbert
 
-ORDERINGS, DIMS, BITS, WINDOW, LEAST_WINDOW, BLOCK = 12, 10, 5, 0.06, 256, 4096
+ORDERINGS, DIMS, BITS, LEAST_WINDOW, BLOCK = 16, 10, 5, 64, 4096
+#: Queries that the window is fitted on, and the share of their true neighbours that it is to hold.
+SAMPLE, RECALL = 96, 0.94
 #: Largest ratio of norms in a band, and the levels it is made of.
 BAND, LEVELS = 1.15, 8
 
@@ -95,11 +100,50 @@ def distinct_vectors(vectors: DataFrame, dim: int, k: int, every: int) -> DataFr
     return parts.groupBy("h").agg(F.first("vec").alias("vec"), F.slice(F.array_sort(F.collect_set("id")), 1, k + 1).alias("ids"), F.max("asked").alias("asked"))
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, orderings: int = ORDERINGS, window: float = WINDOW, dims: int = DIMS) -> DataFrame:
+def _best(s: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest scores; of those that differ from the last by rounding alone, which no order of a matrix product decides, the k smallest ids."""
+    if len(s) <= k:
+        return np.flatnonzero(s > -np.inf)
+    last = np.partition(s, -k)[-k]
+    if last == -np.inf:
+        return np.flatnonzero(s > -np.inf)
+    slack = 1e-13 * max(np.abs(s[s > -np.inf]).max(), 1e-300)
+    tied = np.flatnonzero(np.abs(s - last) <= slack)
+    if len(tied) > k:
+        tied = tied[np.argsort(ids[tied], kind="stable")[:k]]
+    return np.concatenate([np.flatnonzero(s > last + slack), tied])
+
+
+def _window(points: DataFrame, at: DataFrame, dim: int, k: int, recall: float, sample: int) -> int:
+    """How many points to each side hold so large a share of the true neighbours of some queries: of `sample` queries, whose distances to all points are computed."""
+    some = points.filter("asked").select("h", "vec").orderBy(F.xxhash64("h")).limit(sample).collect()
+    if not some:
+        return LEAST_WINDOW
+    queries, names = np.stack([np.frombuffer(r.vec) for r in some]), [r.h for r in some]
+
+    def nearest(batches):
+        for batch in batches:
+            h = batch.column(0).to_pylist()
+            s = queries @ np.frombuffer(b"".join(batch.column(1).to_pylist())).reshape(-1, dim).T
+            rows = [(i, h[j], float(s[i, j])) for i in range(len(names)) for j in np.argsort(-s[i], kind="stable")[: k + 1].tolist() if h[j] != names[i]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int32(), pa.string(), pa.float64()))], ["i", "h", "s"])
+
+    true = points.select("h", "vec").mapInArrow(nearest, "i int, h string, s double")
+    true = true.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("s"), "h"))).filter(F.col("r") <= k).select("i", "h")
+    spark = points.sparkSession
+    own = spark.createDataFrame([(i, x) for i, x in enumerate(names)], "i int, h string").join(at, "h").select("i", F.explode(F.filter("at", lambda p: p["kind"] == 1)).alias("p")).select("i", "p.o", F.col("p.rank").alias("own"))
+    theirs = true.join(at, "h").select("i", "h", F.explode(F.filter("at", lambda p: p["kind"] == 0)).alias("p")).select("i", "h", "p.o", "p.rank")
+    apart = theirs.join(own, ["i", "o"]).groupBy("i", "h").agg(F.min(F.abs(F.col("rank") - F.col("own"))).alias("w"))
+    need = np.sort([r.w for r in apart.collect()])  # sample x k numbers
+    return int(need[min(len(need) - 1, int(np.ceil(recall * len(need))))]) if len(need) else LEAST_WINDOW
+
+
+def search(vectors: DataFrame, k: int = 20, every: int = 20, orderings: int = ORDERINGS, window: int | None = None, dims: int = DIMS, recall: float = RECALL, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row whose vec_id is divisible by `every`, its k nearest of all other rows found.
 
     Nearness: largest inner product in double precision; ties go to the smaller vec_id. Rows whose id is null, or whose vector is null, zero,
     of another length than most, or holds null or non-finite components, take no part. Rows with one vec_id twice count as one. An empty table gives no row.
+    window: points to each side of a query on each curve, fitted to recall if not given.
     """
     spark = vectors.sparkSession
     lengths = vectors.filter(F.col("embedding").isNotNull()).groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
@@ -122,8 +166,6 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, orderings: int = OR
     m, n = np.zeros(n_bands), np.zeros(n_bands, np.int64)
     for r in sizes:
         m[band_of[r.level]], n[band_of[r.level]] = max(m[band_of[r.level]], r.most), n[band_of[r.level]] + r.n
-    width = np.maximum(LEAST_WINDOW, np.ceil(window * n).astype(np.int64))
-
     def augmented(x, norm, band):
         """Pairs of a band and its rows' numbers and places before turning."""
         for b in np.unique(band).tolist():
@@ -194,7 +236,9 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, orderings: int = OR
     rank = (before[F.col("part")] if counts else F.lit(0)).cast("long") + F.col("i")
     ranked = numbered.select("h", "kind", "o", rank.alias("rank"))
     at = common.written(ranked.groupBy("h").agg(F.collect_list(F.struct("kind", "o", "rank")).alias("at")), "places")  # one for each curve as a query, one for each of its band's as a point
-    reach = F.when(F.col("p.kind") == 1, F.array(*(F.lit(int(x)) for x in width))[F.floor(F.col("p.o") / orderings).cast("int")]).otherwise(0) if n_bands else F.lit(0)
+    common.dropped(numbered)
+    width = max(LEAST_WINDOW, window if window is not None else _window(points, at, dim, k, recall, sample))
+    reach = F.when(F.col("p.kind") == 1, F.lit(width)).otherwise(0)
     least = F.floor((F.col("p.rank") - reach) / BLOCK)
     last = F.floor((F.col("p.rank") + reach) / BLOCK)
     dealt = (
@@ -220,18 +264,25 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, orderings: int = OR
                     if ready is None:
                         ready = [np.concatenate([p[c] for p in data]) for c in range(3)] + [[h for p in data for h in p[3]]]
                     s = x @ ready[1].T
-                    s[np.abs(ranks[:, None] - ready[0][None, :]) > width[batch.column(6)[a].as_py() // orderings]] = -np.inf
+                    s[np.abs(ranks[:, None] - ready[0][None, :]) > width] = -np.inf
                     rows = []
                     for i, h in enumerate(part[1].to_pylist()):
-                        near = np.flatnonzero(s[i] >= np.partition(s[i], -k - 1)[-k - 1]) if s.shape[1] > k + 1 else np.arange(s.shape[1])
-                        near = near[np.lexsort((ready[2][near], -s[i][near]))][: k + 1]
+                        near = _best(s[i], ready[2], k + 1)
                         rows += [(h, ready[3][j], float(s[i, j]), int(ready[2][j])) for j in near.tolist() if s[i, j] > -np.inf]
                     yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.string(), pa.string(), pa.float64(), pa.int64()))], ["q", "h", "score", "id"])
 
     # cells are few for the partitions there may be; a hash of each cell deals them
     near = dealt.repartition(F.col("cell")).sortWithinPartitions("cell", "kind").mapInArrow(score, "q string, h string, score double, id bigint")
-    best = near.groupBy("q", "h").agg(F.max("score").alias("score"), F.min("id").alias("id")).withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).filter(F.col("r") <= k + 1)
-    listed = best.select("q", "h", "score").join(points.select("h", "ids"), "h").select("q", "score", F.explode("ids").alias("vec_id")).withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).filter(F.col("r") <= k + 1)
+    best = near.groupBy("q", "h").agg(F.max("score").alias("score"), F.min("id").alias("id")).withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).filter(F.col("r") <= 2 * (k + 1))
+    pair = best.select("q", "h").join(points.select("h", "vec", "ids"), "h").join(points.select(F.col("h").alias("q"), F.col("vec").alias("own")), "q").select("q", "own", "vec", "ids")
+
+    def exact(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist())).reshape(-1, dim) for c in (1, 2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array((x * y).sum(1))], ["q", "ids", "score"])
+
+    again = pair.mapInArrow(exact, "q string, ids array<bigint>, score double")
+    listed = again.select("q", "score", F.explode("ids").alias("vec_id")).withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).filter(F.col("r") <= k + 1)
     lists = common.written(listed.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("found")), "nearest")
 
     def queries(batches):
