@@ -4,8 +4,8 @@ Kernel: blended-spectrum presence, k(x, y) = |G(x) and G(y)| / sqrt(|G(x)| |G(y)
 Nystrom: landmarks L give features k(x, L) K_LL^(-1/2). One-versus-rest kernel ridge regression on them. A batch is scored by matrix products: presence
 rows times the landmarks' presence columns, folded with the regression's weights.
 
-Characters: the ALPHABET - 2 most frequent letters of the training sample have codes of their own, other letters share one, and whatever isn't a letter is a
-boundary; runs of boundaries count once.
+Characters: the OWN letters that are most frequent in any one language of the training sample have codes of their own, other letters share OTHER codes by
+their place in Unicode, so that scripts are told apart, and whatever isn't a letter is a boundary; runs of boundaries count once.
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame, functions as F
 from . import common
 from .sampling import FULL_LABELS, by_label, crc
 
-ALPHABET = 64
-#: Labelled documents in the training sample for each language, landmarks for each language, ridge penalty, characters of a training text.
+ALPHABET, OTHER = 64, 13
+OWN = ALPHABET - OTHER - 1
+#: Labelled documents in the training sample for each language, landmarks for each language, ridge penalty.
 PER_LANGUAGE, LANDMARKS, RIDGE = 300, 24, 1e-2
 SIZES = (ALPHABET, ALPHABET**2, ALPHABET**3)
 SPACE = sum(SIZES)
@@ -39,14 +40,16 @@ def code_points(text: str) -> np.ndarray:
 
 class Model:
     def __init__(self, texts: list[str], langs: list[str], seed: int = 1):
-        counts = np.zeros(0x110000, np.int64)
-        for t in texts:
-            np.add.at(counts, code_points(t), 1) if len(t) < 1000 else counts.__iadd__(np.bincount(code_points(t), minlength=0x110000))
-        counts[~letters()] = 0
-        top = np.argsort(-counts, kind="stable")[: ALPHABET - 2]
-        top = top[counts[top] > 0]
+        share = np.zeros(0x110000)
+        for x in set(langs):
+            counts = np.bincount(np.concatenate([code_points(t) for t, y in zip(texts, langs, strict=True) if y == x]), minlength=0x110000) * letters()
+            share = np.maximum(share, counts / max(1, counts.sum()))
+        top = np.argsort(-share, kind="stable")[:OWN]
+        top = top[share[top] > 0]
         self.codes = np.zeros(0x110000, np.uint8)
-        self.codes[letters()] = ALPHABET - 1
+        at = np.arange(0x110000)
+        block = np.where(at < 0x2000, at >> 7, 64 + (at >> 13))  # about a script each: those beyond are large
+        self.codes[letters()] = (ALPHABET - OTHER + block % OTHER)[letters()]
         self.codes[top] = np.arange(1, len(top) + 1)
         self.languages = sorted(set(langs))
         present = [self.presence(t) for t in texts]
