@@ -25,6 +25,8 @@ WINNOW = WINDOW - GRAM + 1
 #: A document is contaminated if it is hit and at least one word in so many is.
 SHARE = 20
 BLOCK_TEXT = 16 << 20
+#: A window's 128-bit hash.
+KEY = np.dtype([("a", "<u8"), ("b", "<u8")])
 IS_WORD = common.word_class([(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)])
 
 
@@ -50,12 +52,13 @@ def winnow(grams: np.ndarray, w: int) -> np.ndarray:
 
 
 class Index:
-    """Windows of some items: fingerprints to look for, and by a window's hash the items that have it."""
+    """Windows of some items: fingerprints to look for, and by a window's hash the items that have it. All in sorted arrays: some 5 bytes for a byte of item text."""
 
     def __init__(self, items: list[tuple[str | None, str]]):
-        self.fingerprints, self.short, self.items = np.zeros(0, np.uint64), {}, {}
-        prints, short = [], {}
-        for item_id, text in items:
+        self.fingerprints, self.short = np.zeros(0, np.uint64), {}
+        self.names = [item_id for item_id, _ in items]
+        prints, short, keys, owner = [], {}, [], []
+        for number, (_, text) in enumerate(items):
             raw = common.LOWER[np.frombuffer(text.encode(), np.uint8)]
             starts, ends, _ = common.words(raw, np.array([0, len(raw)]), IS_WORD)
             n = len(starts)
@@ -69,10 +72,20 @@ class Index:
                 grams = gram_hashes(hashes, GRAM)
                 prints.append(grams[winnow(grams, WINNOW)])
             body, s, e = raw.tobytes(), starts.tolist(), ends.tolist()
-            for i in range(n - size + 1):
-                self.items.setdefault(window_key(body, s, e, i, size), set()).add(item_id)
+            own = np.unique(np.frombuffer(b"".join(window_key(body, s, e, i, size) for i in range(n - size + 1)), KEY))
+            keys.append(own)
+            owner.append(np.full(len(own), number, np.int32))
         self.fingerprints = np.unique(np.concatenate(prints)) if prints else self.fingerprints
         self.short = {n: np.unique(np.concatenate(x)) for n, x in short.items()}
+        every, owner = np.concatenate(keys or [np.zeros(0, KEY)]), np.concatenate(owner or [np.zeros(0, np.int32)])
+        order = np.argsort(every, order=("a", "b"), kind="stable")
+        self.a, self.b, self.owner = every["a"][order], every["b"][order], owner[order]
+
+    def find(self, key: bytes) -> set:
+        """Ids of the items that have a window."""
+        k = np.frombuffer(key, KEY)[0]
+        lo, hi = np.searchsorted(self.a, k["a"], "left"), np.searchsorted(self.a, k["a"], "right")
+        return {self.names[i] for i in self.owner[lo:hi][self.b[lo:hi] == k["b"]].tolist()}
 
 
 def window_key(body: bytes, starts: list[int], ends: list[int], i: int, size: int) -> bytes:
@@ -117,8 +130,8 @@ def hits(raw: np.ndarray, off: np.ndarray, index: Index) -> list[tuple[int, np.n
     for s, size in maybe:
         for i in s.tolist():
             lo = [int(x) for x in starts[i : i + size]]
-            items = index.items.get(window_key(body, lo, ends[i : i + size].tolist(), 0, size))
-            if items is not None:
+            items = index.find(window_key(body, lo, ends[i : i + size].tolist(), 0, size))
+            if items:
                 spans, names = found.setdefault(int(row[i]), ([], set()))
                 spans.append((i - int(first[row[i]]), i - int(first[row[i]]) + size))
                 names |= items
