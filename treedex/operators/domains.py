@@ -26,8 +26,8 @@ def partitioned(file_domains: DataFrame, mode: str = "auto") -> DataFrame:
     bucket = F.coalesce("domain", F.lit("none"))
     if mode == "on":
         return file_domains.withColumn("domain", bucket)
-    some = file_domains.agg(F.max(F.col("domain").isNotNull()).alias("_some"))
-    return file_domains.crossJoin(F.broadcast(some)).withColumn("domain", F.when(F.col("_some"), bucket)).drop("_some")  # a single row
+    some = file_domains.agg(F.max(F.col("domain").isNotNull())).scalar()
+    return file_domains.withColumn("domain", F.when(some, bucket))
 
 
 def in_order(rows: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from treedex.config import Config
 from treedex.functions import text as T
 from treedex.operators import buckets, cards, domains, keywords, markdown, search, stale, tree, words
 from treedex.plans import index as plan, render
-from treedex.sources import mindmap
+from treedex.sources import files as source, mindmap
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -649,3 +649,128 @@ def grep_count(spark, d):
 def grep_context(spark, d):
     f = _plain(spark, d)
     return search.grep_context(f, search.grep(f, "Licensed"), 1).select("path", "line_no")
+
+
+# --- more of the library's functions, over the same tables
+
+
+@query(f"WITH {NODES} SELECT file_path, pre FROM n WHERE regexp_matches(plain, '\\bthe of\\b')")
+def literal_term(spark, d):
+    n = nodes(spark, d)
+    return n.filter(F.col("search_text").rlike(T.literal_boundary("the of"))).select("file_path", "pre")
+
+
+@query(f"WITH {NODES} SELECT file_path, pre FROM n WHERE regexp_matches(plain, '\\bwith,(\\s|$)')")
+def literal_sign_term(spark, d):
+    """A literal that ends in a sign has white space behind it."""
+    return nodes(spark, d).filter(F.col("search_text").rlike(T.literal_boundary("with,"))).select("file_path", "pre")
+
+
+@query(f"WITH {NODES} SELECT file_path, pre FROM n WHERE regexp_matches(lower(text), 'th[ae]t?.*wit')")
+def raw_term(spark, d):
+    return nodes(spark, d).filter(F.col("search_text").rlike(T.raw_pattern("th[ae]t?.*wit"))).select("file_path", "pre")
+
+
+@query(f"WITH {NODES} SELECT file_path, count(*) AS n FROM n WHERE {_m('mit')} GROUP BY 1")
+def search_files_grouped(spark, d):
+    return search.group_by_file(search.search_files(nodes(spark, d), "mit"))
+
+
+@query(f"""WITH {NODES}, a AS (SELECT file_path, pre, last FROM n WHERE {_m('the')}), h AS (SELECT n.file_path FROM a JOIN n ON n.file_path = a.file_path AND n.pre BETWEEN a.pre AND a.last WHERE {_m('by')})
+    SELECT 'the:by' AS path, count(*) AS n, count(DISTINCT file_path) AS n_files FROM h""")
+def search_grouped_by_path(spark, d):
+    g = search.group_by_path(search.search_files(nodes(spark, d), "the : by"))
+    return g.select(F.array_join("search_path", ":").alias("path"), "n", "n_files")
+
+
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN '/kb/n' || page_id WHEN 1 THEN 'notes/' || page_id || '.md' END AS source FROM pages")
+def local_source(spark, d):
+    own = F.col("page_id").cast("string")
+    listed = F.when(F.col("page_id") % 3 == 0, F.array(F.col("url"), F.concat(F.lit("[n](</kb/n"), own, F.lit(">)")))).when(F.col("page_id") % 3 == 1, F.array(F.concat(F.lit("[a]("), "url", F.lit(")")), F.concat(F.lit("notes/"), own, F.lit(".md")), F.lit("later"))).otherwise(F.array("url"))
+    return table(spark, d, "pages").select("page_id", T.local_source(listed).alias("source"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'k/' || p_brand || '.md' WHEN 1 THEN '/kbx/k/' || p_brand || '.md#n1' ELSE 'k/' || p_brand || '.md#n2' END AS link FROM part")
+def relative_links(spark, d):
+    path = F.concat(F.when(F.col("p_partkey") % 3 == 1, "/kbx/k/").otherwise("/kb/k/"), "p_brand", F.lit(".md"))
+    node = F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.concat(F.lit("n"), (F.col("p_partkey") % 3).cast("string")))
+    return table(spark, d, "part").select("p_partkey", T.relative_link(path, "/kb", node).alias("link"))
+
+
+@query("SELECT p_partkey, '[' || p_name || '](</kb/a b/' || p_partkey || '.md>)' AS link, replace(p_type || ':' || p_brand, ':', ' → ') AS shown FROM part")
+def markdown_links(spark, d):
+    target = F.concat(F.lit("/kb/a b/"), F.col("p_partkey").cast("string"), F.lit(".md"))
+    return table(spark, d, "part").select("p_partkey", T.markdown_link(F.col("p_name"), target).alias("link"), T.keyword_display(F.concat("p_type", F.lit(":"), "p_brand")).alias("shown"))
+
+
+@query("SELECT lang AS domain, CASE WHEN bool_and(source <> 'src1') THEN '/home/u' ELSE '' END AS base FROM documents GROUP BY 1")
+def common_prefix(spark, d):
+    path = F.when(F.col("source") == "src1", "/srv/x").otherwise(F.concat(F.lit("/home/u/"), "source"))
+    return table(spark, d, "documents").select(F.col("lang").alias("domain"), path.alias("p")).groupBy("domain").agg(T.common_prefix(F.col("p"), "/home/u").alias("base"))
+
+
+@query("SELECT * FROM (VALUES (1, 0, 'Common', NULL, FALSE, 3, NULL), (2, 1, 'the:with', 1, TRUE, 2, 'the|with'), (3, 1, 'mit', 1, TRUE, 3, 'mit'), (4, 0, 'Rare', NULL, FALSE, 6, NULL), (5, 1, 'nosuchword', 4, TRUE, 5, 'nosuchword'), (6, 1, 'des:para', 4, TRUE, 6, 'des|para'), (7, 0, 'und', NULL, TRUE, 7, 'und')) v(pre, level, text, parent_pre, is_leaf, last, sequence)")
+def keyword_tree(spark, d):
+    return keywords.frame(spark, keywords.parse("# c\n" + KEYWORDS)).select("pre", F.col("level").cast("int"), "text", "parent_pre", "is_leaf", "last", F.array_join("sequence", "|").alias("sequence"))
+
+
+@query("SELECT * FROM (VALUES ('Common', 'the:with', 'the → with'), ('Common', 'mit', 'mit'), ('Rare', 'nosuchword', 'nosuchword'), ('Rare', 'des:para', 'des → para')) v(above, text, shown)")
+def keyword_hierarchy(spark, d):
+    h = keywords.hierarchy(keywords.parse(KEYWORDS))
+    return spark.createDataFrame([(top, c["text"], c["display_name"]) for top, e in h.items() for c in e["children"].values()], "above string, text string, shown string")
+
+
+@query(f"""WITH {FILES}, m AS (SELECT dir, max(doc_id % 3 = 0) AS bad, max(doc_id) % 2 = 0 AS same FROM f GROUP BY 1)
+    SELECT count(*) FILTER (bad AND NOT same) AS stale, count(*) FILTER (NOT (bad AND NOT same)) AS current FROM m""")
+def stale_totals(spark, d):
+    f = files(spark, d)
+    listed = f.select("dir", "name", "file_path", F.col("doc_id").alias("length"), F.col("doc_id").alias("mtime_ns"))
+    same = listed.groupBy("dir").agg((F.max("length") % 2 == 0).alias("same"))
+    heads = stale.fingerprint(listed).join(same, "dir").select("dir", F.when(F.col("same"), F.col("fingerprint")).otherwise("sha256:0").alias("fingerprint"))
+    h = F.concat(F.lit("sha256:"), F.sha2(F.col("content").cast("binary"), 256))
+    cards_ = f.select("dir", F.col("doc_id").cast("int").alias("pos"), F.lit(None).cast("string").alias("kind"), F.col("file_path").alias("source"), F.when(F.col("doc_id") % 3 == 0, "sha256:zz").otherwise(h).alias("source_hash"))
+    return stale.totals(stale.scan(listed, f.select("file_path", "content"), heads, cards_))
+
+
+@query("""SELECT '/kb/' || p_partkey AS dir, 'sha256:' || p_size AS fingerprint, i::INT AS pos, CASE i WHEN 0 THEN '/kb/' || p_partkey || '/n.md' WHEN 1 THEN '/abs/x.md' END AS source, CASE WHEN i < 2 THEN 'sha256:' || i END AS source_hash FROM part, (VALUES (0), (1), (2)) v(i)""")
+def manifests(spark, d):
+    own = F.col("p_partkey").cast("string")
+    made = F.concat(F.lit("version: 1\ndir_fingerprint: sha256:"), F.col("p_size").cast("string"), F.lit("\ncards:\n- {slug: a, source: ../n.md, source_hash: 'sha256:0'}\n- {slug: b, source: [https://x.y, '[x](</abs/x.md>)'], source_hash: 'sha256:1'}\n- {slug: c, source: https://x.y}\n"))
+    f = table(spark, d, "part").select(F.concat(F.lit("/kb/"), own, F.lit("/.kb/segmentation.yml")).alias("file_path"), F.lit("manifest").alias("ftype"), made.alias("content"))
+    heads, listed = source.manifests_of(f)
+    return heads.join(listed, "dir").select("dir", "fingerprint", "pos", "source", "source_hash")
+
+
+@query("SELECT '/kb/' || p_partkey AS dir, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS domain, CASE WHEN p_partkey % 2 = 0 THEN '*.tmp|a?' ELSE '' END AS excluded FROM part")
+def area_settings(spark, d):
+    even = F.col("p_partkey") % 2 == 0
+    made = F.when(even, F.concat(F.lit("domain: '"), "p_brand", F.lit("'\nsource_exclude: ['*.tmp', 'a?']\n"))).otherwise("[not a mapping")
+    f = table(spark, d, "part").select(F.concat(F.lit("/kb/"), F.col("p_partkey").cast("string"), F.lit("/.kb/kb.yml")).alias("file_path"), F.lit("area").alias("ftype"), made.alias("content"))
+    return source.areas_of(f).select("dir", "domain", F.array_join("source_exclude", "|").alias("excluded"))
+
+
+@query(f"WITH {CARDS} SELECT domain, source_path, string_agg(title, '|' ORDER BY ord) AS titles, string_agg(file_path, '|' ORDER BY ord) AS paths FROM c WHERE kind IS DISTINCT FROM 'dir_summary' GROUP BY 1, 2")
+def card_members(spark, d):
+    g = cards.groups(_cards(spark, d))
+    return g.select("domain", "source_path", F.array_join(F.transform("cards", lambda c: c["label"]), "|").alias("titles"), F.array_join(F.transform("cards", lambda c: c["path"]), "|").alias("paths"))
+
+
+@query(f"""WITH {SIGNIFICANT}, o AS (SELECT DISTINCT word, doc_id FROM w), k AS (SELECT word, count(*) AS n FROM o GROUP BY 1)
+    SELECT word, n, (SELECT string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FROM (SELECT doc_id FROM o WHERE o.word = k.word ORDER BY doc_id LIMIT 25)) AS files FROM k WHERE n BETWEEN 20 AND 40""")
+def word_first_files(spark, d):
+    found = _occurrences(spark, d)
+    n = words.document_frequency(found, 20).filter("n_files <= 40")
+    return words.first_files(found).join(n, "word").select("word", F.col("n_files").alias("n"), F.array_join(F.transform("files", lambda x: x.cast("string")), ",").alias("files"))
+
+
+@query(f"""WITH {DOMAINS}, e AS (SELECT file_path, 'en' AS need FROM fd WHERE domain = 'en'), k AS (SELECT * FROM (VALUES ('with', 0), ('mit', 1)) v(keyword, scoped)),
+    h AS (SELECT d.domain, k.keyword, count(*) AS hits FROM fd d JOIN f ON f.file_path = d.file_path JOIN k ON regexp_matches(regexp_replace(lower(f.content), '[\\x{{00AA}}\\x{{00B5}}\\x{{00BA}}\\x{{00C0}}-\\x{{00D6}}\\x{{00D8}}-\\x{{00F6}}\\x{{00F8}}-\\x{{024F}}]', '0', 'g'), '\\b(?:' || k.keyword || ')\\b') AND (k.scoped = 0 OR d.domain = 'de') GROUP BY 1, 2)
+    SELECT coalesce(domain, 'none') AS domain, keyword, sum(hits)::BIGINT AS hits FROM h GROUP BY 1, 2""")
+def keyword_by_domain(spark, d):
+    """Hits of global keywords in all domains and of one domain's in it alone; a file is a node here."""
+    n = files(spark, d).select("file_path", F.lit(1).cast("bigint").alias("pre"), F.lit(1).cast("bigint").alias("last"), F.col("content").alias("text"), F.col("content").alias("search_text"))
+    k = keywords.Keywords(keywords.parse("with", "g").rows + keywords.parse("mit", "s", ["de"]).rows)
+    fd = domains.partitioned(_file_domains(spark, d))
+    entries = keywords.scoped(keywords.chains(spark, k), fd.select("domain").distinct()).select("domain", F.col("text").alias("keyword"))
+    hits = search.search_multiple(n, [["with"], ["mit"]]).select("file_path", F.col("sequence").alias("keyword")).join(fd, "file_path")
+    return hits.join(entries, ["domain", "keyword"]).groupBy("domain", "keyword").agg(F.count("*").alias("hits"))
