@@ -43,8 +43,8 @@ def test_windows_of_lanes():
         seen = Counter()
         for b, a, t, lane in zip(bodies, anchors, twice, lanes, strict=True):
             for p in range(len(b) - 199):
-                seen[lane, (a - p) % 8, b[p : p + 200]] += 1 + t
-        want = {(i, p) for i, (b, a, lane) in enumerate(zip(bodies, anchors, lanes, strict=True)) for p in range(len(b) - 199) if seen[lane, (a - p) % 8, b[p : p + 200]] > 1}
+                seen[lane, (a - p) % repeats.WORD, b[p : p + 200]] += 1 + t
+        want = {(i, p) for i, (b, a, lane) in enumerate(zip(bodies, anchors, lanes, strict=True)) for p in range(len(b) - 199) if seen[lane, (a - p) % repeats.WORD, b[p : p + 200]] > 1}
         assert got == want
 
 

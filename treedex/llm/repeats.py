@@ -3,9 +3,9 @@
 1. Every LENGTH-byte window picks an anchor: the leftmost of its GRAM-byte grams with the smallest hash, so that equal windows pick equal grams at equal
    places. Windows in a row with one anchor are a segment. Strings repeat only between segments whose anchors' grams are equal; a gram that occurs once repeats
    nothing. Of equal segments of a gram (a kind, told by a hash of its bytes) one body goes on, with the number of its copies.
-2. A gram's kinds are one text for the suffix sorting, a kind of several copies twice: words of 8 bytes, aligned at the anchor, so that equal windows have
-   equal words. Neighbours in the suffix order (linear grouping, see suffix_array) that share 24 words make a run; two windows are equal exactly if their
-   first whole words are in one run and the bytes around those 24 words, 8 in all, are the same. Nothing else decides that a window repeats.
+2. A gram's kinds are one text for the suffix sorting, a kind of several copies twice: words of WORD bytes, aligned at the anchor, so that equal windows have
+   equal words. Neighbours in the suffix order (linear grouping, see suffix_array) that share 5 words make a run; two windows are equal exactly if their
+   first whole words are in one run and the bytes around those 5 words, 40 in all, are the same. Nothing else decides that a window repeats.
 3. A gram with more than HOT kinds is no text to sort at once: its kinds are halved by where the anchor lies in the window. All windows of a half share a
    longer string around the anchor, which is its key; equal windows fall into equal halves with equal keys, again to be sorted, or halved once more.
 4. What was decided for a kind goes to all its copies; spans meet their documents, whose other bytes are hashed.
@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame, functions as F
 from . import common
 from .suffix_array import ranges, suffix_arrays
 
-LENGTH, GRAM, WORD = 200, 32, 8
-HOT, BLOCK_SYMBOLS = 1000, 300_000
+LENGTH, GRAM, WORD = 200, 32, 32
+#: Kinds of a gram sorted as one text; bytes of bodies sorted at once, but for whole texts.
+HOT, BLOCK_BODIES = 1000, 6 << 20
 #: Bytes of a long text handled at once.
 PIECE = 1 << 22
 
@@ -67,11 +68,12 @@ def repeated_windows(body: np.ndarray, off: np.ndarray, anchor: np.ndarray, twic
     body, off: the bodies' bytes one behind another; anchor: the anchor's place in each; twice: whether a body stands for two; lane: equal for the bodies
     of a text, which stand together.
     """
+    eight, around = WORD // 8, length - WORD * ((length - WORD + 1) // WORD)
     which = np.repeat(np.arange(len(anchor)), 1 + twice)
     lens, shift = np.diff(off)[which], anchor[which] % WORD
     n_words = (lens - shift) // WORD
-    padded = np.concatenate([body, np.zeros(WORD, np.uint8)])
-    at_byte = np.ndarray((len(body) + 1,), "<u8", padded, strides=(1,))
+    padded = np.concatenate([body, np.zeros(length, np.uint8)])
+    at_byte = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
     # each body ends in a symbol of its own, below all words; the last of a lane is the smallest
     own = np.concatenate([[True], lane[which][1:] != lane[which][:-1]])
     first = np.flatnonzero(own)
@@ -80,8 +82,11 @@ def repeated_windows(body: np.ndarray, off: np.ndarray, anchor: np.ndarray, twic
     text = np.empty(int(stops[-1]) + 1, np.int64)
     inside = np.ones(len(text), bool)
     inside[stops] = False
-    words = at_byte[np.repeat(off[which] + shift, n_words) + WORD * ranges(np.zeros(len(n_words), np.int64), n_words)]
-    _, rank = np.unique(words, return_inverse=True)
+    word = np.repeat(off[which] + shift, n_words) + WORD * ranges(np.zeros(len(n_words), np.int64), n_words)
+    parts = [at_byte[word + 8 * i] for i in range(eight)]
+    by = np.lexsort(parts)
+    rank = np.empty(len(word), np.int64)
+    rank[by] = np.cumsum(np.concatenate([[False], np.any([x[by][1:] != x[by][:-1] for x in parts], axis=0)]))
     text[inside], text[stops] = rank + int(count.max()), np.repeat(count, count) - 1 - ranges(np.zeros(len(count), np.int64), count)
     begin = stops - n_words
     order = suffix_arrays(text, np.append(begin[first], len(text)))
@@ -100,6 +105,7 @@ def repeated_windows(body: np.ndarray, off: np.ndarray, anchor: np.ndarray, twic
     order, run = order[many], run[many]
     row = of[order]
     word_at = shift[row] + WORD * (order - begin[row])
+    once = np.concatenate([[True], which[1:] != which[:-1]])  # a body's second copy has the first one's windows
     hit: list[np.ndarray] = []
     span = 1 << 32
     for r in range(WORD):  # windows whose first whole word is r bytes from their start
@@ -108,14 +114,25 @@ def repeated_windows(body: np.ndarray, off: np.ndarray, anchor: np.ndarray, twic
         if not len(ok):
             continue
         start = off[which[row[ok]]] + p[ok]
-        tail = length - r - WORD * need
-        key = at_byte[start] & _LOW[r] | (at_byte[start + r + WORD * need] & _LOW[tail]) << np.uint64(8 * r % 64)
+        # the r bytes before the words and those behind them, eight at a time
+        ring = []
+        for i in range(0, around, 8):
+            here, behind = at_byte[start + i], at_byte[start + WORD * need + i]
+            mask = _LOW[min(max(r - i, 0), 8)]
+            x = here & mask | behind & ~mask
+            ring.append(x if i + 8 <= around else x & _LOW[around - i])
+        key = ring[0]
+        for x in ring[1:]:
+            key = common.mix(key) ^ x
         by = np.lexsort((key, run[ok]))
-        equal = (key[by][1:] == key[by][:-1]) & (run[ok][by][1:] == run[ok][by][:-1])
+        equal = run[ok][by][1:] == run[ok][by][:-1]
+        for x in ring:
+            equal &= x[by][1:] == x[by][:-1]
         dup = np.zeros(len(ok), bool)
         dup[by[1:][equal]], dup[by[:-1][equal]] = True, True
+        dup &= once[row[ok]]
         hit.append(which[row[ok[dup]]] * span + p[ok[dup]])
-    found = np.unique(np.concatenate(hit)) if hit else np.zeros(0, np.int64)
+    found = np.sort(np.concatenate(hit)) if hit else np.zeros(0, np.int64)
     return found // span, found % span
 
 
@@ -159,15 +176,15 @@ def sorted_windows(rows: DataFrame, length: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             held.append(batch)
-            size += batch.column("body").nbytes // WORD
-            if size >= BLOCK_SYMBOLS:
+            size += batch.column("body").nbytes
+            if size >= BLOCK_BODIES:
                 table = pa.Table.from_batches(held)
                 lanes = table.column("lane").to_numpy()
                 cut = int(np.flatnonzero(lanes[1:] != lanes[:-1]).max(initial=-1)) + 1  # the last lane may go on
                 if cut:
                     yield flush(table.slice(0, cut))
                 held = table.slice(cut).combine_chunks().to_batches()
-                size = sum(b.column("body").nbytes // WORD for b in held)
+                size = sum(b.column("body").nbytes for b in held)
         if held:
             yield flush(pa.Table.from_batches(held))
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Symbols up to which a text goes side by side with others.
-SHORT = 1024
+SHORT = 128
 
 
 def ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
