@@ -11,15 +11,19 @@ from treedex.llm import common, decontaminate, packing, secrets, simhash, toxici
 
 
 def _carried(docs: DataFrame) -> DataFrame:
-    """doc_id, text and all columns in one, so that no column of the table clashes with an operator's."""
+    """doc_id, text and all other columns in one, so that no column of the table clashes with an operator's and a text goes to a worker once."""
     common.prepare(docs.sparkSession)
-    return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("_row"))
+
+
+def _restored(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*(F.col("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in columns))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the classifier rejects (score of 0.5 or more). It learns from labelled documents of docs."""
     model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
-    return toxicity.predict(_carried(docs), model, ["_row"]).filter("predicted = 0").select("_row.*")
+    return _restored(toxicity.predict(_carried(docs), model, ["text", "_row"]).filter("predicted = 0"), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +46,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without contaminated documents."""
-    return decontaminate.decontaminate(_carried(docs), common.table(spark, sf_dir, "benchmark"), ["_row"]).filter(~F.col("contaminated")).select("_row.*")
+    found = decontaminate.decontaminate(_carried(docs), common.table(spark, sf_dir, "benchmark"), ["text", "_row"])
+    return _restored(found.filter(~F.col("contaminated")), docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,6 +71,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir), name)
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        kept = common.written(stage(spark, docs, sf_dir), name)
+        if i:  # the stage before this one's table
+            common.dropped(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
