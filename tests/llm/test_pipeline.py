@@ -90,7 +90,7 @@ def test_near_duplicates(steps):
 
 
 def test_one_of_each_group(steps):
-    """Groups by all pairs of fingerprints, the smallest id of each."""
+    """Groups by all pairs of fingerprints that are near enough and agree on the bits of some cell, the smallest id of each."""
     import numpy as np
 
     from treedex.llm import simhash
@@ -101,7 +101,8 @@ def test_one_of_each_group(steps):
     fp = simhash.wide_fingerprints(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
     label = np.arange(len(ids))
     radius = simhash.wide_radius()
-    near = [np.flatnonzero(simhash.distance(fp[i][None].repeat(len(ids), 0), fp) <= radius) for i in range(len(ids))]
+    cells = simhash.cell_keys(fp)
+    near = [np.flatnonzero((simhash.distance(fp[i][None].repeat(len(ids), 0), fp) <= radius) & (cells == cells[:, i : i + 1]).any(0)) for i in range(len(ids))]
     while True:
         new = np.array([label[x].min() for x in near])
         if (new == label).all():

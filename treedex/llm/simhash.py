@@ -240,18 +240,23 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.repartition(F.col("cell")).sortWithinPartitions("cell").select("cell", "fp").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def wide_links(nodes: DataFrame, radius: int) -> DataFrame:
-    """nodes: node, fp (binary, distinct). Edges (a, b) between nodes that connect those at most radius bits apart that share a cell."""
+def cell_keys(fp: np.ndarray) -> np.ndarray:
+    """For rows of WIDE words: the key of each one's cell in each table (a row a table)."""
     rng = np.random.default_rng(7)
     drawn = np.stack([rng.permutation(64 * WIDE)[:KEY_BITS] for _ in range(TABLES)])
-    weight = 1 << np.arange(KEY_BITS, dtype=np.int64)
+    bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(-1, 8 * WIDE), axis=1, bitorder="little").astype(np.float64)
+    weight = 2.0 ** np.arange(KEY_BITS)
+    return np.stack([(bits[:, drawn[t]] @ weight).astype(np.int64) | t << KEY_BITS for t in range(TABLES)])
+
+
+def wide_links(nodes: DataFrame, radius: int) -> DataFrame:
+    """nodes: node, fp (binary, distinct). Edges (a, b) between nodes that connect those at most radius bits apart that share a cell."""
 
     def key(batches):
         for batch in batches:
-            fp = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, 8 * WIDE)
-            bits = np.unpackbits(fp, axis=1, bitorder="little").astype(np.int64)
+            keys = cell_keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, WIDE))
             for t in range(TABLES):
-                yield pa.RecordBatch.from_arrays([pa.array(bits[:, drawn[t]] @ weight | t << KEY_BITS), *batch.columns], ["key", "node", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[t]), *batch.columns], ["key", "node", "fp"])
 
     keyed = nodes.select("node", "fp").mapInArrow(key, "key bigint, node bigint, fp binary")
     # only cells of more than CELL nodes are cut; their list is short
