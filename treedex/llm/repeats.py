@@ -283,10 +283,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, text: bool = True) -> DataFra
     for p in parts:
         whole = decided.filter("n > 1 and not (h = h0 and s = s0)").select("h", "s").distinct()
         runs = runs.unionAll(p.join(whole, ["h", "s"]).select(F.col("h1").alias("h0"), F.col("s1").alias("s0"), F.col("a1").alias("a"), F.col("b1").alias("b")))
-    of_kind = runs.groupBy(F.col("h0").alias("h"), F.col("s0").alias("s")).agg(F.collect_set(F.struct("a", "b")).alias("runs"))
+    # written, so that the copies of a kind that has very many can be split among tasks
+    of_kind = common.written(runs.groupBy(F.col("h0").alias("h"), F.col("s0").alias("s")).agg(F.collect_set(F.struct("a", "b")).alias("runs")), "runs")
     spans = shared.join(of_kind, ["h", "s"]).select(*key, F.explode(F.transform("runs", lambda r: F.struct((F.col("a") + r["a"]).alias("a"), (F.col("a") + r["b"]).alias("b")))).alias("x"))
     spans = common.written(spans.groupBy(*key).agg(F.collect_set("x").alias("spans")), "spans")
-    for t in (shared, bodies, decided, *gone[1:]):
+    for t in (shared, bodies, decided, of_kind, *gone[1:]):
         common.dropped(t)
     common.tidy(spark)
 
