@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from treedex.plans.lineage import cut
+
 MOST = 20
 
 
@@ -16,19 +18,26 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(r, on, how).drop(*(f"_r_{k}" for k in keys))
 
 
+def numbered(items: DataFrame, parent: str, order: list[Column]) -> DataFrame:
+    """Adds place: each item's number among its parent's in order, from 1. Items are dealt by ranges, numbered within each, and moved up by what lies before: no task
+    has more than a range, however many children a parent has."""
+    dealt = cut(items.repartitionByRange(F.col(parent), *order).withColumn("_part", F.spark_partition_id()))
+    here = Window.partitionBy(parent, "_part").orderBy(*order)
+    counts = dealt.groupBy(parent, "_part").agg(F.count("*").alias("_c"))  # a row for each parent and range that has any
+    before = counts.withColumn("_b", F.coalesce(F.sum("_c").over(Window.partitionBy(parent).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
+    return null_safe_join(dealt.withColumn("place", F.row_number().over(here)), before, [parent, "_part"]).withColumn("place", F.col("place") + F.col("_b")).drop("_part", "_b")
+
+
 def range_chunks(items: DataFrame, parent: str, key: str, most: int = MOST) -> DataFrame:
-    """Children of a parent in even chunks of at most `most`, labelled by the first three letters of their ends: adds chunk and label.
-
-    An index level's children are in one group; a parent is a node of an index, not of the corpus.
-    """
-    w = Window.partitionBy(parent).orderBy(F.lower(key), key)
-    n = F.count("*").over(Window.partitionBy(parent))
-    size = F.ceil(n / F.ceil(n / most))
-    out = items.withColumn("chunk", F.floor((F.row_number().over(w) - 1) / size).cast("bigint"))
-    v = Window.partitionBy(parent, "chunk")
-    cut = lambda c: F.upper(F.substring(c, 1, 3))
-    first, last = (cut(f(key, F.struct(F.lower(key), key)).over(v)) for f in (F.min_by, F.max_by))
-    return out.withColumn("label", F.when(first == last, first).otherwise(F.concat(first, F.lit("–"), last)))
+    """Children of a parent in even chunks of at most `most`, labelled by the first three letters of their ends: adds chunk and label."""
+    n = items.groupBy(parent).agg(F.count("*").alias("_total"))
+    size = F.ceil(F.col("_total") / F.ceil(F.col("_total") / most))
+    out = null_safe_join(numbered(items, parent, [F.lower(key), F.col(key)]), n, [parent]).withColumn("chunk", F.floor((F.col("place") - 1) / size).cast("bigint")).drop("place", "_total")
+    cut_ = lambda c: F.upper(F.substring(c, 1, 3))
+    by = F.struct(F.lower(key), key)
+    ends = out.groupBy(parent, "chunk").agg(cut_(F.min_by(key, by)).alias("_a"), cut_(F.max_by(key, by)).alias("_z"))
+    label = F.when(F.col("_a") == F.col("_z"), F.col("_a")).otherwise(F.concat("_a", F.lit("–"), "_z"))
+    return null_safe_join(out, ends, [parent, "chunk"]).withColumn("label", label).drop("_a", "_z")
 
 
 def letter(key: Column) -> Column:
