@@ -75,7 +75,12 @@ def write_pages(pages: DataFrame, path: str) -> DataFrame:
 
 
 def _records(read, start: int, end: int, size: int):
-    """Decoded records that start in [start, end): (place, bytes). read(place, length) gives a file's bytes."""
+    """Decoded records that start in [start, end): (place, bytes). read(place, length) gives a file's bytes.
+
+    From start on the first place counts whose bytes are gzip magic, inflate to what begins with `WARC/1.` and go on to a whole member; from there on records follow
+    one another. So a range that begins inside a member could only be misled by a member stored in it unchanged, that is by a payload that is itself an
+    archive and that deflate kept as it is; write_pages() deflates payloads, which are texts, and no text holds the magic's bytes in UTF-8.
+    """
     buf, base, at = b"", start, start
     while at < end:
         if at < base or at >= base + len(buf) - len(MAGIC) - HEAD and base + len(buf) < size:
