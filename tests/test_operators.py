@@ -158,7 +158,7 @@ def test_consolidation_of_documents(spark):
     d = "/root/testdata/sf0.001"
     if not os.path.isdir(d):
         pytest.skip("no test tables")
-    n = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("file_path"), F.lit(1).cast("bigint").alias("pre"), F.col("text").alias("search_text")).filter("file_path < 60")
+    n = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("file_path"), F.lit(1).cast("bigint").alias("pre"), F.col("text").alias("search_text")).filter("file_path < 12")
     found = words.occurrences(n).orderBy("file_path", "pos").collect()
     files = {}
     for r in found:
