@@ -234,6 +234,6 @@ def test_neighbours(spark):
 
 def test_word_encoder():
     e = token_output.tokens.encoder(token_output.tokens.tokenizer_path())
-    assert e.by_word
+    assert e.by_piece
     for t in TEXTS[1:]:
         assert e.encode([t])[0].tolist() == ids_of(t)[:-1]
