@@ -24,7 +24,7 @@ def tree(tmp_path):
     (a / "old.md").write_text("<!-- kbi:generated v=1 --> python")
     (a / ".kb" / "kb.yml").write_text("domain: area\n")
     (a / ".kb" / "c.kb.md").write_text("---\nid: 1\nslug: c\ntitle: Card\nsource: ../n.md\ndomain: dom\ndefines: [term]\nbuilds_on: [zz]\n---\n> gist\ndomain: dom\n")
-    (tmp_path / "c.yml").write_text(f"directories:\n  include: ['{a}']\noutput:\n  format: markdown\n  path: '{tmp_path}/out'\n")
+    (tmp_path / "c.yml").write_text(f"directories:\n  include: ['{a}']\noutput:\n  format: markdown\n  file: '{tmp_path}/out'\n")
     return tmp_path
 
 
@@ -123,7 +123,7 @@ def test_keyword_hierarchy_and_scopes(spark, tree):
 
 
 def test_renderers(spark, tree):
-    ix = plan.KnowledgeIndex.from_config(spark, config.from_dict({"directories": {"include": [str(tree / "a")]}, "views": {"word": True}, "word_index": {"min_frequency": 1}, "output": {"format": "markdown", "path": str(tree / "out")}}))
+    ix = plan.KnowledgeIndex.from_config(spark, config.from_dict({"directories": {"include": [str(tree / "a")]}, "word_index": {"min_frequency": 1}, "output": {"format": "markdown", "file": str(tree / "out"), "views": {"word": True}}}))
     ix.keyword_rows = keywords.parse("Top\n\tpython\n\tnope\n")
     a = f"{tree}/a"
     out = render.to_markdown(ix, str(tree / "out"), home="/home/x")

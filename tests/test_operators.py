@@ -78,6 +78,17 @@ def test_markdown_sections_and_lists(spark):
     assert {r.text: r.parent_pre for r in markdown.nodes(f, "compat").collect()}["x"] == 3
 
 
+def test_markdown_white_space(spark):
+    """Unicode's white space and the separators count as such; a list item's text keeps its end; a lone carriage return ends a line."""
+    rows = ["\t# Tabbed", "#\xa0Wide \u2003", "\x1c## Sep\x1d", "\xa0", "#no", "- a  ", "\t\t\xa0\xa0* b", "\u0663. c", "x\x85", "####### seven", "# \x0b", "1.d"]
+    f = spark.createDataFrame([("f", "\n".join(rows) + "\r\nlast\rvery last")], "file_path string, content string")
+    got = [(r.line_number, r.kind, r.level, r.text) for r in markdown.lines(f).orderBy("line_number").collect()]
+    assert got == [
+        (1, "heading", 1, "Tabbed"), (2, "heading", 1, "Wide"), (3, "heading", 2, "Sep"), (5, "content", 0, "#no"), (6, "list_item", 0, "a  "), (7, "list_item", 2, "b"), (8, "list_item", 0, "c"),
+        (9, "content", 0, "x"), (10, "content", 0, "####### seven"), (11, "content", 0, "#"), (12, "content", 0, "1.d"), (13, "content", 0, "last"), (14, "content", 0, "very last"),
+    ]
+
+
 def test_mindmap():
     got = mindmap.parse("p", '<map><node ID="a" TEXT="A &nbsp;b"><node TEXT="c"/><node TEXT="d" TAGS="x&#xa;y"/></node></map>')
     assert [(r[1], r[2], r[3]) for r in got] == [(1, 3, None), (2, 2, 1), (3, 3, 1)] and got[2][9] == ["x", "y"]
@@ -182,7 +193,7 @@ def test_files_index_and_renderers(spark, tmp_path):
     (a / "m.mm").write_text('<map><node TEXT="Root" TAGS="t2"><node TEXT="python"/></node></map>')
     (a / ".kb" / "kb.yml").write_text("domain: area\n")
     (a / ".kb" / "c.kb.md").write_text("---\nid: 1\nslug: c\ntitle: Card\nsource: ../n.md\ndomain: dom\ndefines: [term]\nbuilds_on: [zz]\n---\n> gist\n")
-    cfg = config.from_dict({"directories": {"include": [str(tmp_path)]}, "views": {"word": True}, "word_index": {"min_frequency": 1}})
+    cfg = config.from_dict({"directories": {"include": [str(tmp_path)]}, "output": {"views": {"word": True}}, "word_index": {"min_frequency": 1}})
     ix = plan.KnowledgeIndex.from_config(spark, cfg)
     ix.keyword_rows = keywords.parse("python")
     assert {os.path.basename(r.file_path) for r in ix.files.collect()} == {"n.md", "m.mm", "c.kb.md"}

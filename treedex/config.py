@@ -6,8 +6,21 @@ import json
 import os
 from dataclasses import dataclass, field
 
+from treedex.functions.text import FILE_TYPES
+
 VIEWS = ("file_system", "keyword", "tag", "word", "dependencies", "glossary")
 PLACES = ("configs", "config", ".", os.path.expanduser("~/.config"))
+SWITCH = ("auto", "on", "off")
+#: Folders left out where a configuration says nothing about them.
+EXCLUDE = ["**/node_modules/**", "**/.git/**", "**/build/**", "**/__pycache__/**", "**/.venv/**"]
+#: All keys. word_index is this library's own.
+KEYS = {
+    "directories": ("include", "exclude"),
+    "keywords": ("files",),
+    "output": ("file", "format", "partition_by_domain", "views"),
+    "types": ("include", "exclude"),
+    "word_index": ("min_frequency",),
+}
 
 
 class ConfigError(ValueError):
@@ -25,6 +38,7 @@ class Config:
     output: str | None = None
     views: dict[str, str] = field(default_factory=dict)
     min_frequency: int = 2
+    partition: str = "auto"
 
     def view_enabled(self, name: str) -> bool:
         """on, off, or auto: on, but for words."""
@@ -38,24 +52,74 @@ def _strings(value, where: str) -> list[str]:
     return value
 
 
+def _section(raw: dict, name: str) -> dict:
+    """A section, empty if it isn't given; a key that isn't known is an error."""
+    found = raw.get(name)
+    if found is None:
+        return {}
+    if not isinstance(found, dict):
+        raise ConfigError(f"{name}: keys with values are needed")
+    if unknown := sorted(set(map(str, found)) - set(KEYS[name])):
+        raise ConfigError(f"{name}.{unknown[0]}: not known; known are {', '.join(KEYS[name])}")
+    return found
+
+
+def _switch(value, where: str) -> str:
+    """YAML's on, off, yes and no are taken as the words on and off."""
+    value = {True: "on", False: "off"}[value] if isinstance(value, bool) else value
+    if value not in SWITCH:
+        raise ConfigError(f"{where}: {value}; one of {', '.join(SWITCH)} is needed")
+    return value
+
+
+def _keyword_file(entry) -> str | dict:
+    """A path, or a path with the domain or domains that it holds for."""
+    if isinstance(entry, str):
+        return entry
+    if not isinstance(entry, dict) or not isinstance(entry.get("path"), str) or set(entry) - {"path", "domain"}:
+        raise ConfigError(f"keywords.files: {entry}: a path, or path and domain")
+    domain = entry.get("domain")
+    if "domain" in entry and not (isinstance(domain, str) or isinstance(domain, list) and domain and all(isinstance(x, str) for x in domain)):
+        raise ConfigError(f"keywords.files: {entry['path']}: domain is a name or a list of names")
+    return entry
+
+
 def from_dict(raw: dict) -> Config:
-    """Checks types and words; YAML's on, off, yes and no are taken as the words on and off."""
+    """Checks keys, types and words."""
     if not isinstance(raw, dict) or not isinstance(raw.get("directories"), dict) or "include" not in raw["directories"]:
         raise ConfigError("directories.include is needed")
-    d, types, out, views = raw["directories"], raw.get("types") or {}, raw.get("output") or {}, raw.get("views") or {}
-    if types.get("include") and types.get("exclude"):
+    if unknown := sorted(set(map(str, raw)) - set(KEYS)):
+        raise ConfigError(f"{unknown[0]}: not known; known are {', '.join(KEYS)}")
+    d, kw, out, types, word = (_section(raw, k) for k in KEYS)
+    if "include" in types and "exclude" in types:
         raise ConfigError("types: give include or exclude, not both")
-    word = {True: "on", False: "off"}
-    views = {k: word.get(v, v) if isinstance(v, bool) else v for k, v in views.items()}
-    for k, v in views.items():
-        if k not in VIEWS or v not in ("auto", "on", "off"):
-            raise ConfigError(f"views.{k}: {v}")
+    for k, names in types.items():
+        if not isinstance(names, list) or (bad := [x for x in names if x not in FILE_TYPES.values()]):
+            raise ConfigError(f"types.{k}: {names if not isinstance(names, list) else bad[0]}; a list of {', '.join(sorted(set(FILE_TYPES.values())))} is needed")
+    views = out.get("views") or {}
+    if not isinstance(views, dict) or (bad := [k for k in views if k not in VIEWS]):
+        raise ConfigError(f"output.views: {views if not isinstance(views, dict) else bad[0]}; known are {', '.join(VIEWS)}")
     if out.get("format", "freeplane") not in ("freeplane", "markdown"):
         raise ConfigError(f"output.format: {out['format']}")
+    if not isinstance(out.get("file", ""), str):
+        raise ConfigError(f"output.file: {out['file']}")
+    if not isinstance(kw.get("files") or [], list):
+        raise ConfigError("keywords.files: a list is needed")
     include = _strings(d["include"], "directories.include")
     if not include:
         raise ConfigError("directories.include is empty")
-    return Config(include, _strings(d.get("exclude") or [], "directories.exclude"), list(types.get("include") or []), list(types.get("exclude") or []), list(raw.get("keyword_files") or []), out.get("format", "freeplane"), out.get("path"), views, int((raw.get("word_index") or {}).get("min_frequency", 2)))
+    return Config(
+        include,
+        _strings(EXCLUDE if "exclude" not in d else d["exclude"] or [], "directories.exclude"),
+        types.get("include") or [],
+        types.get("exclude") or [],
+        [_keyword_file(x) for x in kw.get("files") or []],
+        out.get("format", "freeplane"),
+        out.get("file") or None,
+        {k: _switch(v, f"output.views.{k}") for k, v in views.items()},
+        int(word.get("min_frequency", 2)),
+        _switch(out.get("partition_by_domain", "auto"), "output.partition_by_domain"),
+    )
 
 
 def load(path: str | None = None, name: str = "config") -> Config:
@@ -78,7 +142,7 @@ def load(path: str | None = None, name: str = "config") -> Config:
     return out
 
 
-SAMPLE_CONFIG = {"directories": {"include": ["~/notes"], "exclude": ["**/.git/**"]}, "output": {"format": "markdown", "path": "index"}, "views": {"word": "off"}}
+SAMPLE_CONFIG = {"directories": {"include": ["~/notes"], "exclude": ["**/.git/**"]}, "keywords": {"files": []}, "output": {"format": "markdown", "file": "index", "partition_by_domain": "auto", "views": {"word": "off"}}}
 SAMPLE_KEYWORDS = "# one tab is one level; a leaf is a search; ':' finds below\nTopics\n\tplanning\n\tplanning:review\n"
 
 

@@ -6,10 +6,13 @@ A node is in its own subtree. Results are bags: matches that overlap give their
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from treedex.functions import patterns as patterns_
 from treedex.functions.text import boundary
 from treedex.operators.tree import covered
 
@@ -21,51 +24,154 @@ def split_terms(text: str, brackets: bool = True) -> list[str]:
 
 
 def valid_patterns(spark, patterns: list[str]) -> dict[str, bool]:
-    """Which patterns compile, asked of Java on the driver: one bad pattern would fail a whole query."""
+    """Which patterns are valid: taken by Python between word boundaries, and by Java as translated; one bad pattern would fail a whole query."""
     out = {}
     for p in patterns:
-        try:
-            spark._jvm.java.util.regex.Pattern.compile(boundary(p))
-            out[p] = True
-        except Exception:
-            out[p] = False
+        out[p] = patterns_.valid(p)
+        if out[p] and re.search(r"[^\w\s-]", p):
+            try:
+                spark._jvm.java.util.regex.Pattern.compile(boundary(p))
+            except Exception:
+                out[p] = False
     return out
 
 
-def search_multiple(nodes: DataFrame, sequences: list[list[str]]) -> DataFrame:
-    """nodes: file_path, pre, last, search_text, text. All sequences' hits with `sequence`, joined by colons; a sequence without hits has no row.
+# --- many terms at once
+
+#: Signs that stand for themselves in a pattern, and words of a literal text.
+_LITERAL, _RUN = re.compile(r"(?:[\w \-',/&@%=<>!\";~`:]|\\[^\w\s])+"), re.compile(r"\w+")
+#: Buckets of the words that are looked for, so that a word of a text meets few of them.
+_BUCKETS = 4096
+#: Capitals whose small letter has another capital, and those small letters. Spark drops one of two nested changes of case, so they are replaced first.
+_ODD, _SMALL = "\u0130\u03f4\u1e9e\u2126\u212a\u212b", "i\u03b8\u00df\u03c9k\u00e5"
+
+
+def folded(text: Column) -> Column:
+    """Equal for texts that Java's patterns of any case take for equal."""
+    return F.upper(F.translate(text, _ODD, _SMALL))
+
+
+def _fold(word: str) -> str:
+    return word.translate(str.maketrans(_ODD, _SMALL)).upper()
+
 
-    Each term is matched once a node, whatever the number of sequences; a node goes on with the sequences that it matches a term of. Then a stage is a
-    running sum by file: of a middle term, a match takes the weights of the matches since the one before it whose subtrees reach it; of the last
-    term, a match is found as often as matches stand at or above it.
+def required_words(term: str) -> list[tuple[str, bool]] | None:
+    """For each alternative of a term that is literal text, its longest word, folded, which a matching text has as a word of its own, and whether it is all of the alternative. None if the term isn't such.
+
+    The boundaries around a term make each run of letters, digits and _ in an alternative a whole word of the text.
+    """
+    out = []
+    for part in term.split("|"):
+        if not _LITERAL.fullmatch(part):
+            return None
+        runs = _RUN.findall(part)
+        key = max(map(_fold, runs), key=len, default="")
+        # a word that changes its length in upper case stands for texts of several lengths
+        if not key or any(len(x) != len(_fold(x)) for x in runs):
+            return None
+        out.append((key, runs == [part]))
+    return out
+
+
+def matched_terms(text: Column, terms: list[str]) -> Column:
+    """An array of the numbers of the terms that a text matches, as rlike(boundary(term)) would say, each once; null text matches none.
+
+    Literal terms are found by their words: the text is cut into words once, and each is looked up, so what a text costs doesn't grow with the number of terms. A term of several words is
+    compared in full where its longest word occurs, and so is any term where a letter of the text changes its length in upper case. Terms with other signs are patterns of their own.
+    """
+    index: list[dict[str, list[dict]]] = [{} for _ in range(_BUCKETS)]
+    rest, looked = [], False
+    for i, t in enumerate(terms):
+        words = required_words(t)
+        if words is None:
+            rest.append(F.when(text.rlike(boundary(t)), F.lit(i)))
+            continue
+        looked = True
+        for key, all_ in words:
+            entry = {"i": i, "p": boundary(t), "a": all_}
+            of_key = index[zlib.crc32(key.encode()) % _BUCKETS].setdefault(key, [])
+            if entry not in of_key:
+                of_key.append(entry)
+    found = F.array().cast("array<int>")
+    if looked:
+        kind = "array<map<string,array<struct<i:int,p:string,a:boolean>>>>"
+        table = F.from_json(F.lit(json.dumps(index)), F.lit(kind))
+        plain = F.length(text) == F.length(folded(text))
+        words = F.array_distinct(F.regexp_extract_all(folded(text), F.lit(r"(?U)\w+"), F.lit(0)))
+        entries = F.transform(words, lambda w: F.try_element_at(F.try_element_at(table, (F.crc32(w.cast("binary")) % _BUCKETS + 1).cast("int")), w))
+        sure = F.filter(F.flatten(F.filter(entries, lambda e: e.isNotNull())), lambda e: F.when(e["a"] & plain, F.lit(True)).otherwise(F.regexp_like(text, e["p"])))
+        found = F.coalesce(F.transform(sure, lambda e: e["i"]), found)
+    if rest:
+        found = F.concat(found, F.filter(F.array(*rest), lambda x: x.isNotNull()))
+    return F.array_distinct(found)
+
+
+def found_sequences(nodes: DataFrame, sequences: list[list[str]]) -> DataFrame:
+    """All sequences' hits as file_path, pre, p (the node's other columns), s (number of the sequence) and times: how often the sequence finds the node.
+
+    Each node's text is searched once, whatever the number of sequences. Sequences that differ in their last term alone share a stem: its terms' matches and all the last terms' are rows of
+    the stem, so a stem with many leaves costs its rows once. Then a stage is a running sum by stem and file: of a middle term, a match takes the weights of the matches since
+    the one before it whose subtrees reach it; of the last term, a match is found as often as matches of the stem stand at or above it.
     """
-    sequences = [s for s in sequences if s]
     cols = [c for c in ("text", "search_text", "node_id", "node_type") if c in nodes.columns]
-    paths = [F.array(*map(F.lit, s)) for s in sequences]
     terms = sorted({t for s in sequences for t in s})
-    out = lambda rows, path, sequence: rows.select("file_path", "pre", *(F.col(f"p.{c}") for c in cols if c == "node_id"), "p.text", F.col("p.search_text").alias("matched"), path.alias("search_path"), sequence.alias("sequence"))
-    if not sequences:
-        return out(nodes.limit(0).select("file_path", "pre", F.struct(*cols).alias("p")), F.array().cast("array<string>"), F.lit("").cast("string"))
-    n = nodes.select("file_path", "pre", "last", F.struct(*cols).alias("p"), *(F.coalesce(F.col("search_text").rlike(boundary(t)), F.lit(False)).alias(f"_t{i}") for i, t in enumerate(terms)))
     number = {t: i for i, t in enumerate(terms)}
-    most = max(map(len, sequences))
-    each = F.array(*(F.struct(F.lit(i).alias("s"), F.lit(len(s)).alias("k"), F.array(*(F.col(f"_t{number[t]}") for t in s), *(F.lit(False) for _ in range(most - len(s)))).alias("f")) for i, s in enumerate(sequences)))
-    now = n.select("file_path", "pre", "last", "p", F.explode(F.filter(each, lambda x: F.exists(x["f"], lambda y: y))).alias("q"))
-    now = now.select("file_path", "pre", "last", "p", "q.s", "q.k", "q.f").withColumn("w", F.col("f")[0].cast("bigint"))
-    by = ["s", "file_path"]
-    for i in range(1, most - 1):
-        here, middle = F.col("f")[i], F.col("k") > i + 1
+    stems = {stem: i for i, stem in enumerate(sorted({tuple(s[:-1]) for s in sequences}))}
+    uses: list[list[dict]] = [[] for _ in terms]  # by term: what it is in stems: a place from 0, or the last term of a sequence
+    for i, s in enumerate(sequences):
+        uses[number[s[-1]]].append({"stem": stems[tuple(s[:-1])], "k": len(s) - 1, "at": -1, "s": i})
+    for stem, i in stems.items():
+        for at, t in enumerate(stem):
+            uses[number[t]].append({"stem": i, "k": len(stem), "at": at, "s": -1})
+    kind = "array<array<struct<stem:int,k:int,at:int,s:int>>>"
+    table = F.from_json(F.lit(json.dumps(uses)), F.lit(kind))
+    n = nodes.select("file_path", "pre", "last", F.struct(*cols).alias("p"), matched_terms(F.col("search_text"), terms).alias("_t"))
+    # outer: else Spark would look for empty arrays first and so match the terms twice
+    u = n.select("file_path", "pre", "last", "p", F.explode_outer(F.flatten(F.transform("_t", lambda i: F.try_element_at(table, i + 1)))).alias("u")).filter("u is not null").select("file_path", "pre", "last", "p", "u.*")
+    alone = u.filter("k = 0").select("file_path", "pre", "p", "s", F.lit(1).cast("bigint").alias("times"))
+    most = max(map(len, sequences)) - 1
+    if most < 1:
+        return alone
+    by = ["stem", "file_path"]
+    met = u.filter("k > 0").repartition(*by).groupBy(*by, "pre", "last", "k").agg(F.first("p").alias("p"), F.array_distinct(F.collect_list("at")).alias("f"), F.collect_list(F.when(F.col("s") >= 0, F.col("s"))).alias("ends"))
+    now = met.withColumn("w", F.array_contains("f", 0).cast("bigint"))
+    for i in range(1, most):
+        here = F.array_contains("f", i)
         stretch = F.coalesce(F.sum(here.cast("bigint")).over(Window.partitionBy(*by).orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         now = now.withColumn("g", stretch)
         whole = Window.partitionBy(*by, "g")
         now = now.withColumn("_n", F.max(F.when(here, F.col("pre"))).over(whole))
         came = F.sum(F.when(F.col("last") >= F.col("_n"), F.col("w"))).over(whole)
-        now = now.withColumn("w", F.when(middle, F.when(here, F.coalesce(came, F.lit(0))).otherwise(0)).otherwise(F.col("w"))).drop("g", "_n")
-    held = covered(now, F.col("w"), by).filter(F.element_at("f", F.col("k")) & (F.col("cover") > 0)) if most > 1 else now.filter("w > 0").withColumn("cover", F.col("w"))
-    times = F.when(F.col("k") == 1, F.col("w")).otherwise(F.col("cover"))
-    held = held.withColumn("_c", F.explode(F.sequence(F.lit(1).cast("bigint"), times)))
-    path = F.array(*paths)[F.col("s")]
-    return out(held, path, F.array_join(path, ":"))
+        now = now.withColumn("w", F.when(F.col("k") > i, F.when(here, F.coalesce(came, F.lit(0))).otherwise(0)).otherwise(F.col("w"))).drop("g", "_n")
+    held = covered(now, F.col("w"), by).filter(F.col("cover") > 0)
+    below = held.select("file_path", "pre", "p", F.explode("ends").alias("s"), F.col("cover").alias("times"))
+    return alone.unionByName(below) if any(len(s) == 1 for s in sequences) else below
+
+
+def search_counts(nodes: DataFrame, sequences: list[list[str]]) -> DataFrame:
+    """sequence (terms joined by colons), file_path, pre, times: hits of all sequences as numbers; a bag of them would grow with the square of a chain's length."""
+    names = [":".join(s) for s in sequences if s]
+    if not names:
+        return nodes.select(F.lit("").alias("sequence"), "file_path", "pre", F.lit(1).cast("bigint").alias("times")).limit(0)
+    return found_sequences(nodes, [s for s in sequences if s]).select(_pick(names, "s").alias("sequence"), "file_path", "pre", "times")
+
+
+def _pick(values: list, at: str) -> Column:
+    kind = "array<string>" if isinstance(values[0], str) else "array<array<string>>"
+    return F.from_json(F.lit(json.dumps(values)), F.lit(kind))[F.col(at)]
+
+
+def search_multiple(nodes: DataFrame, sequences: list[list[str]]) -> DataFrame:
+    """nodes: file_path, pre, last, search_text, text. All sequences' hits with `sequence`, joined by colons, as a bag; a sequence without hits has no row."""
+    sequences = [s for s in sequences if s]
+    cols = [c for c in ("node_id",) if c in nodes.columns]
+    out = lambda rows, path, sequence: rows.select("file_path", "pre", *(F.col(f"p.{c}") for c in cols), "p.text", F.col("p.search_text").alias("matched"), path.alias("search_path"), sequence.alias("sequence"))
+    if not sequences:
+        kept = [c for c in ("text", "search_text", "node_id") if c in nodes.columns]
+        return out(nodes.limit(0).select("file_path", "pre", F.struct(*kept).alias("p")), F.array().cast("array<string>"), F.lit("").cast("string"))
+    held = found_sequences(nodes, sequences)
+    held = held.withColumn("_c", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))))
+    return out(held, _pick(sequences, "s"), _pick([":".join(s) for s in sequences], "s"))
 
 
 def search_sequence(nodes: DataFrame, terms: list[str]) -> DataFrame:

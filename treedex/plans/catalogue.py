@@ -97,22 +97,33 @@ def union_of_sources(spark, d):
     return a.unionByName(table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("kind")).agg(F.count("*").alias("n")))
 
 
-# --- Markdown: the first line of a text becomes a heading, others by their number
+# --- Markdown: a text's lines as they stand, some made headings and list items
 
 
 def _marked(spark, d):
-    """Lines numbered from 0: by 7 rest 0 a heading of level 1 to 3, rest 3 a list item, else content."""
+    """Lines numbered from 0, with signs and white space of many kinds around them; by 7 rest 5 a no-break space alone."""
     line = files(spark, d).filter("ftype <> 'freeplane'").select("file_path", F.posexplode(F.split("content", "\n")).alias("i", "t"))
-    t = F.trim(F.regexp_replace("t", r"[\t\r]", " "))
-    made = F.when(t == "", "").when(F.col("i") % 7 == 0, F.concat(F.repeat(F.lit("#"), (1 + F.col("i") % 3).cast("int")), F.lit(" "), t)).when(F.col("i") % 7 == 3, F.concat(F.repeat(F.lit("  "), (F.col("i") % 2).cast("int")), F.lit("- "), t)).otherwise(F.concat(F.lit("x "), t))
+    pick = lambda *x: F.element_at(F.array(*map(F.lit, x)), (F.col("i") % len(x) + 1).cast("int"))
+    heading = F.concat(pick("", "\t", "\xa0", "\x1c "), pick("#", "##", "###", "#######", "####"), pick(" ", "\xa0\t", ""), "t", pick("", "  ", " ", "\x85", "\r"))
+    item = F.concat(pick("", "  ", "\t\t\xa0\xa0", " "), pick("-", "12.", "+", "*", "1"), pick(" ", "\t", "\xa0"), "t", pick("", " \t"))
+    made = F.when(F.col("i") % 7 == 0, heading).when(F.col("i") % 7 == 3, item).when(F.col("i") % 7 == 5, F.lit("\xa0")).otherwise(F.col("t"))
     return line.groupBy("file_path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", made.alias("m")))), lambda x: x["m"]), "\n").alias("content"))
 
 
-MARKED = FILES + """,
+_W = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_PICK = lambda *x: "[" + ", ".join(" || ".join(f"chr({ord(c)})" for c in v) or "''" for v in x) + f"][i % {len(x)} + 1]"
+MARKED = FILES + f""",
     s AS (SELECT file_path, string_split(content, chr(10)) AS ls FROM f WHERE ftype <> 'freeplane'),
-    u AS (SELECT file_path, i, trim(regexp_replace(ls[i + 1], '[\\t\\r]', ' ', 'g'), ' ') AS t FROM (SELECT file_path, ls, unnest(range(0, len(ls))) AS i FROM s)),
-    k AS (SELECT file_path, (i + 1)::BIGINT AS line_number, t, CASE WHEN i % 7 = 0 THEN 'heading' WHEN i % 7 = 3 THEN 'list_item' ELSE 'content' END AS kind, CASE WHEN i % 7 = 0 THEN 1 + i % 3 WHEN i % 7 = 3 THEN i % 2 ELSE 0 END::BIGINT AS level,
-        CASE WHEN i % 7 IN (0, 3) THEN t ELSE 'x ' || t END AS text FROM u WHERE t <> '')"""
+    u AS (SELECT file_path, i, ls[i + 1] AS t FROM (SELECT file_path, ls, unnest(range(0, len(ls))) AS i FROM s)),
+    md AS (SELECT file_path, string_agg(CASE i % 7
+        WHEN 0 THEN {_PICK("", chr(9), chr(0xA0), chr(0x1C) + " ")} || {_PICK("#", "##", "###", "#######", "####")} || {_PICK(" ", chr(0xA0) + chr(9), "")} || t || {_PICK("", "  ", chr(0x2003), chr(0x85), chr(13))}
+        WHEN 3 THEN {_PICK("", "  ", chr(9) * 2 + chr(0xA0) * 2, " ")} || {_PICK("-", "12.", "+", "*", "1")} || {_PICK(" ", chr(9), chr(0xA0))} || t || {_PICK("", " " + chr(9))}
+        WHEN 5 THEN chr(160) ELSE t END, chr(10) ORDER BY i) AS content FROM u GROUP BY 1),
+    v AS (SELECT file_path, n::BIGINT AS line_number, regexp_replace(raw, '^{_W}+|{_W}+$', '', 'g') AS st, raw FROM (SELECT file_path, ls, unnest(range(1, len(ls) + 1)) AS n, unnest(ls) AS raw FROM (SELECT file_path, string_split_regex(content, '\\r\\n?|\\n') AS ls FROM md))),
+    k AS (SELECT file_path, line_number, CASE WHEN h[1] <> '' THEN 'heading' WHEN l[2] <> '' THEN 'list_item' ELSE 'content' END AS kind,
+        CASE WHEN h[1] <> '' THEN length(h[1]) WHEN l[2] <> '' THEN length(l[1]) // 2 ELSE 0 END::BIGINT AS level, CASE WHEN h[1] <> '' THEN h[2] WHEN l[2] <> '' THEN l[3] ELSE st END AS text
+        FROM (SELECT file_path, line_number, st, [regexp_extract(st, '{{h}}', 1), regexp_extract(st, '{{h}}', 2)] AS h, [regexp_extract(raw, '{{l}}', 1), regexp_extract(raw, '{{l}}', 2), regexp_extract(raw, '{{l}}', 3)] AS l FROM v WHERE st <> ''))
+    """.replace("{h}", rf"^(#{{1,6}}){_W}+(.+)$").replace("{l}", rf"^({_W}*)([-*+]|\p{{Nd}}+\.){_W}+(.+)$")
 
 
 @query(f"WITH {MARKED} SELECT file_path, line_number, kind, level, md5(text) AS text_md5 FROM k")
@@ -219,7 +230,31 @@ _MANY = "SELECT '{0}:{1}' AS sequence, count(*) AS hits FROM (SELECT file_path,
 
 @query(f"WITH {NODES}, r AS (" + " UNION ALL ".join(_MANY.format(a, b, _m(a), _m(b)) for a, b in (("the", "by"), ("der", "mit"), ("la", "para"), ("nosuchword", "the"))) + ") SELECT * FROM r WHERE hits > 0")
 def search_many(spark, d):
-    return search.search_multiple(nodes(spark, d), [["the", "by"], ["der", "mit"], ["la", "para"], ["nosuchword", "the"]]).groupBy("sequence").agg(F.count("*").alias("hits"))
+    return search.search_counts(nodes(spark, d), [["the", "by"], ["der", "mit"], ["la", "para"], ["nosuchword", "the"]]).groupBy("sequence").agg(F.sum("times").alias("hits"))
+
+
+@query(rf"""WITH {NODES}, leaves AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark),
+    tok AS (SELECT DISTINCT file_path, pre, unnest(regexp_extract_all(plain, '[a-z0-9_]+')) AS w FROM n), a AS (SELECT file_path, pre, last FROM n WHERE {_m('the')})
+    SELECT w AS sequence, count(*) AS hits FROM tok JOIN leaves USING (w) GROUP BY 1 UNION ALL SELECT 'the:' || w, count(*) FROM a JOIN tok b ON a.file_path = b.file_path AND b.pre BETWEEN a.pre AND a.last JOIN leaves USING (w) GROUP BY 1""")
+def search_leaves(spark, d):
+    """Every word of the benchmark's items as a leaf of its own and below another term."""
+    words_ = sorted(r.w for r in table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w")).distinct().collect())
+    return search.search_counts(nodes(spark, d), [[w] for w in words_] + [["the", w] for w in words_]).groupBy("sequence").agg(F.sum("times").alias("hits"))
+
+
+#: Patterns of the configuration's dialect, and what the same asks for in SQL's.
+_PATTERNS = [
+    (r"(?P<first>t)he", "the"), (r"(?:with|mit)\.?\Z", r"(?:with|mit)\.?\z"), (r"(w)?(?(1)ith|the)", "with|the"), (r"th(?#a remark)e", "the"), (r"(?i:W)ith", "with"), (r"d(?P<x>e)[rs]", "de[rs]"),
+    (r"\x74he", "the"), ("[]w[]ith", "with"), (r"\w{,3}en", r"\w{0,3}en"), (r"[\w-]+ing", r"[\w-]+ing"), ("(", None), (r"\p{L}e", None), ("(?P<a>x)(?P<a>y)", None), (r"and\s+the", r"and\s+the"),
+]
+
+
+@query(f"WITH {NODES}, r AS (" + " UNION ALL ".join(f"SELECT {i} AS number, count(*) AS hits FROM n WHERE {_m(q) if q else 'false'}" for i, (_, q) in enumerate(_PATTERNS)) + ") SELECT number::INTEGER AS number, hits FROM r WHERE hits > 0")
+def search_patterns(spark, d):
+    good = search.valid_patterns(spark, [p for p, _ in _PATTERNS])
+    asked = [[p] for p, _ in _PATTERNS if good[p]]
+    number = F.create_map(*(F.lit(x) for i, (p, _) in enumerate(_PATTERNS) for x in (p, i)))
+    return search.search_counts(nodes(spark, d), asked).groupBy(number[F.col("sequence")].alias("number")).agg(F.sum("times").alias("hits"))
 
 
 @query(f"""WITH {NODES}, a AS (SELECT file_path, pre, last FROM n WHERE {_m('the')})

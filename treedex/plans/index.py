@@ -108,7 +108,7 @@ class KnowledgeIndex:
 
     @cached_property
     def file_domains(self) -> DataFrame:
-        return cut(domains.partitioned(domains.resolved(self.files.select("file_path"), self.areas, self.cards)))
+        return cut(domains.partitioned(domains.resolved(self.files.select("file_path"), self.areas, self.cards), self.config.partition))
 
     @cached_property
     def domain_cards(self) -> DataFrame:
