@@ -441,9 +441,12 @@ SIGNIFICANT = TOKENS + f""", capital AS (SELECT DISTINCT doc_id, lower(w) AS wor
         AND (length(t.word) >= 3 OR t.word IN ('ty', 'er', 'ar', 'al', 'ic') OR c.word IS NOT NULL))))"""
 
 
+def _texts(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("file_path"), F.lit(1).cast("bigint").alias("pre"), F.col("text").alias("search_text"))
+
+
 def _occurrences(spark, d):
-    n = table(spark, d, "documents").select(F.col("doc_id").alias("file_path"), F.lit(1).cast("bigint").alias("pre"), F.col("text").alias("search_text"))
-    return words.occurrences(n)
+    return words.occurrences(_texts(spark, d))
 
 
 @query(f"WITH {TOKENS} SELECT word, count(*) AS n FROM t GROUP BY 1")
@@ -453,7 +456,7 @@ def tokens(spark, d):
 
 @query(f"WITH {SIGNIFICANT} SELECT DISTINCT doc_id, word FROM w")
 def significant_words(spark, d):
-    return words.hits(_occurrences(spark, d)).select(F.col("file_path").alias("doc_id"), "word")
+    return words.hits(_texts(spark, d)).select(F.col("file_path").alias("doc_id"), "word")
 
 
 @query(f"WITH {SIGNIFICANT} SELECT word, count(*) AS n FROM w GROUP BY 1 HAVING count(*) >= 5")
@@ -463,7 +466,7 @@ def word_occurrences(spark, d):
 
 @query(f"WITH {SIGNIFICANT} SELECT word, count(DISTINCT doc_id) AS n_files FROM w GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2")
 def word_docfreq(spark, d):
-    return words.document_frequency(_occurrences(spark, d))
+    return words.document_frequency(words.hits(_texts(spark, d)))
 
 
 _BASE = "CASE " + " ".join(f"WHEN ends_with(word, '{s}') AND length(word) > {len(s) + 2} THEN left(word, length(word) - {len(s)})" for s in T.SUFFIXES) + " ELSE word END"
@@ -493,7 +496,7 @@ def word_consolidate(spark, d):
     SELECT word, concat_ws('/', above, CASE WHEN level_words <= 24 OR n_c = 1 THEN NULL WHEN n_c <= 24 THEN CASE WHEN level_letters > 1 THEN c END WHEN prefix_range IS NOT NULL THEN prefix_range WHEN n_w <= 24 THEN e.p
         WHEN n_q <= 24 THEN e.p || '/' || q ELSE e.p || '/' || label || CASE WHEN again > 1 THEN ' (' || again || ')' ELSE '' END END) AS path FROM e JOIN b ON b.p = e.p AND b.slice = e.slice""")
 def word_groups(spark, d):
-    return words.word_groups(_occurrences(spark, d).select("word").distinct()).select("word", F.array_join("path", "/").alias("path"))
+    return words.word_groups(words.hits(_texts(spark, d))).select("word", F.array_join("path", "/").alias("path"))
 
 
 # --- buckets

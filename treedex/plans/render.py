@@ -178,13 +178,7 @@ def word_rows(index, dialect: str, home: str) -> DataFrame:
     one = w.select("domain", "word", "file_path").distinct()
     if dialect == "markdown":
         return w.select("domain", "word").distinct().select(*row(F.array(own), F.col("word"))).unionByName(one.select(*row(F.array(own, key(0, F.col("file_path"))), base_name(F.col("file_path")), F.col("file_path"))))
-    all_ = None
-    for d in [r.domain for r in w.select("domain").distinct().collect()]:  # domains are few
-        g = words.word_groups(w.filter(F.col("domain").eqNullSafe(F.lit(d))).select("word").distinct()).withColumn("domain", F.lit(d).cast("string"))
-        all_ = g if all_ is None else all_.unionByName(g)
-    if all_ is None:
-        return w.limit(0).select(*row(F.array().cast(f"array<{KEY}>"), F.col("word")))
-    groups = cut(all_.withColumnRenamed("path", "labels").withColumn("path", F.concat(F.transform("labels", lambda x: key(1, x)), F.array(own))))
+    groups = cut(words.word_groups(w.select("domain", "word"), by="domain").withColumnRenamed("path", "labels").withColumn("path", F.concat(F.transform("labels", lambda x: key(1, x)), F.array(own))))
     above = groups.select("domain", "path", "labels", F.explode(F.when(F.size("labels") > 0, F.sequence(F.lit(1), F.size("labels")))).alias("k")).select(*row(F.slice("path", F.lit(1), F.col("k")), F.element_at("labels", F.col("k")))).distinct()
     j = w.join(groups.select(F.col("domain").alias("_d"), F.col("word").alias("_w"), "path"), F.col("domain").eqNullSafe(F.col("_d")) & (F.col("word") == F.col("_w")))
     essence, _ = card_parts(index)
