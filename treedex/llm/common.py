@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: Text bytes handled at once by a Python worker; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
@@ -66,6 +66,37 @@ def tidy(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def with_group(rows: DataFrame, groups: DataFrame, key: str, n_rows: str, deal: Column) -> DataFrame:
+    """rows with the columns of their group: groups has a row for each value of key (null too) and its number of rows. A row of rows whose key isn't there is left out.
+
+    A group of more than its share of the rows, one in so many as Spark has shuffle partitions, is dealt over all of them by `deal`, any column of whole numbers; there are fewer such groups
+    than partitions, which bounds what is broadcast and how often a group's row is copied.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = groups.agg(F.sum(n_rows)).first()[0] or 0
+    large = F.col(n_rows) * parts > total
+    names = groups.filter(large).select(F.col(key).alias("_large"), F.lit(True).alias("_is"))
+    dealt = rows.join(F.broadcast(names), F.col(key).eqNullSafe(F.col("_large")), "left").withColumn("_deal", F.when(F.col("_is"), F.pmod(deal, F.lit(parts))).otherwise(0).cast("int"))
+    copies = groups.withColumn("_copy", F.explode(F.when(large, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0))))).withColumnRenamed(key, "_key")
+    return dealt.join(copies, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_deal") == F.col("_copy"))).drop("_large", "_is", "_deal", "_copy", "_key")
+
+
+def running(sums: DataFrame, by: list[str], at: str, value: str, block: int = 32) -> DataFrame:
+    """sums with `begin`: the sum of the rows of `by` before each in order of `at`, whole numbers that aren't negative. Null-safe.
+
+    Rows are added up within blocks of `at` first, then the blocks, so no task has all rows of one `by` one after another.
+    """
+    before = lambda c, keys, order: F.coalesce(F.sum(c).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.withColumn("_block", F.floor(F.col(at) / block))
+    blocks = sums.groupBy(*by, "_block").agg(F.sum(value).alias("_of"))
+    blocks = blocks.select(*(F.col(c).alias(f"_b_{c}") for c in by), F.col("_block").alias("_bb"), before("_of", by, "_block").alias("_upto"))
+    inside = sums.withColumn("_in", before(value, [*by, "_block"], at))
+    same = F.col("_block") == F.col("_bb")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_b_{c}"))
+    return inside.join(blocks, same).withColumn("begin", F.col("_upto") + F.col("_in")).drop("_block", "_bb", "_upto", "_in", *(f"_b_{c}" for c in by))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

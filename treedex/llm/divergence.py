@@ -101,16 +101,12 @@ def audit(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     language and source are empty strings; a source without terms has the shares of counts of 0; a language without kept terms has pairs of value 0 and no term. Rows with one id are documents of their
     own. An empty table gives no row. Other columns aren't read.
 
-    Terms are dealt over tasks with a copy of their language's sources for each deal, so that a language which holds most of all terms isn't one task.
+    The terms of a language which holds many of all are dealt over tasks, with a copy of its sources for each.
     """
-    spark = docs.sparkSession
-    deals = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kept = common.written(wide(docs, least), "terms")
     langs = common.written(groups(docs, kept), "sources")
-    dealt = langs.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
-    rows = kept.withColumn("deal", F.pmod(F.xxhash64("term"), F.lit(deals)).cast("int")).withColumnRenamed("total", "q_n").join(dealt, ["lang", "deal"])
-    found = F.map_from_entries("found")
-    rows = rows.withColumn("found", found).withColumn("counts", F.expr("transform(sources, s -> coalesce(try_element_at(found, s), 0L))"))
+    rows = common.with_group(kept.withColumnRenamed("total", "q_n"), langs, "lang", "terms", F.xxhash64("term"))
+    rows = rows.withColumn("found", F.map_from_entries("found")).withColumn("counts", F.expr("transform(sources, s -> coalesce(try_element_at(found, s), 0L))"))
     share = F.expr(f"transform(arrays_zip(counts, totals), x -> {_share('x.counts', 'x.totals', 'terms')})")
     shares = common.written(rows.select("lang", "term", "sources", "counts", share.alias("p"), F.expr(_share("q_n", "total", "terms")).alias("q")), "shares")
 

@@ -22,8 +22,6 @@ SHARE = (3, 2)
 EPOCHS = 2
 #: Documents in a cell, at most about.
 CELL_ROWS = 1 << 18
-#: Cells whose sums are added up one after another.
-BLOCK_CELLS = 32
 #: Digits of the key that are read as a number: 60 bits.
 KEY_DIGITS = 15
 _D = "decimal(38,0)"
@@ -116,18 +114,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, i
     each = max(1, min(CELL_ROWS, n_rows // (4 * parts)))
     cells = F.greatest(F.lit(1), F.ceil(F.col("n_rows") / each))
     number = F.conv(F.substring("key", 1, KEY_DIGITS), 16, 10).cast("bigint") / F.lit(float(16**KEY_DIGITS))
-    # a copy of the sources for each deal: no source's rows meet in one task, whichever join Spark takes
-    dealt = sources.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumnRenamed("source", "_s")
-    joined = rows.join(dealt, F.col("source").eqNullSafe(F.col("_s")) & (F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int") == F.col("deal")))
+    joined = common.with_group(rows, sources, "source", "n_rows", F.xxhash64("key"))
     placed = joined.select("doc_id", "source", "size", "key", "source_size", "target", "budget", F.least(F.floor(number * cells), cells - 1).cast("bigint").alias("cell"))
     sums = placed.groupBy("source", "cell").agg(F.sum("size").alias("words"))
-    # cells' sums are added up within blocks of cells, and blocks' sums within a source
-    sums = sums.withColumn("block", F.floor(F.col("cell") / BLOCK_CELLS))
-    running = lambda c, by, order: F.coalesce(F.sum(c).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = sums.groupBy("source", "block").agg(F.sum("words").alias("of_block"))
-    blocks = blocks.select(F.col("source").alias("_bs"), F.col("block").alias("_b"), running("of_block", ["source"], "block").alias("upto"))
-    in_block = sums.withColumn("in_block", running("words", ["source", "block"], "cell"))
-    begins = in_block.join(blocks, F.col("source").eqNullSafe(F.col("_bs")) & (F.col("block") == F.col("_b"))).select(F.col("source").alias("_s"), F.col("cell").alias("_c"), (F.col("upto") + F.col("in_block")).alias("begin"))
+    begins = common.running(sums, ["source"], "cell", "words").select(F.col("source").alias("_s"), F.col("cell").alias("_c"), "begin")
     inside = Window.partitionBy("source", "cell").orderBy("key", F.col("doc_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     ordered = placed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(begins, F.col("source").eqNullSafe(F.col("_s")) & (F.col("cell") == F.col("_c")))
     place = F.col("begin") + F.col("inside")

@@ -17,15 +17,15 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import common, tokens
 
 WINDOW = 4096
 #: A source with at least this share of the tokens has a queue of its own (at most as many as this goes into 1); others share one.
 OWN_QUEUE = 1 / 256
-#: Parts, dealt by hash, in which a large source that shares its queue is put in order.
-PARTS = 256
+#: Documents in a part of a source that shares its queue, at most about.
+PART_DOCS = 1 << 18
 #: Tokens in a cell of a queue, at most about.
 CELL_TOKENS = 1 << 26
 
@@ -88,27 +88,26 @@ def pieces(start: int, lengths: np.ndarray, queue: int, totals: np.ndarray, wind
     return doc, cut - begins[doc], stop - cut, seq, offset
 
 
-def spread(rows: DataFrame, large: tuple[int, str] | None) -> DataFrame:
-    """rows with `place`, from 0 to 1: where among its source's tokens a document stands. large: tokens and name of a source that is in order by PARTS parts.
+def spread(rows: DataFrame) -> DataFrame:
+    """rows (source, doc_id, th, n_tokens, more) with `place`, from 0 to 1: where among its source's tokens a document stands.
 
-    Within its own stretch a document stands where a hash of its source says, so that sources of a single document lie all over, too.
+    Places follow from the documents' sizes alone: they are dealt to parts by hash, PART_DOCS or fewer a part, the parts' tokens are summed, and a running sum within each part does the rest. So
+    a source is as many tasks as it has parts, and no ids meet there; the ids are shuffled once to their documents' places. Documents of one source, id and ids share a
+    place. Within its own stretch a document stands where a hash of its source says, so that sources of a single document lie all over, too.
     """
+    one = common.written(rows.groupBy("source", "doc_id", "th").agg(F.sum("n_tokens").alias("n")), "sizes")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    of_source = common.written(one.groupBy("source").agg(F.sum("n").alias("total"), F.count("*").alias("docs")), "sources")
+    most = max(1, min(PART_DOCS, (of_source.agg(F.sum("docs")).first()[0] or 0) // (4 * parts)))
+    number = F.xxhash64("doc_id", "th")
+    dealt = common.with_group(one, of_source, "source", "docs", number).withColumn("part", F.pmod(number, F.ceil(F.col("docs") / most))).drop("docs")
+    sums = common.running(dealt.groupBy("source", "part").agg(F.sum("n").alias("of_part")), ["source"], "part", "of_part").select(F.col("source").alias("_s"), F.col("part").alias("_p"), "begin")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("source", "part").orderBy(F.col("doc_id").asc_nulls_first(), "th").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inside = F.pmod(F.xxhash64("source"), F.lit(1 << 30)) / float(1 << 30)
-
-    def placed(some: DataFrame, by: list[str], before: Column, total: Column) -> DataFrame:
-        order = Window.partitionBy(*by).orderBy(F.col("doc_id").asc_nulls_first(), F.col("th")).rowsBetween(Window.unboundedPreceding, -1)
-        at = before + F.coalesce(F.sum("n_tokens").over(order), F.lit(0)) + inside * F.col("n_tokens")
-        return some.withColumn("place", at / total).select(*rows.columns, "place")
-
-    own = F.col("source") == F.lit(large[1]) if large else F.lit(False)
-    out = placed(rows.filter(~own), ["source"], F.lit(0), F.sum("n_tokens").over(Window.partitionBy("source")))
-    if large:
-        dealt = rows.filter(own).withColumn("part", F.pmod(F.xxhash64("doc_id", "th"), F.lit(PARTS)).cast("int"))
-        sums = {r.part: r.n for r in dealt.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
-        first = np.cumsum([0, *(sums.get(p, 0) for p in range(PARTS))]).tolist()
-        before = F.create_map(*(F.lit(x) for p in range(PARTS) for x in (p, first[p])))[F.col("part")]
-        out = out.unionByName(placed(dealt, ["part"], before, F.lit(large[0])))
-    return out
+    placed = dealt.withColumn("before", before).join(sums, (F.col("source") == F.col("_s")) & (F.col("part") == F.col("_p")))
+    placed = placed.select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), F.col("th").alias("_h"), ((F.col("begin") + F.col("before") + inside * F.col("n")) / F.col("total")).alias("place"))
+    same = (F.col("source") == F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_h"))
+    return rows.join(placed, same).select(*rows.columns, "place")
 
 
 def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str = tokens.TOKENIZER, end_id: int = tokens.END_ID, ids: bool = True) -> DataFrame:
@@ -117,7 +116,7 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str = tokens.TOKENIZE
     Null text is empty (the end id alone), null source a source like any other, equal doc_ids are documents of their own.
     An empty table gives no piece. A queue is cut into cells of about equal size: documents stand in their queue by cell (dealt by a hash of id and ids; in a
     shared queue by their place among their source's tokens, see spread) and then by doc_id. The cells' tokens are summed first, so every cell knows where
-    it begins, and the ids are shuffled once.
+    it begins, and the ids are shuffled once, those of a shared queue once more for their places.
     """
     spark = docs.sparkSession
     kind = tokens.id_type(256 ** tokens.id_bytes(tokenizer, end_id), end_id).str
@@ -128,12 +127,11 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str = tokens.TOKENIZE
     large = sorted(((r.n, r.source) for r in by_source.filter(F.col("n") >= total * OWN_QUEUE).collect()), key=lambda x: (-x[0], x[1]))  # 256 at most
     rest = total - sum(n for n, _ in large)
     totals = [n for n, _ in large]
-    shared, mixed = len(large), None
+    shared = len(large)
     if rest * window >= 2 * total or rest and not large:
         totals.append(rest)
     elif rest:  # too few for a token in every window: with the smallest of the others
         shared = len(large) - 1
-        mixed = large[shared]
         totals[shared] += rest
     totals = np.array(totals, np.int64)
     own = F.create_map(*(F.lit(x) for k, (_, s) in enumerate(large) for x in (s, k))) if large else None
@@ -147,7 +145,7 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str = tokens.TOKENIZE
     in_queue = F.pmod(F.xxhash64("doc_id", "th"), of_queue(cells))
     if rest:
         apart = dealt.filter(F.col("queue") != shared).withColumn("place", F.lit(0.0))
-        dealt = apart.unionByName(spread(dealt.filter(F.col("queue") == shared), mixed))
+        dealt = apart.unionByName(spread(dealt.filter(F.col("queue") == shared)))
         in_queue = F.when(F.col("queue") == shared, F.least(F.floor(F.col("place") * int(cells[shared])), F.lit(int(cells[shared]) - 1))).otherwise(in_queue)
     order = ["cell", *(["place"] if rest else []), F.col("doc_id").asc_nulls_first(), "th"]
     dealt = dealt.withColumn("cell", (of_queue(first_cell) + in_queue).cast("int"))
