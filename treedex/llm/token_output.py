@@ -62,6 +62,14 @@ def rank_table(encoded: DataFrame, kind: str) -> DataFrame:
     return encoded.select("ids").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
+def id_types(docs: DataFrame) -> tuple[pa.DataType, str]:
+    """The type of doc_id, which may be any that sorts, for Arrow and for Spark."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = docs.schema["doc_id"].dataType
+    return to_arrow_type(kind), kind.simpleString()
+
+
 def write(docs: DataFrame, path: str, tokenizer: str = tokens.TOKENIZER, end_id: int = tokens.END_ID) -> None:
     """Write path/blocks and path/ranks: all documents' ids in ascending doc_id order (nulls first; equal doc_ids by a hash of their ids).
 
@@ -76,6 +84,8 @@ def write(docs: DataFrame, path: str, tokenizer: str = tokens.TOKENIZER, end_id:
     rank_of = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank))
 
+    id_type, id_kind = id_types(docs)
+
     def blocks(batches):
         from pyspark import TaskContext
 
@@ -86,7 +96,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = tokens.TOKENIZER, end_id:
             control, data = encode(rank_of[ids])
             docs, n = [d for d, _ in held], [len(x) // np.dtype(kind).itemsize for _, x in held]
             return pa.RecordBatch.from_arrays(
-                [pa.array([x], t) for x, t in ((part, pa.int32()), (before, pa.int64()), (docs, pa.list_(pa.int64())), (n, pa.list_(pa.int64())), (len(ids), pa.int64()), (control, pa.binary()), (data, pa.binary()))],
+                [pa.array([x], t) for x, t in ((part, pa.int32()), (before, pa.int64()), (docs, pa.list_(id_type)), (n, pa.list_(pa.int64())), (len(ids), pa.int64()), (control, pa.binary()), (data, pa.binary()))],
                 ["part", "before", "doc_ids", "doc_tokens", "n_ids", "control", "data"],
             )
 
@@ -104,7 +114,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = tokens.TOKENIZER, end_id:
     tie = F.xxhash64("ids")
     (
         encoded.select("doc_id", "ids").repartitionByRange(n, F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
-        .mapInArrow(blocks, "part int, before bigint, doc_ids array<bigint>, doc_tokens array<bigint>, n_ids bigint, control binary, data binary")
+        .mapInArrow(blocks, f"part int, before bigint, doc_ids array<{id_kind}>, doc_tokens array<bigint>, n_ids bigint, control binary, data binary")
         .write.parquet(f"{path}/blocks")
     )
     common.dropped(encoded)
@@ -122,18 +132,20 @@ def digests(spark, path: str) -> DataFrame:
 
 def _read(spark, path: str, column: str, made) -> DataFrame:
     blocks, name = spark.read.parquet(f"{path}/blocks"), column.split()[0]
+    id_kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
     by_rank = np.array([r.id for r in spark.read.parquet(f"{path}/ranks").orderBy("rank").collect()], np.uint32)  # at most the vocabulary
     totals = sorted((r.part, r.n) for r in blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())  # a row for each task that wrote; a block knows its place in its task's
     first = dict(zip([x[0] for x in totals], np.cumsum([0, *(x[1] for x in totals)])[:-1].tolist(), strict=True))
 
     def run(batches):
         for batch in batches:
-            for b in batch.to_pylist():
+            own = batch.column(batch.schema.get_field_index("doc_ids"))
+            for i, b in enumerate(batch.to_pylist()):
                 ids = by_rank[decode(b["control"], b["data"], b["n_ids"])]
                 n = np.array(b["doc_tokens"], np.int64)
                 ends = np.cumsum(n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(b["doc_ids"], pa.int64()), pa.array(first[b["part"]] + b["before"] + ends - n, pa.int64()), pa.array(n, pa.int64()), made(np.split(ids, ends[:-1]))], ["doc_id", "start", "n_tokens", name]
+                    [own[i].values, pa.array(first[b["part"]] + b["before"] + ends - n, pa.int64()), pa.array(n, pa.int64()), made(np.split(ids, ends[:-1]))], ["doc_id", "start", "n_tokens", name]
                 )
 
-    return blocks.mapInArrow(run, f"doc_id bigint, start bigint, n_tokens bigint, {column}")
+    return blocks.mapInArrow(run, f"doc_id {id_kind}, start bigint, n_tokens bigint, {column}")
