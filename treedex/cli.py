@@ -15,6 +15,7 @@ from treedex.operators import rename, search, stale
 from treedex.operators.search import valid_patterns
 from treedex.plans import index as plan, render
 from treedex.plans.lineage import cut
+from treedex.plans.store import ViewStore
 from treedex.sources import files as source
 from treedex.timing import Timed
 
@@ -121,6 +122,28 @@ def run_index(spark: SparkSession, args: list[str], out=sys.stdout, err=sys.stde
     return 0
 
 
+def run_refresh(spark: SparkSession, args: list[str], out=sys.stdout, err=sys.stderr) -> int:
+    """update CONFIG STORE [--compact]: bring the views kept at STORE up to date with the folders a configuration names; see plans.store."""
+    p = argparse.ArgumentParser(prog="update", exit_on_error=False)
+    p.add_argument("config")
+    p.add_argument("store")
+    p.add_argument("--compact", action="store_true")
+    try:
+        a = p.parse_args(args)
+        c = conf.load(a.config)
+        kept = ViewStore(spark, a.store)
+        with Timed("update"):
+            changed, gone = kept.sync(c.include, c.exclude, selected_types(c.include_types, c.exclude_types), c.output)
+        if a.compact:
+            kept.compact()
+            kept.drop_old()
+    except (argparse.ArgumentError, SystemExit, conf.ConfigError, OSError, ValueError) as e:
+        print(f"error: {e}", file=err)
+        return 2
+    print(f"{changed} file(s) new or changed, {gone} gone", file=out)
+    return 0
+
+
 def run_rename(spark: SparkSession, args: list[str], out=sys.stdout, err=sys.stderr) -> int:
     """rename PATH OLD NEW [-r] [-n]: a domain's new name in cards and areas; 1 if no file is in reach."""
     p = argparse.ArgumentParser(prog="rename", exit_on_error=False)
@@ -141,7 +164,7 @@ def run_rename(spark: SparkSession, args: list[str], out=sys.stdout, err=sys.std
     return 0 if r.changed or r.skipped else 1
 
 
-COMMANDS = {"search": run_search, "index": run_index, "rename": run_rename}
+COMMANDS = {"search": run_search, "index": run_index, "update": run_refresh, "rename": run_rename}
 
 
 def main(argv: list[str] | None = None) -> int:

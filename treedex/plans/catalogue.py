@@ -6,6 +6,7 @@ plus the rest of its length by 3; every fourth file is a card, whose fields foll
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -14,6 +15,8 @@ from treedex.config import Config
 from treedex.functions import text as T
 from treedex.operators import buckets, cards, domains, keywords, markdown, search, stale, tree, words
 from treedex.plans import index as plan, render
+from treedex.plans.lineage import shared
+from treedex.plans.store import ViewStore
 from treedex.sources import files as source, mindmap
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,6 +152,22 @@ def markdown_tree_compat(spark, d):
     return markdown.nodes(_marked(spark, d), order="compat").select("file_path", "pre", "node_type", "parent_pre")
 
 
+@query(f"""WITH {MARKED} SELECT f.file_path, count(*) FILTER (WHERE kind <> 'content') + max(CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 0 END) AS n, max(CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END) AS n_tags
+    FROM f LEFT JOIN k ON k.file_path = f.file_path WHERE ftype <> 'freeplane' AND doc_id % 7 <> 0 GROUP BY 1 HAVING n > 0""")
+def incremental_views(spark, d):
+    """Nodes and tags by file as tables hold them after three batches: most files; the rest, and every fifth changed; every seventh deleted."""
+    f = _marked(spark, d).join(files(spark, d).select("file_path", "doc_id", "dir", "name", "ftype"), "file_path").withColumns({"length": F.length("content").cast("bigint"), "mtime_ns": F.col("doc_id"), "root": F.lit("/kb")})
+    changed = f.withColumn("content", F.when(F.col("doc_id") % 5 == 0, F.concat("content", F.lit("\n# added #newtag\n- item"))).otherwise(F.col("content")))
+    kept = ViewStore(spark, f"{shared(spark)}/views-{uuid.uuid4().hex}")
+    kept.update(f.filter("doc_id % 3 <> 0"))
+    kept.update(changed.filter("doc_id % 3 = 0 OR doc_id % 5 = 0"))
+    kept.update(changed.limit(0), changed.filter("doc_id % 7 = 0").select("file_path"))
+    new = F.count_if((F.col("tag") == "newtag") & (F.col("node_id") == ""))
+    tags = kept.table("tags").groupBy("file_path").agg(new.cast("int").alias("t"))
+    n = kept.table("nodes").groupBy("file_path").agg(F.count("*").alias("n"))
+    return n.join(tags, "file_path", "left").select("file_path", "n", F.coalesce("t", F.lit(0)).alias("n_tags"))
+
+
 # --- trees
 
 

@@ -154,13 +154,17 @@ class KnowledgeIndex:
         found = search_multiple(self.nodes, usable).join(self.file_domains, "file_path").join(self.files.select("file_path", "ftype"), "file_path").withColumnRenamed("domain", "_d").withColumnRenamed("sequence", "_s")
         return kw.join(found, (kw["sequence"] == found["_s"]) & kw["domain"].eqNullSafe(found["_d"]), "left").select("domain", "kw_file", "kw_pre", "keyword", "file_path", "pre", "node_id", "ftype", "text", "matched")
 
-    def tag(self) -> DataFrame:
-        """domain, tag, file_path, node_id, label."""
+    def file_tags(self) -> DataFrame:
+        """tag, file_path, node_id, label."""
         out = None
         for kind, handler in HANDLERS.items():
-            one = handler.tags(self.files.filter(F.col("ftype") == kind), self.nodes)
+            one = handler.tags(self.files.filter(F.col("ftype") == kind), self.nodes).select("tag", "file_path", "node_id", "label")
             out = one if out is None else out.unionByName(one)
-        return out.join(self.file_domains, "file_path").select("domain", "tag", "file_path", "node_id", "label")
+        return out
+
+    def tag(self) -> DataFrame:
+        """domain, tag, file_path, node_id, label."""
+        return self.file_tags().join(self.file_domains, "file_path").select("domain", "tag", "file_path", "node_id", "label")
 
     def word(self) -> DataFrame:
         """domain, word, file_path, pre: words in enough files of the domain, variants under their group's label; a place may come once for each variant."""

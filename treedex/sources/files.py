@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from treedex.functions.text import FILE_TYPES, MARKER, MARKER_WINDOW, selected_types
 
 SCHEMA = "file_path string, dir string, name string, ftype string, length bigint, mtime_ns bigint, root string"
+#: Text that a worker holds at once, but for a single longer file.
+BATCH_BYTES = 1 << 24
 COLUMNS = [x.split()[0] for x in SCHEMA.split(", ")]
 
 
@@ -76,6 +78,23 @@ def walk(include: list[str], exclude: list[str] | None = None, types: list[str]
                     yield row
 
 
+def below(here: str, exclude: list[str], wanted=None) -> list[str]:
+    """Folders directly in a folder that aren't excluded and, if wanted(path) says so, wanted; none where it can't be read."""
+    try:
+        with os.scandir(here) as found:
+            return sorted(e.path for e in found if e.is_dir(follow_symlinks=False) and not is_excluded(e.path, exclude) and (wanted is None or wanted(e.path)))
+    except OSError:
+        return []
+
+
+def work(include: list[str], exclude: list[str], few: int, wanted=None) -> list[tuple[str, str, bool]]:
+    """Folders to list as (folder, root, with all below it): opened level by level until there are `few`, or none is left to open."""
+    open_, closed = [(r, r) for r in roots(include)[0] if wanted is None or wanted(r)], []
+    while open_ and len(open_) < few:
+        closed, open_ = closed + open_, [(d, root) for here, root in open_ for d in below(here, exclude, wanted)]  # of those that were opened only the files are left to list
+    return [(h, r, False) for h, r in closed] + [(h, r, True) for h, r in open_]
+
+
 def listed(spark: SparkSession, include: list[str], exclude: list[str] | None = None, types: list[str] | None = None, output: str | None = None, every: bool = False) -> DataFrame:
     """SCHEMA of all wanted files, areas and manifests among them, each once (of the first root that has it); every: files of any type.
 
@@ -84,17 +103,7 @@ def listed(spark: SparkSession, include: list[str], exclude: list[str] | None =
     exclude, wanted = exclude or [], None if every else types or selected_types()
     known = dict(FILE_TYPES)  # as registered here: a worker only knows the built-in ones
     few = 4 * spark.sparkContext.defaultParallelism
-    open_, closed = [(r, r) for r in roots(include)[0]], []
-    while open_ and len(open_) < few:
-        below = []
-        for here, root in open_:
-            try:
-                with os.scandir(here) as found:
-                    below += [(e.path, root) for e in found if e.is_dir(follow_symlinks=False) and not is_excluded(e.path, exclude)]
-            except OSError:
-                continue
-        closed, open_ = closed + open_, below  # of those that were opened only the files are left to list
-    work = [(h, r, False) for h, r in closed] + [(h, r, True) for h, r in open_]
+    todo_ = work(include, exclude, few)
 
     def run(batches):
         for rows in batches:
@@ -108,9 +117,9 @@ def listed(spark: SparkSession, include: list[str], exclude: list[str] | None =
                         held = []
                 yield pd.DataFrame(held, columns=COLUMNS)
 
-    if not work:
+    if not todo_:
         return spark.createDataFrame([], SCHEMA)
-    todo = spark.createDataFrame(work, "here string, root string, deep boolean").repartition(min(len(work), few))
+    todo = spark.createDataFrame(todo_, "here string, root string, deep boolean").repartition(min(len(todo_), few))
     return todo.mapInPandas(run, SCHEMA).groupBy("file_path").agg(F.min(F.struct("root", *(c for c in COLUMNS if c not in ("file_path", "root")))).alias("r")).select("file_path", *(f"r.{c}" for c in COLUMNS if c != "file_path"))
 
 
@@ -119,19 +128,29 @@ def discover(spark: SparkSession, include: list[str], exclude: list[str] | None
     return read(listed(spark, include, exclude, types, output)).filter("content is not null").filter(~F.contains(F.substring("content", 1, MARKER_WINDOW), F.lit(MARKER)))
 
 
+def text_of(path: str) -> str | None:
+    """A file's text with line ends as \\n; None where it can't be read or isn't UTF-8."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            return f.read()
+    except (OSError, UnicodeDecodeError):
+        return None
+
+
 def read(listed: DataFrame) -> DataFrame:
-    """Adds content; null where a file can't be read or isn't UTF-8."""
+    """Adds content; null where a file can't be read or isn't UTF-8. A batch holds BATCH_BYTES of text, or one file."""
 
     def contents(batches):
         for rows in batches:
-            out = []
-            for p in rows["file_path"]:
-                try:
-                    with open(p, encoding="utf-8") as f:
-                        out.append(f.read())
-                except (OSError, UnicodeDecodeError):
-                    out.append(None)
-            yield rows.assign(content=out)
+            out, first, size = [], 0, 0
+            for i, p in enumerate(rows["file_path"]):
+                out.append(text_of(p))
+                size += len(out[-1] or "")
+                if size > BATCH_BYTES:
+                    yield rows.iloc[first : i + 1].assign(content=out)
+                    out, first, size = [], i + 1, 0
+            if out:
+                yield rows.iloc[first:].assign(content=out)
 
     return listed.repartition("file_path").mapInPandas(contents, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in listed.schema.fields) + ", content string")
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from treedex.functions.text import base_name, file_type, is_generated, parent_dir
+from treedex.plans import store
+from treedex.sources import doctree
 
 
 def changed_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -18,6 +20,19 @@ def changed_files(spark: SparkSession, folder: str) -> DataFrame:
     return f.filter(F.col("ftype").isNotNull() & F.col("content").isNotNull() & ~is_generated(F.col("content")))
 
 
+def changed_documents(spark: SparkSession, include: list[str], exclude: list[str] = [], settle: float = 1) -> DataFrame:  # noqa: B006
+    """New and changed files of folders, hidden ones among them (so cards and areas), by the library's own data source; see sources.doctree."""
+    doctree.register(spark)
+    f = spark.readStream.format("doctree").option("include", "\n".join(include)).option("exclude", "\n".join(exclude)).option("settle", str(settle)).load()
+    return f.filter(F.col("content").isNotNull() & ~is_generated(F.col("content")))
+
+
+def keep_views(spark: SparkSession, include: list[str], path: str, checkpoint: str, exclude: list[str] = [], settle: float = 1, available_now: bool = True):  # noqa: B006
+    """Start a query that keeps the views at path up to date with new and changed files; deleted files go at the next store.sync()."""
+    q = changed_documents(spark, include, exclude, settle).writeStream.foreachBatch(store.into(store.ViewStore(spark, path))).option("checkpointLocation", checkpoint)
+    return (q.trigger(availableNow=True) if available_now else q).start()
+
+
 def reindex(spark: SparkSession, folder: str, checkpoint: str, then: Callable[[DataFrame, int], None], available_now: bool = True):
     """Start a query that gives `then` each batch's files; a batch comes again after a failure, so `then` should replace by file_path."""
     q = changed_files(spark, folder).writeStream.foreachBatch(then).option("checkpointLocation", checkpoint)
