@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from treedex.functions.text import anchor_slug
+from treedex.functions.text import anchor_slug, keyword_display
 from treedex.operators.search import search_multiple, split_terms, valid_patterns
 from treedex.operators.tree import nearest_heading
 
@@ -29,11 +30,15 @@ def indent_level(line: str) -> int:
 def parse(text: str, name: str = "", scope: list[str] | None = None) -> Keywords:
     """Rows of SCHEMA in order of lines; comments (#) and blank lines left out."""
     lines = [(i, indent_level(x), x.strip()) for i, x in enumerate(text.split("\n"), 1) if x.strip() and not x.strip().startswith("#")]
-    out, stack = Keywords(), []
+    out, stack, lasts, open_ = Keywords(), [], [len(lines)] * len(lines), []
+    for k, (_, level, _) in enumerate(lines):
+        while open_ and lines[open_[-1]][1] >= level:
+            lasts[open_.pop()] = k
+        open_.append(k)
     for k, (number, level, body) in enumerate(lines, 1):
         while stack and stack[-1][1] >= level:
             stack.pop()
-        last = next((j - 1 for j in range(k + 1, len(lines) + 1) if lines[j - 1][1] <= level), len(lines))
+        last = lasts[k - 1]
         leaf = last == k
         category = stack[0][2] if stack else "Direct Searches" if leaf else body
         out.rows.append((name, k, last, stack[-1][0] if stack else None, level, body, leaf, number, split_terms(body) if leaf else None, category, scope))
@@ -45,6 +50,24 @@ def parse(text: str, name: str = "", scope: list[str] | None = None) -> Keywords
     return out
 
 
+def parsed(files: DataFrame) -> DataFrame:
+    """Rows of SCHEMA of many keyword files (kw_file, content), each parsed by the task that has it; a null content has none."""
+
+    def run(batches):
+        for rows in batches:
+            out = [r for name, text in zip(rows["kw_file"], rows["content"], strict=True) if text is not None for r in parse(text, name).rows]
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in SCHEMA.split(", ")])
+
+    return files.select("kw_file", "content").mapInPandas(run, SCHEMA)
+
+
+def entries(rows: DataFrame) -> DataFrame:
+    """kw_file, pre, text, display_name, is_leaf, level, search_sequence (a leaf's, split at every colon) and above, the text of the entry above, null at the top."""
+    up = rows.select(F.col("kw_file").alias("_f"), F.col("pre").alias("_p"), F.col("text").alias("above"))
+    sequence = F.when(F.col("is_leaf"), F.transform(F.split("text", ":"), F.trim))
+    return rows.join(up, (F.col("kw_file") == F.col("_f")) & (F.col("parent_pre") == F.col("_p")), "left").select("kw_file", "pre", "text", keyword_display(F.col("text")).alias("display_name"), "is_leaf", "level", sequence.alias("search_sequence"), "above")
+
+
 def load(paths: list[str], scoped_paths: list[dict] = []) -> Keywords:  # noqa: B006
     """All files' rows; a file that can't be read is a warning. scoped_paths: path and domain, a name or a list of names, for keywords of those domains alone."""
     out = Keywords()

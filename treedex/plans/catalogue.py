@@ -282,9 +282,15 @@ def search_dedup(spark, d):
     return search.dedup(search.search_sequence(nodes(spark, d), ["the", "with"])).select("file_path", "pre")
 
 
-@query(f"WITH {NODES} SELECT file_path, pre FROM n WHERE {_m('nicht')} ORDER BY file_path, text")
+def _in_order(rows: DataFrame) -> DataFrame:
+    """Sorted rows with their place, from 0: the order itself is compared, not what it was made from."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", place bigint"
+    return rows.sparkSession.createDataFrame(rows.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)
+
+
+@query(f"WITH {NODES} SELECT file_path, pre, row_number() OVER (ORDER BY file_path, text, pre) - 1 AS place FROM n WHERE {_m('nicht')}")
 def search_sorted(spark, d):
-    return search.sort_results(search.search_sequence(nodes(spark, d), ["nicht"])).select("file_path", "pre")
+    return _in_order(search.sort_results(search.search_sequence(nodes(spark, d), ["nicht"])).select("file_path", "pre"))
 
 
 @query(f"WITH {NODES} SELECT file_path, pre FROM n WHERE {_m('with')} AND (ends_with(file_path, '.mm') OR ends_with(file_path, '.kb.md'))")
@@ -312,9 +318,30 @@ def keyword_leaf_empty(spark, d):
     return found.groupBy("keyword").agg(F.count("pre").alias("hits"), F.count_distinct("file_path").alias("n_files"))
 
 
-@query("SELECT * FROM (VALUES ('Common', 'the:with'), ('Common', 'mit'), ('Rare', 'nosuchword'), ('Rare', 'des:para'), ('Direct Searches', 'und')) v(category, sequence)")
+def _keyword_files(spark, d):
+    """Each document as a keyword file: a line's first word, or two with a colon, on three levels by tabs and blanks; every fifth line a comment."""
+    line = files(spark, d).select("file_path", F.posexplode(F.split("content", "\n")).alias("i", "t")).withColumn("w", F.regexp_extract_all("t", F.lit("[A-Za-z]+"), F.lit(0)))
+    body = F.when((F.col("i") % 3 == 0) & (F.size("w") > 1), F.concat(F.get("w", F.lit(0)), F.lit(":"), F.get("w", F.lit(1)))).otherwise(F.coalesce(F.get("w", F.lit(0)), F.lit("")))
+    indent = F.element_at(F.array(*map(F.lit, ("", "\t", "\t\t", "    "))), (F.col("i") % 4 + 1).cast("int"))
+    made = F.when(F.col("i") % 5 == 4, F.lit("\t# remark")).otherwise(F.concat(indent, body))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", made.alias("m")))), lambda x: x["m"]), "\n")
+    return line.groupBy(F.col("file_path").alias("kw_file")).agg(text.alias("content"))
+
+
+KEYWORD_ROWS = FILES + """,
+    s AS (SELECT file_path AS kw_file, string_split(content, chr(10)) AS ls FROM f),
+    kl AS (SELECT kw_file, i, regexp_extract_all(ls[i + 1], '[A-Za-z]+') AS w FROM (SELECT kw_file, ls, unnest(range(0, len(ls))) AS i FROM s)),
+    kb AS (SELECT kw_file, i, CASE i % 4 WHEN 0 THEN 0 WHEN 2 THEN 2 ELSE 1 END AS level, CASE WHEN i % 3 = 0 AND len(w) > 1 THEN w[1] || ':' || w[2] ELSE w[1] END AS text FROM kl WHERE i % 5 <> 4 AND len(w) > 0),
+    kr AS (SELECT *, row_number() OVER (PARTITION BY kw_file ORDER BY i) AS pre FROM kb),
+    kt AS (SELECT *, CASE level WHEN 1 THEN max(CASE WHEN level = 0 THEN pre END) OVER b WHEN 2 THEN max(CASE WHEN level <= 1 THEN pre END) OVER b END AS parent_pre,
+        coalesce(CASE level WHEN 0 THEN min(CASE WHEN level = 0 THEN pre END) OVER a WHEN 1 THEN min(CASE WHEN level <= 1 THEN pre END) OVER a ELSE min(pre) OVER a END - 1, max(pre) OVER (PARTITION BY kw_file)) AS last
+        FROM kr WINDOW b AS (PARTITION BY kw_file ORDER BY pre ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS (PARTITION BY kw_file ORDER BY pre ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+    ke AS (SELECT *, last = pre AS is_leaf, max(CASE WHEN parent_pre IS NULL THEN pre END) OVER (PARTITION BY kw_file ORDER BY pre ROWS UNBOUNDED PRECEDING) AS top FROM kt)"""
+
+
+@query(f"WITH {KEYWORD_ROWS} SELECT ke.kw_file, CASE WHEN ke.top < ke.pre THEN t.text ELSE 'Direct Searches' END AS category, ke.text AS sequence FROM ke JOIN ke t ON t.kw_file = ke.kw_file AND t.pre = ke.top WHERE ke.is_leaf")
 def keyword_categories(spark, d):
-    return keywords.frame(spark, keywords.parse(KEYWORDS)).filter("is_leaf").select("category", F.array_join("sequence", ":").alias("sequence"))
+    return keywords.parsed(_keyword_files(spark, d)).filter("is_leaf").select("kw_file", "category", F.array_join("sequence", ":").alias("sequence"))
 
 
 @query("""WITH d AS (SELECT DISTINCT lang AS domain FROM documents UNION ALL SELECT 'none' UNION ALL SELECT NULL), k(keyword, scope) AS (VALUES ('g', NULL), ('x', 'en'), ('y', 'de'))
@@ -351,9 +378,9 @@ def domain_partition_counts(spark, d):
     return domains.counts(domains.partitioned(_file_domains(spark, d)))
 
 
-@query(f"WITH {DOMAINS} SELECT DISTINCT coalesce(domain, 'none') AS domain FROM fd")
+@query(f"WITH {DOMAINS} SELECT domain, row_number() OVER (ORDER BY domain = 'none', lower(domain), domain) - 1 AS place FROM (SELECT DISTINCT coalesce(domain, 'none') AS domain FROM fd)")
 def domain_order(spark, d):
-    return domains.in_order(domains.partitioned(_file_domains(spark, d)).select("domain").distinct())
+    return _in_order(domains.in_order(domains.partitioned(_file_domains(spark, d)).select("domain").distinct()))
 
 
 @query(f"WITH {DOMAINS} SELECT ftype, max(coalesce(domain, 'none')) AS last FROM fd GROUP BY 1")
@@ -766,15 +793,14 @@ def common_prefix(spark, d):
     return table(spark, d, "documents").select(F.col("lang").alias("domain"), path.alias("p")).groupBy("domain").agg(T.common_prefix(F.col("p"), "/home/u").alias("base"))
 
 
-@query("SELECT * FROM (VALUES (1, 0, 'Common', NULL, FALSE, 3, NULL), (2, 1, 'the:with', 1, TRUE, 2, 'the|with'), (3, 1, 'mit', 1, TRUE, 3, 'mit'), (4, 0, 'Rare', NULL, FALSE, 6, NULL), (5, 1, 'nosuchword', 4, TRUE, 5, 'nosuchword'), (6, 1, 'des:para', 4, TRUE, 6, 'des|para'), (7, 0, 'und', NULL, TRUE, 7, 'und')) v(pre, level, text, parent_pre, is_leaf, last, sequence)")
+@query(f"WITH {KEYWORD_ROWS} SELECT kw_file, pre, level::INTEGER AS level, text, parent_pre, is_leaf, last, CASE WHEN is_leaf THEN replace(text, ':', '|') END AS sequence FROM ke")
 def keyword_tree(spark, d):
-    return keywords.frame(spark, keywords.parse("# c\n" + KEYWORDS)).select("pre", F.col("level").cast("int"), "text", "parent_pre", "is_leaf", "last", F.array_join("sequence", "|").alias("sequence"))
+    return keywords.parsed(_keyword_files(spark, d)).select("kw_file", "pre", F.col("level").cast("int"), "text", "parent_pre", "is_leaf", "last", F.array_join("sequence", "|").alias("sequence"))
 
 
-@query("SELECT * FROM (VALUES ('Common', 'the:with', 'the → with'), ('Common', 'mit', 'mit'), ('Rare', 'nosuchword', 'nosuchword'), ('Rare', 'des:para', 'des → para')) v(above, text, shown)")
+@query(f"WITH {KEYWORD_ROWS} SELECT ke.kw_file, ke.pre, u.text AS above, ke.text, replace(ke.text, ':', ' → ') AS shown, CASE WHEN ke.is_leaf THEN replace(ke.text, ':', '|') END AS sequence FROM ke LEFT JOIN ke u ON u.kw_file = ke.kw_file AND u.pre = ke.parent_pre")
 def keyword_hierarchy(spark, d):
-    h = keywords.hierarchy(keywords.parse(KEYWORDS))
-    return spark.createDataFrame([(top, c["text"], c["display_name"]) for top, e in h.items() for c in e["children"].values()], "above string, text string, shown string")
+    return keywords.entries(keywords.parsed(_keyword_files(spark, d))).select("kw_file", "pre", "above", "text", F.col("display_name").alias("shown"), F.array_join("search_sequence", "|").alias("sequence"))
 
 
 @query(f"""WITH {FILES}, m AS (SELECT dir, max(doc_id % 3 = 0) AS bad, max(doc_id) % 2 = 0 AS same FROM f GROUP BY 1)
