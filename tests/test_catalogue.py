@@ -8,7 +8,7 @@ import pytest
 from treedex.plans import catalogue
 
 D = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents pages conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents pages conversations benchmark".split()
 
 
 @pytest.fixture(scope="module")
