@@ -85,12 +85,12 @@ def test_near_duplicates(steps):
     left = [p for p in near if p[0] in after and p[1] in after]
     assert len(near) > 20 and len(left) <= 0.05 * len(near)
     assert not any(likes[p] >= 0.9 for p in left)
-    alike = {d for p, s in likes.items() if s >= 0.6 for d in p}
+    alike = {d for p, s in likes.items() if s >= 0.8 for d in p}
     assert set(before) - set(after) <= alike
 
 
 def test_one_of_each_group(steps):
-    """Groups by all pairs of fingerprints that are near enough and agree on the bits of some cell, the smallest id of each."""
+    """Groups by all pairs of a similarity of 0.8 or more whose fingerprints are near enough and agree on the bits of some cell, the smallest id of each."""
     import numpy as np
 
     from treedex.llm import simhash
@@ -103,8 +103,10 @@ def test_one_of_each_group(steps):
     radius = simhash.wide_radius()
     cells = simhash.cell_keys(fp)
     near = [np.flatnonzero((simhash.distance(fp[i][None].repeat(len(ids), 0), fp) <= radius) & (cells == cells[:, i : i + 1]).any(0)) for i in range(len(ids))]
+    sets = [shingles(before[d]["text"]) for d in ids]
+    near = [[j for j in x if (fp[i] == fp[j]).all() or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i, x in enumerate(near)]
     while True:
-        new = np.array([label[x].min() for x in near])
+        new = np.array([min(label[j] for j in x) for x in near])
         if (new == label).all():
             break
         label = new

@@ -57,3 +57,58 @@ def test_recall_and_groups(spark):
     assert len(near) > 100 and sum(got[b] == got[a] == [a] for a, b in near) >= 0.95 * len(near)
     assert got[1000] == got[1001] == [1000] and got[1002] == [1002] and sorted(got[None]) == [1000, 1002]
     assert simhash.similar(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_forest():
+    """Kruskal's on the same order of links: the sums agree, and every component is spanned."""
+    rng = np.random.default_rng(3)
+    for n, m in ((2, 1), (30, 20), (60, 400)):
+        left, right = rng.integers(0, n, m), rng.integers(0, n, m)
+        left, right = left[left != right], right[left != right]
+        weight, name = rng.integers(0, 5, len(left)), rng.permutation(n)
+        i, j = simhash.forest(left, right, weight, name)
+        above = list(range(n))
+
+        def top(x, above=above):
+            while above[x] != x:
+                x = above[x]
+            return x
+
+        want = set()
+        for w, _, _, a, b in sorted((int(w), min(name[a], name[b]), max(name[a], name[b]), int(a), int(b)) for a, b, w in zip(left, right, weight, strict=True)):
+            if top(a) != top(b):
+                above[top(a)] = top(b)
+                want.add((a, b))
+        assert {frozenset(x) for x in want} == {frozenset(x) for x in zip(i.tolist(), j.tolist(), strict=True)} and len(i) == len(want)
+
+
+def test_sets_decide(spark):
+    """Clusters about the threshold, where many near fingerprints aren't alike: groups are those of all pairs that share a cell, are near and are alike."""
+    common.prepare(spark)
+    rng = random.Random(9)
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(4000)}" for _ in range(rng.randint(120, 260))]
+        for _ in range(14):
+            v = list(base)
+            for j in rng.sample(range(len(v)), round(len(v) * rng.uniform(0.0, 0.035))):
+                v[j] = f"w{rng.randrange(4000)}"
+            texts.append(" ".join(v))
+    texts += texts[:20] + ["", "  "]
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    raw = [t.encode() for t in texts]
+    fp = simhash.wide_fingerprints(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    cells, sets = simhash.cell_keys(fp), [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    label, refused, radius = np.arange(len(texts)), 0, simhash.wide_radius()
+    links = []
+    for a in range(len(texts)):
+        for b in range(a):
+            if simhash.distance(fp[a][None], fp[b][None])[0] <= radius and (cells[:, a] == cells[:, b]).any():
+                alike = len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+                refused += not alike
+                if alike:
+                    links.append((a, b))
+    for _ in range(len(texts)):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    assert refused > 100 and len(links) > 100 and [got[i] for i in range(len(texts))] == label.tolist()

@@ -9,12 +9,15 @@ chunks, and each two chunks meet in a task of their own. Tasks give spanning sta
 
 similar() asks for a similarity of shingle sets instead. Two texts of similarity J differ in about acos(2J / (1 + J)) / pi of their bits, too many of 64 for such
 cells and too roughly estimated by 64. It takes WIDE words of fingerprint and TABLES cells a node, each keyed by KEY_BITS bits drawn from all; the chance
-that two nodes so many bits apart never meet is stated with the constants.
+that two nodes so many bits apart never meet is stated with the constants. As fingerprints only estimate, the pairs that tasks give are compared by their shingle
+sets; so that few need to be, a task gives a minimum spanning forest of its pairs by distance. Where a forest's edge fails, another pair may still hold its group
+together: of such groups every pair between parts not yet joined is compared.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -91,13 +94,12 @@ def fingerprinted(docs: DataFrame, keep: list[str] = ["doc_id"], shingle: int =
     return docs.select(*keep, "text").mapInArrow(fn, ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", fp bigint")
 
 
-def wide_fingerprints(raw: np.ndarray, off: np.ndarray, shingle: int = WIDE_SHINGLE, words: int = WIDE) -> np.ndarray:
-    """A row's fingerprint of so many 64-bit words: a bit is 1 if set in over half of the hashes of its distinct shingles; fewer words are one shingle, none give 0."""
+def distinct_shingles(raw: np.ndarray, off: np.ndarray, shingle: int = WIDE_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each row's distinct shingles, in order by row, and their rows; fewer words are one shingle, none give none."""
     low = common.LOWER[raw]
     starts, ends, first = common.words(low, off, IS_WORD)
-    out = np.zeros((len(off) - 1, words), np.uint64)
     if not len(starts):
-        return out
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     word = common.span_hash(common.prefix_hash(low), starts, ends)
     n_words = np.diff(first)
     hashes, rows = [], []
@@ -116,7 +118,15 @@ def wide_fingerprints(raw: np.ndarray, off: np.ndarray, shingle: int = WIDE_SHIN
     order = np.lexsort((h, row))
     h, row = h[order], row[order]
     new = np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])
-    h, row = h[new], row[new]
+    return h[new], row[new]
+
+
+def wide_fingerprints(raw: np.ndarray, off: np.ndarray, shingle: int = WIDE_SHINGLE, words: int = WIDE) -> np.ndarray:
+    """A row's fingerprint of so many 64-bit words: a bit is 1 if set in over half of the hashes of its distinct shingles; a row without words has 0."""
+    out = np.zeros((len(off) - 1, words), np.uint64)
+    h, row = distinct_shingles(raw, off, shingle)
+    if not len(h):
+        return out
     begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
     n = np.diff(np.append(begin, len(row)))
     for j in range(words):
@@ -140,8 +150,12 @@ def pivots(n: int = PIVOTS) -> np.ndarray:
     return np.random.default_rng(20).integers(0, 1 << 64, n, np.uint64)
 
 
-def linked(fp: np.ndarray, groups: np.ndarray, radius: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs at most radius apart within runs of equal `groups`; fp: numbers, or rows of words; table: distances to pivots."""
+def linked(fp: np.ndarray, groups: np.ndarray, radius: int, table: np.ndarray, reduce: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs at most radius apart within runs of equal `groups`; fp: numbers, or rows of words; table: distances to pivots.
+
+    Where there are very many, reduce (star, if it isn't given) makes fewer of them on the way.
+    """
+    reduce = reduce or (lambda i, j: star(i, j, fp))
     edge = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1], [True]]))
     size = np.diff(edge)
     left, right = [], []
@@ -177,7 +191,7 @@ def linked(fp: np.ndarray, groups: np.ndarray, radius: int, table: np.ndarray) -
             j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
             verify(order[i], order[j])
             if sum(map(len, left)) > 1 << 20:
-                left[:], right[:] = ([x] for x in star(np.concatenate(left), np.concatenate(right), fp))
+                left[:], right[:] = ([x] for x in reduce(np.concatenate(left), np.concatenate(right)))
     return (np.concatenate(left), np.concatenate(right)) if left else (at[:0], at[:0])
 
 
@@ -199,6 +213,25 @@ def star(left: np.ndarray, right: np.ndarray, fp: np.ndarray) -> tuple[np.ndarra
     return node, label[node]
 
 
+def forest(left: np.ndarray, right: np.ndarray, weight: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A minimum spanning forest of some links between indexes. Equal weights are ordered by names, so forests of parts of a graph hold that of the whole."""
+    order = np.lexsort((np.maximum(name[left], name[right]), np.minimum(name[left], name[right]), weight))
+    left, right = left[order], right[order]
+    taken, rank, label = np.zeros(len(left), bool), np.arange(len(left)), np.arange(len(name))
+    while True:
+        a, b = label[left], label[right]
+        between = a != b
+        if not between.any():
+            return left[taken], right[taken]
+        best = np.full(len(name), len(left))
+        np.minimum.at(best, a[between], rank[between])
+        np.minimum.at(best, b[between], rank[between])
+        taken[best[best < len(left)]] = True
+        node, low = star(left[taken], right[taken], name)
+        label = np.arange(len(name))
+        label[node] = low
+
+
 def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """nodes: fp, distinct. Edges (a, b) between fingerprints that connect all those at most radius bits apart."""
     bands = radius + 2
@@ -250,54 +283,85 @@ def cell_keys(fp: np.ndarray) -> np.ndarray:
 
 
 def wide_links(nodes: DataFrame, radius: int) -> DataFrame:
-    """nodes: node, fp (binary, distinct). Edges (a, b) between nodes that connect those at most radius bits apart that share a cell."""
+    """nodes: node, fp (binary, distinct), part. Pairs (a, b) of nodes of different parts that share a cell and are at most radius bits apart; all of them if nodes has
+    parts, and if part is null everywhere a minimum spanning forest of each cell's.
+    """
 
     def key(batches):
         for batch in batches:
             keys = cell_keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, WIDE))
             for t in range(TABLES):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[t]), *batch.columns], ["key", "node", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[t]), *batch.columns], ["key", "node", "fp", "part"])
 
-    keyed = nodes.select("node", "fp").mapInArrow(key, "key bigint, node bigint, fp binary")
+    keyed = nodes.select("node", "fp", "part").mapInArrow(key, "key bigint, node bigint, fp binary, part bigint")
     # only cells of more than CELL nodes are cut; their list is short
-    hot = common.written(nodes.select("node", "fp").mapInArrow(key, "key bigint, node bigint, fp binary").groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > CELL), "hot-cells")
+    hot = common.written(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > CELL), "hot-cells")
     chunks = F.ceil(F.col("n") / CELL).cast("int")
     c = F.pmod(F.xxhash64("node"), chunks).cast("int")
-    dealt = keyed.join(hot, "key", "left").select("node", "fp", "key", F.coalesce(c, F.lit(0)).alias("c"), F.explode(F.sequence(F.lit(0), F.coalesce(chunks - 1, F.lit(0)))).alias("other"))
-    dealt = dealt.select("node", "fp", F.xxhash64("key", F.least("c", "other"), F.greatest("c", "other")).alias("cell"))
+    dealt = keyed.join(hot, "key", "left").select("node", "fp", "part", "key", F.coalesce(c, F.lit(0)).alias("c"), F.explode(F.sequence(F.lit(0), F.coalesce(chunks - 1, F.lit(0)))).alias("other"))
+    dealt = dealt.select("node", "fp", "part", F.xxhash64("key", F.least("c", "other"), F.greatest("c", "other")).alias("cell"))
     reference = np.random.default_rng(20).integers(0, 1 << 64, (WIDE_PIVOTS, WIDE), np.uint64)
 
     def run(batches):
         held, size = [], 0
 
-        def flush(cells, node, fps):
+        def flush(cells, node, fps, part):
             one = np.concatenate([[True], cells[1:] != cells[:-1], [True]])
             some = ~(one[:-1] & one[1:])  # alone in its cell: linked to nothing
-            cells, node, fps = cells[some], node[some], fps[some]
+            cells, node, fps, part = cells[some], node[some], fps[some], part[some]
             table = np.stack([distance(fps, np.broadcast_to(r, fps.shape)) for r in reference], 1).astype(np.int16)
-            i, j = linked(fps, cells, radius, table)
-            i, j = star(i, j, node)
-            return pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], ["a", "b"])
+
+            def fewer(i, j):
+                other = part[i] != part[j]
+                return (i[other], j[other]) if (part >= 0).any() else forest(i, j, distance(fps[i], fps[j]), node)
+
+            i, j = fewer(*linked(fps, cells, radius, table, fewer))
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
 
         for batch in batches:
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, WIDE)))
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, WIDE), batch.column(3).fill_null(-1).to_numpy()))
             size += batch.num_rows
             if size >= 1 << 14:
-                cells, node, fps = (np.concatenate(x) for x in zip(*held, strict=True))
+                cells, *rest = (np.concatenate(x) for x in zip(*held, strict=True))
                 cut = int(np.flatnonzero(cells[1:] != cells[:-1]).max(initial=-1)) + 1  # the last cell may go on
                 if cut:
-                    yield flush(cells[:cut], node[:cut], fps[:cut])
-                held, size = [(cells[cut:], node[cut:], fps[cut:])], len(cells) - cut
+                    yield flush(cells[:cut], *(x[:cut] for x in rest))
+                held, size = [(cells[cut:], *(x[cut:] for x in rest))], len(cells) - cut
         if size:
             yield flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    return dealt.repartition(F.col("cell")).sortWithinPartitions("cell").select("cell", "node", "fp").mapInArrow(run, "a bigint, b bigint").distinct()
+    return dealt.repartition(F.col("cell")).sortWithinPartitions("cell").select("cell", "node", "fp", "part").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+#: A row by its id and text.
+_ROW = {"_k1": lambda: F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), "_k2": lambda: F.hash("doc_id", F.coalesce("text", F.lit("")))}
+
+
+def compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """pairs (a, b of nodes) with `alike`: whether the texts of their picks have sets of shingles of the similarity. nodes: node, pick (a row of docs by id and text)."""
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+    picks = nodes.join(degree, "node").select("node", "n", "pick._k1", "pick._k2")
+    # the exchange is by id and text, so many copies of one text don't meet
+    texts = docs.select("text", *(x().alias(k) for k, x in _ROW.items())).join(picks, list(_ROW)).dropDuplicates(list(_ROW))
+
+    def fn(raw, off):
+        h, row = distinct_shingles(raw, off, shingle)
+        return {"shingles": common.lists(h.view(np.int64), np.searchsorted(row, np.arange(len(off))), pa.int64())}
+
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+    sets = common.written(texts.select("node", "n", "text").mapInArrow(common.by_block(fn, schema, ["node", "n"]), "node bigint, n bigint, shingles array<bigint>"), "shingle-sets")
+    both = common.with_group(pairs, sets.select(F.col("node").alias("a"), "n", F.col("shingles").alias("_x")), "a", "n", F.xxhash64("b")).drop("n")
+    both = common.with_group(both, sets.select(F.col("node").alias("b"), "n", F.col("shingles").alias("_y")), "b", "n", F.xxhash64("a")).drop("n")
+    same = F.size(F.array_intersect("_x", "_y"))
+    out = common.written(both.select("a", "b", (same / (F.size("_x") + F.size("_y") - same) >= similarity).alias("alike")), "compared")
+    common.dropped(sets)
+    return out
 
 
 def similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, keep: list[str] = []) -> DataFrame:  # noqa: B006
     """doc_id, fp (binary), component_id (the smallest doc_id of the group), root (a number of the group) and keep, of groups linked by texts of the similarity or more.
 
-    Texts without words, null ones too, have one fingerprint. Equal doc_ids keep a row each. A null doc_id names no group unless it has no other. An empty table
+    Texts of one fingerprint are taken as alike; other links are checked by the texts' sets of shingles, one text a fingerprint. Texts without words, null ones too, have one fingerprint. Equal doc_ids keep a row each. A null doc_id names no group unless it has no other. An empty table
     gives no row.
     """
     from .decontaminate import _arrow
@@ -309,14 +373,30 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE
         fp = wide_fingerprints(raw, off, shingle)
         return {"fp": pa.Array.from_buffers(pa.binary(), len(fp), [None, pa.py_buffer(np.arange(len(fp) + 1, dtype=np.int32) * 8 * WIDE), pa.py_buffer(np.ascontiguousarray(fp))])}
 
-    block = common.by_block(fn, pa.schema([*((k, _arrow(docs, k)) for k in columns), ("fp", pa.binary())]), columns)
-    found = common.written(docs.select(*columns, "text").mapInArrow(block, ", ".join(f"`{k}` {kinds[k]}" for k in columns) + ", fp binary"), "wide-fingerprints")
-    nodes = common.written(found.groupBy("fp").agg(F.min("doc_id").alias("doc")).withColumn("node", F.monotonically_increasing_id()), "wide-nodes")
-    root = components(wide_links(nodes, wide_radius(similarity)))
+    schema = pa.schema([*((k, _arrow(docs, k)) for k in columns), ("_k1", pa.int64()), ("_k2", pa.int32()), ("fp", pa.binary())])
+    rows = docs.select(*columns, *(x().alias(k) for k, x in _ROW.items()), "text")
+    found = common.written(rows.mapInArrow(common.by_block(fn, schema, [*columns, *_ROW]), ", ".join(f"`{k}` {kinds[k]}" for k in columns) + ", _k1 bigint, _k2 int, fp binary"), "wide-fingerprints")
+    nodes = common.written(found.groupBy("fp").agg(F.min("doc_id").alias("doc"), F.min(F.struct(*_ROW)).alias("pick")).withColumn("node", F.monotonically_increasing_id()), "wide-nodes")
+    radius, old = wide_radius(similarity), [nodes]
+    pairs = common.written(wide_links(nodes.withColumn("part", F.lit(None).cast("bigint")), radius), "wide-pairs")
+    checked = compared(pairs, nodes, docs, similarity, shingle)
+    edges, whole = checked.filter("alike").select("a", "b"), components(pairs)
+    root = components(edges)
+    old += [pairs, checked, whole, root]
+    # groups of the forest that have come apart: each pair of their parts that share a cell
+    part = nodes.select("node", "fp")
+    for table, name in ((whole, "whole"), (root, "part")):
+        part = part.join(table.select(F.col("a").alias("node"), F.col("b").alias(name)), "node", "left").withColumn(name, F.coalesce(name, "node"))
+    part = common.written(part, "wide-parts")
+    apart = part.groupBy("whole").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("whole")
+    rest = common.written(wide_links(part.join(apart, "whole", "left_semi"), radius).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "wide-rest")
+    more = compared(rest, nodes, docs, similarity, shingle)
+    old += [part, rest, more]
+    root = components(edges.unionByName(more.filter("alike").select("a", "b")))
     named = common.written(nodes.join(root.select(F.col("a").alias("node"), F.col("b").alias("r")), "node", "left").select("fp", "doc", F.coalesce("r", "node").alias("root")), "wide-roots")
     least = common.written(named.groupBy("root").agg(F.min("doc").alias("component_id")), "wide-least")
     by_fp = common.written(named.join(least, "root").select("fp", "component_id", "root"), "wide-groups")
-    for t in (nodes, named, least, root):
+    for t in (*old, named, least, root):
         common.dropped(t)
     return found.join(by_fp, "fp").select(*columns, "fp", "component_id", "root")
 
