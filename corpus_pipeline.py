@@ -27,7 +27,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of texts linked by a similarity of 0.8 or more of their sets of five words, as wide SimHash fingerprints estimate it.
+    """One row of each group of texts linked by a similarity of 0.8 or more of their sets of five words: wide SimHash fingerprints find pairs, the sets decide.
 
     That row has the group's smallest doc_id, or none if no row has one. Rows of other groups stay, even if they share that doc_id or have none; of rows with
     one id and one text one stays. The join and the distinct rows share one exchange of the texts, by doc_id and the text's hash; null ids stand as 0
