@@ -11,7 +11,7 @@ similar() asks for a similarity of shingle sets instead. Two texts of similarity
 cells and too roughly estimated by 64. It takes WIDE words of fingerprint and TABLES cells a node, each keyed by KEY_BITS bits drawn from all; the chance
 that two nodes so many bits apart never meet is stated with the constants. As fingerprints only estimate, the pairs that tasks give are compared by their shingle
 sets; so that few need to be, a task gives a minimum spanning forest of its pairs by distance. Where a forest's edge fails, another pair may still hold its group
-together: of such groups every pair between parts not yet joined is compared.
+together: in such groups tasks have the sets too, compare every pair between parts not yet joined and give a forest of the pairs that hold.
 """
 
 from __future__ import annotations
@@ -282,45 +282,71 @@ def cell_keys(fp: np.ndarray) -> np.ndarray:
     return np.stack([(bits[:, drawn[t]] @ weight).astype(np.int64) | t << KEY_BITS for t in range(TABLES)])
 
 
-def wide_links(nodes: DataFrame, radius: int) -> DataFrame:
-    """nodes: node, fp (binary, distinct), part. Pairs (a, b) of nodes of different parts that share a cell and are at most radius bits apart; all of them if nodes has
-    parts, and if part is null everywhere a minimum spanning forest of each cell's.
+def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sets, as arrays of distinct numbers, are of a similarity."""
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+        return False
+    same = len(np.intersect1d(x, y, assume_unique=True))
+    return same / max(1, len(x) + len(y) - same) >= similarity
+
+
+def arrays(column: pa.Array) -> np.ndarray:
+    """A list column as numpy arrays, None for null."""
+    out = np.empty(len(column), object)
+    if column.null_count < len(column):
+        for i, x in enumerate(column):
+            out[i] = x.values.to_numpy() if x.is_valid else None
+    return out
+
+
+def wide_links(nodes: DataFrame, radius: int, similarity: float | None = None) -> DataFrame:
+    """nodes: node, fp (binary, distinct). Pairs (a, b) of nodes that share a cell and are at most radius bits apart, of each cell a minimum spanning forest by distance.
+
+    With a similarity, nodes have part and shingles (an array of hashes) too, and only pairs of different parts whose shingles are so similar are links.
     """
+    if similarity is None:
+        nodes = nodes.withColumn("part", F.lit(None).cast("bigint")).withColumn("shingles", F.lit(None).cast("array<bigint>"))
+    names = ["node", "fp", "part", "shingles"]
+    kind = "node bigint, fp binary, part bigint, shingles array<bigint>"
 
     def key(batches):
         for batch in batches:
             keys = cell_keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, WIDE))
             for t in range(TABLES):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[t]), *batch.columns], ["key", "node", "fp", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[t]), *batch.columns], ["key", *names])
 
-    keyed = nodes.select("node", "fp", "part").mapInArrow(key, "key bigint, node bigint, fp binary, part bigint")
+    keyed = nodes.select(names).mapInArrow(key, "key bigint, " + kind)
     # only cells of more than CELL nodes are cut; their list is short
     hot = common.written(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > CELL), "hot-cells")
     chunks = F.ceil(F.col("n") / CELL).cast("int")
     c = F.pmod(F.xxhash64("node"), chunks).cast("int")
-    dealt = keyed.join(hot, "key", "left").select("node", "fp", "part", "key", F.coalesce(c, F.lit(0)).alias("c"), F.explode(F.sequence(F.lit(0), F.coalesce(chunks - 1, F.lit(0)))).alias("other"))
-    dealt = dealt.select("node", "fp", "part", F.xxhash64("key", F.least("c", "other"), F.greatest("c", "other")).alias("cell"))
+    dealt = keyed.join(hot, "key", "left").select(*names, "key", F.coalesce(c, F.lit(0)).alias("c"), F.explode(F.sequence(F.lit(0), F.coalesce(chunks - 1, F.lit(0)))).alias("other"))
+    dealt = dealt.select(*names, F.xxhash64("key", F.least("c", "other"), F.greatest("c", "other")).alias("cell"))
     reference = np.random.default_rng(20).integers(0, 1 << 64, (WIDE_PIVOTS, WIDE), np.uint64)
 
     def run(batches):
         held, size = [], 0
 
-        def flush(cells, node, fps, part):
+        def flush(cells, node, fps, part, sets):
             one = np.concatenate([[True], cells[1:] != cells[:-1], [True]])
             some = ~(one[:-1] & one[1:])  # alone in its cell: linked to nothing
-            cells, node, fps, part = cells[some], node[some], fps[some], part[some]
+            cells, node, fps, part, sets = (x[some] for x in (cells, node, fps, part, sets))
             table = np.stack([distance(fps, np.broadcast_to(r, fps.shape)) for r in reference], 1).astype(np.int16)
 
             def fewer(i, j):
-                other = part[i] != part[j]
-                return (i[other], j[other]) if (part >= 0).any() else forest(i, j, distance(fps[i], fps[j]), node)
+                if similarity is not None:
+                    other = part[i] != part[j]
+                    i, j = i[other], j[other]
+                    holds = np.array([alike(sets[x], sets[y], similarity) for x, y in zip(i.tolist(), j.tolist(), strict=True)], bool)
+                    i, j = i[holds], j[holds]
+                return forest(i, j, distance(fps[i], fps[j]), node)
 
             i, j = fewer(*linked(fps, cells, radius, table, fewer))
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
 
         for batch in batches:
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, WIDE), batch.column(3).fill_null(-1).to_numpy()))
-            size += batch.num_rows
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, WIDE), batch.column(3).fill_null(-1).to_numpy(), arrays(batch.column(4))))
+            size += batch.num_rows + (batch.nbytes >> 11)
             if size >= 1 << 14:
                 cells, *rest = (np.concatenate(x) for x in zip(*held, strict=True))
                 cut = int(np.flatnonzero(cells[1:] != cells[:-1]).max(initial=-1)) + 1  # the last cell may go on
@@ -330,15 +356,15 @@ def wide_links(nodes: DataFrame, radius: int) -> DataFrame:
         if size:
             yield flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    return dealt.repartition(F.col("cell")).sortWithinPartitions("cell").select("cell", "node", "fp", "part").mapInArrow(run, "a bigint, b bigint").distinct()
+    return dealt.repartition(F.col("cell")).sortWithinPartitions("cell").select("cell", *names).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 #: A row by its id and text.
 _ROW = {"_k1": lambda: F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), "_k2": lambda: F.hash("doc_id", F.coalesce("text", F.lit("")))}
 
 
-def compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """pairs (a, b of nodes) with `alike`: whether the texts of their picks have sets of shingles of the similarity. nodes: node, pick (a row of docs by id and text)."""
+def compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b of nodes) whose picks' texts have sets of shingles of the similarity; and the nodes' shingles. nodes: node, pick (a row of docs by id and text)."""
     degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
     picks = nodes.join(degree, "node").select("node", "n", "pick._k1", "pick._k2")
     # the exchange is by id and text, so many copies of one text don't meet
@@ -353,9 +379,8 @@ def compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: fl
     both = common.with_group(pairs, sets.select(F.col("node").alias("a"), "n", F.col("shingles").alias("_x")), "a", "n", F.xxhash64("b")).drop("n")
     both = common.with_group(both, sets.select(F.col("node").alias("b"), "n", F.col("shingles").alias("_y")), "b", "n", F.xxhash64("a")).drop("n")
     same = F.size(F.array_intersect("_x", "_y"))
-    out = common.written(both.select("a", "b", (same / (F.size("_x") + F.size("_y") - same) >= similarity).alias("alike")), "compared")
-    common.dropped(sets)
-    return out
+    out = common.written(both.filter(same / (F.size("_x") + F.size("_y") - same) >= similarity).select("a", "b"), "compared")
+    return out, sets
 
 
 def similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, keep: list[str] = []) -> DataFrame:  # noqa: B006
@@ -378,21 +403,19 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE
     found = common.written(rows.mapInArrow(common.by_block(fn, schema, [*columns, *_ROW]), ", ".join(f"`{k}` {kinds[k]}" for k in columns) + ", _k1 bigint, _k2 int, fp binary"), "wide-fingerprints")
     nodes = common.written(found.groupBy("fp").agg(F.min("doc_id").alias("doc"), F.min(F.struct(*_ROW)).alias("pick")).withColumn("node", F.monotonically_increasing_id()), "wide-nodes")
     radius, old = wide_radius(similarity), [nodes]
-    pairs = common.written(wide_links(nodes.withColumn("part", F.lit(None).cast("bigint")), radius), "wide-pairs")
-    checked = compared(pairs, nodes, docs, similarity, shingle)
-    edges, whole = checked.filter("alike").select("a", "b"), components(pairs)
-    root = components(edges)
-    old += [pairs, checked, whole, root]
-    # groups of the forest that have come apart: each pair of their parts that share a cell
+    pairs = common.written(wide_links(nodes, radius), "wide-pairs")
+    edges, sets = compared(pairs, nodes, docs, similarity, shingle)
+    whole, root = components(pairs), components(edges)
+    old += [pairs, edges, sets, whole, root]
+    # groups of the forest that have come apart
     part = nodes.select("node", "fp")
     for table, name in ((whole, "whole"), (root, "part")):
         part = part.join(table.select(F.col("a").alias("node"), F.col("b").alias(name)), "node", "left").withColumn(name, F.coalesce(name, "node"))
     part = common.written(part, "wide-parts")
     apart = part.groupBy("whole").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("whole")
-    rest = common.written(wide_links(part.join(apart, "whole", "left_semi"), radius).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "wide-rest")
-    more = compared(rest, nodes, docs, similarity, shingle)
-    old += [part, rest, more]
-    root = components(edges.unionByName(more.filter("alike").select("a", "b")))
+    more = common.written(wide_links(part.join(apart, "whole", "left_semi").join(sets.select("node", "shingles"), "node"), radius, similarity), "wide-rest")
+    old += [part, more]
+    root = components(edges.unionByName(more))
     named = common.written(nodes.join(root.select(F.col("a").alias("node"), F.col("b").alias("r")), "node", "left").select("fp", "doc", F.coalesce("r", "node").alias("root")), "wide-roots")
     least = common.written(named.groupBy("root").agg(F.min("doc").alias("component_id")), "wide-least")
     by_fp = common.written(named.join(least, "root").select("fp", "component_id", "root"), "wide-groups")
