@@ -118,6 +118,7 @@ def run_index(spark: SparkSession, args: list[str], out=sys.stdout, err=sys.stde
         print(f"warning: {w}", file=err)
     with Timed("rendering", format=c.format):
         made = render.to_markdown(index, c.output) if c.format == "markdown" else [render.to_mindmap(index, c.output) or c.output]
+    index.counts.log()
     print("\n".join(made), file=out)
     return 0
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from treedex.functions.text import excluded, glob_column
@@ -12,17 +14,59 @@ from treedex.operators.domains import nearest_area
 
 #: File names that are never a source: sync conflicts, converted maps, an assistant's instructions.
 NO_SOURCE = ["*.conflict*", "*.mm.md", "CLAUDE.md"]
+#: Characters of lines that a row of fingerprint()'s blocks holds, but for a single longer line.
+BLOCK = 1 << 12
+
+
+def _blocks(batches):
+    """Sorted rows of dir, name, line: neighbours of one folder as one text of about BLOCK characters, n telling apart blocks that begin with equal rows."""
+    n = 0
+    for rows in batches:
+        out, size = [], 0
+        for here, name, line in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+            if not out or out[-1][0] != here or size >= BLOCK:
+                out.append((here, name, line, n, []))
+                n, size = n + 1, 0
+            out[-1][4].append(line)
+            size += len(line)
+        if out:
+            here, name, first, number, lines = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(here, rows.schema.field(0).type), pa.array(name, pa.string()), pa.array(first, pa.string()), pa.array(number, pa.int64()), pa.array(["".join(x) for x in lines], pa.string())], ["dir", "name", "first", "n", "text"])
+
+
+def _fed(batches):
+    """Blocks in order, a folder's one after another: its hash is carried from batch to batch, a row a folder comes out."""
+    now, hashed, kind = None, None, pa.string()
+    for rows in batches:
+        kind, out = rows.schema.field(0).type, []
+        for here, text in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+            if hashed is None or here != now:
+                if hashed is not None:
+                    out.append((now, "sha256:" + hashed.hexdigest()))
+                now, hashed = here, hashlib.sha256()
+            hashed.update(text.encode())
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], kind), pa.array([x for _, x in out], pa.string())], ["dir", "fingerprint"])
+    if hashed is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([now], kind), pa.array(["sha256:" + hashed.hexdigest()], pa.string())], ["dir", "fingerprint"])
 
 
 def fingerprint(files: DataFrame, dir: str = "dir") -> DataFrame:
     """dir, fingerprint: `sha256:` and the hash of `name,size,time` and a line end for each file that isn't hidden, in order of names.
 
-    files: all files of the folders, whatever their type. An empty folder has no row here; empty_fingerprint() is its value.
+    files: all files of the folders, whatever their type. An empty folder has no row here; empty_fingerprint() is its value. A file without a size or a
+    time has no line, one without a name is left out; rows that are there twice count twice.
+
+    Lines are sorted by ranges of all folders' names and joined to blocks there; then each folder's blocks feed its hash in order. So a folder of any size
+    is sorted in parts and is never one row; what one task does for it is to hash its bytes.
     """
     shown = files.filter(~F.col("name").startswith("."))
     line = F.concat("name", F.lit(","), F.col("length").cast("string"), F.lit(","), F.col("mtime_ns").cast("string"), F.lit("\n"))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("name", line.alias("s")))), lambda x: x["s"])
-    return shown.groupBy(dir).agg(F.concat(F.lit("sha256:"), F.sha2(F.array_join(parts, "").cast("binary"), 256)).alias("fingerprint"))
+    lines = shown.select(F.col(dir).alias("dir"), "name", F.coalesce(line, F.lit("")).alias("line"))
+    kind = lines.schema["dir"].dataType.simpleString()
+    blocks = lines.repartitionByRange("dir", "name", "line").sortWithinPartitions("dir", "name", "line").mapInArrow(_blocks, f"dir {kind}, name string, first string, n bigint, text string")
+    fed = blocks.repartition("dir").sortWithinPartitions("dir", "name", "first", "n").select("dir", "text").mapInArrow(_fed, f"dir {kind}, fingerprint string")
+    return fed.withColumnRenamed("dir", dir)
 
 
 def empty_fingerprint() -> Column:

@@ -18,6 +18,7 @@ from treedex.plans import index as plan, render
 from treedex.plans.lineage import shared
 from treedex.plans.store import ViewStore
 from treedex.sources import files as source, mindmap
+from treedex.timing import Counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -634,6 +635,35 @@ def mm_parse(spark, d):
     return mindmap.nodes(f).select("file_path", "pre", "last", "parent_pre", "text", "note", F.array_join("tags", ",").alias("tags"), "search_text")
 
 
+@query("""SELECT p_partkey AS id, 1::BIGINT AS pre, 3::BIGINT AS last, NULL::BIGINT AS parent_pre, 1 AS level, p_brand AS text, '' AS note, '' AS tags FROM part WHERE p_partkey % 10 <> 0 UNION ALL
+    SELECT p_partkey, 2, 3, 1, 2, p_type, '', 'a,' || p_size FROM part WHERE p_partkey % 10 <> 0 UNION ALL
+    SELECT p_partkey, 3, 3, 2, 3, '', p_name, '' FROM part WHERE p_partkey % 10 <> 0 UNION ALL SELECT p_partkey, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM part WHERE p_partkey % 10 = 0""")
+def mm_table_function(spark, d):
+    """Maps parsed by SQL: a table function joined laterally; every tenth file is no map and keeps a row of nulls."""
+    made = F.concat(F.lit('<map><node TEXT="'), "p_brand", F.lit('"><node TEXT="'), "p_type", F.lit('" TAGS="a '), F.col("p_size").cast("string"), F.lit('"><node><richcontent TYPE="NOTE"><html><body><p>'), "p_name", F.lit("</p></body></html></richcontent></node></node></node>"), F.when(F.col("p_partkey") % 10 == 0, "").otherwise("</map>"))
+    mindmap.register(spark)
+    return spark.sql("SELECT f.id, n.pre, n.last, n.parent_pre, n.level, n.text, n.note, array_join(n.tags, ',') AS tags FROM {f} f LEFT JOIN LATERAL mindmap_nodes(f.content) n ON TRUE", f=table(spark, d, "part").select(F.col("p_partkey").alias("id"), made.alias("content")))
+
+
+# --- numbers of stages
+
+
+@query(f"""WITH {NODES}, g AS (SELECT doc_id, ftype, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN ' ' || chr(10) WHEN doc_id % 13 = 0 THEN '{T.MARKER}' || content ELSE content END AS c FROM f),
+    r AS (SELECT *, coalesce(contains(c[1:{T.MARKER_WINDOW}], '{T.MARKER}'), FALSE) AS made FROM g), u AS (SELECT * FROM r WHERE c IS NOT NULL AND NOT made)
+    SELECT 'read' AS stage, 'rows' AS number, count(*) AS n FROM r UNION ALL SELECT 'read', 'bytes', coalesce(sum(doc_id), 0)::BIGINT FROM r UNION ALL SELECT 'read', 'unreadable', count(*) FROM r WHERE c IS NULL
+    UNION ALL SELECT 'read', 'blank', count(*) FROM r WHERE NOT regexp_matches(c, '\\S') UNION ALL SELECT 'read', 'generated', count(*) FROM r WHERE made
+    UNION ALL SELECT 'invalid', 'rows', count(*) FROM u WHERE ftype = 'freeplane' OR NOT regexp_matches(c, '\\S') UNION ALL SELECT 'search', 'rows', count(*) FROM n WHERE {_m('with')} UNION ALL SELECT 'search', 'furthest', max(pre) FROM n WHERE {_m('with')}""")
+def stage_counts(spark, d):
+    """Numbers taken while stages ran: files read, unreadable, blank and generated, invalid ones, hits of a search."""
+    i, counts = F.col("doc_id"), Counts()
+    text = F.when(i % 7 == 0, None).when(i % 11 == 0, " \n").when(i % 13 == 0, F.concat(F.lit(T.MARKER), "content")).otherwise(F.col("content"))
+    every = files(spark, d).select("file_path", "dir", "name", "ftype", i.alias("length"), F.lit(0).cast("bigint").alias("mtime_ns"), F.lit("/kb").alias("root"), text.alias("content"))
+    index = plan.KnowledgeIndex(source.usable(every, counts), spark.createDataFrame([], "dir string, domain string, source_exclude array<string>"), counts=counts)
+    index.kept("invalid")
+    counts.cut("search", search.search_multiple(nodes(spark, d), [["with"]]).select("file_path", "pre").distinct(), furthest=F.max("pre"))
+    return counts.rows(spark)
+
+
 # --- staleness
 
 

@@ -15,6 +15,7 @@ from treedex.operators import cards, domains, keywords, markdown, words
 from treedex.operators.search import search_multiple, valid_patterns
 from treedex.plans.lineage import cut
 from treedex.sources import files as source, mindmap
+from treedex.timing import Counts
 
 NODE = ["file_path", "pre", "last", "parent_pre", "node_type", "level", "text", "content", "search_text", "node_id"]
 
@@ -69,8 +70,9 @@ register(Handler("freeplane", mindmap.nodes, map_tags, has_nodes))
 
 
 class KnowledgeIndex:
-    def __init__(self, files: DataFrame, areas: DataFrame, config: Config | None = None, keyword_rows: keywords.Keywords | None = None):
-        """files: SCHEMA of sources.files and content."""
+    def __init__(self, files: DataFrame, areas: DataFrame, config: Config | None = None, keyword_rows: keywords.Keywords | None = None, counts: Counts | None = None):
+        """files: SCHEMA of sources.files and content. counts: where numbers of stages go (`read`, `nodes` and kept views); .counts if not given."""
+        self.counts = counts or Counts()
         self.config, self.areas, self.keyword_rows = config or Config(["."]), areas, keyword_rows or keywords.Keywords()
         self.files = files.withColumn("ord", F.col("file_path"))
         self._kept: dict[str, DataFrame] = {}
@@ -78,11 +80,12 @@ class KnowledgeIndex:
     @classmethod
     def from_config(cls, spark: SparkSession, config: Config) -> KnowledgeIndex:
         kinds = selected_types(config.include_types, config.exclude_types)
-        found = cut(source.discover(spark, config.include, config.exclude, kinds, config.output))
+        counts = Counts()
+        found = source.discover(spark, config.include, config.exclude, kinds, config.output, counts)
         files = found.filter(~F.col("ftype").isin("area", "manifest"))
         if files.isEmpty():
             raise ValueError("no file found")
-        return cls(files, cut(source.areas_of(found)), config, keywords.load([str(k) for k in config.keyword_files if isinstance(k, str)], [k for k in config.keyword_files if isinstance(k, dict)]))
+        return cls(files, cut(source.areas_of(found)), config, keywords.load([str(k) for k in config.keyword_files if isinstance(k, str)], [k for k in config.keyword_files if isinstance(k, dict)]), counts)
 
     @cached_property
     def nodes(self) -> DataFrame:
@@ -92,7 +95,7 @@ class KnowledgeIndex:
             one = one.withColumn("tags", F.lit(None).cast("array<string>")) if "tags" not in one.columns else one
             one = one.select(*NODE, "tags")
             out = one if out is None else out.unionByName(one)
-        return cut(out)
+        return self.counts.cut("nodes", out)
 
     def invalid(self) -> DataFrame:
         """Files that their handler finds nothing in: file_path, ftype."""
@@ -119,9 +122,9 @@ class KnowledgeIndex:
         return cut(cards.groups(self.domain_cards))
 
     def kept(self, name: str) -> DataFrame:
-        """A view, computed once and kept for the renderers, which read it several times."""
+        """A view, computed once and kept for the renderers, which read it several times; .counts has its rows, and of `keyword` its hits."""
         if name not in self._kept:
-            self._kept[name] = cut(getattr(self, name)())
+            self._kept[name] = self.counts.cut(name, getattr(self, name)(), **({"hits": F.count("file_path")} if name == "keyword" else {}))
         return self._kept[name]
 
     def view(self, name: str) -> DataFrame | None:
@@ -197,6 +200,7 @@ class Merged:
         self.file_domains = index.file_domains.withColumn("domain", F.lit(None).cast("string"))
         self.groups = cut(self._last(index.groups, ["source_path"]))
         self._kept: dict[str, DataFrame] = {}
+        self.counts = Counts()
 
     kept = KnowledgeIndex.kept
 

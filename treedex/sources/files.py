@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from treedex.functions.text import FILE_TYPES, MARKER, MARKER_WINDOW, selected_types
+from treedex.timing import Counts
 
 SCHEMA = "file_path string, dir string, name string, ftype string, length bigint, mtime_ns bigint, root string"
 #: Text that a worker holds at once, but for a single longer file.
@@ -123,9 +124,17 @@ def listed(spark: SparkSession, include: list[str], exclude: list[str] | None =
     return todo.mapInPandas(run, SCHEMA).groupBy("file_path").agg(F.min(F.struct("root", *(c for c in COLUMNS if c not in ("file_path", "root")))).alias("r")).select("file_path", *(f"r.{c}" for c in COLUMNS if c != "file_path"))
 
 
-def discover(spark: SparkSession, include: list[str], exclude: list[str] | None = None, types: list[str] | None = None, output: str | None = None) -> DataFrame:
-    """SCHEMA and content, text of files that are UTF-8 and not generated ones; areas and manifests among them, by ftype."""
-    return read(listed(spark, include, exclude, types, output)).filter("content is not null").filter(~F.contains(F.substring("content", 1, MARKER_WINDOW), F.lit(MARKER)))
+def discover(spark: SparkSession, include: list[str], exclude: list[str] | None = None, types: list[str] | None = None, output: str | None = None, counts: Counts | None = None) -> DataFrame:
+    """SCHEMA and content, text of files that are UTF-8 and not generated ones; areas and manifests among them, by ftype. counts: see usable()."""
+    return usable(read(listed(spark, include, exclude, types, output)), counts)
+
+
+def usable(files: DataFrame, counts: Counts | None = None) -> DataFrame:
+    """Files with text that aren't generated ones. With counts, files are kept first and stage `read` has their rows and bytes, and how many are unreadable, blank or generated."""
+    generated = F.contains(F.substring("content", 1, MARKER_WINDOW), F.lit(MARKER))
+    if counts:
+        files = counts.cut("read", files, bytes=F.sum("length"), unreadable=F.count_if(F.col("content").isNull()), blank=F.count_if(~F.col("content").rlike(r"\S")), generated=F.count_if(generated))
+    return files.filter("content is not null").filter(~generated)
 
 
 def text_of(path: str) -> str | None:

@@ -7,7 +7,7 @@ import re
 import xml.etree.ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from treedex.functions.text import node_id
 
@@ -67,3 +67,19 @@ def nodes(files: DataFrame, below: bool = False) -> DataFrame:
     full = F.concat_ws(" ", *(F.nullif(F.col(c), F.lit("")) for c in ("text", "richcontent", "note")))
     again = F.concat_ws(" ", F.nullif("text", F.lit("")), F.nullif(full, F.lit("")), F.nullif("richcontent", F.lit("")), F.nullif("note", F.lit("")))
     return n.withColumns({"content": full, "search_text": again, "node_type": F.lit("node"), "node_id": node_id(F.col("xml_id"), F.col("file_path"), F.col("pre"))})
+
+
+class NodesOf:
+    """A table function: a map's rows of parse() without its path; none for null and for what isn't a map."""
+
+    def eval(self, content: str, below: bool = False):
+        for row in parse("", content, bool(below)):
+            yield row[1:]
+
+
+def register(spark: SparkSession, name: str = "mindmap_nodes") -> None:
+    """Let SQL call it: `SELECT f.file_path, n.* FROM files f, LATERAL mindmap_nodes(f.content) n`; a second argument is `below` of parse().
+
+    Files go to workers in Arrow batches, where they lie; a LEFT JOIN LATERAL .. ON TRUE keeps files without nodes.
+    """
+    spark.udtf.register(name, F.udtf(NodesOf, returnType=SCHEMA.split(", ", 1)[1], useArrow=True))
