@@ -2,7 +2,8 @@
 
 Fingerprints: 64 bits by majority over the hashes of a text's word shingles. Equal fingerprints are one node. Links are pairs of nodes at
 most `radius` bits apart. Nodes are dealt into cells that hold every such pair: with radius + 2 bands of bits, two fingerprints
-radius bits apart agree on two bands at least, so there is a cell for each two bands and their bits. In a cell, each fingerprint's
+radius bits apart agree on two bands at least, so there is a cell for each two bands and their bits. With radius + m bands they agree on m: the more nodes,
+the more bands key a cell (key_bands), so that cells don't grow with the table; no pair is lost at any number. In a cell, each fingerprint's
 Hamming distances to PIVOTS reference fingerprints form a table; a pair whose distances to some pivot differ by more than radius can't be
 linked (triangle inequality) and is discarded; the rest is verified by its own distance. A cell of more than CELL nodes is cut into
 chunks, and each two chunks meet in a task of their own. Tasks give spanning stars, not pairs.
@@ -30,6 +31,8 @@ from .components import components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 PIVOTS, CELL = 16, 2048
+#: A node's copy in a cell costs about as much as so many comparisons.
+COPY = 100
 IS_WORD = common.word_class([(0x20, 0x20), (0x09, 0x0D)])
 #: For similar(): words a shingle, words a fingerprint, its cells and the bits that key them, pivots. Of pairs of similarity 0.8 (38 to 39 bits of 256 apart on
 #: average) 0.95 meet in a cell, of 0.85 (33) 0.99, of 0.9 (26) all but 1 in 10,000.
@@ -232,13 +235,19 @@ def forest(left: np.ndarray, right: np.ndarray, weight: np.ndarray, name: np.nda
         label[node] = low
 
 
-def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """nodes: fp, distinct. Edges (a, b) between fingerprints that connect all those at most radius bits apart."""
-    bands = radius + 2
+def key_bands(nodes: int, radius: int) -> int:
+    """How many of radius + m bands key a cell, at the least cost a node: a copy for each choice of bands, and the nodes that meet it there if bits are even."""
+    return min(range(2, 9), key=lambda m: math.comb(radius + m, m) * (COPY + nodes / 2 ** (64 * m / (radius + m))))
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, agree: int | None = None) -> DataFrame:
+    """nodes: fp, distinct. Edges (a, b) between fingerprints that connect all those at most radius bits apart. agree: bands that key a cell, by default from the number of nodes."""
+    agree = agree or key_bands(nodes.count(), radius)
+    bands = radius + agree
     cuts = [round(64 * i / bands) for i in range(bands + 1)]
     mask = [sum(1 << b for b in range(cuts[i], cuts[i + 1])) for i in range(bands)]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    keys = F.array(*(F.struct(F.lit(k).alias("combo"), F.col("fp").bitwiseAND(F.lit(signed(mask[i] | mask[j]))).alias("bits")) for k, (i, j) in enumerate(combinations(range(bands), 2))))
+    keys = F.array(*(F.struct(F.lit(k).alias("combo"), F.col("fp").bitwiseAND(F.lit(signed(sum(mask[i] for i in some)))).alias("bits")) for k, some in enumerate(combinations(range(bands), agree))))
     keyed = common.written(nodes.select("fp", F.explode(keys).alias("k")).select("fp", "k.combo", "k.bits"), "cells")
     sizes = common.written(keyed.groupBy("combo", "bits").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
     chunks = F.ceil(F.col("n") / CELL).cast("int")
