@@ -192,6 +192,19 @@ def sorted_windows(rows: DataFrame, length: int) -> DataFrame:
     return in_order.mapInArrow(run, "h bigint, s bigint, n bigint, h0 bigint, s0 bigint, a int, b int")
 
 
+def _gathered(df: DataFrame) -> DataFrame:
+    """df in partitions in proportion to cores, or to an eighth of the shuffle partitions where these are many: a task does several, one after another, and writes one file.
+
+    There are some thirty tables here, many of them small, and a file costs more than its bytes: for each one the JVM starts processes, beside which its memory counts twice.
+    """
+    spark = df.sparkSession
+    return df.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+
+
+def _kept(df: DataFrame, tag: str) -> DataFrame:
+    return common.written(_gathered(df), tag)
+
+
 def repeats(docs: DataFrame, length: int = LENGTH, text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with text the remaining bytes as text_kept.
 
@@ -216,17 +229,17 @@ def repeats(docs: DataFrame, length: int = LENGTH, text: bool = True) -> DataFra
                     [batch.column("doc_id").take(who), batch.column("th").take(who), pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), pa.array((a - off[r]).astype(np.int32)), pa.array((b - off[r]).astype(np.int32))], ["doc_id", "th", "h", "s", "a", "b"]
                 )
 
-    found = common.written(keyed.filter(F.octet_length("text") >= length).mapInArrow(find, f"doc_id {doc_kind}, th bigint, h bigint, s bigint, a int, b int"), "segments")
-    grams = common.written(found.groupBy("h", "s").agg(F.count("*").alias("n")).groupBy("h").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).filter("n > 1").select("h", "kinds"), "grams")
+    found = _kept(keyed.filter(F.octet_length("text") >= length).mapInArrow(find, f"doc_id {doc_kind}, th bigint, h bigint, s bigint, a int, b int"), "segments")
+    grams = _kept(found.groupBy("h", "s").agg(F.count("*").alias("n")).groupBy("h").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).filter("n > 1").select("h", "kinds"), "grams")
     common.tidy(spark)
-    shared = common.written(found.join(grams, "h"), "shared")
+    shared = _kept(found.join(grams, "h"), "shared")
     common.dropped(found)
     common.dropped(grams)
     common.tidy(spark)
     counts = shared.groupBy("h", "s").agg(F.count("*").alias("n"), F.min(F.struct(*key, "a", "b", "kinds")).alias("r")).select("h", "s", "n", "r.*")
 
     # the bytes of one of each kind of segment, from its document
-    asked = common.written(counts.groupBy(*key).agg(F.collect_list(F.struct("h", "s", "n", "a", "b", "kinds")).alias("want")), "asked")
+    asked = _kept(counts.groupBy(*key).agg(F.collect_list(F.struct("h", "s", "n", "a", "b", "kinds")).alias("want")), "asked")
 
     def cut(batches):
         for batch in batches:
@@ -253,7 +266,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, text: bool = True) -> DataFra
     bodies = keyed.join(asked, keyed["doc_id"].eqNullSafe(asked["doc_id"]) & (keyed["th"] == asked["th"])).select("text", "want")
     # rows with one id and text are one document twice, whose kinds come twice: sorting and halving leave one
     bodies = bodies.mapInArrow(cut, "h bigint, s bigint, n bigint, m int, kinds bigint, body binary")
-    bodies = common.written(bodies.withColumns({"h0": F.col("h"), "s0": F.col("s"), "at": F.lit(0)}), "bodies")
+    bodies = _kept(bodies.withColumns({"h0": F.col("h"), "s0": F.col("s"), "at": F.lit(0)}), "bodies")
     common.dropped(asked)
     common.tidy(spark)
     columns = ["lane", "h", "s", "n", "h0", "s0", "at", "m", "body"]
@@ -265,11 +278,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, text: bool = True) -> DataFra
     hot = bodies.filter(hot_gram).dropDuplicates(["h", "s"])
     while width > 1 and not hot.isEmpty():
         width = -(-width // 2)
-        halves = common.written(_halves(hot, width, length), "halves")
-        distinct = common.written(halves.groupBy("h", "s").agg(F.sum("n").alias("n"), F.first(F.struct("h0", "s0", "at", "m", "body")).alias("r")).select("h", "s", "n", "r.*"), "distinct")
+        halves = _kept(_halves(hot, width, length), "halves")
+        distinct = _kept(halves.groupBy("h", "s").agg(F.sum("n").alias("n"), F.first(F.struct("h0", "s0", "at", "m", "body")).alias("r")).select("h", "s", "n", "r.*"), "distinct")
         # written, so that the join reads both sides anew and a hot key's halves can be split among tasks
-        keys = common.written(distinct.groupBy("h").agg(F.count("*").alias("kinds")), "keys")
-        next_ = common.written(distinct.join(keys, "h").filter("kinds > 1 or n > 1").select("h", "s", "n", "h0", "s0", "at", "m", "body", "kinds"), "halved")
+        keys = _kept(distinct.groupBy("h").agg(F.count("*").alias("kinds")), "keys")
+        next_ = _kept(distinct.join(keys, "h").filter("kinds > 1 or n > 1").select("h", "s", "n", "h0", "s0", "at", "m", "body", "kinds"), "halved")
         ready.append(next_.filter(~hot_gram | (F.col("n") > 1)).withColumn("lane", F.when(hot_gram, copies).otherwise(F.col("h"))).select(*columns))
         # halves of kinds that have but one copy; those of others went with their kinds
         parts.append(halves.filter("n = 1").select("h", "s", F.col("h0").alias("h1"), F.col("s0").alias("s1"), F.col("at").alias("a1"), (F.col("at") + F.octet_length("body") - length).alias("b1")))
@@ -278,15 +291,15 @@ def repeats(docs: DataFrame, length: int = LENGTH, text: bool = True) -> DataFra
         common.tidy(spark)
     if parts:
         ready.append(hot.withColumn("lane", F.col("h")).select(*columns))  # single windows with one hash
-    decided = common.written(sorted_windows(reduce(DataFrame.unionAll, ready), length), "decided")
+    decided = _kept(sorted_windows(reduce(DataFrame.unionAll, ready), length), "decided")
     runs = decided.filter("n = 1 or h = h0 and s = s0").select("h0", "s0", "a", "b")
     for p in parts:
         whole = decided.filter("n > 1 and not (h = h0 and s = s0)").select("h", "s").distinct()
         runs = runs.unionAll(p.join(whole, ["h", "s"]).select(F.col("h1").alias("h0"), F.col("s1").alias("s0"), F.col("a1").alias("a"), F.col("b1").alias("b")))
     # written, so that the copies of a kind that has very many can be split among tasks
-    of_kind = common.written(runs.groupBy(F.col("h0").alias("h"), F.col("s0").alias("s")).agg(F.collect_set(F.struct("a", "b")).alias("runs")), "runs")
+    of_kind = _kept(runs.groupBy(F.col("h0").alias("h"), F.col("s0").alias("s")).agg(F.collect_set(F.struct("a", "b")).alias("runs")), "runs")
     spans = shared.join(of_kind, ["h", "s"]).select(*key, F.explode(F.transform("runs", lambda r: F.struct((F.col("a") + r["a"]).alias("a"), (F.col("a") + r["b"]).alias("b")))).alias("x"))
-    spans = common.written(spans.groupBy(*key).agg(F.collect_set("x").alias("spans")), "spans")
+    spans = _kept(spans.groupBy(*key).agg(F.collect_set("x").alias("spans")), "spans")
     for t in (shared, bodies, decided, of_kind, *gone[1:]):
         common.dropped(t)
     common.tidy(spark)
@@ -317,4 +330,4 @@ def repeats(docs: DataFrame, length: int = LENGTH, text: bool = True) -> DataFra
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["text_kept"] if text else [])]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.binary()] if text else [])]
     joined = keyed.join(spans, keyed["doc_id"].eqNullSafe(spans["doc_id"]) & (keyed["th"] == spans["th"]), "left").select(keyed["doc_id"], "text", "spans")
-    return joined.mapInArrow(keep, f"doc_id {doc_kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", text_kept binary" * text)
+    return _gathered(joined.mapInArrow(keep, f"doc_id {doc_kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", text_kept binary" * text))
